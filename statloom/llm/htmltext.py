@@ -7,8 +7,9 @@ occurrences over the pages form an equivalence class; classes that are frequent
 and keep one order on every page are valid, and they nest: a class that occurs several
 times a page must lie inside one slot of the class above. The valid classes are the
 template. What is left between their tokens are the slots, and a page's main text is the
-text of the slots inside its article: the `article` or `main` element where there is one,
-else the smallest element that holds most of the page's slot text.
+text of the slots inside its article: the `article` or `main` element where there is one
+(which is one slot, whatever its pages share), else the smallest element that holds most of
+the page's slot text.
 
 Elements that say themselves that they are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments (by tag, role, class or id) hold no
@@ -126,7 +127,9 @@ def parse(page: str) -> list[Block]:
             elif tag not in _INLINE:
                 flush()
         elif tag in _VOID:
-            if tag not in _INLINE:
+            if tag == "br":
+                text.append(" ")
+            elif tag not in _INLINE:
                 flush()
         else:
             ends = _SELF_ENDING.get(tag, ()) or (("p",) if tag in _ENDS_P else ())
@@ -225,9 +228,10 @@ def _nested(tokens: list, above: list, vector: tuple, where: dict) -> bool:
 
 def main_blocks(blocks: list[Block], template: set) -> list[str]:
     """The texts of the slots inside the article."""
+    marked = [b.text for b in blocks if b.article and not b.boiler]
+    if marked:
+        return marked
     slots = [b for b in blocks if not b.boiler and any((b.path, w) not in template for w in b.text.split())]
-    if any(b.article for b in slots):
-        return [b.text for b in slots if b.article]
     depth = 0
     while slots:
         weight: dict[tuple[str, ...], int] = defaultdict(int)

@@ -247,10 +247,10 @@ def _scored(docs: DataFrame, weights: np.ndarray | None, size: int) -> DataFrame
                     text, hashed, weight = s.features(size)
                     own = 1 / (1 + np.exp(-np.clip(np.bincount(text, weight * w[hashed], len(s.n)) + w[-1], -60, 60)))
                 out[lo : lo + len(s.n)] = np.where(s.n > 0, own, 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "__quality"])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{kinds}, quality_score double")
+    return docs.mapInArrow(score, f"{kinds}, `__quality` double")
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, size: int = SIZE) -> DataFrame:
@@ -258,10 +258,10 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     weights, _ = fit(own, sample, size)
     done = _scored(own, weights, size)
-    return done.select("doc_id", F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).alias("keep"))
+    return done.select("doc_id", F.col("__quality").alias("score"), (F.col("__quality") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, size: int = SIZE) -> DataFrame:
     """docs without the rejected documents; all columns stay."""
     weights, _ = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample, size)
-    return _scored(docs, weights, size).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    return _scored(docs, weights, size).where(F.col("__quality") >= threshold).select(*docs.columns)

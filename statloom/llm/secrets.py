@@ -131,11 +131,11 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, least: int = LEAS
     """docs with every secret replaced by `mark`, and n_chars, where there is one, made to fit; no row goes."""
     kept = _judged(docs, labelled, least, sample, trees, threshold)
     # longest first, so that no secret leaves the rest of a longer one behind; a text bounds its own list
-    secrets = kept.groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("_found"))
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    clean = F.aggregate("_found", F.col("text"), lambda text, x: F.replace(text, x["secret"], F.lit(mark)))
-    out = keyed.join(secrets, keyed["_row"] == secrets["row"], "left")
-    new = {"text": F.when(F.col("_found").isNull(), F.col("text")).otherwise(clean)}
+    secrets = kept.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("__found"))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    clean = F.aggregate("__found", F.col("text"), lambda text, x: F.replace(text, x["secret"], F.lit(mark)))
+    out = keyed.join(secrets, "__row", "left")
+    new = {"text": F.when(F.col("__found").isNull(), F.col("text")).otherwise(clean)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
     return out.withColumns(new).select(*docs.columns)

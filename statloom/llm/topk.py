@@ -12,7 +12,8 @@ Queries go out in blocks of bounded size; candidates never move.
 Vectors that are null, empty or hold a null or non-finite component take no part, nor
 do rows without id. Only vectors of a query's own length are compared with it. A
 repeated row is a candidate by itself; rows with the query's id are not candidates.
-Ties go to the smaller id. An empty table gives no rows.
+Ties go to the smaller id. Scores are exact integers; one beyond 64 bits is given as the
+last one that fits. An empty table gives no rows.
 """
 
 from __future__ import annotations

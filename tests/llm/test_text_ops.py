@@ -1,0 +1,284 @@
+"""The operators on documents, against brute force and on odd input."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from statloom.llm import bytewords as bw
+from statloom.llm import decontaminate, languageid, lmscore, packing, pathjoin, quality
+from statloom.llm import secrets as sec
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece string, row string, rank int, fp long, root long, h string"
+
+
+def docs(spark, rows):
+    """rows: (doc_id, text); the other columns, some with names that operators use inside, are filled in."""
+    return spark.createDataFrame([(d, t, "en", "src1", len(t or ""), "x", "y", 3, 1, 2, "z") for d, t in rows], SCHEMA)
+
+
+def prose(seed, n, vocab=3000):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(vocab)}" for _ in range(n))
+
+
+ODD = [(1, None), (2, ""), (3, "   \n"), (4, "Ünïcödé ✓ text."), (4, "Ünïcödé ✓ text."), (None, "no id at all here"), (5, "x" * 3_000_000), (6, "a b c"), (7, "!!! ###")]
+
+
+def test_words_match_python():
+    texts = [t or "" for _, t in ODD] + [prose(i, 300) for i in range(50)]
+    got = []
+    for w in bw.words(pa.array(texts), bw.WHITE, "none", most=1000):
+        for i in range(w.hi - w.lo):
+            got.append([w.buf[s:e].tobytes().decode() for s, e in zip(w.starts[w.where[i] : w.where[i + 1]], w.ends[w.where[i] : w.where[i + 1]], strict=True)])
+    assert got == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+
+
+def test_equal_words_have_equal_hashes_wherever_they_stand():
+    seen = {}
+    for w in bw.words(pa.array([prose(1, 5000), "y" * (bw.BLOCK * 2 + 5) + " w1 " + "y" * (bw.BLOCK * 2 + 5)]), bw.WHITE, "none"):
+        for s, e, h in zip(w.starts, w.ends, w.hashes, strict=True):
+            assert seen.setdefault(w.buf[s:e].tobytes(), h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+
+def test_pieces_equal_the_tokenizer(tokenizer):
+    own = packing.CachedTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    texts = ["It's  they'RE don't 'st x's", "ΑΣ Σ", "é é ﬁ İ", "<|endoftext|> a <|", "a_b __ 1²½ ٣", "naïve — “quote” 😀 中文", "", " 　  x", "$$$ de,&&& 12.5%", prose(2, 400)]
+    assert own.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_packing_places_every_token_once(spark, tokenizer):
+    rows = ODD + [(100 + i, prose(i, random.Random(i).randrange(1, 900))) for i in range(150)]
+    out = [r.asDict() for r in packing.pack(docs(spark, rows), capacity=512).collect()]
+    want = collections.Counter()
+    for d, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 512):
+            part = ids[k : k + 512]
+            want[d, k // 512, k, len(part), zlib.crc32(part.tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spots in by.values():
+        at = 0
+        for offset, length in sorted(spots):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert len(by) <= 1.05 * math.ceil(sum(r["length"] for r in out) / 512) + 1
+
+
+def test_plan_is_close_to_the_bound():
+    r = random.Random(3)
+    hist = collections.Counter(min(4096, int(r.lognormvariate(6.5, 1))) for _ in range(20_000))
+    made = packing.plan(dict(hist))
+    back = collections.Counter()
+    for items, k in made:
+        assert sum(x * n for x, n in items) <= 4096
+        for x, n in items:
+            back[x] += n * k
+    assert back == +collections.Counter({k: v for k, v in hist.items() if k})
+    assert sum(k for _, k in made) <= 1.003 * sum(x * n for x, n in hist.items()) / 4096 + 1
+
+
+def test_packing_of_an_empty_table(spark):
+    assert packing.pack(docs(spark, [])).count() == 0
+
+
+def test_language_model_base_score_is_exact(spark):
+    rows = [r for r in ODD if r[0] is not None] + [(100 + i, prose(i % 40, 80) + " Common Words here") for i in range(80)]
+    table = docs(spark, rows).select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    out = [r.asDict() for r in lmscore.score(table, held, shard_chars=500_000).collect()]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
+    counts = collections.Counter()
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            counts.update(split(t))
+    n, v = sum(counts.values()), len(counts)
+    texts = dict(rows)
+    assert len(out) == len(rows)
+    for r in out:
+        words = split(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words), rel=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
+        assert r["score"] < 0
+    copies = [r for r in out if r["held_out"] and r["doc_id"] >= 100]
+    assert sum(r["score"] for r in copies) > sum(r["base_score"] for r in copies)  # their twins were learned
+
+
+def test_filter_levels_never_fall_short():
+    keys = bw.mix(np.arange(1, 50_001, dtype=np.uint64))
+    levels = (np.arange(50_000) % 9 + 1).astype(np.int64)
+    f = lmscore.Filter({0: lmscore.build(keys, levels)}, 1)
+    assert (f.level(keys) >= levels).all()
+    assert (f.level(keys) == levels).mean() > 0.98
+    assert (f.level(bw.mix(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64))) > 0).mean() < 0.02
+
+
+def test_language_model_of_an_empty_table(spark):
+    assert lmscore.score(docs(spark, []).select("doc_id", "text"), F.lit(False)).count() == 0
+
+
+def brute_links(rows):
+    sets = {}
+    for d, t in rows:
+        w = re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    links, parent = collections.Counter(), {d: d for d in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = top(a), top(b)
+                parent[max(x, y)] = min(x, y)
+    return links, {d: top(d) for d in ids}
+
+
+def near_rows():
+    rows, r = [], random.Random(5)
+    for base in range(12):
+        words = prose(base, 150).split()
+        for k in range(25):
+            own = list(words)
+            for _ in range(r.randrange(0, 4)):
+                own[r.randrange(len(own))] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows + [(1000 + i, prose(900 + i, 60)) for i in range(40)] + [(2000, None), (2001, ""), (2002, "?!"), (2003, "One two"), (2004, "one, TWO"), (2005, "z" * 2_000_000)]
+
+
+def test_path_join_equals_brute_force(spark):
+    rows = near_rows()
+    links, classes = brute_links(rows)
+    # small blocks and buckets, so that groups are split and joined across blocks
+    out = {r["doc_id"]: r for r in pathjoin.near_duplicates(docs(spark, rows), bucket=16, block=8).collect()}
+    assert len(out) == len(rows)
+    assert {d: out[d]["n_links"] for d in out} == {d: links[d] for d in out}
+    assert {d: out[d]["class_id"] for d in out} == classes
+
+
+def test_path_join_odd_input(spark):
+    out = pathjoin.near_duplicates(docs(spark, ODD)).collect()
+    assert len(out) == len(ODD)
+    by = {(r["doc_id"], r["class_id"], r["n_links"]) for r in out}
+    assert {(1, 1, 0), (2, 2, 0), (4, 4, 1), (None, None, 0)} <= by
+    assert pathjoin.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_decontamination_tolerates_replaced_tokens(spark):
+    item = [f"q{i}" for i in range(40)]
+    changed = list(item)
+    changed[9], changed[22] = "other", "another"
+    rows = [(1, "pre " + " ".join(item).upper() + " post"), (2, prose(1, 50) + " " + ", ".join(changed)), (3, " ".join(item[:11])), (4, prose(3, 400)), (5, prose(4, 30) + " r1 r2 r3 r4 r5 " + prose(5, 30)), *ODD]
+    bench = spark.createDataFrame([(10, " ".join(item), 1), (11, "r1 r2 r3 r4 r5", 1), (12, None, 1), (13, "too short", 1), (None, "r1 r2 r3 r4 r5 r6", 1)], "item_id long, text string, doc_id long")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(docs(spark, rows), bench, block_chars=200).collect()}
+    assert set(found) == {(1, 10), (2, 10), (5, 11)}
+    assert found[1, 10]["matched_tokens"] == 40 and found[1, 10]["overlap_start"] == 1
+    assert found[2, 10]["matched_tokens"] == 38 and found[2, 10]["overlap_tokens"] == 40
+    assert {r["doc_id"] for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()} == {3, 4, *(d for d, _ in ODD if d is not None and d not in (1, 2, 3, 4, 5)), None, 4}
+    assert decontaminate.overlaps(docs(spark, []), bench).count() == 0
+    assert decontaminate.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_language_profiles(spark):
+    syllables = {"aa": "ka ko mi ta no", "bb": "sch ein ung der lich", "cc": "tion ment eau que"}
+    r = random.Random(1)
+    text = lambda x, n: " ".join("".join(r.choices(syllables[x].split(), k=r.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(x, 60), x, "s", 1) for i, x in enumerate(sorted(syllables) * 30)]
+    odd = [(500, None, "aa", "s", 1), (501, "", None, "s", 1), (502, "12 !! 3", "bb", "s", 1), (None, text("cc", 50), None, "s", 1), (503, "ka" * 300_000, None, "s", 1)]
+    table = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, score int")
+    known = languageid.profiles(table, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)))
+    out = {r["doc_id"]: r for r in languageid.identify(table, known).collect()}
+    assert all(out[i]["lang_pred"] == x for i, _, x, _, _ in rows)
+    assert [out[i]["lang_pred"] for i in (500, 501, 502)] == ["und"] * 3 and out[502]["score"] == 0
+    assert out[None]["lang_pred"] == "cc" and out[503]["lang_pred"] == "aa"
+    assert all(0 <= x["score"] <= 1 for x in out.values())
+    assert {r["lang_pred"] for r in languageid.identify(table, {}).collect()} == {"und"}
+
+
+def test_language_grams_count_whole_texts():
+    got = collections.Counter()
+    for _, _, _, gram, n in languageid._grams(pa.array(["ab, ba!", "Ab"]), most=4):
+        for g, k in zip(gram.tolist(), n.tolist(), strict=True):
+            got["".join(chr(g >> s & 0x1FFFFF) for s in (42, 21, 0) if g >> s & 0x1FFFFF)] += k
+    assert got["a"] == 3 and got["b"] == 3 and got["ab"] == 2 and got["ba"] == 1 and got["\x01a"] == 2 and got["\x01ab"] == 2
+
+
+def test_quality_rejects_junk(spark):
+    good = [(10_000 + i, ". ".join(prose(i * 10 + k, 12).capitalize() for k in range(8)) + ".") for i in range(120)]
+    junk = [(20_000 + i, x) for i in range(15) for x in ("SPAM!! " * 40, "buy buy buy buy " * 30, " ".join(w + "###" for w in prose(i, 60).split()), " | ".join(prose(i, 60).split()))]
+    out = quality.classify(docs(spark, good + junk + ODD)).collect()
+    assert len(out) == len(good) + len(junk) + len(ODD)
+    kept = {r["doc_id"] for r in out if r["keep"]}
+    assert len(kept & {d for d, _ in good}) >= 118
+    assert len([r for r in out if r["doc_id"] is not None and r["doc_id"] >= 20_000 and r["keep"]]) <= 2
+    assert {1, 2, 3}.isdisjoint(kept)
+    assert quality.keep_good(docs(spark, good + junk)).columns == SCHEMA_NAMES
+    assert quality.classify(docs(spark, [])).count() == 0
+
+
+SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def test_label_model_finds_the_better_labeller():
+    r = np.random.default_rng(1)
+    truth = r.random(20_000) < 0.7
+    votes = np.zeros((20_000, len(quality.LABELLERS)), np.int8)
+    accuracy = [0.95, 0.9, 0.85, 0.8, 0.7, 0.65, 0.6, 0.9]
+    for j, a in enumerate(accuracy):
+        right = r.random(20_000) < a
+        votes[:, j] = np.where(r.random(20_000) < 0.7, np.where(truth == right, 1, -1), 0)
+    codes, at, n = np.unique(quality._code(votes), return_inverse=True, return_counts=True)
+    post, right = quality.label_model(codes, n.astype(float))
+    assert ((post[at] > 0.5) == truth).mean() > 0.93
+    assert np.abs(right - accuracy).max() < 0.05
+
+
+def test_secrets_and_redaction(spark):
+    r = random.Random(9)
+    key = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    keys = [key() for _ in range(40)]
+    rows = [(i, f"{prose(i, 30, 90)} token = \"{k}\" and {prose(i, 9)} {r.randrange(10**15, 10**16)}$$$ end{i}") for i, k in enumerate(keys)]
+    rows += [(100 + i, f"{prose(i, 50)} call 4242424242424242 internationalization2024andmentform") for i in range(40)]
+    rows += [(200, f'twice api_key="{keys[0]}" api_key="{keys[0]}"'), *((300 + i, t) for i, (_, t) in enumerate(ODD)), (None, f'secret: "{keys[1]}"')]
+    table = docs(spark, rows)
+    found = {(x["doc_id"], x["secret"]): x["occurrences"] for x in sec.scan(table).collect()}
+    assert set(found) == {(i, k) for i, k in enumerate(keys)} | {(200, keys[0]), (None, keys[1])}
+    assert found[200, keys[0]] == 2
+    clean = sec.redact(table).collect()
+    assert len(clean) == len(rows) and not any(k in (x["text"] or "") for x in clean for k in keys)
+    assert {x["doc_id"]: x["text"] for x in clean if x["doc_id"] and 100 <= x["doc_id"] < 140} == {d: t for d, t in rows if d and 100 <= d < 140}
+    assert all(x["n_chars"] == len(x["text"] or "") for x in clean)
+    assert sec.scan(docs(spark, [])).count() == 0
+    assert sec.scan(docs(spark, [(1, f'token = "{keys[0]}"')])).count() == 1  # one label only: the rules decide
+
+
+def test_secret_scan_stays_on_the_jvm(spark):
+    plan = sec.scan(docs(spark, [(1, f'token = "{"a1b2c3d4e5" * 4}" 1234567890123456')]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
