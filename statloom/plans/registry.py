@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 from .base import Query
 
-MODULES = ("windows", "aggregates")
+MODULES = ("windows", "aggregates", "filters", "joins")
 
 
 def registered() -> list[Query]:
