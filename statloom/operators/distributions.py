@@ -24,7 +24,8 @@ def normalised(pmf: Column) -> Column:
 
 
 def cdf(pmf: Column) -> Column:
-    return F.aggregate(pmf, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.size(acc)), F.lit(0.0)) + x)))
+    run = F.aggregate(pmf, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return F.slice(run, 2, F.size(pmf))
 
 
 def quantile(pmf: Column, q: float) -> Column:
