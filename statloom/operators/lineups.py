@@ -18,6 +18,8 @@ UNIT = 5
 EVENTS = "game_id long, period int, t double, seq long, kind string, person_id long, team_id long, candidates array<long>"
 STINTS = "game_id long, period int, team_id long, person_id long, start double, end double, repaired int"
 
+_STINT_COLUMNS = [c.split()[0] for c in STINTS.split(", ")]
+
 
 def events_of_plays(plays: DataFrame, roster: DataFrame) -> DataFrame:
     """Raw plays (game_id, period, clock, seq, action, sub_type, description, person_id, team_id, result, in_person_id) as events.
@@ -109,7 +111,9 @@ def walk(events: list[dict], starters: set[int], minutes: dict[int, float], begi
 
 
 def _game(key: tuple, events: pd.DataFrame, roster: pd.DataFrame) -> pd.DataFrame:
-    rows = []
+    rows: list[tuple] = []
+    if not len(events) or not len(roster):
+        return pd.DataFrame(rows, columns=_STINT_COLUMNS)
     played = roster[roster["minutes"].fillna(0) > 0]
     if played["team_id"].nunique() == 2:
         for team, own in played.groupby("team_id"):
@@ -122,13 +126,14 @@ def _game(key: tuple, events: pd.DataFrame, roster: pd.DataFrame) -> pd.DataFram
                 some = [e for e in some if e["person_id"] is None or e["person_id"] in minutes]
                 done, unit, fixed = walk(some, set(own.loc[own["starter"], "person_id"].astype(int)), minutes, begin, begin + (720.0 if period <= 4 else 300.0), unit)
                 rows += [(int(key[0]), period, int(team), p, a, b, fixed) for p, a, b in done]
-    return pd.DataFrame(rows, columns=["game_id", "period", "team_id", "person_id", "start", "end", "repaired"])
+    return pd.DataFrame(rows, columns=_STINT_COLUMNS)
 
 
 def stints(events: DataFrame, roster: DataFrame) -> DataFrame:
     """Stints of every game; a game is one group, and a game is small."""
     e = events.select("game_id", "period", "t", "seq", "kind", "person_id", "team_id", "candidates")
-    r = roster.select("game_id", "team_id", "person_id", "starter", "minutes")
+    # fresh columns: both sides may come from one table
+    r = roster.select(*[F.col(c).alias(c) for c in ("game_id", "team_id", "person_id", "starter", "minutes")])
     return e.groupBy("game_id").cogroup(r.groupBy("game_id")).applyInPandas(_game, STINTS)
 
 

@@ -177,7 +177,7 @@ def recent_rank(by: str | Sequence[str], order: Sequence[str] = ORDER) -> Column
 
 def synthetic_line(average: Column, fallback: Column, prior: Column, least: int = 5) -> tuple[Column, Column]:
     """(half-point line, whole line): below the average's next half; the whole one rounds half to even."""
-    base = F.when(prior >= least, average).otherwise(fallback)
+    base = F.round(F.when(prior >= least, average).otherwise(fallback), 9)  # an average a hair below a whole number is that number
     return F.floor(base) + 0.5, F.bround(base, 0)
 
 

@@ -26,7 +26,7 @@ def a3(s, d):
 
 
 def a4(s, d):
-    return rounded(a.level_splits(event_history(s, d), "subject", "level", "value"), 4)
+    return rounded(a.level_splits(event_history(s, d), "subject", "level", "value"), 7)
 
 
 def a5(s, d):
@@ -39,7 +39,7 @@ def a6(s, d):
 
 
 def a7(s, d):
-    return rounded(duel_history(s, d).groupBy("opponent").agg(a.weighted_mean("value", "exposure").alias("mean_value")), 4)
+    return rounded(duel_history(s, d).groupBy("opponent").agg(a.weighted_mean("value", "exposure").alias("mean_value")), 8)
 
 
 def a8(s, d):
@@ -62,7 +62,7 @@ def a12(s, d):
 
 
 def a13(s, d):
-    return rounded(a.averaged_changes(_changes(s, d, ["subject", "season"]), ["subject"]), 4)
+    return rounded(a.averaged_changes(_changes(s, d, ["subject", "season"]), ["subject"]), 6)
 
 
 def a14(s, d):
@@ -204,18 +204,18 @@ QUERIES = [
     Query("a1_sample_stats", a1, f"SELECT subject, {_stats('', 'true')}, round(sum(value) / sum(exposure) * 36, 6) AS rate FROM {E} GROUP BY subject"),
     Query("a2_pooled_ratio", a2, f"SELECT subject, round(sum(part) / sum(value) * 100, 6) AS pooled, round(avg(CASE WHEN value > 0 THEN part / value END) * 100, 6) AS mean_of_rows FROM {D} GROUP BY subject"),
     Query("a3_split_rest_base", a3, f"SELECT subject, {_stats('split_', chr(39).join(['level = ', 'purchase', '']))}, {_stats('rest_', chr(39).join(['level <> ', 'purchase', '']))}, {_stats('base_', 'true')} FROM {E} GROUP BY subject"),
-    Query("a4_level_splits", a4, f"""SELECT a.subject, a.level, a.n, round(a.m, 4) AS mean, round(a.v, 4) AS var, count(b.value) AS rest_n, round(avg(b.value), 4) AS rest_mean, round(var_samp(b.value), 4) AS rest_var
+    Query("a4_level_splits", a4, f"""SELECT a.subject, a.level, a.n, round(a.m, 7) AS mean, round(a.v, 7) AS var, count(b.value) AS rest_n, round(avg(b.value), 7) AS rest_mean, round(var_samp(b.value), 7) AS rest_var
       FROM (SELECT subject, level, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM {E} GROUP BY ALL) a LEFT JOIN {E} b ON a.subject = b.subject AND a.level <> b.level GROUP BY a.subject, a.level, a.n, a.m, a.v"""),
     Query("a5_hit_rates", a5, f"SELECT subject, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 6) AS over, round(avg(CASE WHEN value < 50 THEN 1.0 ELSE 0 END), 6) AS under, round(avg(CASE WHEN value = 50 THEN 1.0 ELSE 0 END), 6) AS push FROM {E} GROUP BY subject"),
     Query("a6_group_totals", a6, f"SELECT opponent, season, position, round(sum(value), 2) AS value, round(sum(exposure), 2) AS exposure FROM {D} GROUP BY ALL"),
-    Query("a7_weighted_mean", a7, f"SELECT opponent, round(sum(value * exposure) / sum(exposure), 4) AS mean_value FROM {D} GROUP BY opponent"),
+    Query("a7_weighted_mean", a7, f"SELECT opponent, round(sum(value * exposure) / sum(exposure), 8) AS mean_value FROM {D} GROUP BY opponent"),
     Query("a8_source_counts", a8, f"SELECT CASE WHEN exposure >= 70 THEN 'best' WHEN exposure >= 30 THEN 'proxy' ELSE 'fallback' END AS source, count(*) AS n FROM {E} GROUP BY 1"),
     Query("a11_ratio_error", a11, f"""WITH g AS (SELECT subject, count(*) AS n, sum(part) / sum(value) AS r, sum(value) AS v, avg(value) AS mean, stddev_samp(value) / sqrt(count(*)) AS mean_se,
        sum(part * part) AS nn, sum(part * value) AS nd, sum(value * value) AS dd FROM {D} GROUP BY subject)
       SELECT subject, n, round(r * 100, 5) AS value, round(CASE WHEN n > 1 THEN sqrt(greatest(0, nn - 2 * r * nd + r * r * dd) * n / (n - 1)) / v END * 100, 5) AS se, round(mean, 5) AS mean, round(mean_se, 5) AS mean_se FROM g"""),
     Query("a12_period_changes", a12, f"SELECT subject, season, n_before, n_after, round(before, 4) AS before, round(after, 4) AS after, round(se_before, 4) AS se_before, round(se_after, 4) AS se_after, round(diff, 4) AS diff, round(se, 4) AS se FROM {_ch('subject, season')}"),
-    Query("a13_averaged_changes", a13, f"""SELECT subject, count(*) AS seasons, round(avg(diff), 4) AS diff, round(sqrt(sum(coalesce(se * se, 0))) / count(*), 4) AS se, round(sum(diff / (se * se)) FILTER (se > 0) / sum(1 / (se * se)) FILTER (se > 0), 4) AS weighted_diff,
-      round(1 / sqrt(sum(1 / (se * se)) FILTER (se > 0)), 4) AS weighted_se, CAST(sum(CASE WHEN diff > 0 THEN 1 ELSE 0 END) AS BIGINT) AS improved FROM {_ch('subject, season')} GROUP BY subject"""),
+    Query("a13_averaged_changes", a13, f"""SELECT subject, count(*) AS seasons, round(avg(diff), 6) AS diff, round(sqrt(sum(coalesce(se * se, 0))) / count(*), 6) AS se, round(sum(diff / (se * se)) FILTER (se > 0) / sum(1 / (se * se)) FILTER (se > 0), 6) AS weighted_diff,
+      round(1 / sqrt(sum(1 / (se * se)) FILTER (se > 0)), 6) AS weighted_se, CAST(sum(CASE WHEN diff > 0 THEN 1 ELSE 0 END) AS BIGINT) AS improved FROM {_ch('subject, season')} GROUP BY subject"""),
     Query("a14_league_adjusted", a14, f"SELECT x.subject, x.season, round(x.diff, 4) AS diff, round(y.diff, 4) AS league_diff, round(x.diff - y.diff, 4) AS adjusted FROM {_ch('subject, season')} x JOIN {_ch('season')} y ON x.season = y.season"),
     Query("a15_stints", a15, f"SELECT subject, level, min(season) AS first_season, max(season) AS last_season, count(*) AS games FROM {O} GROUP BY ALL"),
     Query("a16_subject_lookup", a16, f"SELECT subject, min(season) AS first_season, max(season) AS last_season, count(*) AS games, arg_max(level, (ts, event_id)) AS last_level FROM {O} GROUP BY subject"),

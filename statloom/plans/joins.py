@@ -139,7 +139,7 @@ QUERIES = [
     Query("j2_attach_lookups", j2, "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"),
     Query("j3_season_lookup", j3, f"""WITH e AS (SELECT subject, position, min(season) AS f, max(season) AS l FROM {O} GROUP BY ALL),
       x AS (SELECT o.event_id, e.position, row_number() OVER (PARTITION BY o.event_id ORDER BY f DESC, e.position DESC) AS r FROM {O} o LEFT JOIN e ON o.subject = e.subject AND o.season BETWEEN f AND l) SELECT event_id, position FROM x WHERE r = 1"""),
-    Query("j4_recover_ids", j4, "SELECT c_custkey AS game, c_nationkey AS team_id FROM customer"),
+    Query("j4_recover_ids", j4, "SELECT c_custkey AS game, CAST(c_nationkey AS BIGINT) AS team_id FROM customer"),
     Query("j5_opponent_columns", j5, f"SELECT a.event_id, a.subject, count(*) AS opponents, round(sum(b.value), 2) AS opp_value FROM {D} a JOIN {D} b ON a.event_id = b.event_id AND a.subject <> b.subject GROUP BY ALL"),
     Query("j7_fallback_levels", j7, f"""WITH a AS (SELECT subject, d, level, avg(value) AS s FROM {E} WHERE exposure >= 80 GROUP BY ALL), b AS (SELECT subject, d, avg(value) AS s FROM {E} WHERE exposure >= 40 GROUP BY ALL), c AS (SELECT level, d, avg(value) AS s FROM {E} GROUP BY ALL)
       SELECT h.event_id, round(coalesce(a.s, b.s, c.s), 6) AS size, CASE WHEN a.s IS NOT NULL THEN 'exact' WHEN b.s IS NOT NULL THEN 'proxy' ELSE 'average' END AS decided_by FROM {E} h

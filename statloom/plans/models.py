@@ -148,6 +148,6 @@ QUERIES = [
     Query("m22_backtest", m22),
     Query("m24_model_frame", m24, f"""WITH a AS (SELECT *, count(exposure) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM {E})
       SELECT event_id, round(sum(exposure * pow(2.0, i / 10.0)) OVER b / sum(pow(2.0, i / 10.0)) OVER b, 6) AS form, round(avg(exposure) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS recent,
-       d - lag(d) OVER (PARTITION BY subject ORDER BY ts, event_id) AS rest, CASE WHEN value > 50 THEN 1 ELSE 0 END AS home_n, CAST(exposure // 10 AS DOUBLE) AS y FROM a
+       d - lag(d) OVER (PARTITION BY subject ORDER BY ts, event_id) AS rest, CAST(value > 50 AS BIGINT) AS home_n, CAST(exposure // 10 AS DOUBLE) AS y FROM a
       WINDOW b AS (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
 ]

@@ -23,7 +23,7 @@ def w2(s, d):
 
 def w3(s, d):
     h = event_history(s, d)
-    return rounded(h.select("event_id", w.lagged_sum("value", ["subject", "season"]).alias("sum_before"), w.season_to_date("value", "exposure", ["subject", "season"]).alias("rate_before")))
+    return rounded(h.select("event_id", w.lagged_sum("value", ["subject", "season"]).alias("sum_before"), w.season_to_date("value", "exposure", ["subject", "season"]).alias("rate_before")), 9)
 
 
 def w4(s, d):
@@ -57,7 +57,7 @@ def w7(s, d):
 def w8(s, d):
     h = w.lagged_ewm(event_history(s, d), "subject", ["value", "exposure"], 5)
     h = h.withColumn("recent", w.lagged_mean("value", "subject", 5)).withColumn("long", w.lagged_mean("value", "subject", 20))
-    return rounded(h.select("event_id", F.try_divide("value_ewm", "exposure_ewm").alias("rate_ewm"), (F.col("recent") - F.col("long")).alias("trend"), w.lagged_mean("exposure", "subject", 10).alias("minutes_10"), w.season_to_date("value", "exposure", ["subject", "season"]).alias("std_rate")))
+    return rounded(h.select("event_id", F.try_divide("value_ewm", "exposure_ewm").alias("rate_ewm"), (F.col("recent") - F.col("long")).alias("trend"), w.lagged_mean("exposure", "subject", 10).alias("minutes_10"), w.season_to_date("value", "exposure", ["subject", "season"]).alias("std_rate")), 9)
 
 
 def w9(s, d):
@@ -114,7 +114,7 @@ def w16(s, d):
 
 
 def w17(s, d):
-    return rounded(order_history(s, d).select("event_id", w.trailing_mean("value", "subject", 10).alias("trailing")), 4)
+    return rounded(order_history(s, d).select("event_id", w.trailing_mean("value", "subject", 10).alias("trailing")), 7)
 
 
 def _p_values(s, d):
@@ -159,7 +159,7 @@ QUERIES = [
     Query("w1_lagged_mean", w1, f"SELECT event_id, {', '.join(f'round(avg(value) OVER ({S} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS mean_{n}' for n in (5, 10, 20))} FROM {E}"),
     Query("w2_lagged_ewm", w2, f"""WITH a AS (SELECT *, count(value) OVER ({S} ROWS UNBOUNDED PRECEDING) AS i FROM {E})
       SELECT event_id, round(sum(value * pow(2.0, i / 10.0)) OVER b / sum(pow(2.0, i / 10.0)) OVER b, 6) AS value_ewm FROM a WINDOW b AS ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
-    Query("w3_season_to_date", w3, f"""SELECT event_id, round(coalesce(sum(value) OVER b, 0), 6) AS sum_before, round(CASE WHEN sum(exposure) OVER b > 0 THEN sum(value) OVER b / sum(exposure) OVER b END, 6) AS rate_before
+    Query("w3_season_to_date", w3, f"""SELECT event_id, round(coalesce(sum(value) OVER b, 0), 9) AS sum_before, round(CASE WHEN sum(exposure) OVER b > 0 THEN sum(value) OVER b / sum(exposure) OVER b END, 9) AS rate_before
       FROM {E} WINDOW b AS (PARTITION BY subject, season ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
     Query("w4_cumulative_rate", w4, f"SELECT event_id, round(avg(value) OVER b, 6) AS running, CAST(row_number() OVER b AS INTEGER) AS n FROM {O} WINDOW b AS (PARTITION BY subject, season ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"),
     Query("w5_shrunk_factor", w5, f"""WITH t AS (SELECT level, d, sum(value) AS v, sum(exposure) AS e FROM {E} GROUP BY level, d),
@@ -170,10 +170,10 @@ QUERIES = [
       SELECT event_id, days, sd - 1 AS rest_days, coalesce(sd = 1, false) AS back_to_back FROM a"""),
     Query("w7_game_number", w7, f"SELECT event_id, row_number() OVER (PARTITION BY subject, season ORDER BY ts, event_id) AS game_number, row_number() OVER ({S}) - 1 AS prior FROM {E}"),
     Query("w8_history_block", w8, f"""WITH a AS (SELECT *, count(value) OVER ({S} ROWS UNBOUNDED PRECEDING) AS i, count(exposure) OVER ({S} ROWS UNBOUNDED PRECEDING) AS j FROM {E})
-      SELECT event_id, round((sum(value * pow(2.0, i / 5.0)) OVER b / sum(pow(2.0, i / 5.0)) OVER b) / nullif(sum(exposure * pow(2.0, j / 5.0)) OVER b / sum(pow(2.0, j / 5.0)) OVER b, 0), 6) AS rate_ewm,
-       round(avg(value) OVER ({S} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) - avg(value) OVER ({S} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS trend,
-       round(avg(exposure) OVER ({S} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS minutes_10,
-       round(CASE WHEN sum(exposure) OVER c > 0 THEN sum(value) OVER c / sum(exposure) OVER c END, 6) AS std_rate
+      SELECT event_id, round((sum(value * pow(2.0, i / 5.0)) OVER b / sum(pow(2.0, i / 5.0)) OVER b) / nullif(sum(exposure * pow(2.0, j / 5.0)) OVER b / sum(pow(2.0, j / 5.0)) OVER b, 0), 9) AS rate_ewm,
+       round(avg(value) OVER ({S} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) - avg(value) OVER ({S} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 9) AS trend,
+       round(avg(exposure) OVER ({S} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 9) AS minutes_10,
+       round(CASE WHEN sum(exposure) OVER c > 0 THEN sum(value) OVER c / sum(exposure) OVER c END, 9) AS std_rate
       FROM a WINDOW b AS ({S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c AS (PARTITION BY subject, season ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
     Query("w9_group_history", w9, f"""WITH t AS (SELECT level, season, d, sum(value) AS own FROM {O} GROUP BY level, season, d)
       SELECT level, d, round(avg(own) OVER (PARTITION BY level ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS mean_7,
@@ -196,14 +196,14 @@ QUERIES = [
       FROM a x LEFT JOIN a y ON x.subject = y.subject AND x.level = y.level AND (y.ts < x.ts OR y.ts = x.ts AND y.event_id < x.event_id) GROUP BY x.event_id"""),
     Query("w16_own_dispersion", w16, f"""WITH a AS (SELECT event_id, avg(exposure) OVER b AS m, avg(exposure * exposure) OVER b AS s, least(row_number() OVER ({S}) - 1, 40) AS n FROM {E} WINDOW b AS ({S} ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING))
       SELECT event_id, round((n * coalesce(CASE WHEN m * m <> 0 THEN greatest(0.0, (s - m * m - m) / (m * m)) ELSE CASE WHEN m IS NULL THEN NULL ELSE 0.0 END END, 0.3) + 20.0 * 0.3) / (n + 20.0), 6) AS alpha FROM a"""),
-    Query("w17_trailing_mean", w17, f"SELECT event_id, round(avg(value) OVER ({S} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS trailing FROM {O}"),
+    Query("w17_trailing_mean", w17, f"SELECT event_id, round(avg(value) OVER ({S} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 7) AS trailing FROM {O}"),
     Query("w18_holm", w18, f"""WITH a AS (SELECT *, count(p) OVER (PARTITION BY level) AS m, row_number() OVER (PARTITION BY level ORDER BY p NULLS LAST, subject) AS r FROM {_P_SQL})
       SELECT level, subject, round(CASE WHEN p IS NOT NULL THEN least(1.0, max(CASE WHEN p IS NOT NULL THEN p * (m - r + 1) END) OVER (PARTITION BY level ORDER BY r ROWS UNBOUNDED PRECEDING)) END, 6) AS p_holm FROM a"""),
     Query("w19_bh", w19, f"""WITH a AS (SELECT *, count(p) OVER (PARTITION BY level) AS m, row_number() OVER (PARTITION BY level ORDER BY p NULLS LAST, subject) AS r FROM {_P_SQL})
       SELECT level, subject, round(CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / r) OVER (PARTITION BY level ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 6) AS q_value FROM a"""),
     Query("w20_as_of_value", w20, f"SELECT event_id, last_value(value IGNORE NULLS) OVER (PARTITION BY subject, level ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_before FROM {E}"),
     Query("w21_synthetic_line", w21, f"""WITH a AS (SELECT event_id, avg(value) OVER b AS m, row_number() OVER (PARTITION BY subject, season ORDER BY ts, event_id) - 1 AS n FROM {E} WINDOW b AS (PARTITION BY subject, season ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-      c AS (SELECT event_id, CASE WHEN n >= 5 THEN m ELSE 50.0 END AS base FROM a) SELECT event_id, floor(base) + 0.5 AS line, round_even(base, 0) AS whole_line FROM c"""),
+      c AS (SELECT event_id, round(CASE WHEN n >= 5 THEN m ELSE 50.0 END, 9) AS base FROM a) SELECT event_id, floor(base) + 0.5 AS line, round_even(base, 0) AS whole_line FROM c"""),
     Query("w22_gap_segments", w22, f"""WITH a AS (SELECT *, CASE WHEN d - lag(d) OVER ({S}) > 60 THEN 1 ELSE 0 END AS cut FROM {O})
       SELECT event_id, CAST(sum(cut) OVER ({S} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM a"""),
     Query("j6_as_of_join", j6, f"""WITH r AS (SELECT subject, ts, max(value) AS last_value FROM {O} WHERE position = 'F' GROUP BY subject, ts)
