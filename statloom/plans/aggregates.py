@@ -26,7 +26,7 @@ def a3(s, d):
 
 
 def a4(s, d):
-    return rounded(a.level_splits(event_history(s, d), "subject", "level", "value"), 7)
+    return rounded(a.level_splits(event_history(s, d), "subject", "level", "value").withColumn("var", F.round("var", 9)).withColumn("rest_var", F.round("rest_var", 9)), 9)
 
 
 def a5(s, d):
@@ -204,7 +204,7 @@ QUERIES = [
     Query("a1_sample_stats", a1, f"SELECT subject, {_stats('', 'true')}, round(sum(value) / sum(exposure) * 36, 6) AS rate FROM {E} GROUP BY subject"),
     Query("a2_pooled_ratio", a2, f"SELECT subject, round(sum(part) / sum(value) * 100, 6) AS pooled, round(avg(CASE WHEN value > 0 THEN part / value END) * 100, 6) AS mean_of_rows FROM {D} GROUP BY subject"),
     Query("a3_split_rest_base", a3, f"SELECT subject, {_stats('split_', chr(39).join(['level = ', 'purchase', '']))}, {_stats('rest_', chr(39).join(['level <> ', 'purchase', '']))}, {_stats('base_', 'true')} FROM {E} GROUP BY subject"),
-    Query("a4_level_splits", a4, f"""SELECT a.subject, a.level, a.n, round(a.m, 7) AS mean, round(a.v, 7) AS var, count(b.value) AS rest_n, round(avg(b.value), 7) AS rest_mean, round(var_samp(b.value), 7) AS rest_var
+    Query("a4_level_splits", a4, f"""SELECT a.subject, a.level, a.n, round(a.m, 9) AS mean, round(a.v, 9) AS var, count(b.value) AS rest_n, round(avg(b.value), 9) AS rest_mean, round(var_samp(b.value), 9) AS rest_var
       FROM (SELECT subject, level, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM {E} GROUP BY ALL) a LEFT JOIN {E} b ON a.subject = b.subject AND a.level <> b.level GROUP BY a.subject, a.level, a.n, a.m, a.v"""),
     Query("a5_hit_rates", a5, f"SELECT subject, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 6) AS over, round(avg(CASE WHEN value < 50 THEN 1.0 ELSE 0 END), 6) AS under, round(avg(CASE WHEN value = 50 THEN 1.0 ELSE 0 END), 6) AS push FROM {E} GROUP BY subject"),
     Query("a6_group_totals", a6, f"SELECT opponent, season, position, round(sum(value), 2) AS value, round(sum(exposure), 2) AS exposure FROM {D} GROUP BY ALL"),
