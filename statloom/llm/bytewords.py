@@ -8,6 +8,7 @@ Two words get one hash with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,6 +80,15 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a long-lived worker doesn't keep what a heavy task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row and the n + 1 borders between them; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -128,7 +128,7 @@ def test_language_model_base_score_is_exact(spark):
 def test_filter_levels_never_fall_short():
     keys = bw.mix(np.arange(1, 50_001, dtype=np.uint64))
     levels = (np.arange(50_000) % 9 + 1).astype(np.int64)
-    f = lmscore.Filter({0: lmscore.build(keys, levels)}, 1)
+    f = lmscore.Filter(*lmscore.Filter.joined([(0, lmscore.build(keys, levels))], 1))
     assert (f.level(keys) >= levels).all()
     assert (f.level(keys) == levels).mean() > 0.98
     assert (f.level(bw.mix(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64))) > 0).mean() < 0.02
