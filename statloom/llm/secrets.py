@@ -25,6 +25,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stage
+
 LEAST = 16
 SAMPLE = 20_000
 #: Names that secrets are given to, in lower case.
@@ -99,8 +101,8 @@ def rule_label(found: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, labelled: DataFrame | None, least: int, sample: int, trees: int, threshold: float) -> DataFrame:
-    """candidates with probability and verdict."""
-    found = features(candidates(docs, least))
+    """candidates with probability and verdict. The texts are read once: candidates are few, and are written for what follows."""
+    found = stage(features(candidates(docs, least)), "candidates")
     known = labelled if labelled is not None else rule_label(found).where("label IS NOT NULL")
     known = known.select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64(*FEATURES).alias("h"))
     # a bounded sample of each label: those with the least hashes
