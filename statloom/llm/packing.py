@@ -36,8 +36,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ſ‐-‧]*")
 #: Words as the tokenizer's own split finds them, for plain characters.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Entries of a worker's memory of chunks; it starts anew when full.
-_MOST_CHUNKS = 400_000
+#: Entries of a worker's memories of chunks and of parts; each starts anew when full (a few hundred MB).
+_MOST_CHUNKS, _MOST_PARTS = 900_000, 1_200_000
 
 
 class CachedTokenizer:
@@ -75,9 +75,7 @@ class CachedTokenizer:
 
     def learn(self, new: list[str]) -> None:
         """Remember the ids of these chunks (lower case, without white space)."""
-        if len(self.chunks) + len(new) > _MOST_CHUNKS:
-            self.chunks = {}
-        if len(self.parts) > 2 * _MOST_CHUNKS:
+        if len(self.parts) > _MOST_PARTS:
             self.parts = {}
         cut = {c: _PARTS.findall(c) for c in new}
         miss = list({p for ps in cut.values() for p in ps if p not in self.parts})
@@ -94,21 +92,11 @@ class CachedTokenizer:
         for t in texts:
             plain = self.split_ok and _PLAIN.fullmatch(t) and "<|" not in t and unicodedata.is_normalized("NFC", t)
             cut.append(t.lower().split() if plain else None)
-        out = []
-        # a chunk memory that is too small for one call is dropped only between calls
-        if len(self.chunks) > _MOST_CHUNKS // 2:
+        if len(self.chunks) > _MOST_CHUNKS:
             self.chunks = {}
-        new = {c for x in cut if x for c in x}
-        self.learn([c for c in new if c not in self.chunks] if len(new) < _MOST_CHUNKS // 2 else [])
-        for t, x in zip(texts, cut, strict=True):
-            if x is None:
-                out.append(self._whole(t))
-                continue
-            try:
-                out.append(b"".join([self.chunks[c] for c in x]))
-            except KeyError:
-                out.append(self._whole(t))
-        return out
+        known = self.chunks
+        self.learn(list({c for x in cut if x for c in x if c not in known}))
+        return [self._whole(t) if x is None else b"".join([known[c] for c in x]) for t, x in zip(texts, cut, strict=True)]
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
