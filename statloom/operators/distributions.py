@@ -19,8 +19,9 @@ def count_pmf(mean: Column, alpha: Column, top: int) -> Column:
 
 
 def normalised(pmf: Column) -> Column:
-    total = F.aggregate(pmf, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(pmf, lambda x: x / total)
+    """pmf over its sum, which is added up once and not for every element."""
+    held = F.transform(F.array(pmf), lambda a: F.struct(a.alias("a"), F.aggregate(a, F.lit(0.0), lambda t, x: t + x).alias("t")))
+    return F.element_at(F.transform(held, lambda s: F.transform(s["a"], lambda x: x / s["t"])), 1)
 
 
 def cdf(pmf: Column) -> Column:
