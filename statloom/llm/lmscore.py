@@ -1,18 +1,19 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Learning. Every task counts its tokens and token pairs and sends them, packed, to the
-shard that their hash selects; a shard adds up the counts. Exact token counts give the
-base score: the shard returns, for the documents of each task, the sums over its own
-tokens. Counts are also quantised (level j: at least STEPS[j - 1]) and stored as events
-(n-gram, 1), ..., (n-gram, level) in the shard's part of a Bloom filter; the parts
-together are broadcast. The filter has at most `most_bytes`: where all events would not
-fit, n-grams below a count that follows from the counts of counts are left to the
-smoothing.
+Learning. Every task numbers the distinct tokens and token pairs of about FLUSH tokens (a
+flush) and sends them with their counts, packed, to the shard that their hash selects; a
+shard adds up the counts. Counts are quantised (level j: at least STEPS[j - 1]) and stored
+as events (n-gram, 1), ..., (n-gram, level) in the shard's part of a Bloom filter. A part
+holds all n-grams of its range of hashes, at every size of the input: there are as many
+shards as the input needs, and no part leaves its shard.
 
 Scoring. An n-gram's level is found by probing (n-gram, 1), (n-gram, 2), ... until one is
-missing. P(w | v) = a * c(v w) / c(v) + (1 - a) * P(w), where P(w) is the smoothed share of
-w and a depends on the level of c(v). The weights a are fitted by expectation-maximisation
-with the pair itself left out, on a sample of at most about `sample` training documents.
+missing; the shard does so for the n-grams of every flush and sends back the levels, and
+exact token counts for the base score. Each flush puts them in the places of its tokens.
+P(w | v) = a * c(v w) / c(v) + (1 - a) * P(w), where P(w) is the smoothed share of w and a
+depends on the level of c(v). The weights a are fitted by expectation-maximisation with the
+pair itself left out, on all training documents: how often each triple of levels occurs is
+all that the driver gathers.
 
 Tokens are runs of other signs than ASCII white space, with A-Z in lower case, then one
 end; the end also stands before a text's first token. A null or empty text has the end
@@ -23,7 +24,6 @@ and scored each. An empty table gives no rows.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,8 +41,6 @@ _PAIR, _ONE = U64(0x9FB21C651E98DF25), U64(0xA24BAED4963EE407)
 #: Tokens after which a task sends what it has counted.
 FLUSH = 1_000_000
 BITS = 12
-#: Parts of the pairs' filter that a shard makes, each small enough to be built beside others.
-FINE = 8
 #: Keys whose events are set at once.
 CHUNK = 1 << 18
 
@@ -112,6 +110,14 @@ def pair_key(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + tokens)
 
 
+#: Low bits of a pair's hash that are not sent.
+_CUT = U64(24)
+
+
+def _pair(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return pair_key(before, tokens) >> _CUT
+
+
 class Filter:
     """The filter's parts: a part has words of 64 bits, and an event sets or probes four bits of one word."""
 
@@ -177,7 +183,11 @@ def build(keys: np.ndarray, levels: np.ndarray, bits: int = BITS) -> bytes:
 
 
 def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
-    """Each task's counts, packed by shard: (shard, flush, kind, a, b, c, d)."""
+    """Each task's flushes, packed by shard: (shard, flush, kind, a, b, c, d).
+
+    Kind 0: ids, training marks and lengths of a flush's texts, its distinct tokens, and their number at each place.
+    Kinds 1 and 2: its distinct tokens and pairs of one shard, with their counts in training texts.
+    """
     names = ["shard", "flush", "kind", "a", "b", "c", "d"]
     schema = "shard int, flush long, kind int, a binary, b binary, c binary, d binary"
 
@@ -186,32 +196,25 @@ def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
         number = 0
         held: list[tuple] = []
         ids: list[np.ndarray] = []
-        size = docs_so_far = 0
+        marks: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number, held, ids, size, docs_so_far
+            nonlocal number, held, ids, marks, size
             key = (part << 24) | number
             number += 1
-            tokens, before, text, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(int(key % shards), key, 0, np.concatenate(ids).tobytes(), b"", b"", b"")]
+            tokens, before, train, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             unique, of = np.unique(tokens, return_inverse=True)
-            pairs, many = _tally(of.astype(np.int64) << 32 | text)
-            learned = np.bincount(of[train], minlength=len(unique))
-            edge = np.searchsorted(shard_of(unique, shards), np.arange(shards + 1))
-            cut = np.searchsorted(pairs, edge.astype(np.int64) << 32)
-            per = np.bincount(pairs >> 32, minlength=len(unique))
-            for s in range(shards):
-                own, run = slice(edge[s], edge[s + 1]), slice(cut[s], cut[s + 1])
-                if edge[s] < edge[s + 1]:
-                    texts = pairs[run] & 0xFFFFFFFF
-                    rows.append((s, key, 1, _planes(unique[own], 8), _planes(learned[own], 4) + _planes(per[own], 4), _planes(texts, 3), _planes(many[run], 3)))
-            grams, n = _tally(pair_key(before[train], tokens[train]))
-            edge = np.searchsorted(shard_of(grams, shards), np.arange(shards + 1))
-            for s in range(shards):
-                own = slice(edge[s], edge[s + 1])
-                if edge[s] < edge[s + 1]:
-                    rows.append((s, key, 2, _planes(grams[own] >> U64(24), 5), _planes(n[own], 4), b"", b""))
-            held, ids, size, docs_so_far = [], [], 0, 0
+            about = _planes(lengths, 4) + np.concatenate(marks).astype(np.uint8).tobytes()
+            rows = [(int(key % shards), key, 0, np.concatenate(ids).tobytes(), about, _planes(unique, 8), _planes(of, 4))]
+            pairs, which = np.unique(_pair(before, tokens), return_inverse=True)
+            for kind, grams, at, width in ((1, unique, of, 8), (2, pairs, which, 5)):
+                learned = np.bincount(at[train], minlength=len(grams))
+                edge = np.searchsorted(shard_of(grams if kind == 1 else grams << _CUT, shards), np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    own = slice(edge[s], edge[s + 1])
+                    rows.append((s, key, kind, _planes(grams[own], width), _planes(learned[own], 4), b"", b""))
+            held, ids, marks, size = [], [], [], 0
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -221,9 +224,9 @@ def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
             learn = ~np.array(batch.column("held_out").to_pylist(), bool)
             for w in words(batch.column("text"), WHITE, "ascii"):
                 tokens, before, text = _streams(w)
-                held.append((tokens, before, text + docs_so_far, learn[w.lo + text]))
+                held.append((tokens, before, learn[w.lo + text], np.diff(w.where) + 1))
                 ids.append(row_key[w.lo : w.hi])
-                docs_so_far += w.hi - w.lo
+                marks.append(learn[w.lo : w.hi])
                 size += len(tokens)
                 if size >= FLUSH:
                     yield flush()
@@ -234,169 +237,117 @@ def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("row_key", "held_out", "text").mapInArrow(send, schema)
 
 
-_SHARD = "kind int, flush long, shard int, x binary, y binary, n1 long, n2 long"
+_SHARD = "kind int, flush long, shard int, a binary, b binary, c binary, d binary, n1 long, n2 long"
 
 
-def _merge_shard(bits: int, shards: int):
-    """A function of a shard's packed counts: sums for each flush, parts of the filter, and totals."""
+def _merge_shard(bits: int):
+    """A function of a shard's packed counts: levels, and tokens' counts, of each flush's n-grams; and totals."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         shard = int(rows[0]["shard"])
-        out: list[tuple] = [(0, r["flush"], shard, r["a"], b"", 0, 0) for r in rows if r["kind"] == 0]
-        one = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["flush"])
-        if one:
-            tokens = [_from_planes(r["a"], 8) for r in one]
-            learned = [_from_planes(r["b"][: len(r["b"]) // 2], 4).astype(np.int64) for r in one]
-            keys, counts = _add(np.concatenate(tokens), np.concatenate(learned))
-            for r, t in zip(one, tokens, strict=True):
-                c = counts[np.searchsorted(keys, t)]
-                per = _from_planes(r["b"][len(r["b"]) // 2 :], 4).astype(np.int64)
-                text, many = _from_planes(r["c"], 3).astype(np.int64), _from_planes(r["d"], 3).astype(np.float64)
-                c = np.repeat(c, per)
-                logs = np.bincount(text, many * np.log10(c + 0.5))
-                known = np.bincount(text, many * (c > 0))
-                some = np.flatnonzero(np.bincount(text))
-                out.append((1, r["flush"], shard, _planes(some, 4) + logs[some].tobytes(), known[some].tobytes(), 0, 0))
-            fine = counts > 0
-            keys, counts = keys[fine], counts[fine]
-            out.append((2, 0, shard, build(keys, level_of(counts), bits), b"", int(counts.sum()), int(fine.sum())))
-        two = [r for r in rows if r["kind"] == 2]
-        if two:
-            keys, counts = _add(np.concatenate([_from_planes(r["a"], 5) for r in two]), np.concatenate([_from_planes(r["b"], 4).astype(np.int64) for r in two]))
-            levels = level_of(counts)
-            edge = np.searchsorted(shard_of(keys << U64(24), shards * FINE), np.arange(shard * FINE, (shard + 1) * FINE + 1))
-            for f in range(FINE):
-                own = slice(edge[f], edge[f + 1])
-                if edge[f] < edge[f + 1]:
-                    # events by level: what the filter would need if it began at a higher count
-                    sums = np.bincount(levels[own], levels[own], len(STEPS) + 1).astype(np.int64)
-                    out.append((3, 0, shard * FINE + f, _planes(keys[own], 5) + levels[own].astype(np.uint8).tobytes(), sums.tobytes(), 0, 0))
+        out: list[tuple] = [(0, r["flush"], shard, r["a"], r["b"], r["c"], r["d"], 0, 0) for r in rows if r["kind"] == 0]
+        for kind, width in ((1, 8), (2, 5)):
+            own = [r for r in rows if r["kind"] == kind]
+            if not own:
+                continue
+            grams = [_from_planes(r["a"], width) for r in own]
+            keys, counts = _add(np.concatenate(grams), np.concatenate([_from_planes(r["b"], 4).astype(np.int64) for r in own]))
+            known = counts > 0
+            part = build(keys[known], level_of(counts[known]), bits)
+            levels = Filter(*Filter.joined([(0, part)], 1)).level(keys).astype(np.uint8)
+            for r, g in zip(own, grams, strict=True):
+                at = np.searchsorted(keys, g)
+                exact = _planes(counts[at], 6) if kind == 1 else b""
+                out.append((kind, r["flush"], shard, levels[at].tobytes(), exact, b"", b"", 0, 0))
+            if kind == 1:
+                out.append((3, -1, shard, b"", b"", b"", b"", int(counts.sum()), int(known.sum())))
         cols = list(zip(*out, strict=True))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        del rows, one, two
+        kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
+        del rows
         release()
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "flush", "shard", "x", "y", "n1", "n2"])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "flush", "shard", "a", "b", "c", "d", "n1", "n2"])
 
     return merge
 
 
-def _flush_sums(key: tuple, table: pa.Table) -> pa.Table:
-    """One flush's rows (row_key, sum of logarithms, known tokens), added up over the shards."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-    ids = np.frombuffer(rows[0]["x"], np.int64)
-    logs, known = np.zeros(len(ids)), np.zeros(len(ids))
-    for r in rows[1:]:
-        n = len(r["y"]) // 8
-        some = _from_planes(r["x"][: 4 * n], 4).astype(np.int64)
-        logs[some] += np.frombuffer(r["x"][4 * n :], np.float64)
-        known[some] += np.frombuffer(r["y"], np.float64)
-    return pa.table([pa.array(ids), pa.array(logs), pa.array(known.astype(np.int64))], names=["row_key", "logs", "n_known"])
+_FLUSH = "ids binary, lengths binary, train binary, logs binary, known binary, one binary, ahead binary, two binary"
 
 
-def score(docs: DataFrame, held_out: Column, sample: int = 2000, most_bytes: int = 128 << 20, shard_chars: int = 8 << 20, bits: int = BITS) -> DataFrame:
+def _flush_levels(key: tuple, table: pa.Table) -> pa.Table:
+    """One flush: of each text the sum of logarithms and the known tokens, of each place the levels of token, token before and pair."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
+    ids, about = rows[0]["a"], rows[0]["b"]
+    texts = len(ids) // 8
+    lengths = _from_planes(about[: 4 * texts], 4).astype(np.int64)
+    unique, of = _from_planes(rows[0]["c"], 8), _from_planes(rows[0]["d"], 4).astype(np.int64)
+    # shards are ranges of hashes, so their answers follow one another in the order of the hashes
+    levels = [np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == kind), np.uint8) for kind in (1, 2)]
+    counts = np.concatenate([_from_planes(r["b"], 6) for r in rows if r["kind"] == 1]).astype(np.int64)[of]
+    first = np.cumsum(lengths) - lengths
+    tokens, text = unique[of], np.repeat(np.arange(texts), lengths)
+    end = int(np.searchsorted(unique, END))
+    before = np.concatenate(([END], tokens[:-1]))
+    before[first] = END
+    one = levels[0][of]
+    ahead = np.concatenate((levels[0][end : end + 1], one[:-1]))
+    ahead[first] = levels[0][end]
+    which = np.unique(_pair(before, tokens), return_inverse=True)[1]
+    two = np.minimum(levels[1][which], np.minimum(one, ahead))
+    logs = np.bincount(text, np.log10(counts + 0.5), texts)
+    known = np.bincount(text, counts > 0, texts).astype(np.int64)
+    cols = (ids, lengths.tobytes(), about[4 * texts :], logs.tobytes(), known.tobytes(), one.tobytes(), ahead.tobytes(), two.tobytes())
+    release()
+    return pa.table([pa.array([c], pa.binary()) for c in cols], names=[x.split()[0] for x in _FLUSH.split(", ")])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The flushes of staged batches, as arrays."""
+    kinds = {"ids": np.int64, "lengths": np.int64, "train": np.uint8, "logs": np.float64, "known": np.int64, "one": np.uint8, "ahead": np.uint8, "two": np.uint8}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in kinds.items()}
+
+
+def score(docs: DataFrame, held_out: Column, shard_chars: int = 8 << 20, bits: int = BITS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
     # rows with one key are equal rows, and so are their scores
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    chars, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = max(1, -(-(chars or 0) // shard_chars))
 
     packed = _pack_docs(docs, shards)
-    merged = stage(packed.groupBy("shard").applyInArrow(_merge_shard(bits, shards), _SHARD), "lm-shards")
-    base = merged.where("kind <= 1").groupBy("flush").applyInArrow(_flush_sums, "row_key long, logs double, n_known long").dropDuplicates(["row_key"])
-
-    totals = merged.where("kind = 2").agg(F.sum("n1"), F.sum("n2")).first()
+    merged = stage(packed.groupBy("shard").applyInArrow(_merge_shard(bits), _SHARD), "lm-shards")
+    totals = merged.where("kind = 3").agg(F.sum("n1"), F.sum("n2")).first()
     tokens, distinct = int(totals[0] or 0), int(totals[1] or 0)
-    ones = Filter.joined(((r["shard"], r["x"]) for r in merged.where("kind = 2").select("shard", "x").toLocalIterator()), shards)
-    sums = sum((np.frombuffer(r["y"], np.int64) for r in merged.where("kind = 3").select("y").toLocalIterator()), np.zeros(len(STEPS) + 1, np.int64))
-    room = max(0, most_bytes - len(ones[0])) * 8 // bits
-    left = np.cumsum(sums[::-1])[::-1]  # events of level j and above
-    least = int(np.flatnonzero(left <= room)[0]) if len(np.flatnonzero(left <= room)) else len(STEPS)
-
-    def pair_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
-                n = len(raw) // 6
-                levels = raw[5 * n :]
-                fine = levels >= least
-                part = build((_from_planes(raw[: 5 * n], 5) << U64(24))[fine], levels[fine], bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([part], pa.binary())], ["shard", "x"])
-
-    pairs = merged.where("kind = 3").select("shard", "x").mapInArrow(pair_part, "shard int, x binary")
-    twos = Filter.joined(((r["shard"], r["x"]) for r in pairs.toLocalIterator()), shards * FINE)
-    shared = spark.sparkContext.broadcast((ones, twos))
-    del ones, twos
-    run = uuid.uuid4().hex
     norm = math.log10(tokens + 0.5 * (distinct + 1))
-
-    def levels(w, filters: tuple[Filter, Filter]) -> tuple[np.ndarray, ...]:
-        """(text of, level of token, level of the token before, level of the pair)"""
-        tokens, before, text = _streams(w)
-        unique, of = np.unique(tokens, return_inverse=True)
-        one = filters[0].level(unique)[of]
-        start = np.concatenate(([True], text[1:] != text[:-1]))
-        ahead = np.concatenate(([0], one[:-1])).astype(one.dtype)
-        ahead[start] = filters[0].level(np.array([END], U64))[0]
-        two = filters[1].level(pair_key(before, tokens) >> U64(24) << U64(24))
-        return text, one, ahead, np.minimum(two, np.minimum(one, ahead))
-
-    def opened() -> tuple[Filter, Filter]:
-        if _OPEN.get("of") != run:
-            _OPEN["of"], _OPEN["filters"] = run, tuple(Filter(*x) for x in shared.value)
-        return _OPEN["filters"]
-
-    def closed() -> None:
-        """Forget the filters at a task's end: a worker would keep every broadcast that it has read."""
-        _OPEN.clear()
-        shared.__dict__.pop("_value", None)
-        release()
-
-    def shares(one: np.ndarray) -> np.ndarray:
-        return (MIDDLE[one] + 0.5) / 10**norm
+    flushes = stage(merged.where("kind < 3").drop("n1", "n2").groupBy("flush").applyInArrow(_flush_levels, _FLUSH), "lm-levels")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, int] = {}
-        try:
-            for batch in batches:
-                for w in words(batch.column("text"), WHITE, "ascii", 1 << 20):
-                    _, one, ahead, two = levels(w, opened())
-                    for k, n in _cells(one, ahead, two):
-                        total[k] = total.get(k, 0) + n
-        finally:
-            closed()
+        for x in _opened(batches):
+            train = np.repeat(x["train"] > 0, x["lengths"])
+            for k, n in _cells(x["one"][train], x["ahead"][train], x["two"][train]):
+                total[k] = total.get(k, 0) + n
         cols = list(zip(*((*k, n) for k, n in total.items()), strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["one", "ahead", "two", "n"])
 
-    every = max(1, -(-int(rows) // sample))
-    learn = docs.where(~F.col("held_out") & (F.pmod(F.xxhash64("row_key"), F.lit(every)) == 0)).select("text")
-    cells = learn.mapInArrow(counted, "one long, ahead long, two long, n long").groupBy("one", "ahead", "two").agg(F.sum("n").alias("n")).toPandas()
+    cells = flushes.mapInArrow(counted, "one long, ahead long, two long, n long").groupBy("one", "ahead", "two").agg(F.sum("n").alias("n")).toPandas()
     weight = _fit(cells, norm)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-                for w in words(batch.column("text"), WHITE, "ascii", 1 << 20):
-                    text, one, ahead, two = levels(w, opened())
-                    a = weight[ahead]
-                    p = a * np.where(two > 0, MIDDLE[two] / np.maximum(MIDDLE[ahead], 1), 0) + (1 - a) * shares(one)
-                    n[w.lo : w.hi] = np.bincount(text, minlength=w.hi - w.lo)
-                    total[w.lo : w.hi] = np.bincount(text, np.log10(p), w.hi - w.lo)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("row_key"), pa.array(n), pa.array(total)], ["doc_id", "held_out", "row_key", "n_tokens", "score"])
-        finally:
-            closed()
-
-    out = docs.select("doc_id", "held_out", "row_key", "text").mapInArrow(scored, "doc_id long, held_out boolean, row_key long, n_tokens long, score double")
+        for x in _opened(batches):
+            one, ahead, two = x["one"], x["ahead"], x["two"]
+            a = weight[ahead]
+            p = a * np.where(two > 0, MIDDLE[two] / np.maximum(MIDDLE[ahead], 1), 0) + (1 - a) * (MIDDLE[one] + 0.5) / 10**norm
+            total = np.bincount(np.repeat(np.arange(len(x["lengths"])), x["lengths"]), np.log10(p), len(x["lengths"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x["ids"], x["lengths"], x["known"], x["logs"], total)], ["row_key", "n_tokens", "n_known", "logs", "score"])
+
+    each = flushes.mapInArrow(scored, "row_key long, n_tokens long, n_known long, logs double, score double").dropDuplicates(["row_key"])
     base_score = F.col("logs") - F.col("n_tokens") * F.lit(norm)
-    return out.join(base, "row_key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
-
-
-#: The filters of the broadcast that this worker has open.
-_OPEN: dict = {}
+    return docs.select("doc_id", "held_out", "row_key").join(each, "row_key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
 
 
 def _cells(one: np.ndarray, ahead: np.ndarray, two: np.ndarray) -> list[tuple[tuple[int, int, int], int]]:

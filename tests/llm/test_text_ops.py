@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,29 @@ def test_language_model_base_score_is_exact(spark):
     assert sum(r["score"] for r in copies) > sum(r["base_score"] for r in copies)  # their twins were learned
 
 
+def test_language_model_stores_every_pair_and_fits_on_all_documents(spark, monkeypatch):
+    rows = [(i, prose(i % 1700, 6, 40)) for i in range(3000)]
+    table = docs(spark, rows).select("doc_id", "text")
+    # no filter of the whole input passes the driver
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a filter was broadcast"))
+    out = {r["doc_id"]: r["score"] for r in lmscore.score(table, F.col("doc_id") % 5 == 1, shard_chars=10_000, bits=60).collect()}
+    texts = {d: [None, *t.split(), None] for d, t in rows}
+    one, two = collections.Counter(), collections.Counter()
+    for d, t in texts.items():
+        if d % 5 != 1:
+            one.update(t[1:])
+            two.update(zip(t, t[1:], strict=False))
+    level = lambda n: int(lmscore.level_of(np.array([n]))[0])
+    levels = lambda t: [(level(one[w]), level(one[v]), min(level(two[v, w]), level(one[v]), level(one[w]))) for v, w in zip(t, t[1:], strict=False)]
+    cells = collections.Counter(x for d, t in texts.items() if d % 5 != 1 for x in levels(t))
+    norm = math.log10(sum(one.values()) + 0.5 * (len(one) + 1))
+    weight = lmscore._fit(pd.DataFrame([(*k, n) for k, n in sorted(cells.items())], columns=["one", "ahead", "two", "n"]), norm)
+    middle = lmscore.MIDDLE
+    for d, t in texts.items():
+        want = sum(math.log10(weight[v] * middle[vw] / max(middle[v], 1) + (1 - weight[v]) * (middle[w] + 0.5) / 10**norm) for w, v, vw in levels(t))
+        assert out[d] == pytest.approx(want, rel=1e-6)
+
+
 def test_filter_levels_never_fall_short():
     keys = bw.mix(np.arange(1, 50_001, dtype=np.uint64))
     levels = (np.arange(50_000) % 9 + 1).astype(np.int64)
