@@ -6,14 +6,18 @@ and tags, each with the path of open elements it stands under. Tokens with one v
 occurrences over the pages form an equivalence class; classes that are frequent and large
 and keep one order on every page are valid, and they nest: a class that occurs several
 times a page must lie inside one slot of the class above. The valid classes are the
-template. What is left between their tokens are the slots, and a page's main text is the
-text of the slots inside its article: the `article` or `main` element where there is one
-(which is one slot, whatever its pages share), else the smallest element that holds most of
-the page's slot text.
+template. The words of a block that most pages repeat whole are told from the same words
+elsewhere by their place in it. What is left between the template's tokens are the slots,
+on every page, and a page's main text is the text of all slots inside its article: the
+`article` or `main` element where there is one, else the smallest element that holds most
+of the page's slot text. An article that its host's pages share whole is template, and its
+text is empty.
 
 Elements that say themselves that they are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or reader comments (by tag, role, class or id) hold no
-main text even where their words change from page to page.
+adverts, forms, scripts, styles or reader comments (by tag, role, or a whole word of class
+or id) hold no main text even where their words change from page to page. An `article` or
+`main` inside an element with such a class or id isn't part of it, unless that is the name
+of reader comments, which are often articles themselves.
 
 White space inside a block becomes one space; blocks are joined in page order by one
 space; character references are decoded. A null or empty html gives an empty text; a null
@@ -25,7 +29,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -51,11 +55,12 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _BOILER_TAGS = frozenset("nav footer aside form button dialog menu head input fieldset datalist".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words in a class or id that name parts beside the article.
-_BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|topbar|toolbar|masthead|sitehead|header|site-?header|footer|site-?footer|sidebar|side|aside|rail|widget|widgets|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|commentlist|disqus|discussion|replies|respond|reactions|share|sharing|social|related|recommended|recommendations|breadcrumb|breadcrumbs|pagination|pager|newsletter|subscribe|subscription|signup|login|search|form|copyright|legal|skip|toc|tags)(?=$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Names, as class or id, of parts beside the article; those of reader comments; and what may stand with either in one word.
+_NAMES = "nav|navbar|navigation|menus?|topbar|toolbar|masthead|sitehead|header|footer|sidebar|side|aside|rail|widgets?|ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|share|sharing|social|related|recommended|recommendations|breadcrumbs?|pagination|pager|newsletter|subscribe|subscription|signup|login|search|form|copyright|legal|skip|toc|tags"
+_COMMENTS = "comments?|commentlist|disqus|discussion|replies|respond|reactions"
+_LAYOUT = "site|page|main|global|top|bottom|left|right|box|bar|list|links?|buttons?|icons?|wrap|wrapper|container|block|area|section|unit|slot|inner|outer|primary|secondary|to|content|posts?|articles?|[0-9]+"
+_BOILER_NAMES = re.compile(rf"(?:(?:{_LAYOUT})[_-]+)*(?P<name>{_NAMES}|{_COMMENTS})(?:[_-]+(?:{_LAYOUT}|{_NAMES}|{_COMMENTS}))*", re.IGNORECASE)
+_COMMENT_NAMES = re.compile(_COMMENTS, re.IGNORECASE)
 _NEVER_BY_NAME = frozenset("html body main article p h1 h2 h3 h4 h5 h6 em strong b i".split())
 #: A new one of these ends an open one.
 _SELF_ENDING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -73,24 +78,30 @@ class Block:
 
 
 class _Open:
-    __slots__ = ("article", "boiler", "name", "tag")
+    __slots__ = ("article", "boiler", "by_name", "name", "tag")
 
-    def __init__(self, tag: str, name: str, boiler: bool, article: bool) -> None:
-        self.tag, self.name, self.boiler, self.article = tag, name, boiler, article
+    def __init__(self, tag: str, name: str, boiler: bool, article: bool, by_name: bool = False) -> None:
+        """by_name: a class or id that an article inside doesn't inherit is all that makes it boiler."""
+        self.tag, self.name, self.boiler, self.article, self.by_name = tag, name, boiler, article, by_name
 
 
 def _element(tag: str, raw: str, parent: _Open) -> _Open:
     attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw.strip() else {}
     role = attrs.get("role", "").lower()
-    article = parent.article or tag in ("article", "main") or role in ("main", "article")
+    begins = tag in ("article", "main") or role in ("main", "article")
+    article = parent.article or begins
     own = " ".join((attrs.get("class", ""), attrs.get("id", "")))
-    boiler = parent.boiler or tag in _BOILER_TAGS or role in _BOILER_ROLES or (tag == "header" and not article)
-    if own.strip() and tag not in _NEVER_BY_NAME and not boiler:
-        named = _BOILER_NAMES.findall(own)
-        boiler = bool([x for x in named if not (article and x.strip(" _-").lower() in ("header", "tags", "side"))])
-    boiler = boiler or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    inherited = parent.boiler and not (begins and parent.by_name)
+    marked = tag in _BOILER_TAGS or role in _BOILER_ROLES or (tag == "header" and not article)
+    marked = marked or "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+    boiler, by_name = inherited or marked, inherited and parent.by_name and not marked
+    if own.strip() and tag not in _NEVER_BY_NAME and role not in ("main", "article") and (by_name or not boiler):
+        named = [m["name"].lower() for m in map(_BOILER_NAMES.fullmatch, own.split()) if m]
+        named = [x for x in named if not (article and x in ("header", "tags", "side"))]
+        if named:
+            boiler, by_name = True, not any(_COMMENT_NAMES.fullmatch(x) for x in named)
     name = tag + "".join(f".{x}" for x in sorted(attrs.get("class", "").split()))
-    return _Open(tag, name, boiler, article)
+    return _Open(tag, name, boiler, article, by_name)
 
 
 def parse(page: str) -> list[Block]:
@@ -148,7 +159,21 @@ def parse(page: str) -> list[Block]:
     return out
 
 
-def template_words(pages: list[list[Block]], support: int = SUPPORT, large: int = LARGE) -> set[tuple[tuple[str, ...], str]]:
+def _tokens(b: Block, repeated: set) -> list[tuple[tuple[str, ...], str]]:
+    """A block's tokens; the first, with an empty word, is its own border, a tag token."""
+    if (b.path, b.text) in repeated:
+        role = (*b.path, "=" + b.text)
+        return [(role, ""), *((role, f"{k} {word}") for k, word in enumerate(b.text.split()))]
+    return [(b.path, ""), *((b.path, word) for word in b.text.split())]
+
+
+def repeated_blocks(pages: list[list[Block]], support: int = SUPPORT) -> set[tuple[tuple[str, ...], str]]:
+    """The (path, text) of blocks that at least `support` and half of the pages have."""
+    seen = Counter(x for blocks in pages for x in {(b.path, b.text) for b in blocks})
+    return {x for x, n in seen.items() if n >= max(support, (len(pages) + 1) // 2)}
+
+
+def template_words(pages: list[list[Block]], support: int = SUPPORT, large: int = LARGE, repeated: set | None = None) -> set[tuple[tuple[str, ...], str]]:
     """The (path, word) tokens of the valid equivalence classes of these pages."""
     if len(pages) < support:
         return set()
@@ -156,8 +181,8 @@ def template_words(pages: list[list[Block]], support: int = SUPPORT, large: int
     for p, blocks in enumerate(pages):
         at = 0
         for b in blocks:
-            for token in ("", *b.text.split()):  # "": the block's own border, a tag token
-                where[b.path, token].setdefault(p, []).append(at)
+            for token in _tokens(b, repeated or set()):
+                where[token].setdefault(p, []).append(at)
                 at += 1
     least = max(support, (len(pages) + 1) // 2)
     classes: dict[tuple, list[tuple[tuple[str, ...], str]]] = defaultdict(list)
@@ -226,12 +251,11 @@ def _nested(tokens: list, above: list, vector: tuple, where: dict) -> bool:
     return True
 
 
-def main_blocks(blocks: list[Block], template: set) -> list[str]:
+def main_blocks(blocks: list[Block], template: set, repeated: set | None = None) -> list[str]:
     """The texts of the slots inside the article."""
-    marked = [b.text for b in blocks if b.article and not b.boiler]
-    if marked:
-        return marked
-    slots = [b for b in blocks if not b.boiler and any((b.path, w) not in template for w in b.text.split())]
+    slots = [b for b in blocks if not b.boiler and any(t not in template for t in _tokens(b, repeated or set())[1:])]
+    if any(b.article and not b.boiler for b in blocks):
+        return [b.text for b in slots if b.article]
     depth = 0
     while slots:
         weight: dict[tuple[str, ...], int] = defaultdict(int)
@@ -249,8 +273,9 @@ def extract(pages: list[str]) -> list[str]:
     """Main texts of a group of pages of one host."""
     parsed = [parse(p) for p in pages]
     different = {tuple(b.text for b in x if not b.boiler): x for x in parsed}
-    template = template_words(list(different.values()))
-    return [" ".join(main_blocks(x, template)) for x in parsed]
+    repeated = repeated_blocks(list(different.values()))
+    template = template_words(list(different.values()), repeated=repeated)
+    return [" ".join(main_blocks(x, template, repeated)) for x in parsed]
 
 
 def _group(key: tuple, table: pa.Table) -> pa.Table:

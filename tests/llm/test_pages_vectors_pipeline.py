@@ -61,6 +61,15 @@ def test_template_words_are_no_text():
     assert htmltext.extract(made)[3] == "Story 3 about thing3 and more words 9 End 3x"
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_template_decides_inside_the_article(tag):
+    line = "Sign up for the news and the offers"
+    made = [f"<div class='sidebar-wrap'><{tag}><h1>Title {i}</h1><p>The story {i} and the end</p><p>{line}</p><div class='side-by-side'>Both {i}</div><ul><li>Read more</ul><div class=share-links>Send {i}</div></{tag}></div><div class=comments><article>Reader {i}</article></div>" for i in range(12)]
+    assert htmltext.extract(made)[3] == "Title 3 The story 3 and the end Both 3"
+    # few pages have no template
+    assert htmltext.extract(made[:2])[1] == f"Title 1 The story 1 and the end {line} Both 1 Read more"
+
+
 def brute_top(rows, k):
     fine = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
