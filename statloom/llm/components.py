@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .scratch import stage
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of edges (a, b) but the roots themselves; root is the smallest id of its component."""
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -27,6 +27,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = stage(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
-            break
+            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
         seen = state
-    return now.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -5,14 +5,17 @@ case; a shorter text is one shingle). Documents with equal sets form a copy clas
 once. One representative a class goes on: a sketch of minimum hashes samples tokens
 of its set, and in each run the sets walk down a tree in which a node splits its sets
 by the token they have at a position that the path so far selects. Nodes of at most
-`bucket` sets are compared by brute force, larger ones are split again, and what is
-still large at the last depth is dealt anew each run. The number of runs is the one
-that the target recall needs for a pair at the threshold.
+`bucket` sets are compared by brute force and larger ones are split again. The number
+of runs is the one that the target recall needs for a pair at the threshold.
+
+Sets whose nodes are still large after a round's splits go to the next round, which
+splits deeper and makes the more runs that this needs, unless all sets of the node are
+connected already. What is large after the last round is compared whole, in blocks.
 
 Pairs found so are candidates. Their connected groups are then compared exactly, on
 the whole shingle sets, in blocks of bounded size; counts of links are added up and
 only as many links as connect a group leave a task, so a group of n near copies costs
-no n * n rows.
+no n * n rows. Counting its links takes all its pairs of blocks, of up to 1,024 sets.
 
 Result: a row a document with class_id (the smallest doc_id it is linked with, over
 any number of links), copy_id (the smallest doc_id with an equal set) and n_links (how
@@ -20,13 +23,14 @@ many other rows are linked with it directly, copies included).
 
 A null or empty text, or one without letters and digits, has no links and its own
 class. A row without doc_id is kept, without class. Rows that repeat a doc_id count
-each as a row. An empty table gives no rows. Other columns are ignored.
+each as a row, with different texts too. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ from .components import components
 from .scratch import stage
 
 BINS = 64
+#: Tasks that the rows of one large node are dealt to, splits between two looks at the sketches, and sets of a block.
+SALTS, LEVELS, BLOCK_SETS = 32, 3, 1024
 _EDGES = np.arange(BINS + 1, dtype=U64) << U64(58)
 #: Where an empty bin borrows its value: for each bin the order in which the others are asked.
 _BORROW = np.argsort(mix(np.arange(1, BINS * BINS + 1, dtype=U64)).reshape(BINS, BINS), axis=1)
@@ -67,97 +73,143 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)))
 
 
-def paths(sk: np.ndarray, run: int, depth: int) -> list[np.ndarray]:
-    """The nodes (64-bit keys) of each sketch's path in one run."""
-    key = np.full(len(sk), mix(np.array([run + 1], U64))[0], U64)
-    out = []
-    for _ in range(depth):
-        at = (key >> U64(40)).astype(np.int64) % BINS
-        key = mix(key + U64(0x9E3779B97F4A7C15) * (sk[np.arange(len(sk)), at].astype(U64) + U64(1)))
-        out.append(key.view(np.int64))
-    return out
-
-
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp, sk): fingerprint and sketch of every row; both null where there are no words."""
+    """(row, doc_id, fp, sk, size): fingerprint, sketch and size of every row's set; null where there are no words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, sk = [], []
-            for w in words(batch.column(1)):
+            fp, sk, size = [], [], []
+            for w in words(batch.column("text")):
                 for x in shingles(w, width):
                     fp.append(fingerprint(x) if len(x) else None)
                     sk.append(sketch(x).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(sk, pa.binary())], ["doc_id", "fp", "sk"])
+                    size.append(len(x) or None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(sk, pa.binary()), pa.array(size, pa.int64())], ["row", "doc_id", "fp", "sk", "size"])
+
+    return docs.mapInArrow(make, "row long, doc_id long, fp long, sk binary, size long")
+
+
+_RISE = U64(0x9E3779B97F4A7C15)
+
+
+def _start(run: np.ndarray) -> np.ndarray:
+    return mix(run.astype(U64) + U64(1))
+
+
+def _next(sk: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The child node of each sketch: a node's key selects the sampled token that splits its sets."""
+    at = (key >> U64(40)).astype(np.int64) % BINS
+    return mix(key + _RISE * (sk[np.arange(len(sk)), at].astype(U64) + U64(1)))
 
-    return docs.mapInArrow(make, "doc_id long, fp long, sk binary")
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, BINS)
 
-def _candidates(reps: DataFrame, runs: int, depth: int, bucket: int, at_least: float) -> DataFrame:
-    """Edges (a, b) that connect the sets that look similar in some bucket."""
-    names = [f"k{d}" for d in range(depth)]
+
+def _down(df: DataFrame, levels: int, runs: range | None = None) -> DataFrame:
+    """(rep, k0, ..): the next nodes of every set's paths; df is (rep, sk), a row a set, or (rep, node, sk), a row a path."""
+    names = [f"k{i}" for i in range(levels)]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sk = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BINS)
-            for run in range(runs):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(sk), run, np.int32)), *(pa.array(k) for k in paths(sk, run, depth))], ["rep", "run", *names])
-
-    live = reps.select("rep", "sk").mapInArrow(walk, "rep long, run int, " + ", ".join(f"{k} long" for k in names))
-    small = None
-    for d, name in enumerate(names):
-        size = live.groupBy(name).agg(F.count("*").alias("size")).where("size > 1")
-        live = stage(live.join(size, name), "paths")
-        node = F.col(name)
-        if d == depth - 1:
-            part = F.pmod(F.xxhash64("rep", "run"), F.ceil(F.col("size") / bucket))
-            node = F.when(F.col("size") <= bucket, node).otherwise(F.xxhash64(name, part))
-            own = live
-        else:
-            own = live.where(F.col("size") <= bucket)
-        own = own.select(node.alias("node"), "rep")
-        small = own if small is None else small.unionByName(own)
-        live = live.where(F.col("size") > bucket).drop("size", name)
+            sk = _sketches(batch.column("sk"))
+            for run in runs if runs is not None else (None,):
+                key = batch.column("node").to_numpy().view(U64) if run is None else np.repeat(_start(np.array([run])), len(sk))
+                cols = []
+                for _ in names:
+                    key = _next(sk, key)
+                    cols.append(pa.array(key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), *cols], ["rep", *names])
+
+    return df.mapInArrow(walk, "rep long, " + ", ".join(f"{k} long" for k in names))
+
+
+def _salt(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return _salt(df, "rep")
+
+
+def _spread(nodes: DataFrame) -> DataFrame:
+    """A row a node and salt, so that the rows of a large node are dealt to several tasks of a join."""
+    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _split(sets: DataFrame, runs: range, depth: int, bucket: int) -> tuple[list[DataFrame], DataFrame]:
+    """(small, large): (node, rep) of the nodes that `depth` splits or fewer made small, a table a split; and of those still large."""
+    names = [f"k{i}" for i in range(min(depth, LEVELS))]
+    live = stage(_down(sets, len(names), runs), "paths")
+    small: list[DataFrame] = []
+    for d in range(depth):
+        name = names[d % LEVELS]
+        if d and d % LEVELS == 0:
+            last = names[-1]
+            live = stage(_down(live.select("rep", F.col(last).alias("node")).join(sets, "rep"), len(names)), "paths")
+        heavy = stage(live.groupBy(name).agg(F.count("*").alias("size")).where(F.col("size") > bucket).select(name, F.lit(True).alias("heavy")), "heavy")
+        tagged = _salted(live).join(_spread(heavy), [name, "salt"], "left").drop("salt")
+        # at most `bucket` sets a node are left here
+        own = tagged.where("heavy IS NULL").groupBy(F.col(name).alias("node")).agg(F.collect_list("rep").alias("reps")).where("size(reps) > 1")
+        small.append(own.select("node", F.explode("reps").alias("rep")))
+        live = stage(tagged.where("heavy").drop("heavy"), "paths")
+        if live.isEmpty():
+            break
+    return small, live.select(F.col(names[d % LEVELS]).alias("node"), "rep")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.RecordBatch | None = None
 
-        def edges(batch: pa.RecordBatch) -> pa.RecordBatch:
-            node = batch.column(0).to_numpy()
-            rep = batch.column(1).to_numpy()
-            sk = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BINS)
-            parent = np.arange(len(rep))
+def _pairs(node: np.ndarray, rep: np.ndarray, side: np.ndarray | None, sk: np.ndarray, at_least: float) -> list[tuple[int, int]]:
+    """Edges that connect the similar sets of each node (rows sorted by node); with sides, those between two sides only."""
+    parent = np.arange(len(rep))
 
-            def top(i: int) -> int:
-                while parent[i] != i:
-                    parent[i] = parent[parent[i]]
-                    i = parent[i]
-                return i
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
 
-            out = []
-            for step in range(1, len(rep)):
-                left = np.flatnonzero(node[:-step] == node[step:])
-                if not len(left):
-                    break
-                for at in range(0, len(left), 1 << 16):
-                    i = left[at : at + (1 << 16)]
-                    alike = (sk[i] == sk[i + step]).mean(axis=1) >= at_least
-                    for x in i[alike].tolist():
-                        a, b = top(x), top(x + step)
-                        if a != b:
-                            parent[max(a, b)] = min(a, b)
-                            out.append((int(rep[x]), int(rep[x + step])))
-            cols = list(zip(*out, strict=True)) or [[], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+    out = []
+    for step in range(1, len(rep)):
+        left = np.flatnonzero(node[:-step] == node[step:])
+        if not len(left):
+            break
+        if side is not None:
+            left = left[side[left] != side[left + step]]
+        for at in range(0, len(left), 1 << 16):
+            i = left[at : at + (1 << 16)]
+            alike = (sk[i] == sk[i + step]).mean(axis=1) >= at_least
+            for x in i[alike].tolist():
+                a, b = top(x), top(x + step)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(rep[x]), int(rep[x + step])))
+    return out
+
+
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+
+def _compare(nodes: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """Edges (a, b) that connect the sets that look similar in some node of (node, rep), or (node, side, rep) with sides."""
+    sided = "side" in nodes.columns
+    own = ["node", "rep", *(["side"] if sided else []), "sk"]
 
+    def edges(batch: pa.RecordBatch) -> pa.RecordBatch:
+        side = batch.column("side").to_numpy() if sided else None
+        return _edges(_pairs(batch.column("node").to_numpy(), batch.column("rep").to_numpy(), side, _sketches(batch.column("sk")), at_least))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
         for batch in batches:
             if rest is not None:
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0] if batch.num_rows else rest
             if not batch.num_rows:
                 continue
-            node = batch.column(0).to_numpy()
+            node = batch.column("node").to_numpy()
             cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
             if cut:
                 yield edges(batch.slice(0, cut))
@@ -165,16 +217,71 @@ def _candidates(reps: DataFrame, runs: int, depth: int, bucket: int, at_least: f
         if rest is not None:
             yield edges(rest)
 
-    ready = small.distinct().join(reps.select("rep", "sk"), "rep").select("node", "rep", "sk")
-    return ready.repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
+    return nodes.join(sets, "rep").select(*own).repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
+
+
+def _stars(large: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
+    """Edges from the sets of large nodes to the node's smallest set, where they look similar to it."""
+    pivot = large.groupBy("node").agg(F.min("rep").alias("pivot")).join(sets.select(F.col("rep").alias("pivot"), F.col("sk").alias("own")), "pivot")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = (_sketches(batch.column("sk")) == _sketches(batch.column("own"))).mean(axis=1) >= at_least
+                yield batch.select(["rep", "pivot"]).filter(pa.array(near)).rename_columns(["a", "b"])
+
+    rows = _salted(large.join(sets, "rep")).join(_spread(pivot), ["node", "salt"]).where("rep <> pivot")
+    return rows.select("rep", "pivot", "sk", "own").mapInArrow(alike, "a long, b long")
+
 
+def _blocks(large: DataFrame, bucket: int) -> DataFrame:
+    """(node, side, rep): the pairs of parts, of about `bucket` sets each, of nodes that stay large; every pair of sets is in one."""
+    parts = large.groupBy("node").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
+    dealt = _salted(large).join(_spread(parts), ["node", "salt"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lo, hi = F.least("part", "other"), F.greatest("part", "other")
+    # within a part every set is a side of its own
+    side = F.when(lo == hi, F.col("rep")).otherwise(F.col("part").cast("long"))
+    return both.select(F.xxhash64("node", lo, hi).alias("node"), side.alias("side"), "rep")
 
-def _exact(docs: DataFrame, members: DataFrame, width: int, threshold: float, block: int) -> DataFrame:
+
+def _candidates(sets: DataFrame, recall: float, threshold: float, depths: Sequence[int], bucket: int, at_least: float) -> DataFrame:
+    """Edges (a, b) that connect the sets that look similar in some node.
+
+    A round splits up to `depths[r]` times, in as many runs as a pair at the threshold needs at that depth. Sets that are
+    still in a large node then, and aren't all connected with each other by what was found, make up the next round. After
+    the last one the large nodes are compared whole, in blocks.
+    """
+    miss = (1 - recall) / len(depths)
+    found, run = None, 0
+    left = sets
+    for r, depth in enumerate(depths):
+        runs = runs_for(1 - miss, threshold, depth)
+        small, large = _split(left, range(run, run + runs), depth, bucket)
+        run += runs
+        for nodes in small:
+            edges = _compare(nodes, left, at_least)
+            found = edges if found is None else found.unionByName(edges)
+        if large.isEmpty():
+            return found
+        found = stage(found.unionByName(_stars(large, left, at_least)), "found")
+        group = components(found)
+        rooted = large.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("root"))
+        mixed = stage(rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("node"), "mixed")
+        large = stage(_salted(large).join(_spread(mixed), ["node", "salt"]).select("node", "rep"), "large")
+        if large.isEmpty():
+            return found
+        if r < len(depths) - 1:
+            left = stage(left.join(large.select("rep").distinct(), "rep", "left_semi"), "crowd")
+    return found.unionByName(_compare(_blocks(large, bucket), left, at_least))
+
+
+def _exact(docs: DataFrame, members: DataFrame, width: int, threshold: float, block_bytes: int) -> DataFrame:
     """(rep, links, low): direct links of each member, weighted by copies, and a smaller member it is connected with."""
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keep, sets = batch.column("fp").to_pylist(), [], []
+            fp, keep, sets = batch.column("rep").to_pylist(), [], []
             at = 0
             for w in words(batch.column("text")):
                 for x in shingles(w, width):
@@ -185,10 +292,11 @@ def _exact(docs: DataFrame, members: DataFrame, width: int, threshold: float, bl
             some = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("root", "part", "parts", "rep", "n")), pa.array(sets, pa.binary())], ["root", "part", "parts", "rep", "n", "x"])
 
-    size = members.groupBy("root").agg(F.count("*").alias("size"))
-    parts = F.ceil(F.col("size") / block).cast("int")
-    placed = members.join(size, "root").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    sets = docs.join(placed, docs["doc_id"] == placed["rep"]).select("root", "part", "parts", "rep", "n", "fp", "text").mapInArrow(load, "root long, part int, parts int, rep long, n long, x binary")
+    # a block holds a bounded number of bytes and of sets, so a group of n sets is copied n / sets-a-block times
+    most = F.greatest(F.ceil(F.sum("size") * 8 / block_bytes), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    parts = members.groupBy("root").agg(most.alias("parts"))
+    placed = _salted(members).join(_spread(parts), ["root", "salt"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sets = docs.join(placed, docs["doc_id"] == placed["doc"]).select("root", "part", "parts", "rep", "n", "text").mapInArrow(load, "root long, part int, parts int, rep long, n long, x binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "n", "x")
 
@@ -231,16 +339,24 @@ def _linked(key: tuple | None, rows: list[tuple], threshold: float) -> list[tupl
     often = np.bincount(column) > 1
     keep = often[column]
     owner, column = owner[keep], (np.cumsum(often) - 1)[column[keep]]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    # between two blocks only the pairs across count
+    rows_of = [np.arange(len(sets))] * 2 if key[1] == key[2] else [np.flatnonzero(part == p) for p in (key[1], key[2])]
+    left, right = rows_of
+    common = np.zeros((len(left), len(right)), np.float32)
     total = int(often.sum())
     for a in range(0, total, 4096):
         own = slice(*np.searchsorted(column, [a, a + 4096]))
         m = np.zeros((len(sets), min(4096, total - a)), np.float32)
         m[owner[own], column[own] - a] = 1
-        common += m @ m.T
-    union = size[:, None] + size[None, :] - common
-    linked = common >= threshold * union - 1e-6
-    linked &= (part[:, None] != part[None, :]) if key[1] != key[2] else ~np.eye(len(sets), dtype=bool)
+        common += m[left] @ m[right].T
+    across = common >= threshold * (size[left][:, None] + size[right][None, :] - common) - 1e-6
+    if key[1] == key[2]:
+        np.fill_diagonal(across, False)
+        linked = across
+    else:
+        linked = np.zeros((len(sets), len(sets)), bool)
+        linked[np.ix_(left, right)] = across
+        linked[np.ix_(right, left)] = across.T
     links = linked.astype(np.int64) @ n
     # the smallest member each one is connected with inside these blocks
     label = rep.copy()
@@ -254,20 +370,48 @@ def _linked(key: tuple | None, rows: list[tuple], threshold: float) -> list[tupl
     return [(int(rep[i]), int(links[i]), int(label[i])) for i in rows_out]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depth: int = 3, bucket: int = 200, block: int = 256, at_least: float | None = None) -> DataFrame:
-    """(doc_id, class_id, copy_id, n_links) for every row (see the module's text).
-
-    at_least: the share of equal sketch values from which a pair is a candidate; by default a quarter below the threshold.
-    """
+def _classes(docs: DataFrame, threshold: float, width: int, recall: float, depths: Sequence[int], bucket: int, block_bytes: int, at_least: float | None) -> DataFrame:
+    """(row, doc_id, class_id, copy_id, n_links, set) for every row; row is a hash of id and text, set names the class."""
+    at_least = threshold - 3.8 * math.sqrt(threshold * (1 - threshold) / BINS) if at_least is None else at_least
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = stage(_sets(docs, width), "sets")
-    reps = stage(own.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sk").alias("sk")), "reps")
-    found = _candidates(reps, runs_for(recall, threshold, depth), depth, bucket, threshold - 0.25 if at_least is None else at_least)
+    own = stage(_sets(docs.withColumn("row", F.xxhash64("doc_id", "text")), width), "sets")
+    # the search knows a set by its fingerprint, as a doc_id may stand for several
+    named = own.where("fp IS NOT NULL AND doc_id IS NOT NULL")
+    reps = stage(named.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("sk").alias("sk"), F.first("size").alias("size")), "reps")
+    found = _candidates(reps.select(F.col("fp").alias("rep"), "sk"), recall, threshold, depths, bucket, at_least)
     group = components(found)
-    members = group.unionByName(group.select(F.col("root").alias("id"), "root").distinct()).join(reps.select(F.col("rep").alias("id"), "n", "fp"), "id").withColumnRenamed("id", "rep")
-    exact = stage(_exact(docs, members, width, threshold, block), "links")
+    members = group.unionByName(group.select(F.col("root").alias("id"), "root").distinct())
+    members = members.join(reps.select(F.col("fp").alias("id"), "n", "doc", "size"), "id").withColumnRenamed("id", "rep")
+    exact = stage(_exact(docs, members, width, threshold, block_bytes), "links")
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(exact.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    known = reps.select("fp", "rep", "n").join(links, "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    result = own.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(known, "fp", "left")
-    return result.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), F.when(F.col("rep").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    linked = components(exact.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    linked = linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).join(reps.select(F.col("fp").alias("id"), "doc"), "id")
+    least = linked.groupBy("root").agg(F.min("doc").alias("least"))
+    named_class = _salt(linked.select("id", "root"), "id").join(_spread(least), ["root", "salt"]).select(F.col("id").alias("fp"), "root", "least")
+    known = reps.select("fp", "doc", "n").join(links.withColumnRenamed("rep", "fp"), "fp", "left").join(named_class, "fp", "left")
+    result = own.select("row", "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(known, "fp", "left")
+    others = F.when(F.col("doc").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long")
+    return result.select("row", "doc_id", F.coalesce("least", "doc", "doc_id").alias("class_id"), F.coalesce("doc", "doc_id").alias("copy_id"), others.alias("n_links"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "fp")).alias("set"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depths: Sequence[int] = (3, 6, 9), bucket: int = 200, block_bytes: int = 8 << 20, at_least: float | None = None) -> DataFrame:
+    """(doc_id, class_id, copy_id, n_links) for every row (see the module's text).
+
+    depths: splits of the first round and of each further one. at_least: the share of equal sketch values from which a pair
+    is a candidate; by default 3.8 deviations of the sketch's estimate below the threshold, which one pair in 10,000 misses.
+    """
+    return _classes(docs, threshold, width, recall, depths, bucket, block_bytes, at_least).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depths: Sequence[int] = (3, 6, 9), bucket: int = 200, block_bytes: int = 8 << 20, at_least: float | None = None) -> DataFrame:
+    """docs with one row of each class: that of the smallest doc_id, and of rows that share it that of the smallest hash.
+
+    Rows without doc_id or without words belong to no class and stay. Rows are told apart by id and text, so different
+    texts under one id are different rows. All columns stay.
+    """
+    rows = _classes(docs, threshold, width, recall, depths, bucket, block_bytes, at_least).where("set IS NOT NULL")
+    first = rows.groupBy("set").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    keep = first.select(F.col("first.row").alias("__row"), F.lit(True).alias("__keep"))
+    every = rows.select(F.col("row").alias("__row")).distinct().join(keep, "__row", "left").withColumn("__keep", F.coalesce("__keep", F.lit(False)))
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(every, "__row", "left")
+    return keyed.where("__keep").dropDuplicates(["__row"]).unionByName(keyed.where("__keep IS NULL")).select(*docs.columns)

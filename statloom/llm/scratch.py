@@ -1,8 +1,10 @@
 """Tables written between the steps of one operator.
 
 They cut lineage: a lost executor costs a reread, not the steps before. They go
-to the shared folder that ``spark.checkpoint.dir`` names; where it is unset (tests
-in one JVM) a temporary folder takes its place.
+to the shared folder that ``spark.checkpoint.dir`` names; where it is unset and all
+of Spark is one local process (tests), a temporary folder takes its place. On a
+cluster it must be set. The tables stay until the folder's owner clears it, as a
+result is read lazily.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ def root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="spark-statloom-"))
     return _FALLBACK[0]

@@ -201,7 +201,7 @@ def test_path_join_equals_brute_force(spark):
     rows = near_rows()
     links, classes = brute_links(rows)
     # small blocks and buckets, so that groups are split and joined across blocks
-    out = {r["doc_id"]: r for r in pathjoin.near_duplicates(docs(spark, rows), bucket=16, block=8).collect()}
+    out = {r["doc_id"]: r for r in pathjoin.near_duplicates(docs(spark, rows), bucket=16, block_bytes=20_000).collect()}
     assert len(out) == len(rows)
     assert {d: out[d]["n_links"] for d in out} == {d: links[d] for d in out}
     assert {d: out[d]["class_id"] for d in out} == classes
@@ -306,3 +306,26 @@ def test_secrets_and_redaction(spark):
 def test_secret_scan_stays_on_the_jvm(spark):
     plan = sec.scan(docs(spark, [(1, f'token = "{"a1b2c3d4e5" * 4}" 1234567890123456')]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_path_join_finds_a_pair_in_a_similar_crowd(spark):
+    # all sets share a third of their words: nodes stay large after three splits, and one pair is at 0.8
+    common = prose(77, 120)
+    crowd = [(i, common + " " + prose(5000 + i, 110)) for i in range(400)]
+    words = crowd[13][1].split()
+    words[200:204] = ["changed"] * 4
+    rows = [*crowd, (2000, " ".join(words))]
+    # the second depths leave large nodes, which are compared in blocks
+    for depths in ((2, 4), (1,)):
+        out = {r["doc_id"]: r for r in pathjoin.near_duplicates(docs(spark, rows), bucket=8, depths=depths).collect()}
+        assert out[2000]["class_id"] == 13 and out[13]["n_links"] == 1
+        assert sum(r["n_links"] for r in out.values()) == 2
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b + " x"), (4, c), (4, c), (None, a), (None, a), (5, ""), (5, ""), (6, None)]
+    left = sorted(((r["doc_id"], r["text"]) for r in pathjoin.one_of_each(docs(spark, rows)).collect()), key=repr)
+    assert left == sorted([(1, a), (1, b), (4, c), (None, a), (None, a), (5, ""), (5, ""), (6, None)], key=repr)
+    assert pathjoin.one_of_each(docs(spark, rows)).columns == SCHEMA_NAMES
+    assert pathjoin.one_of_each(docs(spark, [])).count() == 0
