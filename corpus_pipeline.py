@@ -8,11 +8,10 @@ All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from statloom.llm.decontaminate import decontaminate
 from statloom.llm.packing import pack
-from statloom.llm.pathjoin import near_duplicates
+from statloom.llm.pathjoin import one_of_each
 from statloom.llm.quality import keep_good
 from statloom.llm.scratch import stage
 from statloom.llm.secrets import redact
@@ -26,30 +25,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, once.
+    """One document of each group of near copies: the one with the smallest doc_id.
 
-    A document without doc_id, or without words, belongs to no group and stays.
+    Rows are told apart by doc_id and text. A row without doc_id, or without words, belongs to no group and stays.
     """
     ship(spark)
-    drop = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    kept = named.join(drop, named["doc_id"] == drop["gone"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Rows without passages of the benchmark, row by row: a shared or missing doc_id takes no other row along."""
     ship(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All rows, with secrets replaced by a mark and n_chars made to fit; null texts and repeated rows stay as they are."""
+    ship(spark)
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their sequences and offsets."""
+    """Every row's pieces with their sequences and offsets; a null text is its end token, repeated rows are packed each."""
     ship(spark)
     return pack(docs)
 
