@@ -7,12 +7,19 @@ are laid on each other along the hit's diagonal, and the best-scoring run of ali
 tokens (1 for an equal pair, -2 for another) is the overlap. A document is
 contaminated if an overlap has `need` equal tokens, or all those of a shorter item.
 
-Tokens are runs of letters and digits, in lower case. The benchmark is cut into blocks
-of bounded size; a block's hashes are broadcast and joined with the documents' in
-place, so no document text moves, however large either side is. Whole texts count.
-A null text or item counts as empty. Items of fewer than five tokens are too common
-to tell anything and match nothing. Repeated rows give repeated results; repeated
-items are found each. Empty tables give no rows. Other columns are ignored.
+Tokens are runs of letters and digits, in lower case; letters of scripts without spaces
+are tokens each. The benchmark is cut into blocks of bounded size; a block's hashes are
+broadcast and joined with the documents' in place, one block after the other, so no
+document text moves and nothing outgrows a block. Where one token repeats in a row, a run
+of it in the document is laid on a run of it in the item by their starts and by their
+ends, and not in every other way. Whole texts count.
+
+A null text or item counts as empty. Items of fewer than `shortest` tokens (five) are too
+common to tell anything and match nothing; with shortest=1 all items are sought. Items of
+equal tokens are one, under their smallest id, and `items` is their number. Documents are
+told apart by row: repeated rows give repeated results, a null doc_id is a row like others,
+and a contaminated row takes no other row of its doc_id along. Empty tables give no rows.
+Other columns are ignored by overlaps() and kept by decontaminate().
 """
 
 from __future__ import annotations
@@ -22,17 +29,24 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import U64, mix, words
+from .bytewords import U64, buffers, mix, words
+from .scratch import stage
 
 #: Kept (1) and ignored (0) positions of the fixed masks.
-MASKS = ("11011011", "1110100111", "110101100101")
+MASKS = ("11011011", "1110111", "1110100111", "110101100101")
+#: Hits that are looked at together.
+HITS = 2_000_000
 NEED = 12
 SHORTEST = 5
 PENALTY = 2
-RESULT = "doc_id long, item_id long, matched_tokens int, overlap_tokens int, overlap_start int, item_tokens int"
+RESULT = "row long, doc_id long, item_id long, items int, matched_tokens int, overlap_tokens int, overlap_start int, item_tokens int"
+#: Signs that separate words beyond ASCII, and letters that are words by themselves.
+_APART = r"[\p{P}\p{S}\p{Z}]"
+_SINGLE = r"([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}])"
 
 
 def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -45,24 +59,50 @@ def _seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """texts with spaces for signs that separate words beyond ASCII, and around letters that are words by themselves."""
+    data, borders = buffers(texts)
+    rare = np.concatenate(([0], np.cumsum((data == 0xC2) | (data >= 0xE0))))
+    rows = np.flatnonzero(rare[borders[1:]] > rare[borders[:-1]])
+    if not len(rows):
+        return texts
+    some = pc.replace_substring_regex(texts.take(pa.array(rows)), _APART, " ")
+    mask = np.zeros(len(texts), bool)
+    mask[rows] = True
+    return pc.replace_with_mask(texts, pa.array(mask), pc.replace_substring_regex(some, _SINGLE, r" \1 "))
+
+
+def _runs(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of one seed after the other."""
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(seed)), bool), seed[1:] != seed[:-1])))
+    return start, np.diff(np.concatenate((start, [len(seed)])))
+
+
 class Index:
     """Seed hashes of some benchmark items, for lookup from documents."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS) -> None:
-        self.items = [(i, h) for i, h in items if len(h) >= SHORTEST]
+    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS, shortest: int = SHORTEST) -> None:
+        same: dict[bytes, list] = {}
+        for i, h in items:
+            if len(h) >= max(1, shortest):
+                same.setdefault(h.tobytes(), []).append(i)
+        #: (smallest id, tokens, how many items these are)
+        self.items = [(min((i for i in ids if i is not None), default=None), np.frombuffer(h, U64), len(ids)) for h, ids in same.items()]
         least = min(map(len, masks))
-        short = sorted({len(h) for _, h in self.items if len(h) < least})
+        short = sorted({len(h) for _, h, _ in self.items if len(h) < least})
         #: Items shorter than any mask are sought whole.
         self.masks = [*masks, *("1" * n for n in short)]
         found = []
         for m, mask in enumerate(self.masks):
-            for at, (_, h) in enumerate(self.items):
+            for at, (_, h, _) in enumerate(self.items):
                 if m < len(masks) or len(h) == len(mask):
                     s = _seeds(h, mask, m + 1)
-                    found.append((s, np.full(len(s), at), np.arange(len(s))))
-        seed, item, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, int), np.zeros(0, int))
+                    start, n = _runs(s)
+                    found.append((s[start], np.full(len(start), at), start, n))
+        seed, item, pos, run = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), *[np.zeros(0, int)] * 3)
         order = np.argsort(seed, kind="stable")
-        self.seed, self.item, self.pos = seed[order], item[order].astype(np.int64), pos[order].astype(np.int64)
+        self.seed = seed[order]
+        self.item, self.pos, self.run = (x[order].astype(np.int64) for x in (item, pos, run))
         bits = max(12, (16 * max(1, len(seed))).bit_length())
         self.shift = U64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
@@ -70,26 +110,35 @@ class Index:
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (item, diagonal) pairs: the document's position minus the item's."""
-        out = []
+        out = np.zeros((2, 0), np.int64)
         for m, mask in enumerate(self.masks):
             s = _seeds(h, mask, m + 1)
-            at = np.flatnonzero(self.filter[(s >> self.shift).astype(np.int64)])
+            at, long = _runs(s)
+            some = self.filter[(s[at] >> self.shift).astype(np.int64)]
+            at, long = at[some], long[some]
             lo, hi = np.searchsorted(self.seed, s[at], "left"), np.searchsorted(self.seed, s[at], "right")
             n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if len(at):
-                row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append(np.stack([self.item[row], np.repeat(at, n) - self.pos[row]]))
-        both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return both[0], both[1]
+            at, long, lo, n = at[n > 0], long[n > 0], lo[n > 0], n[n > 0]
+            end = np.cumsum(n)
+            a = 0
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + HITS, "right")))
+                k, first = n[a:b], lo[a:b]
+                row = np.repeat(first, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                starts = np.repeat(at[a:b], k) - self.pos[row]
+                ends = starts + np.repeat(long[a:b], k) - self.run[row]
+                item = self.item[row]
+                out = np.unique(np.concatenate((out, np.stack([item, starts]), np.stack([item, ends])), axis=1), axis=1)
+                a = b
+        return out[0], out[1]
 
 
 def best_run(equal: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
-    """Start and end of the best-scoring run of aligned tokens."""
+    """Start and end of the best-scoring run of aligned tokens; of several the longest."""
     run = np.concatenate(([0], np.cumsum(np.where(equal, 1, -penalty))))
     low = np.minimum.accumulate(run)
-    end = int((run - low).argmax())
-    start = int(np.flatnonzero(run[: end + 1] == low[end])[-1])
+    end = len(equal) - int((run - low)[::-1].argmax())
+    start = int((run[: end + 1] == low[end]).argmax())
     return start, end
 
 
@@ -98,34 +147,45 @@ def _tokens(table: DataFrame, id_col: str) -> list[tuple[int, np.ndarray]]:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = [w.hashes[w.where[i] : w.where[i + 1]].tobytes() for w in words(batch.column(1)) for i in range(w.hi - w.lo)]
+            h = [w.hashes[w.where[i] : w.where[i + 1]].tobytes() for w in words(spaced(batch.column(1))) for i in range(w.hi - w.lo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.binary())], ["id", "h"])
 
     rows = table.select(F.col(id_col).cast("long"), F.col("text").cast("string")).mapInArrow(make, "id long, h binary").collect()
     return sorted(((r["id"], np.frombuffer(r["h"], U64)) for r in rows), key=lambda x: (x[0] is None, x[0] or 0))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, need: int = NEED, block_chars: int = 4_000_000) -> DataFrame:
-    """A row for each document and item that overlap: the best overlap, and its place in the document's tokens.
-
-    block_chars: about how much benchmark text is broadcast at once.
-    """
+def _overlaps(docs: DataFrame, benchmark: DataFrame, need: int, shortest: int, block_chars: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    key = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_found(spark, texts, Index(_tokens(benchmark.where(key == b), "item_id")), need) for b in range(blocks)])
+    key = F.pmod(F.xxhash64(F.lower("text")), F.lit(blocks))
+    found = []
+    for b in range(blocks):
+        shared = spark.sparkContext.broadcast(Index(_tokens(benchmark.where(F.coalesce(key, F.lit(0)) == b), "item_id"), shortest=shortest))
+        own = texts.mapInArrow(_search(shared, need), RESULT)
+        if blocks > 1:  # one block's hashes at a time
+            own = stage(own, "overlaps")
+            shared.destroy()
+        found.append(own)
+    return reduce(DataFrame.unionByName, found)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, need: int = NEED, shortest: int = SHORTEST, block_chars: int = 4_000_000) -> DataFrame:
+    """A row for each document and item that overlap: the best overlap, and its place in the document's tokens.
 
+    block_chars: about how much benchmark text is broadcast at once.
+    """
+    return _overlaps(docs, benchmark, need, shortest, block_chars).drop("row")
 
-def _found(spark, texts: DataFrame, index: Index, need: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(index)
 
+def _search(shared, need: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for w in words(batch.column(1)) if len(index.seed) else ():
+            keys, ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for w in words(spaced(batch.column(2))) if len(index.seed) else ():
                 item, diagonal = index.hits(w.hashes)
                 best: dict[tuple[int, int], tuple] = {}
                 for i, shift in zip(item.tolist(), diagonal.tolist(), strict=True):
@@ -141,15 +201,16 @@ def _found(spark, texts: DataFrame, index: Index, need: int) -> DataFrame:
                         matched = int(equal[s:e].sum())
                         if matched >= min(need, len(own)) and matched > best.get((d, i), (0,))[0]:
                             best[d, i] = (matched, e - s, lo + s - int(w.where[d]), len(own))
-                out += [(ids[w.lo + d], index.items[i][0], *x) for (d, i), x in best.items()]
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "matched_tokens", "overlap_tokens", "overlap_start", "item_tokens"])
+                out += [(keys[w.lo + d], ids[w.lo + d], index.items[i][0], index.items[i][2], *x) for (d, i), x in best.items()]
+            cols = list(zip(*out, strict=True)) or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return texts.mapInArrow(search, RESULT)
+    return search
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, need: int = NEED) -> DataFrame:
-    """docs without the contaminated documents; all columns stay."""
-    leaks = overlaps(docs, benchmark, need).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["leaked"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, need: int = NEED, shortest: int = SHORTEST, block_chars: int = 4_000_000) -> DataFrame:
+    """docs without the contaminated rows; all columns stay."""
+    leaks = _overlaps(docs, benchmark, need, shortest, block_chars).select(F.col("row").alias("__row")).distinct()
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(leaks, "__row", "left_anti").select(*docs.columns)
