@@ -32,12 +32,14 @@ from .scratch import stage
 CAPACITY = 4096
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Texts of other characters than these take the tokenizer's own way, whole.
-_PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ſ‐-‧]*")
+#: Texts of other characters than these take the tokenizer's own way, whole (U+001C to U+001F separate words for
+#: Python and not for the tokenizer).
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-ſ‐-‧]*")
 #: Words as the tokenizer's own split finds them, for plain characters.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Entries of a worker's memories of chunks and of parts; each starts anew when full (a few hundred MB).
-_MOST_CHUNKS, _MOST_PARTS = 900_000, 1_200_000
+#: Bytes of a worker's memories of chunks and of parts, with what an entry costs beside its text and ids; each starts
+#: anew when full. A chunk or part longer than _LONG isn't remembered.
+_MOST_CHUNKS, _MOST_PARTS, _ENTRY, _LONG = 220 << 20, 220 << 20, 160, 1 << 10
 
 
 class CachedTokenizer:
@@ -61,6 +63,7 @@ class CachedTokenizer:
         self.split_ok = b"" not in self._parts_of(["a", "!", "7"])
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.chunk_bytes = self.part_bytes = 0
 
     def _parts_of(self, parts: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, "<u4")
@@ -73,30 +76,39 @@ class CachedTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        """Remember the ids of these chunks (lower case, without white space)."""
-        if len(self.parts) > _MOST_PARTS:
-            self.parts = {}
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of these chunks (lower case, without white space), remembered where they are short."""
+        if self.part_bytes > _MOST_PARTS:
+            self.parts, self.part_bytes = {}, 0
         cut = {c: _PARTS.findall(c) for c in new}
         miss = list({p for ps in cut.values() for p in ps if p not in self.parts})
+        own: dict[str, bytes] = {}
         for k in range(0, len(miss), 4000):
             some = miss[k : k + 4000]
-            got = self._parts_of(some)
-            for p, ids in zip(some, got, strict=True):
-                self.parts[p] = ids or self._whole(p)
-        for c, ps in cut.items():
-            self.chunks[c] = b"".join([self.parts[p] for p in ps])
+            for p, ids in zip(some, self._parts_of(some), strict=True):
+                own[p] = ids = ids or self._whole(p)
+                if len(p) <= _LONG:
+                    self.parts[p] = ids
+                    self.part_bytes += 2 * len(p) + len(ids) + _ENTRY
+        parts = self.parts
+        got = {c: b"".join([parts[p] if p in parts else own[p] for p in ps]) for c, ps in cut.items()}
+        for c, ids in got.items():
+            if len(c) <= _LONG:
+                self.chunks[c] = ids
+                self.chunk_bytes += 2 * len(c) + len(ids) + _ENTRY
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         for t in texts:
             plain = self.split_ok and _PLAIN.fullmatch(t) and "<|" not in t and unicodedata.is_normalized("NFC", t)
             cut.append(t.lower().split() if plain else None)
-        if len(self.chunks) > _MOST_CHUNKS:
-            self.chunks = {}
+        if self.chunk_bytes > _MOST_CHUNKS:
+            self.chunks, self.chunk_bytes = {}, 0
         known = self.chunks
-        self.learn(list({c for x in cut if x for c in x if c not in known}))
-        return [self._whole(t) if x is None else b"".join([known[c] for c in x]) for t, x in zip(texts, cut, strict=True)]
+        new = self.learn(list({c for x in cut if x for c in x if c not in known}))
+        long = {c: ids for c, ids in new.items() if len(c) > _LONG}
+        return [self._whole(t) if x is None else b"".join([known[c] if c in known else long[c] for c in x]) for t, x in zip(texts, cut, strict=True)]
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
