@@ -10,7 +10,10 @@ Of records with equal payloads of at least `least` bytes the one with the smalle
 is a response and the others are revisits of it, without payload; smaller payloads are
 always responses. A null html counts as empty, as does its URL. A repeated id is
 written once a row; if it is the smallest of its payload, all its rows are responses.
-An empty table gives no archives and no rows. Other columns are ignored.
+A null id is written as an empty one and read back as null; such a record is a revisit
+where its payload has a page with an id, else a response. The digests that
+several rows share are written first, so Spark knows their size and moves no payload
+where they are few. An empty table gives no archives and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +44,13 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def record_bytes(page_id: int, url: str, digest: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+def record_bytes(page_id: int | None, url: str, digest: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record; refers_to makes it a revisit, which names the payload and doesn't hold it."""
     block = payload if refers_to is None else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join(url.split())}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -84,7 +87,9 @@ def decided(pages: DataFrame, least: int = LEAST) -> DataFrame:
     own = own.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     # only digests of several rows go on: a task keeps one row a digest before anything moves
     shared = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return own.join(shared, "digest", "left").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
+    shared = stage(shared, "warc-shared")
+    later = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("first") < F.col("page_id")))
+    return own.join(shared, "digest", "left").withColumn("refers_to", F.when(later, F.col("first"))).drop("first")
 
 
 def write_archives(pages: DataFrame, path: str | None = None, least: int = LEAST) -> DataFrame:
@@ -146,12 +151,18 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     return index.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
 
 
+def _id(urn: str) -> int | None:
+    """The id in <urn:page:id>; null for an empty one."""
+    own = urn.removeprefix("<urn:page:").rstrip(">")
+    return int(own) if own else None
+
+
 def _row(data: memoryview, url: str, payloads: bool) -> tuple:
     head, block = parse_record(zlib.decompress(data, _ZIP))
-    own = int(head["warc-record-id"].removeprefix("<urn:page:").rstrip(">"))
+    own = _id(head["warc-record-id"])
     digest = head["warc-payload-digest"].removeprefix("sha256:")
     if head["warc-type"] == "revisit":
-        return own, url, int(head["warc-payload-length"]), digest, "revisit", int(head["warc-refers-to"].removeprefix("<urn:page:").rstrip(">")), None
+        return own, url, int(head["warc-payload-length"]), digest, "revisit", _id(head["warc-refers-to"]), None
     if hashlib.sha256(block).hexdigest() != digest:
         raise ValueError(f"page {own}: the payload doesn't have its digest")
     return own, url, len(block), digest, "response", None, block if payloads else None
