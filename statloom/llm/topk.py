@@ -5,15 +5,17 @@ product over its own components. Phase 1: every task lists, per query and node,
 vectors of the highest node scores, and resolves these few exactly; the k-th best of
 all lists is a safe cutoff, since at least k vectors reach it. Phase 2: a vector that
 reaches the cutoff must reach the uniform share of it at one node at least (node
-scores are taken above the node's lowest), so each task collects just those entries.
+scores are taken above the node's lowest), so each task looks at just those entries.
 Phase 3: entries whose upper bound still reaches the cutoff are resolved exactly.
-Queries go out in blocks of bounded size; candidates never move.
+Queries go out in blocks of bounded bytes, one block after the other; candidates never
+move.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, nor
-do rows without id. Only vectors of a query's own length are compared with it. A
-repeated row is a candidate by itself; rows with the query's id are not candidates.
-Ties go to the smaller id. Scores are exact integers; one beyond 64 bits is given as the
-last one that fits. An empty table gives no rows.
+do rows without id. Only vectors of a query's own length are compared with it. Rows that
+repeat an id and a vector are one query and a candidate each; an id with two different
+vectors is two queries, whose results come under one id. Rows with the query's id are not
+candidates. Ties go to the smaller id. Scores are exact integers; one beyond 64 bits is
+given as the last one that fits. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .scratch import stage
 #: Sums below this are exact in doubles.
 _EXACT = float(1 << 53)
 _LONG = (-(1 << 63), (1 << 63) - 1)
-_SCORES = "query_id long, node int, vec_id long, score long"
+_SCORES = "query int, node int, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -82,7 +84,7 @@ def _cut(total: int, nodes: int) -> list[slice]:
 def _rows(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 4
     fit = [min(max(int(x), _LONG[0]), _LONG[1]) for x in cols[3]]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(fit, pa.int64())], ["query_id", "node", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(fit, pa.int64())], ["query", "node", "vec_id", "score"])
 
 
 def _merge(old: list, ids: np.ndarray, score: np.ndarray, k: int) -> list:
@@ -92,66 +94,77 @@ def _merge(old: list, ids: np.ndarray, score: np.ndarray, k: int) -> list:
     return [(ids[keep], score[keep])]
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, nodes: int = 4, block: int = 2048) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, nodes: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest inner products.
 
-    Both inputs are as quantised() gives them. block: about how many queries are broadcast at once.
+    Both inputs are as quantised() gives them. block_bytes: about how many bytes of queries are broadcast at once.
     """
     spark = vectors.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    key = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    parts = []
+    asked = stage(queries.select("vec_id", "v").distinct(), "topk-queries")
+    total = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    key = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
+    found = None
     for b in range(blocks):
-        asked = queries.where(key == b).toPandas() if n else queries.limit(0).toPandas()  # about `block` rows
-        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        size = asked["v"].map(len)
-        for d in sorted(set(size)):
-            own = asked[size == d]
-            by_size[int(d)] = (own["vec_id"].to_numpy(np.int64), np.floor(np.array(own["v"].tolist(), np.float64).reshape(-1, d)))
-        parts.append(_block(spark, vectors, by_size, k, nodes))
-    every = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _block(spark, vectors: DataFrame, by_size: dict[int, tuple[np.ndarray, np.ndarray]], k: int, nodes: int) -> DataFrame:
-    if not by_size:
-        return spark.createDataFrame([], _SCORES).drop("node")
+        own = _block(spark, vectors, asked.where(key == b).toPandas(), k, nodes)  # about block_bytes
+        own = own if blocks == 1 else stage(own, "topk")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _block(spark, vectors: DataFrame, rows, k: int, nodes: int) -> DataFrame:
+    """Results of the queries in rows (vec_id, v): a bounded number of them."""
+    if not len(rows):
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    names = rows["vec_id"].to_numpy(np.int64)
+    size = rows["v"].map(len).to_numpy()
+    #: by length of vector: (numbers of the queries, their ids, a matrix of them)
+    by_size = {}
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        by_size[int(d)] = (at, names[at], np.floor(np.array(rows["v"].iloc[at].tolist(), np.float64).reshape(-1, d)))
     asked = spark.sparkContext.broadcast(by_size)
 
     def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(query ids, vector ids, a matrix queries x vectors for each node) in bounded pieces."""
+        """(queries, query ids, vector ids, queries' matrix, vectors' matrix, node scores) in bounded pieces."""
         for ids, v in _matrices(batch) if batch.num_rows else ():
             if v.shape[1] in asked.value:
-                names, q = asked.value[v.shape[1]]
+                number, own, q = asked.value[v.shape[1]]
                 for lo in range(0, len(ids), 1024):
-                    yield names.tolist(), ids[lo : lo + 1024], [_product(q[:, s], v[lo : lo + 1024, s]) for s in _cut(v.shape[1], nodes)]
+                    some = v[lo : lo + 1024]
+                    for first in range(0, len(own), 2048):
+                        part = slice(first, first + 2048)
+                        yield number[part].tolist(), own[part], ids[lo : lo + 1024], q[part], some, [_product(q[part, s], some[:, s]) for s in _cut(v.shape[1], nodes)]
+
+    def resolved(per: list[np.ndarray], i: int, cols: np.ndarray) -> np.ndarray:
+        """Exact scores of a query's chosen vectors only."""
+        return reduce(np.add, [p[i, cols] for p in per])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase 1: the task's lists, resolved (node -1), and the lowest score at each node."""
+        """Phase 1: the task's lists, their entries resolved (node -1), and the lowest score at each node."""
         found: dict[int, list] = {}
         lowest: dict[tuple[int, int], float] = {}
         for batch in batches:
-            for names, ids, per in parts(batch):
-                full = reduce(np.add, per)
+            for number, own, ids, _, _, per in parts(batch):
                 lows = [p.min(axis=1) for p in per]
                 lists = [np.argpartition(p, max(0, p.shape[1] - k - 1), axis=1)[:, -(k + 1) :] for p in per]
-                for i, name in enumerate(names):
+                for i, q in enumerate(number):
                     for j, low in enumerate(lows):
-                        lowest[name, j] = min(lowest.get((name, j), low[i]), low[i])
+                        lowest[q, j] = min(lowest.get((q, j), low[i]), low[i])
                     some = np.unique(np.concatenate([x[i] for x in lists]))
-                    some = some[ids[some] != name]
+                    some = some[ids[some] != own[i]]
                     if len(some):
-                        found[name] = _merge(found.get(name, []), ids[some], full[i][some], k)
+                        found[q] = _merge(found.get(q, []), ids[some], resolved(per, i, some), k)
         yield _rows([(q, -1, v, s) for q, [(ids, score)] in found.items() for v, s in zip(ids.tolist(), score.tolist(), strict=True)] + [(q, j, 0, low) for (q, j), low in lowest.items()])
 
     first = stage(vectors.mapInArrow(gather, _SCORES), "topk-lists")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    cutoff = first.where("node = -1").withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", "score").toPandas()
-    lows = first.where("node >= 0").groupBy("query_id", "node").agg(F.min("score").alias("low")).toPandas()  # a row a query and node
-    safe = dict(zip(cutoff["query_id"].tolist(), cutoff["score"].tolist(), strict=True))
-    low = {(q, j): x for q, j, x in zip(lows["query_id"].tolist(), lows["node"].tolist(), lows["low"].tolist(), strict=True)}
+    best = Window.partitionBy("query").orderBy(F.desc("score"))
+    cutoff = first.where("node = -1").withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query", "score").toPandas()
+    lows = first.where("node >= 0").groupBy("query", "node").agg(F.min("score").alias("low")).toPandas()  # a row a query and node
+    safe = np.full(len(names), -np.inf)
+    safe[cutoff["query"].to_numpy(int)] = cutoff["score"].to_numpy(float)
+    low = np.zeros((len(names), nodes))
+    low[lows["query"].to_numpy(int), lows["node"].to_numpy(int)] = lows["low"].to_numpy(float)
     shared = spark.sparkContext.broadcast((safe, low))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,26 +172,29 @@ def _block(spark, vectors: DataFrame, by_size: dict[int, tuple[np.ndarray, np.nd
         safe, low = shared.value
         found: dict[int, list] = {}
         for batch in batches:
-            for names, ids, per in parts(batch):
+            for number, own, ids, _, _, per in parts(batch):
                 m = len(per)
-                base = np.array([[low.get((q, j), 0) for j in range(m)] for q in names], float)
-                share = (np.array([safe.get(q, -np.inf) for q in names], float) - base.sum(axis=1)) / m
+                base, reach = low[number, :m], safe[number]
+                share = (reach - base.sum(axis=1)) / m
                 # the tolerance covers the rounding of the division; it lets a few more entries in, never fewer
                 limit = base + share[:, None] - 1e-6 * (1 + np.abs(base) + np.abs(np.where(np.isfinite(share), share, 0))[:, None])
                 over = [p >= limit[:, j : j + 1] for j, p in enumerate(per)]
-                bound = sum(np.where(o, p, np.minimum(p.max(axis=1, keepdims=True), limit[:, j : j + 1])) for j, (o, p) in enumerate(zip(over, per, strict=True)))
-                reach = np.array([safe.get(q, -np.inf) for q in names], float)[:, None]
-                kept = reduce(np.logical_or, over) & (bound >= reach - 1e-6 * (1 + np.abs(np.where(np.isfinite(reach), reach, 0))))
-                rows, cols = np.nonzero(kept)
+                rows, cols = np.nonzero(reduce(np.logical_or, over))
                 if not len(rows):
                     continue
-                score = reduce(np.add, [p[rows, cols] for p in per])
-                edge = np.searchsorted(rows, np.arange(len(names) + 1))
+                # a node's score where it is over the threshold, else no more than the threshold
+                bound = sum(np.where(o[rows, cols], p[rows, cols], np.minimum(p.max(axis=1)[rows], limit[rows, j])) for j, (o, p) in enumerate(zip(over, per, strict=True)))
+                kept = bound >= reach[rows] - 1e-6 * (1 + np.abs(np.where(np.isfinite(reach), reach, 0)))[rows]
+                rows, cols = rows[kept], cols[kept]
+                edge = np.searchsorted(rows, np.arange(len(number) + 1))
                 for i in np.unique(rows).tolist():
-                    own = cols[edge[i] : edge[i + 1]]
-                    fine = ids[own] != names[i]
-                    if fine.any():
-                        found[names[i]] = _merge(found.get(names[i], []), ids[own][fine], score[edge[i] : edge[i + 1]][fine], k)
+                    mine = cols[edge[i] : edge[i + 1]]
+                    mine = mine[ids[mine] != own[i]]
+                    if len(mine):
+                        found[number[i]] = _merge(found.get(number[i], []), ids[mine], resolved(per, i, mine), k)
         yield _rows([(q, -1, v, s) for q, [(ids, score)] in found.items() for v, s in zip(ids.tolist(), score.tolist(), strict=True)])
 
-    return vectors.mapInArrow(collect, _SCORES).drop("node")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    top = vectors.mapInArrow(collect, _SCORES).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    called = spark.createDataFrame(rows.assign(query=np.arange(len(rows), dtype=np.int32))[["query", "vec_id"]].rename(columns={"vec_id": "query_id"}), "query int, query_id long")
+    return top.join(F.broadcast(called), "query").select("query_id", "rank", "vec_id", "score")

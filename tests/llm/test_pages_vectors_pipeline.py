@@ -23,6 +23,9 @@ def test_warc_round_trip(spark):
         assert (got["payload_bytes"], got["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
         assert (got["record_type"], got["refers_to"]) == (("revisit", 3) if page_id in (5, 9) else ("response", None))
         assert got["record_type"] == "revisit" or bytes(got["payload"]) == raw
+    odd = spark.createDataFrame([(None, "u", big), (None, "u", "z" * 500), (4, "u", big), (None, None, None)], "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_records(warc.write_archives(odd)).collect()), key=repr)
+    assert got == sorted([(None, "revisit", 4, len(big.encode())), (None, "response", None, 500), (4, "response", None, len(big.encode())), (None, "response", None, 0)], key=repr)
     some = index.where("page_id = 7").first()
     path = some["file"].removeprefix("file://")
     with open(path, "rb") as f:
@@ -71,9 +74,10 @@ def test_template_decides_inside_the_article(tag):
 
 
 def brute_top(rows, k):
+    """A query is an id with its vector: rows that repeat both ask once, and are a candidate each."""
     fine = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in fine:
+    for q, a in {(q, tuple(a)): (q, a) for q, a in fine}.values():
         if q % 100 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), c) for c, b in fine if c != q and len(a) == len(b))[:k]
             out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
@@ -84,11 +88,12 @@ def test_top_k_is_exact(spark):
     r = np.random.default_rng(4)
     rows = [(i, [float(x) for x in r.normal(size=16).astype(np.float32)]) for i in range(700)]
     rows += [(1000 + i, rows[7][1]) for i in range(30)]  # ties
+    rows += [(300, rows[300][1]), (400, rows[9][1])]  # a repeated query row, and a second vector of an id
     rows += [(2000, None), (2100, []), (2200, [1.0, None]), (2300, [float("nan")] * 16), (2400, [float("inf")] * 16), (None, rows[0][1]), (2500, [1.0, 2.0]), (2501, [3.0, -1.0])]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
     vectors = topk.quantised(table)
-    for nodes, block in ((4, 2048), (3, 3)):
-        found = topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, nodes=nodes, block=block)
+    for nodes, block in ((4, 16 << 20), (3, 400)):
+        found = topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, nodes=nodes, block_bytes=block)
         assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in found.collect()) == brute_top(rows, 10)
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 

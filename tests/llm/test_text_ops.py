@@ -63,6 +63,20 @@ def test_pieces_equal_the_tokenizer(tokenizer):
     assert own.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_tokens_of_random_texts_equal_the_tokenizer(tokenizer, monkeypatch):
+    r = random.Random(8)
+    alphabet = "ab AB.,'\u2019_19\x1c\x1d\x1e\x1f\x85\xa0\u2028\t\n\x0b\x00éßİ"
+    own = packing.CachedTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    # small memories start anew, and long words aren't remembered
+    monkeypatch.setattr(packing, "_MOST_CHUNKS", 20_000)
+    monkeypatch.setattr(packing, "_MOST_PARTS", 20_000)
+    monkeypatch.setattr(packing, "_LONG", 12)
+    for _ in range(40):
+        texts = ["".join(r.choices(alphabet, k=r.randrange(30))) for _ in range(100)]
+        assert own.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert own.chunk_bytes < 60_000 and all(len(c) <= 12 for c in own.chunks)
+
+
 def test_packing_places_every_token_once(spark, tokenizer):
     rows = ODD + [(100 + i, prose(i, random.Random(i).randrange(1, 900))) for i in range(150)]
     out = [r.asDict() for r in packing.pack(docs(spark, rows), capacity=512).collect()]
