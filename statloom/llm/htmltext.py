@@ -36,14 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stage
+
 GROUP = 200
 #: Pages with different slot text that a word must occur on before it can be template, and tokens of a class.
 SUPPORT, LARGE = 5, 3
-HOSTS = 100_000
+#: Bytes of html in a group, unless one page has more; tasks that a large host's pages are dealt to while they get a group.
+GROUP_BYTES, SALTS = 16 << 20, 32
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|select|audio|video)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|template|textarea|title|iframe|select)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
@@ -97,7 +100,7 @@ def _element(tag: str, raw: str, parent: _Open) -> _Open:
     boiler, by_name = inherited or marked, inherited and parent.by_name and not marked
     if own.strip() and tag not in _NEVER_BY_NAME and role not in ("main", "article") and (by_name or not boiler):
         named = [m["name"].lower() for m in map(_BOILER_NAMES.fullmatch, own.split()) if m]
-        named = [x for x in named if not (article and x in ("header", "tags", "side"))]
+        named = [x for x in named if not (article and x in ("header", "tags", "side", "toc", "legal"))]
         if named:
             boiler, by_name = True, not any(_COMMENT_NAMES.fullmatch(x) for x in named)
     name = tag + "".join(f".{x}" for x in sorted(attrs.get("class", "").split()))
@@ -127,7 +130,7 @@ def parse(page: str) -> list[Block]:
             text.append(m["text"])
             continue
         if m["tag"] is None:
-            if m["raw"] and m["raw"].lower() not in ("svg", "math", "object", "canvas"):
+            if m["raw"]:
                 text.append(" ")
             continue
         tag = m["tag"].lower()
@@ -283,14 +286,14 @@ def _group(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([table.column("page_id"), table.column("url"), pa.chunked_array([pa.array(texts, pa.string())]), pa.chunked_array([pa.array([len(t) for t in texts], pa.int64())])], names=["page_id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, group: int = GROUP) -> DataFrame:
+def main_text(pages: DataFrame, group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row."""
     host = F.coalesce(F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://([^/?#]+)", 1), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    large = own.groupBy("host").count().where(F.col("count") > group)
-    parts = F.ceil(F.col("count") / group).cast("int")
-    few = large.limit(HOSTS + 1).count() <= HOSTS  # a name and a number a host: some MB at most
-    sizes = large.select("host", parts.alias("parts"))
-    own = own.join(F.broadcast(sizes) if few else sizes, "host", "left")
-    own = own.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))))
+    parts = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum(F.octet_length("html")) / group_bytes)).cast("int")
+    # a name and a number a large host, written first: Spark broadcasts them where they are few, and else deals a host's pages by salt
+    large = stage(own.groupBy("host").agg(parts.alias("parts")).where("parts > 1"), "hosts")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(large, ["host", "salt"], "left")
+    own = own.withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.lit(1)), F.coalesce("parts", F.lit(1))))
     return own.select("page_id", "url", "html", "host", "part").groupBy("host", "part").applyInArrow(_group, "page_id long, url string, text string, n_chars long")

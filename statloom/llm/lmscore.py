@@ -1,24 +1,29 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Learning. Every task numbers the distinct tokens and token pairs of about FLUSH tokens (a
-flush) and sends them with their counts, packed, to the shard that their hash selects; a
+Learning. Every task numbers the distinct n-grams of 1 to `order` tokens of about FLUSH tokens
+(a flush) and sends them with their counts, packed, to the shard that their hash selects; a
 shard adds up the counts. Counts are quantised (level j: at least STEPS[j - 1]) and stored
 as events (n-gram, 1), ..., (n-gram, level) in the shard's part of a Bloom filter. A part
 holds all n-grams of its range of hashes, at every size of the input: there are as many
-shards as the input needs, and no part leaves its shard.
+shards as the input needs. The parts stay in their shards and the probes go to them: the
+filter grows with the input, and a broadcast of all of it would have no bound.
 
 Scoring. An n-gram's level is found by probing (n-gram, 1), (n-gram, 2), ... until one is
 missing; the shard does so for the n-grams of every flush and sends back the levels, and
 exact token counts for the base score. Each flush puts them in the places of its tokens.
-P(w | v) = a * c(v w) / c(v) + (1 - a) * P(w), where P(w) is the smoothed share of w and a
-depends on the level of c(v). The weights a are fitted by expectation-maximisation with the
-pair itself left out, on all training documents: how often each triple of levels occurs is
-all that the driver gathers.
+P(w | context) = d(r) * r / c + (1 - m(c)) * P(w | shorter context), where r and c are the
+counts of n-gram and context, d is the share of an n-gram's count that Good and Turing's
+estimate leaves (tokens with a count of r + 1 for each one with a count of r), and m the mean
+of d over the training tokens whose context has c's level; P(w) is the smoothed share of w.
+They come from all training documents: how often each pair of levels of n-gram and context
+occurs is all that the driver gathers. A text that was learned twice so scores far apart from
+one that was learned once, whose long n-grams say little.
 
 Tokens are runs of other signs than ASCII white space, with A-Z in lower case, then one
-end; the end also stands before a text's first token. A null or empty text has the end
-only. Held-out documents are scored and not learned from. Repeated rows are learned from
-and scored each. An empty table gives no rows.
+end; the end also stands before a text's first token, and longer contexts than that aren't
+looked up there. A null or empty text has the end only. Held-out documents are scored and
+not learned from. Repeated rows are learned from and scored each. An empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,12 +67,6 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(STEPS, counts, "right")
 
 
-def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-    return keys[first], np.diff(np.concatenate((first, [len(keys)])))
-
-
 def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -93,29 +92,50 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _streams(w) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hashes with an end after each text, hashes before them, text of each)."""
+def _streams(w) -> tuple[np.ndarray, np.ndarray]:
+    """(token hashes with an end after each text, text of each)."""
     n = np.diff(w.where)
     text = np.repeat(np.arange(len(n)), n + 1)
     tokens = np.full(len(text), END, U64)
     inner = np.ones(len(text), bool)
     inner[np.cumsum(n + 1) - 1] = False
     tokens[inner] = w.hashes
-    before = np.concatenate(([END], tokens[:-1]))
-    before[np.cumsum(n + 1) - (n + 1)] = END
-    return tokens, before, text
+    return tokens, text
 
 
 def pair_key(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + tokens)
 
 
-#: Low bits of a pair's hash that are not sent.
+#: Low bits of an n-gram's hash that are not sent.
 _CUT = U64(24)
+ORDER = 4
+
+
+def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 2 to `order` tokens: (places that have so many before them, the end before a text included; their n-grams' hashes).
+
+    first: the place of each text's first token.
+    """
+    at = np.arange(len(tokens)) - np.repeat(first, np.diff(np.append(first, len(tokens))))
+    before = np.concatenate(([END], tokens[:-1]))
+    before[first] = END
+    full = pair_key(before, tokens)
+    yield np.arange(len(tokens)), full >> _CUT
+    for k in range(3, order + 1):
+        longer = np.concatenate((full[:1], full[:-1]))
+        full = pair_key(longer, tokens)
+        places = np.flatnonzero(at >= k - 2)
+        yield places, full[places] >> _CUT
+
+
+def _rising(x: np.ndarray, width: int) -> bytes:
+    """Rising integers as byte planes of their differences."""
+    return _planes(np.diff(x, prepend=U64(0)), width)
 
 
-def _pair(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return pair_key(before, tokens) >> _CUT
+def _from_rising(raw: bytes, width: int) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, width), dtype=U64)
 
 
 class Filter:
@@ -182,11 +202,15 @@ def build(keys: np.ndarray, levels: np.ndarray, bits: int = BITS) -> bytes:
     return out.tobytes()
 
 
-def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
+def _width(kind: int) -> int:
+    return 8 if kind == 1 else 5
+
+
+def _pack_docs(docs: DataFrame, shards: int, order: int) -> DataFrame:
     """Each task's flushes, packed by shard: (shard, flush, kind, a, b, c, d).
 
     Kind 0: ids, training marks and lengths of a flush's texts, its distinct tokens, and their number at each place.
-    Kinds 1 and 2: its distinct tokens and pairs of one shard, with their counts in training texts.
+    Kind k: its distinct n-grams of k tokens of one shard, with their counts in training texts.
     """
     names = ["shard", "flush", "kind", "a", "b", "c", "d"]
     schema = "shard int, flush long, kind int, a binary, b binary, c binary, d binary"
@@ -203,17 +227,21 @@ def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
             nonlocal number, held, ids, marks, size
             key = (part << 24) | number
             number += 1
-            tokens, before, train, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
+            tokens, train, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             unique, of = np.unique(tokens, return_inverse=True)
             about = _planes(lengths, 4) + np.concatenate(marks).astype(np.uint8).tobytes()
-            rows = [(int(key % shards), key, 0, np.concatenate(ids).tobytes(), about, _planes(unique, 8), _planes(of, 4))]
-            pairs, which = np.unique(_pair(before, tokens), return_inverse=True)
-            for kind, grams, at, width in ((1, unique, of, 8), (2, pairs, which, 5)):
-                learned = np.bincount(at[train], minlength=len(grams))
+            rows = [(int(key % shards), key, 0, np.concatenate(ids).tobytes(), about, _rising(unique, 8), _planes(of, 4))]
+
+            def own(kind: int, grams: np.ndarray, at: np.ndarray, learn: np.ndarray) -> None:
+                learned = np.bincount(at[learn], minlength=len(grams))
                 edge = np.searchsorted(shard_of(grams if kind == 1 else grams << _CUT, shards), np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(edge)).tolist():
-                    own = slice(edge[s], edge[s + 1])
-                    rows.append((s, key, kind, _planes(grams[own], width), _planes(learned[own], 4), b"", b""))
+                    some = slice(edge[s], edge[s + 1])
+                    rows.append((s, key, kind, _rising(grams[some], _width(kind)), _planes(learned[some], 4), b"", b""))
+
+            own(1, unique, of, train)
+            for kind, (places, grams) in enumerate(_grams(tokens, np.cumsum(lengths) - lengths, order), 2):
+                own(kind, *np.unique(grams, return_inverse=True), train[places])
             held, ids, marks, size = [], [], [], 0
             cols = list(zip(*rows, strict=True))
             kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
@@ -223,8 +251,8 @@ def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
             row_key = batch.column("row_key").to_numpy()
             learn = ~np.array(batch.column("held_out").to_pylist(), bool)
             for w in words(batch.column("text"), WHITE, "ascii"):
-                tokens, before, text = _streams(w)
-                held.append((tokens, before, learn[w.lo + text], np.diff(w.where) + 1))
+                tokens, text = _streams(w)
+                held.append((tokens, learn[w.lo + text], np.diff(w.where) + 1))
                 ids.append(row_key[w.lo : w.hi])
                 marks.append(learn[w.lo : w.hi])
                 size += len(tokens)
@@ -238,30 +266,31 @@ def _pack_docs(docs: DataFrame, shards: int) -> DataFrame:
 
 
 _SHARD = "kind int, flush long, shard int, a binary, b binary, c binary, d binary, n1 long, n2 long"
+#: The kind of a shard's totals.
+_TOTALS = 100
 
 
 def _merge_shard(bits: int):
-    """A function of a shard's packed counts: levels, and tokens' counts, of each flush's n-grams; and totals."""
+    """A function of a shard's packed counts of one kind: levels, and tokens' counts, of each flush's n-grams; and totals."""
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        shard = int(rows[0]["shard"])
-        out: list[tuple] = [(0, r["flush"], shard, r["a"], r["b"], r["c"], r["d"], 0, 0) for r in rows if r["kind"] == 0]
-        for kind, width in ((1, 8), (2, 5)):
-            own = [r for r in rows if r["kind"] == kind]
-            if not own:
-                continue
-            grams = [_from_planes(r["a"], width) for r in own]
-            keys, counts = _add(np.concatenate(grams), np.concatenate([_from_planes(r["b"], 4).astype(np.int64) for r in own]))
+        shard, kind = int(rows[0]["shard"]), int(rows[0]["kind"])
+        out: list[tuple] = []
+        if kind == 0:
+            out = [(0, r["flush"], shard, r["a"], r["b"], r["c"], r["d"], 0, 0) for r in rows]
+        else:
+            grams = [_from_rising(r["a"], _width(kind)) for r in rows]
+            keys, counts = _add(np.concatenate(grams), np.concatenate([_from_planes(r["b"], 4).astype(np.int64) for r in rows]))
             known = counts > 0
             part = build(keys[known], level_of(counts[known]), bits)
             levels = Filter(*Filter.joined([(0, part)], 1)).level(keys).astype(np.uint8)
-            for r, g in zip(own, grams, strict=True):
+            for r, g in zip(rows, grams, strict=True):
                 at = np.searchsorted(keys, g)
                 exact = _planes(counts[at], 6) if kind == 1 else b""
                 out.append((kind, r["flush"], shard, levels[at].tobytes(), exact, b"", b"", 0, 0))
             if kind == 1:
-                out.append((3, -1, shard, b"", b"", b"", b"", int(counts.sum()), int(known.sum())))
+                out.append((_TOTALS, -1, shard, b"", b"", b"", b"", int(counts.sum()), int(known.sum())))
         cols = list(zip(*out, strict=True))
         kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64())
         del rows
@@ -271,45 +300,59 @@ def _merge_shard(bits: int):
     return merge
 
 
-_FLUSH = "ids binary, lengths binary, train binary, logs binary, known binary, one binary, ahead binary, two binary"
+_FLUSH = "ids binary, lengths binary, train binary, logs binary, known binary, levels binary, end int"
+
+
+def _flush_levels(order: int):
+    def levels_of(key: tuple, table: pa.Table) -> pa.Table:
+        """One flush: of each text the sum of logarithms and the known tokens, of each place the levels of its n-grams, order by order."""
+        rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
+        ids, about = rows[0]["a"], rows[0]["b"]
+        texts = len(ids) // 8
+        lengths = _from_planes(about[: 4 * texts], 4).astype(np.int64)
+        unique, of = _from_rising(rows[0]["c"], 8), _from_planes(rows[0]["d"], 4).astype(np.int64)
+        # shards are ranges of hashes, so their answers follow one another in the order of the hashes
+        answer = lambda kind: np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == kind), np.uint8)
+        counts = np.concatenate([_from_planes(r["b"], 6) for r in rows if r["kind"] == 1]).astype(np.int64)[of]
+        tokens, text, first = unique[of], np.repeat(np.arange(texts), lengths), np.cumsum(lengths) - lengths
+        one = answer(1)
+        end = int(one[np.searchsorted(unique, END)])
+        found = [one[of]]
+        for kind, (places, grams) in enumerate(_grams(tokens, first, order), 2):
+            own = np.zeros(len(tokens), np.uint8)
+            own[places] = answer(kind)[np.unique(grams, return_inverse=True)[1]]
+            # an n-gram is no more frequent than its parts
+            found.append(np.minimum(own, np.minimum(found[-1], _context(found[-1], first, end if kind == 2 else 0))))
+        logs = np.bincount(text, np.log10(counts + 0.5), texts)
+        known = np.bincount(text, counts > 0, texts).astype(np.int64)
+        cols = (ids, lengths.tobytes(), about[4 * texts :], logs.tobytes(), known.tobytes(), np.concatenate(found).tobytes())
+        release()
+        return pa.table([*(pa.array([c], pa.binary()) for c in cols), pa.array([end], pa.int32())], names=[x.split()[0] for x in _FLUSH.split(", ")])
 
+    return levels_of
 
-def _flush_levels(key: tuple, table: pa.Table) -> pa.Table:
-    """One flush: of each text the sum of logarithms and the known tokens, of each place the levels of token, token before and pair."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-    ids, about = rows[0]["a"], rows[0]["b"]
-    texts = len(ids) // 8
-    lengths = _from_planes(about[: 4 * texts], 4).astype(np.int64)
-    unique, of = _from_planes(rows[0]["c"], 8), _from_planes(rows[0]["d"], 4).astype(np.int64)
-    # shards are ranges of hashes, so their answers follow one another in the order of the hashes
-    levels = [np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == kind), np.uint8) for kind in (1, 2)]
-    counts = np.concatenate([_from_planes(r["b"], 6) for r in rows if r["kind"] == 1]).astype(np.int64)[of]
-    first = np.cumsum(lengths) - lengths
-    tokens, text = unique[of], np.repeat(np.arange(texts), lengths)
-    end = int(np.searchsorted(unique, END))
-    before = np.concatenate(([END], tokens[:-1]))
-    before[first] = END
-    one = levels[0][of]
-    ahead = np.concatenate((levels[0][end : end + 1], one[:-1]))
-    ahead[first] = levels[0][end]
-    which = np.unique(_pair(before, tokens), return_inverse=True)[1]
-    two = np.minimum(levels[1][which], np.minimum(one, ahead))
-    logs = np.bincount(text, np.log10(counts + 0.5), texts)
-    known = np.bincount(text, counts > 0, texts).astype(np.int64)
-    cols = (ids, lengths.tobytes(), about[4 * texts :], logs.tobytes(), known.tobytes(), one.tobytes(), ahead.tobytes(), two.tobytes())
-    release()
-    return pa.table([pa.array([c], pa.binary()) for c in cols], names=[x.split()[0] for x in _FLUSH.split(", ")])
-
-
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The flushes of staged batches, as arrays."""
-    kinds = {"ids": np.int64, "lengths": np.int64, "train": np.uint8, "logs": np.float64, "known": np.int64, "one": np.uint8, "ahead": np.uint8, "two": np.uint8}
+
+def _context(levels: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """The level of what stands before each place; start at a text's first one."""
+    out = np.concatenate((levels[:1], levels[:-1]))
+    out[first] = start
+    return out
+
+
+def _opened(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[dict]:
+    """The flushes of staged batches, as arrays; grams is a list of (level, context's level) for 2 to `order` tokens."""
+    kinds = {"ids": np.int64, "lengths": np.int64, "train": np.uint8, "logs": np.float64, "known": np.int64}
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {c: np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in kinds.items()}
+            x = {c: np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in kinds.items()}
+            levels = np.frombuffer(batch.column("levels")[i].as_buffer(), np.uint8).reshape(order, -1)
+            first, end = np.cumsum(x["lengths"]) - x["lengths"], batch.column("end")[i].as_py()
+            x["one"] = levels[0]
+            x["grams"] = [(levels[k], _context(levels[k - 1], first, end if k == 1 else 0)) for k in range(1, order)]
+            yield x
 
 
-def score(docs: DataFrame, held_out: Column, shard_chars: int = 8 << 20, bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, shard_chars: int = 24 << 20, bits: int = BITS, order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
@@ -318,30 +361,32 @@ def score(docs: DataFrame, held_out: Column, shard_chars: int = 8 << 20, bits: i
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = max(1, -(-(chars or 0) // shard_chars))
 
-    packed = _pack_docs(docs, shards)
-    merged = stage(packed.groupBy("shard").applyInArrow(_merge_shard(bits), _SHARD), "lm-shards")
-    totals = merged.where("kind = 3").agg(F.sum("n1"), F.sum("n2")).first()
+    packed = _pack_docs(docs, shards, order)
+    merged = stage(packed.groupBy("shard", "kind").applyInArrow(_merge_shard(bits), _SHARD), "lm-shards")
+    totals = merged.where(F.col("kind") == _TOTALS).agg(F.sum("n1"), F.sum("n2")).first()
     tokens, distinct = int(totals[0] or 0), int(totals[1] or 0)
     norm = math.log10(tokens + 0.5 * (distinct + 1))
-    flushes = stage(merged.where("kind < 3").drop("n1", "n2").groupBy("flush").applyInArrow(_flush_levels, _FLUSH), "lm-levels")
+    answers = merged.where(F.col("kind") < _TOTALS).drop("n1", "n2")
+    flushes = stage(answers.groupBy("flush").applyInArrow(_flush_levels(order), _FLUSH), "lm-levels")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, int] = {}
-        for x in _opened(batches):
+        total = np.zeros((order + 1, len(MIDDLE), len(MIDDLE)), np.int64)
+        for x in _opened(batches, order):
             train = np.repeat(x["train"] > 0, x["lengths"])
-            for k, n in _cells(x["one"][train], x["ahead"][train], x["two"][train]):
-                total[k] = total.get(k, 0) + n
-        cols = list(zip(*((*k, n) for k, n in total.items()), strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["one", "ahead", "two", "n"])
+            for k, (own, ahead) in enumerate(x["grams"], 2):
+                cells = own[train].astype(np.int64) * len(MIDDLE) + ahead[train]
+                total[k] += np.bincount(cells, minlength=len(MIDDLE) ** 2).reshape(total[k].shape)
+        k, own, ahead = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k, own, ahead, total[k, own, ahead])], ["k", "own", "ahead", "n"])
 
-    cells = flushes.mapInArrow(counted, "one long, ahead long, two long, n long").groupBy("one", "ahead", "two").agg(F.sum("n").alias("n")).toPandas()
-    weight = _fit(cells, norm)
+    cells = flushes.mapInArrow(counted, "k long, own long, ahead long, n long").groupBy("k", "own", "ahead").agg(F.sum("n").alias("n")).toPandas()  # two levels an order
+    fitted = [_fit(cells[cells["k"] == k]) for k in range(2, order + 1)]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _opened(batches):
-            one, ahead, two = x["one"], x["ahead"], x["two"]
-            a = weight[ahead]
-            p = a * np.where(two > 0, MIDDLE[two] / np.maximum(MIDDLE[ahead], 1), 0) + (1 - a) * (MIDDLE[one] + 0.5) / 10**norm
+        for x in _opened(batches, order):
+            p = (MIDDLE[x["one"]] + 0.5) / 10**norm
+            for (own, ahead), (left, mass) in zip(x["grams"], fitted, strict=True):
+                p = left[own] * np.minimum(MIDDLE[own] / np.maximum(MIDDLE[ahead], 1), 1) + (1 - mass[ahead]) * p
             total = np.bincount(np.repeat(np.arange(len(x["lengths"])), x["lengths"]), np.log10(p), len(x["lengths"]))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x["ids"], x["lengths"], x["known"], x["logs"], total)], ["row_key", "n_tokens", "n_known", "logs", "score"])
 
@@ -350,24 +395,17 @@ def score(docs: DataFrame, held_out: Column, shard_chars: int = 8 << 20, bits: i
     return docs.select("doc_id", "held_out", "row_key").join(each, "row_key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
 
 
-def _cells(one: np.ndarray, ahead: np.ndarray, two: np.ndarray) -> list[tuple[tuple[int, int, int], int]]:
-    """How often each triple of levels occurs."""
-    keys, n = _tally((one.astype(np.int64) << 40) | (ahead.astype(np.int64) << 20) | two)
-    return [((k >> 40, (k >> 20) & 0xFFFFF, k & 0xFFFFF), c) for k, c in zip(keys.tolist(), n.tolist(), strict=True)]
-
-
-def _fit(cells: pd.DataFrame, norm: float) -> np.ndarray:
-    """The weights from counts of level triples."""
-    if not len(cells):
-        return np.full(len(MIDDLE), 0.1)
+def _fit(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(share of an n-gram's count that stays, mass of seen n-grams by level of context) from counts of (own, ahead) levels."""
+    own, ahead = (cells[c].to_numpy(np.int64) for c in ("own", "ahead"))
     n = cells["n"].to_numpy(np.float64)
-    one, ahead, two = (cells[c].to_numpy(np.int64) for c in ("one", "ahead", "two"))
-    pair = np.minimum(np.maximum(MIDDLE[two] - 1, 0) / np.maximum(MIDDLE[ahead] - 1, 1), 1)
-    share = (np.maximum(MIDDLE[one] - 1, 0) + 0.5) / 10**norm
-    a = np.full(len(MIDDLE), 0.1)
-    total = np.bincount(ahead, n, len(MIDDLE))
-    for _ in range(30):
-        own = a[ahead] * pair
-        part = own / np.maximum(own + (1 - a[ahead]) * share, 1e-300)
-        a = (np.bincount(ahead, n * part, len(MIDDLE)) + 0.01) / (total + 1)
-    return np.clip(a, 1e-4, 0.98)
+    of = np.bincount(own, n, len(MIDDLE))
+    left = np.zeros(len(MIDDLE))
+    # the first levels are single counts
+    for r in range(1, 6):
+        left[r] = min(max(of[r + 1] / of[r] if of[r] else 1.0, 1e-3), 0.999)
+    left[1:6] = np.maximum.accumulate(left[1:6])
+    left[6:] = np.maximum(left[5], 1 - 5 * (1 - left[5]) / MIDDLE[6:])
+    mass = np.bincount(ahead, n * left[own], len(MIDDLE)) / np.maximum(np.bincount(ahead, n, len(MIDDLE)), 1)
+    mass[0] = 0
+    return left, np.clip(mass, 0, 0.999)

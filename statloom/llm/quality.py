@@ -9,7 +9,7 @@ linear scorer over hashed word shapes, words and repeats is trained. The scorer
 it sees more than the labellers do, and scores texts on which none of them votes.
 
 Counts of votes cover all documents; the sample (`sample` documents with the least hash
-of doc_id and text) only trains the scorer. Null and empty texts are rejected with score
+of doc_id and text, rows that repeat both once) only trains the scorer. Null and empty texts are rejected with score
 0. A text's words all count, however long it is. Repeated rows are repeated in the result.
 With an empty table, or without a good and a bad pattern, every text with words is kept.
 """
@@ -147,7 +147,7 @@ def label_model(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tupl
     """(posterior of good for each pattern, accuracy of each labeller when it votes), by expectation-maximisation.
 
     Votes are taken as independent given the class. It starts from the majority, a bad vote counting
-    double, as most heuristics tell one kind of bad text and are silent on the others.
+    three times, as most heuristics tell one kind of bad text and are silent on the others.
     """
     votes = _decode(codes)
     post = 1 / (1 + np.exp(-((votes == 1).sum(axis=1) - 3.0 * (votes == -1).sum(axis=1))))
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SIZE) -> tuple[np.nda
                         val.append(weight[edge[i] : edge[i + 1]].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(col, pa.binary()), pa.array(val, pa.binary())], ["code", "col", "val"])
 
-    chosen = texts.where(F.col("h") <= F.lit(limit)).select("text").mapInArrow(features, "code long, col binary, val binary").toPandas()  # about `sample` rows
+    chosen = texts.where(F.col("h") <= F.lit(limit)).dropDuplicates(["h"]).select("text").mapInArrow(features, "code long, col binary, val binary").toPandas()  # about `sample` rows
     labels = np.interp(chosen["code"].to_numpy(np.float64), codes.astype(np.float64), post)
     cols = [np.frombuffer(x, np.int16).astype(np.int64) for x in chosen["col"]]
     if not cols or labels.min() > 0.5 or labels.max() < 0.5:

@@ -146,21 +146,36 @@ def test_language_model_stores_every_pair_and_fits_on_all_documents(spark, monke
     # no filter of the whole input passes the driver
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a filter was broadcast"))
     out = {r["doc_id"]: r["score"] for r in lmscore.score(table, F.col("doc_id") % 5 == 1, shard_chars=10_000, bits=60).collect()}
+    # the same by dictionaries; with 60 bits an event the filter makes no error that counts
     texts = {d: [None, *t.split(), None] for d, t in rows}
-    one, two = collections.Counter(), collections.Counter()
+    grams = lambda t, k: [(i, tuple(t[i - k + 1 : i + 1])) for i in range(max(1, k - 1), len(t))]
+    count = [collections.Counter() for _ in range(5)]
     for d, t in texts.items():
         if d % 5 != 1:
-            one.update(t[1:])
-            two.update(zip(t, t[1:], strict=False))
+            for k in range(1, 5):
+                count[k].update(g for _, g in grams(t, k))
     level = lambda n: int(lmscore.level_of(np.array([n]))[0])
-    levels = lambda t: [(level(one[w]), level(one[v]), min(level(two[v, w]), level(one[v]), level(one[w]))) for v, w in zip(t, t[1:], strict=False)]
-    cells = collections.Counter(x for d, t in texts.items() if d % 5 != 1 for x in levels(t))
-    norm = math.log10(sum(one.values()) + 0.5 * (len(one) + 1))
-    weight = lmscore._fit(pd.DataFrame([(*k, n) for k, n in sorted(cells.items())], columns=["one", "ahead", "two", "n"]), norm)
-    middle = lmscore.MIDDLE
+    pair = lambda g: (level(count[len(g)][g]), level(count[len(g) - 1][g[:-1]]))
+    norm = math.log10(sum(count[1].values()) + 0.5 * (len(count[1]) + 1))
+    cells = collections.Counter((k, *pair(g)) for d, t in texts.items() if d % 5 != 1 for k in range(2, 5) for _, g in grams(t, k))
+    # places without so long a context have level 0 of both
+    table = pd.DataFrame([(*k, n) for k, n in sorted(cells.items())], columns=["k", "own", "ahead", "n"])
+    fitted = {k: lmscore._fit(table[table["k"] == k]) for k in range(2, 5)}
     for d, t in texts.items():
-        want = sum(math.log10(weight[v] * middle[vw] / max(middle[v], 1) + (1 - weight[v]) * (middle[w] + 0.5) / 10**norm) for w, v, vw in levels(t))
-        assert out[d] == pytest.approx(want, rel=1e-6)
+        p = {i: (lmscore.MIDDLE[level(count[1][g])] + 0.5) / 10**norm for i, g in grams(t, 1)}
+        for k in range(2, 5):
+            left, mass = fitted[k]
+            for i, g in grams(t, k):
+                own, ahead = pair(g)
+                p[i] = left[own] * min(1, lmscore.MIDDLE[own] / max(1, lmscore.MIDDLE[ahead])) + (1 - mass[ahead]) * p[i]
+        assert out[d] == pytest.approx(sum(map(math.log10, p.values())), rel=1e-6)
+
+
+def test_language_model_tells_texts_that_were_learned_twice(spark):
+    rows = [(i, prose(i, 120, 300)) for i in range(400)] + [(1000 + i, prose(i, 120, 300)) for i in range(20)]
+    out = {r["doc_id"]: r["score"] for r in lmscore.score(docs(spark, rows).select("doc_id", "text"), F.lit(False)).collect()}
+    twice, once = [out[i] for i in range(20)], [out[i] for i in range(20, 400)]
+    assert min(twice) > max(once)
 
 
 def test_filter_levels_never_fall_short():
