@@ -88,6 +88,18 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _tight(raw: bytes) -> bytes:
+    """raw with its size in front, by an entropy coder, which the shuffle's own compression lacks."""
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _loose(raw: bytes) -> bytes:
+    return _ZSTD.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
@@ -107,26 +119,26 @@ def pair_key(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + tokens)
 
 
-#: Low bits of an n-gram's hash that are not sent.
-_CUT = U64(24)
-ORDER = 4
+#: Bits of an n-gram's hash that are sent, beyond those that number as many n-grams as the input has.
+SPARE = 8
+ORDER = 3
 
 
-def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grams(tokens: np.ndarray, first: np.ndarray, order: int, cut: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For 2 to `order` tokens: (places that have so many before them, the end before a text included; their n-grams' hashes).
 
-    first: the place of each text's first token.
+    first: the place of each text's first token. cut: low bits of a hash that are left out.
     """
     at = np.arange(len(tokens)) - np.repeat(first, np.diff(np.append(first, len(tokens))))
     before = np.concatenate(([END], tokens[:-1]))
     before[first] = END
     full = pair_key(before, tokens)
-    yield np.arange(len(tokens)), full >> _CUT
+    yield np.arange(len(tokens)), full >> U64(cut)
     for k in range(3, order + 1):
         longer = np.concatenate((full[:1], full[:-1]))
         full = pair_key(longer, tokens)
         places = np.flatnonzero(at >= k - 2)
-        yield places, full[places] >> _CUT
+        yield places, full[places] >> U64(cut)
 
 
 def _rising(x: np.ndarray, width: int) -> bytes:
@@ -202,14 +214,10 @@ def build(keys: np.ndarray, levels: np.ndarray, bits: int = BITS) -> bytes:
     return out.tobytes()
 
 
-def _width(kind: int) -> int:
-    return 8 if kind == 1 else 5
-
-
-def _pack_docs(docs: DataFrame, shards: int, order: int) -> DataFrame:
+def _pack_docs(docs: DataFrame, shards: int, order: int, cut: int) -> DataFrame:
     """Each task's flushes, packed by shard: (shard, flush, kind, a, b, c, d).
 
-    Kind 0: ids, training marks and lengths of a flush's texts, its distinct tokens, and their number at each place.
+    Kind 0: ids, training marks and lengths of a flush's texts, the ranks of its distinct tokens, and the rank at each place.
     Kind k: its distinct n-grams of k tokens of one shard, with their counts in training texts.
     """
     names = ["shard", "flush", "kind", "a", "b", "c", "d"]
@@ -230,17 +238,20 @@ def _pack_docs(docs: DataFrame, shards: int, order: int) -> DataFrame:
             tokens, train, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
             unique, of = np.unique(tokens, return_inverse=True)
             about = _planes(lengths, 4) + np.concatenate(marks).astype(np.uint8).tobytes()
-            rows = [(int(key % shards), key, 0, np.concatenate(ids).tobytes(), about, _rising(unique, 8), _planes(of, 4))]
+            # frequent tokens get small numbers, whose planes are short
+            rank = np.empty(len(unique), np.int64)
+            rank[np.argsort(-np.bincount(of), kind="stable")] = np.arange(len(unique))
+            rows = [(int(key % shards), key, 0, np.concatenate(ids).tobytes(), _tight(about), _tight(_planes(rank, 4)), _tight(_planes(rank[of], 4)))]
 
             def own(kind: int, grams: np.ndarray, at: np.ndarray, learn: np.ndarray) -> None:
                 learned = np.bincount(at[learn], minlength=len(grams))
-                edge = np.searchsorted(shard_of(grams if kind == 1 else grams << _CUT, shards), np.arange(shards + 1))
+                edge = np.searchsorted(shard_of(grams if kind == 1 else grams << U64(cut), shards), np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(edge)).tolist():
                     some = slice(edge[s], edge[s + 1])
-                    rows.append((s, key, kind, _rising(grams[some], _width(kind)), _planes(learned[some], 4), b"", b""))
+                    rows.append((s, key, kind, _tight(_rising(grams[some], 8)), _tight(_planes(learned[some], 4)), b"", b""))
 
             own(1, unique, of, train)
-            for kind, (places, grams) in enumerate(_grams(tokens, np.cumsum(lengths) - lengths, order), 2):
+            for kind, (places, grams) in enumerate(_grams(tokens, np.cumsum(lengths) - lengths, order, cut), 2):
                 own(kind, *np.unique(grams, return_inverse=True), train[places])
             held, ids, marks, size = [], [], [], 0
             cols = list(zip(*rows, strict=True))
@@ -280,15 +291,16 @@ def _merge_shard(bits: int):
         if kind == 0:
             out = [(0, r["flush"], shard, r["a"], r["b"], r["c"], r["d"], 0, 0) for r in rows]
         else:
-            grams = [_from_rising(r["a"], _width(kind)) for r in rows]
-            keys, counts = _add(np.concatenate(grams), np.concatenate([_from_planes(r["b"], 4).astype(np.int64) for r in rows]))
+            grams = [_from_rising(_loose(r["a"]), 8) for r in rows]
+            keys, counts = _add(np.concatenate(grams), np.concatenate([_from_planes(_loose(r["b"]), 4).astype(np.int64) for r in rows]))
             known = counts > 0
             part = build(keys[known], level_of(counts[known]), bits)
             levels = Filter(*Filter.joined([(0, part)], 1)).level(keys).astype(np.uint8)
             for r, g in zip(rows, grams, strict=True):
                 at = np.searchsorted(keys, g)
-                exact = _planes(counts[at], 6) if kind == 1 else b""
-                out.append((kind, r["flush"], shard, levels[at].tobytes(), exact, b"", b"", 0, 0))
+                exact = _tight(_planes(counts[at], 6)) if kind == 1 else b""
+                # the flush gets its tokens back, and makes longer n-grams from them again
+                out.append((kind, r["flush"], shard, _tight(levels[at].tobytes()), exact, r["a"] if kind == 1 else b"", b"", 0, 0))
             if kind == 1:
                 out.append((_TOTALS, -1, shard, b"", b"", b"", b"", int(counts.sum()), int(known.sum())))
         cols = list(zip(*out, strict=True))
@@ -303,29 +315,33 @@ def _merge_shard(bits: int):
 _FLUSH = "ids binary, lengths binary, train binary, logs binary, known binary, levels binary, end int"
 
 
-def _flush_levels(order: int):
+def _flush_levels(order: int, cut: int):
     def levels_of(key: tuple, table: pa.Table) -> pa.Table:
         """One flush: of each text the sum of logarithms and the known tokens, of each place the levels of its n-grams, order by order."""
         rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["shard"]))
-        ids, about = rows[0]["a"], rows[0]["b"]
+        if rows[0]["kind"] == _TOTALS:
+            sums = np.array([sum(r[c] for r in rows) for c in ("n1", "n2")], np.int64)
+            return pa.table([*(pa.array([c], pa.binary()) for c in (b"", b"", b"", b"", sums.tobytes(), b"")), pa.array([-1], pa.int32())], names=[x.split()[0] for x in _FLUSH.split(", ")])
+        ids, about = rows[0]["a"], _loose(rows[0]["b"])
         texts = len(ids) // 8
         lengths = _from_planes(about[: 4 * texts], 4).astype(np.int64)
-        unique, of = _from_rising(rows[0]["c"], 8), _from_planes(rows[0]["d"], 4).astype(np.int64)
+        unique = np.concatenate([_from_rising(_loose(r["c"]), 8) for r in rows if r["kind"] == 1])
+        of = np.argsort(_from_planes(_loose(rows[0]["c"]), 4))[_from_planes(_loose(rows[0]["d"]), 4).astype(np.int64)]
         # shards are ranges of hashes, so their answers follow one another in the order of the hashes
-        answer = lambda kind: np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == kind), np.uint8)
-        counts = np.concatenate([_from_planes(r["b"], 6) for r in rows if r["kind"] == 1]).astype(np.int64)[of]
+        answer = lambda kind: np.frombuffer(b"".join(_loose(r["a"]) for r in rows if r["kind"] == kind), np.uint8)
+        counts = np.concatenate([_from_planes(_loose(r["b"]), 6) for r in rows if r["kind"] == 1]).astype(np.int64)[of]
         tokens, text, first = unique[of], np.repeat(np.arange(texts), lengths), np.cumsum(lengths) - lengths
         one = answer(1)
         end = int(one[np.searchsorted(unique, END)])
         found = [one[of]]
-        for kind, (places, grams) in enumerate(_grams(tokens, first, order), 2):
+        for kind, (places, grams) in enumerate(_grams(tokens, first, order, cut), 2):
             own = np.zeros(len(tokens), np.uint8)
             own[places] = answer(kind)[np.unique(grams, return_inverse=True)[1]]
             # an n-gram is no more frequent than its parts
             found.append(np.minimum(own, np.minimum(found[-1], _context(found[-1], first, end if kind == 2 else 0))))
         logs = np.bincount(text, np.log10(counts + 0.5), texts)
         known = np.bincount(text, counts > 0, texts).astype(np.int64)
-        cols = (ids, lengths.tobytes(), about[4 * texts :], logs.tobytes(), known.tobytes(), np.concatenate(found).tobytes())
+        cols = (ids, lengths.tobytes(), about[4 * texts :], logs.tobytes(), known.tobytes(), _tight(np.concatenate(found).tobytes()))
         release()
         return pa.table([*(pa.array([c], pa.binary()) for c in cols), pa.array([end], pa.int32())], names=[x.split()[0] for x in _FLUSH.split(", ")])
 
@@ -345,29 +361,33 @@ def _opened(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             x = {c: np.frombuffer(batch.column(c)[i].as_buffer(), k) for c, k in kinds.items()}
-            levels = np.frombuffer(batch.column("levels")[i].as_buffer(), np.uint8).reshape(order, -1)
+            levels = np.frombuffer(_loose(batch.column("levels")[i].as_py()), np.uint8).reshape(order, -1)
             first, end = np.cumsum(x["lengths"]) - x["lengths"], batch.column("end")[i].as_py()
             x["one"] = levels[0]
             x["grams"] = [(levels[k], _context(levels[k - 1], first, end if k == 1 else 0)) for k in range(1, order)]
             yield x
 
 
-def score(docs: DataFrame, held_out: Column, shard_chars: int = 24 << 20, bits: int = BITS, order: int = ORDER) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text)."""
+def score(docs: DataFrame, held_out: Column, shard_chars: int = 24 << 20, bits: int = BITS, order: int = ORDER, spare: int = SPARE) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
+
+    shard_chars: text whose n-grams of one order a shard holds. bits: the filter's size an event. spare: see SPARE.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
     # rows with one key are equal rows, and so are their scores
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0]  # one number
     shards = max(1, -(-(chars or 0) // shard_chars))
 
-    packed = _pack_docs(docs, shards, order)
-    merged = stage(packed.groupBy("shard", "kind").applyInArrow(_merge_shard(bits), _SHARD), "lm-shards")
-    totals = merged.where(F.col("kind") == _TOTALS).agg(F.sum("n1"), F.sum("n2")).first()
-    tokens, distinct = int(totals[0] or 0), int(totals[1] or 0)
+    cut = max(0, 64 - spare - max(16, int(chars or 1).bit_length()))
+    packed = _pack_docs(docs, shards, order, cut)
+    merged = packed.groupBy("shard", "kind").applyInArrow(_merge_shard(bits), _SHARD)
+    every = stage(merged.groupBy("flush").applyInArrow(_flush_levels(order, cut), _FLUSH), "lm-levels")
+    totals = every.where("end < 0").select("known").collect()  # one row
+    tokens, distinct = np.frombuffer(totals[0][0], np.int64).tolist() if totals else (0, 0)
     norm = math.log10(tokens + 0.5 * (distinct + 1))
-    answers = merged.where(F.col("kind") < _TOTALS).drop("n1", "n2")
-    flushes = stage(answers.groupBy("flush").applyInArrow(_flush_levels(order), _FLUSH), "lm-levels")
+    flushes = every.where("end >= 0")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((order + 1, len(MIDDLE), len(MIDDLE)), np.int64)

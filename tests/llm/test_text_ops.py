@@ -145,8 +145,8 @@ def test_language_model_stores_every_pair_and_fits_on_all_documents(spark, monke
     table = docs(spark, rows).select("doc_id", "text")
     # no filter of the whole input passes the driver
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *_: pytest.fail("a filter was broadcast"))
-    out = {r["doc_id"]: r["score"] for r in lmscore.score(table, F.col("doc_id") % 5 == 1, shard_chars=10_000, bits=60).collect()}
-    # the same by dictionaries; with 60 bits an event the filter makes no error that counts
+    out = {r["doc_id"]: r["score"] for r in lmscore.score(table, F.col("doc_id") % 5 == 1, shard_chars=10_000, bits=4000, order=4, spare=40).collect()}
+    # the same by dictionaries; with so many bits an event the filter makes no error that counts
     texts = {d: [None, *t.split(), None] for d, t in rows}
     grams = lambda t, k: [(i, tuple(t[i - k + 1 : i + 1])) for i in range(max(1, k - 1), len(t))]
     count = [collections.Counter() for _ in range(5)]
