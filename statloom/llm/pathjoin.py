@@ -8,9 +8,10 @@ by the token they have at a position that the path so far selects. Nodes of at m
 `bucket` sets are compared by brute force and larger ones are split again. The number
 of runs is the one that the target recall needs for a pair at the threshold.
 
-Sets whose nodes are still large after a round's splits go to the next round, which
-splits deeper and makes the more runs that this needs, unless all sets of the node are
-connected already. What is large after the last round is compared whole, in blocks.
+Nodes that are still large after a round's splits are compared in blocks, but for pairs
+that are connected already. The sets of very large ones go to a next round instead, which
+splits deeper and makes the more runs that this needs; after the last round all that is
+left is compared in blocks.
 
 Pairs found so are candidates. Their connected groups are then compared exactly, on
 the whole shingle sets, in blocks of bounded size; counts of links are added up and
@@ -42,8 +43,11 @@ from .components import components
 from .scratch import stage
 
 BINS = 64
-#: Tasks that the rows of one large node are dealt to, splits between two looks at the sketches, and sets of a block.
-SALTS, LEVELS, BLOCK_SETS = 32, 3, 1024
+#: Tasks that the rows of one large node are dealt to, rows of a table (of some numbers, or with sketches) that is broadcast,
+#: splits between two looks at the sketches, and sets of a block.
+SALTS, FEW, FEW_SKETCHES, LEVELS, BLOCK_SETS = 32, 100_000, 10_000, 3, 1024
+#: A node of so many buckets isn't split further: its pairs of blocks are compared, so a set is copied so many times at most.
+SPAN = 16
 _EDGES = np.arange(BINS + 1, dtype=U64) << U64(58)
 #: Where an empty bin borrows its value: for each bin the order in which the others are asked.
 _BORROW = np.argsort(mix(np.arange(1, BINS * BINS + 1, dtype=U64)).reshape(BINS, BINS), axis=1)
@@ -130,13 +134,15 @@ def _salt(df: DataFrame, by: str) -> DataFrame:
     return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
 
 
-def _salted(df: DataFrame) -> DataFrame:
-    return _salt(df, "rep")
+def _beside(rows: DataFrame, nodes: DataFrame, by: str, how: str = "inner", salt: str = "rep") -> DataFrame:
+    """rows joined with nodes (a written table, a row a value of `by`), however many rows share one value.
 
-
-def _spread(nodes: DataFrame) -> DataFrame:
-    """A row a node and salt, so that the rows of a large node are dealt to several tasks of a join."""
-    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    A small table of nodes is broadcast; a larger one is copied to SALTS salts, so that a node's rows are dealt to several tasks.
+    """
+    if nodes.count() <= FEW:
+        return rows.join(F.broadcast(nodes), by, how)
+    spread = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return _salt(rows, salt).join(spread.hint("merge"), [by, "salt"], how).drop("salt")
 
 
 def _split(sets: DataFrame, runs: range, depth: int, bucket: int) -> tuple[list[DataFrame], DataFrame]:
@@ -150,7 +156,7 @@ def _split(sets: DataFrame, runs: range, depth: int, bucket: int) -> tuple[list[
             last = names[-1]
             live = stage(_down(live.select("rep", F.col(last).alias("node")).join(sets, "rep"), len(names)), "paths")
         heavy = stage(live.groupBy(name).agg(F.count("*").alias("size")).where(F.col("size") > bucket).select(name, F.lit(True).alias("heavy")), "heavy")
-        tagged = _salted(live).join(_spread(heavy), [name, "salt"], "left").drop("salt")
+        tagged = _beside(live, heavy, name, "left")
         # at most `bucket` sets a node are left here
         own = tagged.where("heavy IS NULL").groupBy(F.col(name).alias("node")).agg(F.collect_list("rep").alias("reps")).where("size(reps) > 1")
         small.append(own.select("node", F.explode("reps").alias("rep")))
@@ -223,6 +229,7 @@ def _compare(nodes: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
 def _stars(large: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
     """Edges from the sets of large nodes to the node's smallest set, where they look similar to it."""
     pivot = large.groupBy("node").agg(F.min("rep").alias("pivot")).join(sets.select(F.col("rep").alias("pivot"), F.col("sk").alias("own")), "pivot")
+    pivot = stage(pivot, "pivots")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,27 +237,39 @@ def _stars(large: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
                 near = (_sketches(batch.column("sk")) == _sketches(batch.column("own"))).mean(axis=1) >= at_least
                 yield batch.select(["rep", "pivot"]).filter(pa.array(near)).rename_columns(["a", "b"])
 
-    rows = _salted(large.join(sets, "rep")).join(_spread(pivot), ["node", "salt"]).where("rep <> pivot")
-    return rows.select("rep", "pivot", "sk", "own").mapInArrow(alike, "a long, b long")
+    rows = large.join(sets, "rep")
+    if pivot.count() <= FEW_SKETCHES:
+        rows = rows.join(F.broadcast(pivot), "node")
+    else:
+        rows = _salt(rows, "rep").join(pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["node", "salt"])
+    return rows.where("rep <> pivot").select("rep", "pivot", "sk", "own").mapInArrow(alike, "a long, b long")
+
 
+def _blocks(rows: DataFrame, nodes: DataFrame, bucket: int) -> DataFrame:
+    """(node, side, rep): pairs of parts of about `bucket` sets, which hold every pair of sets of one node and different roots.
 
-def _blocks(large: DataFrame, bucket: int) -> DataFrame:
-    """(node, side, rep): the pairs of parts, of about `bucket` sets each, of nodes that stay large; every pair of sets is in one."""
-    parts = large.groupBy("node").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
-    dealt = _salted(large).join(_spread(parts), ["node", "salt"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
-    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lo, hi = F.least("part", "other"), F.greatest("part", "other")
-    # within a part every set is a side of its own
-    side = F.when(lo == hi, F.col("rep")).otherwise(F.col("part").cast("long"))
-    return both.select(F.xxhash64("node", lo, hi).alias("node"), side.alias("side"), "rep")
+    rows: (node, rep, root). nodes: (node, most, in_most, n): a node's most frequent root, its sets, and all sets. The sets
+    of that root aren't compared with each other, so where nearly all are of it the others alone are copied.
+    """
+    own = _beside(rows, nodes, "node").withColumn("c", F.col("root") == F.col("most"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / bucket)).cast("int")
+    of = lambda p: F.pmod(F.xxhash64("rep", F.lit(1)), p).cast("int")
+    own = own.withColumn("pc", parts(F.col("in_most"))).withColumn("pr", parts(F.col("n") - F.col("in_most")))
+    own = own.withColumn("p", F.when(F.col("c"), of(F.col("pc"))).otherwise(of(F.col("pr"))))
+    # blocks of parts of the frequent root with parts of the rest, and of two parts of the rest
+    across = F.when(F.col("c"), F.transform(F.sequence(F.lit(0), F.col("pr") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("p").alias("i"), j.alias("j"))))
+    across = across.otherwise(F.transform(F.sequence(F.lit(0), F.col("pc") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("p").alias("j"))))
+    rest = F.when(~F.col("c"), F.transform(F.sequence(F.lit(0), F.col("pr") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least("p", j).alias("i"), F.greatest("p", j).alias("j"))))
+    every = own.withColumn("x", F.explode(F.concat(across, F.coalesce(rest, F.array().cast("array<struct<kind:int,i:int,j:int>>")))))
+    return every.select(F.xxhash64("node", "x.kind", "x.i", "x.j").alias("node"), F.col("root").alias("side"), "rep")
 
 
 def _candidates(sets: DataFrame, recall: float, threshold: float, depths: Sequence[int], bucket: int, at_least: float) -> DataFrame:
     """Edges (a, b) that connect the sets that look similar in some node.
 
-    A round splits up to `depths[r]` times, in as many runs as a pair at the threshold needs at that depth. Sets that are
-    still in a large node then, and aren't all connected with each other by what was found, make up the next round. After
-    the last one the large nodes are compared whole, in blocks.
+    A round splits up to `depths[r]` times, in as many runs as a pair at the threshold needs at that depth. Nodes that are
+    still large then, and whose sets aren't all connected with each other by what was found, are compared in blocks; the
+    sets of those of more than SPAN buckets make up the next round instead, but for the last one.
     """
     miss = (1 - recall) / len(depths)
     found, run = None, 0
@@ -266,14 +285,17 @@ def _candidates(sets: DataFrame, recall: float, threshold: float, depths: Sequen
             return found
         found = stage(found.unionByName(_stars(large, left, at_least)), "found")
         group = components(found)
-        rooted = large.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = stage(rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("node"), "mixed")
-        large = stage(_salted(large).join(_spread(mixed), ["node", "salt"]).select("node", "rep"), "large")
-        if large.isEmpty():
+        rows = stage(large.join(group.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+        by_root = rows.groupBy("node", "root").agg(F.count("*").alias("k"))
+        nodes = by_root.groupBy("node").agg(F.max_by("root", "k").alias("most"), F.max("k").alias("in_most"), F.sum("k").alias("n"))
+        nodes = stage(nodes.where("in_most < n"), "mixed")
+        last = r == len(depths) - 1
+        found = found.unionByName(_compare(_blocks(rows, nodes if last else nodes.where(F.col("n") <= SPAN * bucket), bucket), left, at_least))
+        wide = nodes.where(F.col("n") > SPAN * bucket).select("node")
+        if last or wide.isEmpty():
             return found
-        if r < len(depths) - 1:
-            left = stage(left.join(large.select("rep").distinct(), "rep", "left_semi"), "crowd")
-    return found.unionByName(_compare(_blocks(large, bucket), left, at_least))
+        left = stage(left.join(_beside(rows, stage(wide, "wide"), "node").select("rep").distinct(), "rep", "left_semi"), "crowd")
+    return found
 
 
 def _exact(docs: DataFrame, members: DataFrame, width: int, threshold: float, block_bytes: int) -> DataFrame:
@@ -294,8 +316,8 @@ def _exact(docs: DataFrame, members: DataFrame, width: int, threshold: float, bl
 
     # a block holds a bounded number of bytes and of sets, so a group of n sets is copied n / sets-a-block times
     most = F.greatest(F.ceil(F.sum("size") * 8 / block_bytes), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
-    parts = members.groupBy("root").agg(most.alias("parts"))
-    placed = _salted(members).join(_spread(parts), ["root", "salt"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    parts = stage(members.groupBy("root").agg(most.alias("parts")), "parts")
+    placed = _beside(members, parts, "root").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     sets = docs.join(placed, docs["doc_id"] == placed["doc"]).select("root", "part", "parts", "rep", "n", "text").mapInArrow(load, "root long, part int, parts int, rep long, n long, x binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("root", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "n", "x")
@@ -386,8 +408,8 @@ def _classes(docs: DataFrame, threshold: float, width: int, recall: float, depth
     links = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(exact.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     linked = linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).join(reps.select(F.col("fp").alias("id"), "doc"), "id")
-    least = linked.groupBy("root").agg(F.min("doc").alias("least"))
-    named_class = _salt(linked.select("id", "root"), "id").join(_spread(least), ["root", "salt"]).select(F.col("id").alias("fp"), "root", "least")
+    least = stage(linked.groupBy("root").agg(F.min("doc").alias("least")), "least")
+    named_class = _beside(linked.select("id", "root"), least, "root", salt="id").select(F.col("id").alias("fp"), "root", "least")
     known = reps.select("fp", "doc", "n").join(links.withColumnRenamed("rep", "fp"), "fp", "left").join(named_class, "fp", "left")
     result = own.select("row", "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(known, "fp", "left")
     others = F.when(F.col("doc").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long")

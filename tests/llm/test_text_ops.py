@@ -409,15 +409,18 @@ def test_secret_scan_stays_on_the_jvm(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_path_join_finds_a_pair_in_a_similar_crowd(spark):
+def test_path_join_finds_a_pair_in_a_similar_crowd(spark, monkeypatch):
     # all sets share a third of their words: nodes stay large after three splits, and one pair is at 0.8
     common = prose(77, 120)
     crowd = [(i, common + " " + prose(5000 + i, 110)) for i in range(400)]
     words = crowd[13][1].split()
     words[200:204] = ["changed"] * 4
     rows = [*crowd, (2000, " ".join(words))]
-    # the second depths leave large nodes, which are compared in blocks
-    for depths in ((2, 4), (1,)):
+    # large nodes are split further, or compared in blocks; tables of nodes are broadcast, or dealt by salt
+    for depths, span, few in (((1, 3), 2, 100), ((1,), 16, 0)):
+        monkeypatch.setattr(pathjoin, "SPAN", span)
+        monkeypatch.setattr(pathjoin, "FEW", few)
+        monkeypatch.setattr(pathjoin, "FEW_SKETCHES", few)
         out = {r["doc_id"]: r for r in pathjoin.near_duplicates(docs(spark, rows), bucket=8, depths=depths).collect()}
         assert out[2000]["class_id"] == 13 and out[13]["n_links"] == 1
         assert sum(r["n_links"] for r in out.values()) == 2
