@@ -6,7 +6,7 @@ baseline, the others the split.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +60,12 @@ def passing(filters: Sequence[Filter]) -> Column:
     return test
 
 
+def of_context(context: Mapping[str, object], rules: Mapping[str, Callable], given: Sequence[Filter] = ()) -> list[Filter]:
+    """A future game's known circumstances as filters on the past; a given filter of the same name stays instead."""
+    have = {f.name for f in given}
+    return [*given, *(Filter(name, rules[name](value)) for name, value in context.items() if value is not None and name not in have)]
+
+
 def last_rows(df: DataFrame, by: str, n: int, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """Each subject's newest n rows; apply it after every other filter."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*[F.desc(c) for c in order]))

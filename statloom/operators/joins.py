@@ -68,20 +68,26 @@ def compare_totals(left: DataFrame, right: DataFrame, keys: Sequence[str], value
 
 
 def normalized(name: Column) -> Column:
-    """Lower case, letters and digits only, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " "), r"\s+", " "))
+    """Lower case, letters (of any script) and digits only, without apostrophes and dots, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "['\u2019.]", ""), r"[^\p{L}\p{N}]+", " "))
 
 
 def resolve_names(asked: DataFrame, known: DataFrame, text: str, name: str, id_col: str, weight: str, least: float = 0.7, block: int = 3) -> DataFrame:
     """(text, id, score, status) of each asked name: exact normalised match, else the best by edit distance.
 
-    Fuzzy candidates share one of the `block`-letter pieces of the names' words, so the join is on equal
-    keys. Ties go to the larger weight, then the smaller id; status is unique, clear or ambiguous.
+    Fuzzy candidates share one of the asked name's two rarest word beginnings of `block` letters, so the join is on equal
+    keys and a frequent first word makes no cross join. Ties go to the larger weight, then the smaller id; status is
+    unique, clear or ambiguous.
     """
     a = asked.select(F.col(text).alias("text")).distinct().withColumn("__n", normalized(F.col("text")))
     k = known.select(F.col(id_col).alias("id"), F.col(weight).alias("weight"), normalized(F.col(name)).alias("__m"))
-    pieces = lambda c: F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, block)))
-    pairs = a.withColumn("__p", F.explode(pieces(F.col("__n")))).join(k.withColumn("__p", F.explode(pieces(F.col("__m")))), "__p").drop("__p").distinct()
+    pieces = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, block))))
+    spread = k.withColumn("__p", pieces(F.col("__m")))
+    often = spread.groupBy("__p").agg(F.count("*").alias("__c"))
+    rare = a.withColumn("__p", pieces(F.col("__n"))).join(often, "__p")
+    rare = rare.withColumn("__k", F.row_number().over(Window.partitionBy("text").orderBy("__c", "__p"))).where("__k <= 2").drop("__k", "__c")
+    exact = a.join(k, F.col("__n") == F.col("__m"))
+    pairs = rare.join(spread, "__p").drop("__p").unionByName(exact).distinct()
     longest = F.greatest(F.length("__n"), F.length("__m"))
     score = F.when(F.col("__n") == F.col("__m"), F.lit(1.0)).otherwise(1 - F.levenshtein("__n", "__m") / longest)
     hits = pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
@@ -91,6 +97,23 @@ def resolve_names(asked: DataFrame, known: DataFrame, text: str, name: str, id_c
     return hits.where("__r = 1").select("text", "id", "score", status.alias("status"))
 
 
+def resolve_venues(asked: DataFrame, venues: DataFrame, teams: DataFrame) -> DataFrame:
+    """(text, season, team_id): whose venue a place is in a season, a row a team.
+
+    First the venues (alias, team_id, first, last; null bounds are open) of that name: those of the season, or all of them
+    where none is dated so. Else the teams (team_id, city, name) of that city, else those of that name or full name.
+    """
+    a = asked.select("text", "season", normalized(F.col("text")).alias("__n"))
+    v = venues.select(normalized(F.col("alias")).alias("__n"), "team_id", F.coalesce("first", F.lit(0)).alias("__f"), F.coalesce("last", F.lit(9999)).alias("__l"))
+    city, name = normalized(F.col("city")), normalized(F.col("name"))
+    named = F.explode(F.array(F.struct(city.alias("n"), F.lit(2).alias("k")), F.struct(name.alias("n"), F.lit(3).alias("k")), F.struct(F.concat_ws(" ", city, name).alias("n"), F.lit(3).alias("k"))))
+    t = teams.select("team_id", named.alias("x")).select(F.col("x.n").alias("__n"), "team_id", F.col("x.k").alias("__k"))
+    dated = F.col("season").between(F.col("__f"), F.col("__l"))
+    hits = a.join(v, "__n").select("text", "season", "team_id", F.when(dated, 0).otherwise(1).alias("__k")).unionByName(a.join(t, "__n").select("text", "season", "team_id", "__k"))
+    best = F.min("__k").over(Window.partitionBy("text", "season"))
+    return hits.withColumn("__b", best).where("__k = __b").select("text", "season", "team_id").distinct()
+
+
 def keep_given(df: DataFrame, col: str, looked_up: Column) -> DataFrame:
     return df.withColumn(col, F.coalesce(F.col(col), looked_up))
 

@@ -82,7 +82,7 @@ def a16(s, d):
 
 
 def a17(s, d):
-    h = order_history(s, d).where("subject % 10 = 0")
+    h = order_history(s, d)
     eras = h.groupBy("subject", "level").agg(F.min("season").alias("first"), F.max("season").alias("last"))
     hist = eras.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("first", "last", "level"))).alias("h"))
     return hist.select("subject", F.concat_ws(";", F.transform("h", lambda x: F.concat_ws(":", x["level"], x["first"], x["last"]))).alias("history"))
@@ -219,7 +219,7 @@ QUERIES = [
     Query("a14_league_adjusted", a14, f"SELECT x.subject, x.season, round(x.diff, 4) AS diff, round(y.diff, 4) AS league_diff, round(x.diff - y.diff, 4) AS adjusted FROM {_ch('subject, season')} x JOIN {_ch('season')} y ON x.season = y.season"),
     Query("a15_stints", a15, f"SELECT subject, level, min(season) AS first_season, max(season) AS last_season, count(*) AS games FROM {O} GROUP BY ALL"),
     Query("a16_subject_lookup", a16, f"SELECT subject, min(season) AS first_season, max(season) AS last_season, count(*) AS games, arg_max(level, (ts, event_id)) AS last_level FROM {O} GROUP BY subject"),
-    Query("a17_era_history", a17, f"""WITH e AS (SELECT subject, level, min(season) AS f, max(season) AS l FROM {O} WHERE subject % 10 = 0 GROUP BY ALL)
+    Query("a17_era_history", a17, f"""WITH e AS (SELECT subject, level, min(season) AS f, max(season) AS l FROM {O} GROUP BY ALL)
       SELECT subject, string_agg(level || ':' || f || ':' || l, ';' ORDER BY f, l, level) AS history FROM e GROUP BY subject"""),
     Query("a18_modal_level", a18, f"WITH c AS (SELECT subject, level, count(*) AS n FROM {E} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, level) AS r FROM c) SELECT subject, level AS mode FROM r WHERE r = 1"),
     Query("a19_pair_ratio_variance", a19, f"""WITH g AS (SELECT subject, position, count(*) AS k, sum(value) AS s, sum(exposure) AS m, sum(value * value) AS s2, sum(value * exposure) AS sm, sum(exposure * exposure) AS m2 FROM {D} GROUP BY ALL)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import filters as f
 from ..operators import joins as j
 from ..operators import windows as w
-from ..sources.roles import EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, event_history, order_history, table
+from ..sources.roles import DUEL_HISTORY_SQL, EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, duel_history, event_history, order_history, table
 from .base import Query, rounded
 
-E, O = EVENT_HISTORY_SQL, ORDER_HISTORY_SQL
+E, O, D = EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, DUEL_HISTORY_SQL
 
 
 def _kept(df, *tests):
@@ -120,6 +120,42 @@ def p7_out(s, d):
     return _kept(out)
 
 
+def p3(s, d):
+    """Rows of games with enough shared time with opponent 7, or in the same game where a game has no times."""
+    h = event_history(s, d)
+    shared = h.where("subject = 7").groupBy("d").agg(F.sum("exposure").alias("shared"))
+    timed = h.groupBy("d").agg((F.avg("exposure") > 50).alias("timed"))
+    x = h.join(F.broadcast(shared), "d", "left").join(F.broadcast(timed), "d")  # a row a day
+    return _kept(x.where("subject <> 7"), F.when(F.col("timed"), F.col("shared") >= 60).otherwise(F.col("shared").isNotNull()))
+
+
+def p6(s, d):
+    return _kept(duel_history(s, d), f.one_of("position", ["R", "A"]))
+
+
+def p8(s, d):
+    return _kept(order_history(s, d), f.one_of("position", ["F"]))
+
+
+def p10(s, d):
+    return _kept(event_history(s, d), F.col("home") == F.lit(True))
+
+
+def p15(s, d):
+    return _kept(event_history(s, d), f.in_range("exposure", 30))
+
+
+def p19(s, d):
+    return _kept(order_history(s, d), f.in_range("season", 1994), f.one_of("position", ["F", "O"]))
+
+
+def p25(s, d):
+    context = {"opponent": ["purchase"], "home": True, "rest": None, "minutes": 20}
+    given = [f.Filter("minutes", f.in_range("exposure", 40))]
+    made = f.of_context(context, {"opponent": lambda v: f.one_of("level", v), "home": lambda v: F.col("home") == v, "rest": lambda v: f.in_range("exposure", v, v), "minutes": lambda v: f.in_range("exposure", v)}, given)
+    return _kept(event_history(s, d), *[x.test for x in made])
+
+
 def u1(s, d):
     li = table(s, d, "lineitem")
     parts = F.explode(F.array(F.struct(F.lit("part").alias("role"), F.col("l_partkey").alias("ref")), F.struct(F.lit("supplier").alias("role"), F.col("l_suppkey").alias("ref"))))
@@ -156,6 +192,13 @@ QUERIES = [
     Query("p1_last_seasons", p1, _kept_sql(O, f"season > (SELECT max(season) FROM {O}) - 2")),
     Query("p1_season_range", p1_range, _kept_sql(O, "season BETWEEN 1996 AND 1998")),
     Query("p2_one_of", p2, _kept_sql(E, "level IN ('purchase', 'click')")),
+    Query("p3_shared_floor", p3, _kept_sql(f"""(SELECT h.*, m.shared, t.timed FROM {E} h LEFT JOIN (SELECT d, sum(exposure) AS shared FROM {E} WHERE subject = 7 GROUP BY d) m USING (d) JOIN (SELECT d, avg(exposure) > 50 AS timed FROM {E} GROUP BY d) t USING (d))""", "subject <> 7 AND CASE WHEN timed THEN shared >= 60 ELSE shared IS NOT NULL END")),
+    Query("p6_opponent_position", p6, _kept_sql(D, "position IN ('R', 'A')")),
+    Query("p8_own_position", p8, _kept_sql(O, "position = 'F'")),
+    Query("p10_home_away", p10, _kept_sql(E, "home")),
+    Query("p15_least_minutes", p15, _kept_sql(E, "exposure >= 30")),
+    Query("p19_analysis_rows", p19, _kept_sql(O, "season >= 1994 AND position IN ('F', 'O')")),
+    Query("p25_context_filters", p25, _kept_sql(E, "exposure >= 40 AND level = 'purchase' AND home")),
     Query("p5_numeric_range", p5, _kept_sql(E, "exposure BETWEEN 20 AND 60")),
     Query("p7_teammate_in", p7, f"SELECT subject, count(*) AS n, round(sum(value), 2) AS total FROM {E} h WHERE EXISTS (SELECT 1 FROM {E} m WHERE m.subject = 3 AND m.level = h.level AND m.d = h.d) GROUP BY subject"),
     Query("p7_teammate_out", p7_out, f"""SELECT subject, count(*) AS n, round(sum(value), 2) AS total FROM {E} h WHERE EXISTS (SELECT 1 FROM {E} m WHERE m.subject = 3 AND m.level = h.level AND m.season = h.season)

@@ -116,14 +116,14 @@ def j18(s, d):
     h = event_history(s, d)
     ok = h.groupBy("subject").agg((F.avg("exposure") >= 48).alias("fine"))
     day = h.groupBy("d").agg((F.avg("exposure") >= 49).alias("day_fine"))
-    x = h.where("event_id % 2 = 0").join(ok.where("subject % 9 <> 0"), "subject", "left").join(day, "d", "left")
+    x = h.join(ok.where("subject % 9 <> 0"), "subject", "left").join(day, "d", "left")
     return x.select("event_id", (F.coalesce("fine", F.lit(False)) & F.coalesce("day_fine", F.lit(False))).alias("reliable"))
 
 
 def j19(s, d):
     known = table(s, d, "part")
-    asked = known.where("p_partkey % 5 = 0").select(F.concat(F.upper("p_name"), F.lit(" x")).alias("q"))
-    return j.resolve_names(asked, known, "q", "p_name", "p_partkey", "p_size", 0.7, block=30)
+    asked = known.select(F.concat(F.upper("p_name"), F.lit(" x")).alias("q"))
+    return j.resolve_names(asked, known, "q", "p_name", "p_partkey", "p_size", 0.7)
 
 
 def g1(s, d):
@@ -134,7 +134,28 @@ def g1(s, d):
     return graph.components(close)
 
 
+def g1_sides(s, d):
+    li = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    met = li.join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    met = met.select(F.year("o_orderdate").cast("long").alias("season"), F.col("c_nationkey").cast("long").alias("a"), F.col("s_nationkey").cast("long").alias("b")).where("a <> b")
+    return graph.sides(met.unionByName(met.select("season", F.col("b").alias("a"), F.col("a").alias("b"))), 0, 3)
+
+
+def j20(s, d):
+    n, c, o = table(s, d, "nation"), table(s, d, "customer"), table(s, d, "orders")
+    asked = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lower("n_name"), F.lit(" ")).alias("text"), F.year("o_orderdate").alias("season")).distinct()
+    venues = n.where("n_regionkey < 2").select(F.col("n_name").alias("alias"), F.col("n_nationkey").alias("team_id"), (1992 + F.col("n_nationkey") % 4).alias("first"), F.when(F.col("n_nationkey") % 3 != 0, 1995).alias("last"))
+    more = n.where("n_regionkey = 0").select(F.col("n_name").alias("alias"), (F.col("n_nationkey") + 100).alias("team_id"), F.lit(1996).alias("first"), F.lit(None).cast("int").alias("last"))
+    return j.resolve_venues(asked, venues.unionByName(more), n.where("n_regionkey < 4").select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("city"), F.lit("stars").alias("name")))
+
+
 QUERIES = [
+    Query("g1_sides", g1_sides),
+    Query("j20_venues", j20, """WITH a AS (SELECT DISTINCT n_name AS n, year(o_orderdate) AS season FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+      v AS (SELECT n_name AS n, n_nationkey AS t, 1992 + n_nationkey % 4 AS f, CASE WHEN n_nationkey % 3 <> 0 THEN 1995 END AS l FROM nation WHERE n_regionkey < 2 UNION ALL SELECT n_name, n_nationkey + 100, 1996, NULL FROM nation WHERE n_regionkey = 0),
+      x AS (SELECT a.n, season, t, coalesce(f, 0) <= season AND coalesce(l, 9999) >= season AS dated FROM a JOIN v USING (n)), y AS (SELECT *, bool_or(dated) OVER (PARTITION BY n, season) AS k FROM x)
+      SELECT lower(n) || ' ' AS text, season, t AS team_id FROM y WHERE dated OR NOT k
+      UNION ALL SELECT lower(n_name) || ' ', season, n_nationkey FROM a JOIN nation ON n = n_name WHERE n_regionkey IN (2, 3)"""),
     Query("j1_parent_metadata", j1, "SELECT o_custkey, o_orderdate, o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, c_mktsegment) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS r FROM orders) LEFT JOIN customer ON o_custkey = c_custkey WHERE r = 1"),
     Query("j2_attach_lookups", j2, "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"),
     Query("j3_season_lookup", j3, f"""WITH e AS (SELECT subject, position, min(season) AS f, max(season) AS l FROM {O} GROUP BY ALL),
@@ -157,7 +178,7 @@ QUERIES = [
     Query("j16_relative_rating", j16, f"SELECT event_id, round(avg(value) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) / avg(value) OVER (PARTITION BY season), 6) AS relative FROM {O}"),
     Query("j17_index_union", j17, f"SELECT coalesce(c_custkey, s) AS id, coalesce(c_name, lo) AS name FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT subject AS s, min(level) AS lo FROM {O} GROUP BY 1) ON c_custkey = s"),
     Query("j18_reliability", j18, f"""WITH k AS (SELECT subject, avg(exposure) >= 48 AS f FROM {E} WHERE subject % 9 <> 0 GROUP BY 1), y AS (SELECT d, avg(exposure) >= 49 AS f FROM {E} GROUP BY 1)
-      SELECT event_id, coalesce(k.f, false) AND coalesce(y.f, false) AS reliable FROM {E} h LEFT JOIN k ON h.subject = k.subject LEFT JOIN y ON h.d = y.d WHERE event_id % 2 = 0"""),
+      SELECT event_id, coalesce(k.f, false) AND coalesce(y.f, false) AS reliable FROM {E} h LEFT JOIN k ON h.subject = k.subject LEFT JOIN y ON h.d = y.d"""),
     Query("j19_resolve_names", j19),
     Query("g1_components", g1, """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND c_nationkey % 4 = s_nationkey % 4),
       u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, x) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.x = u.a) SELECT id, min(x) AS root FROM r GROUP BY id HAVING min(x) < id"""),

@@ -14,8 +14,9 @@ E, O = EVENT_HISTORY_SQL, ORDER_HISTORY_SQL
 
 def f2(s, d):
     o = table(s, d, "orders").withColumn("gid", 20_000_000 + (F.col("o_orderkey") % 3) * 10_000_000 + (F.col("o_orderkey") % 100) * 100_000 + F.col("o_orderkey") % 1000)
-    label = F.when(F.col("o_orderpriority") == "1-URGENT", " In-Season CUP ")
-    return o.select("o_orderkey", x.resolved_kind(F.col("gid"), label).alias("kind"), x.season_of_id(F.col("gid")).cast("long").alias("season"))
+    label = F.when(F.col("o_orderpriority") == "1-URGENT", " In-Season Tournament ").when(F.col("o_orderpriority") == "2-HIGH", "World CUP")
+    second = F.when(F.col("o_orderstatus") == "F", "NBA Emirates Cup")
+    return o.select("o_orderkey", x.resolved_kind(F.col("gid"), label, second).alias("kind"), x.season_of_id(F.col("gid")).cast("long").alias("season"))
 
 
 def f3(s, d):
@@ -32,7 +33,7 @@ def f4(s, d):
 
 def f5(s, d):
     c = table(s, d, "customer")
-    flag = lambda k: (F.col("c_custkey") % k == 0).cast("int")
+    flag = lambda k: F.when(F.col("c_custkey") % (7 * k) != 0, (F.col("c_custkey") % k == 0).cast("int"))
     return c.select("c_custkey", x.position_group(flag(2), flag(3), flag(5), F.when(F.col("c_custkey") % 7 < 3, "F").otherwise("C")).alias("grp"))
 
 
@@ -61,7 +62,40 @@ def f11(s, d):
 
 def f12(s, d):
     p = table(s, d, "part")
-    return p.select("p_partkey", x.without_suffix(x.normalized_alias(F.concat("p_name", F.lit(" O'Neal-Smith, Jr.")))).alias("alias"))
+    return p.select("p_partkey", x.without_suffix(x.normalized_alias(F.concat("p_name", F.lit(" D’Angelo O'Neal-Dončić, Jr. III")))).alias("alias"))
+
+
+def f12_names(s, d):
+    c, n = table(s, d, "customer"), table(s, d, "nation")
+    short = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("bo")))
+    people = c.select(F.lit("person").alias("what"), F.col("c_custkey").alias("id"), F.explode(x.player_aliases(F.col("c_mktsegment"), F.concat(F.lit("van "), "c_name", F.lit(" Jr.")), short)).alias("alias"))
+    teams = n.select(F.lit("team").alias("what"), F.col("n_nationkey").alias("id"), F.explode(x.team_aliases(F.col("n_name"), F.lit("Old-Stars"), F.substring("n_name", 1, 3))).alias("alias"))
+    return people.unionByName(teams)
+
+
+def f1(s, d):
+    o = table(s, d, "orders")
+    label = F.when(F.col("o_orderkey") % 4 == 0, "  Play-In Tournament").when(F.col("o_orderkey") % 4 == 1, "IN-SEASON-KNOCKOUT ").when(F.col("o_orderkey") % 4 == 2, F.col("o_orderpriority"))
+    return o.select("o_orderkey", x.kind_of_label(label).alias("kind"))
+
+
+def f7(s, d):
+    o = table(s, d, "orders")
+    text = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T19:30:00-05:00"))).otherwise("TBD")
+    return o.select("o_orderkey", x.zoneless_timestamp(text).alias("ts"))
+
+
+def f23(s, d):
+    h = order_history(s, d).groupBy("subject").agg(F.count("*").alias("n"), F.countDistinct("level").alias("filters"))
+    return h.select("subject", F.concat_ws(",", x.sample_notes(F.col("n"), F.col("filters"))).alias("notes"))
+
+
+def f24(s, d):
+    o = table(s, d, "orders")
+    k = F.col("o_orderkey")
+    days, tired = x.rest_context(F.when(k % 3 == 0, k % 2 == 0), F.when(k % 5 != 0, k % 4))
+    home = x.home_value(F.when(k % 4 == 0, F.when(k % 8 == 0, "home").otherwise("away")), F.when(k % 3 == 0, F.col("o_custkey") % 2), F.lit(1))
+    return o.select("o_orderkey", days.alias("rest"), tired.alias("back_to_back"), home.alias("home"))
 
 
 def f13(s, d):
@@ -104,20 +138,30 @@ def f19(s, d):
 
 QUERIES = [
     Query("f2_game_kind", f2, """WITH o AS (SELECT *, 20000000 + (o_orderkey % 3) * 10000000 + (o_orderkey % 100) * 100000 + o_orderkey % 1000 AS g FROM orders)
-      SELECT o_orderkey, CASE g // 10000000 WHEN 2 THEN CASE WHEN o_orderpriority = '1-URGENT' THEN 'nba_cup' ELSE 'regular' END WHEN 3 THEN 'all_star' WHEN 4 THEN 'playoffs' WHEN 5 THEN 'play_in' END AS kind,
+      SELECT o_orderkey, CASE g // 10000000 WHEN 2 THEN CASE WHEN o_orderpriority = '1-URGENT' OR o_orderstatus = 'F' THEN 'nba_cup' ELSE 'regular' END WHEN 3 THEN 'all_star' WHEN 4 THEN 'playoffs' WHEN 5 THEN 'play_in' END AS kind,
       CASE WHEN g // 100000 % 100 >= 46 THEN 1900 ELSE 2000 END + g // 100000 % 100 AS season FROM o"""),
     Query("f3_season_label", f3, f"WITH a AS (SELECT event_id, year(d) - CASE WHEN month(d) < 10 THEN 1 ELSE 0 END AS season FROM {O}) SELECT event_id, season, season || '-' || lpad(CAST((season + 1) % 100 AS VARCHAR), 2, '0') AS label FROM a"),
     Query("f4_minutes_text", f4, """SELECT l_linenumber, round(sum(CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS INTEGER) + l_linenumber / 60.0 WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END), 6) AS minutes,
       count(CASE WHEN l_linenumber = 1 THEN NULL ELSE 1 END) AS n FROM lineitem GROUP BY 1"""),
-    Query("f5_position_group", f5, """WITH c AS (SELECT c_custkey, c_custkey % 2 = 0 AS g, c_custkey % 3 = 0 AS f, c_custkey % 5 = 0 AS c, CASE WHEN c_custkey % 7 < 3 THEN 'F' ELSE 'C' END AS m FROM customer)
-      SELECT c_custkey, CASE WHEN NOT g AND NOT f AND NOT c THEN m WHEN (m = 'F' AND f) OR (m = 'C' AND c) THEN m WHEN g THEN 'G' WHEN f THEN 'F' ELSE 'C' END AS grp FROM c"""),
+    Query("f5_position_group", f5, """WITH c AS (SELECT c_custkey, c_custkey % 2 = 0 AND c_custkey % 14 <> 0 AS g, c_custkey % 3 = 0 AND c_custkey % 21 <> 0 AS f, c_custkey % 5 = 0 AND c_custkey % 35 <> 0 AS c, CASE WHEN c_custkey % 7 < 3 THEN 'F' ELSE 'C' END AS m FROM customer)
+      SELECT c_custkey, CASE WHEN NOT (g OR f OR c) THEN m WHEN (g::INT + f::INT + c::INT) > 1 AND (m = 'F' AND f OR m = 'C' AND c) THEN m WHEN c THEN 'C' WHEN f THEN 'F' ELSE 'G' END AS grp FROM c"""),
     Query("f6_age", f6, f"SELECT event_id, round(CASE WHEN subject % 10 <> 0 THEN subject * 10 / 365.25 END, 6) AS age FROM {O}"),
     Query("f8_calendar", f8, f"SELECT event_id, dayname(d) AS day, isodow(d) - 1 AS weekday, month(d) AS month, CAST((d - min(d) OVER (PARTITION BY season)) // 7 + 1 AS BIGINT) AS week FROM {O}"),
     Query("f10_rest_bucket", f10, f"""WITH a AS (SELECT event_id, d - lag(d) OVER (PARTITION BY subject ORDER BY ts, event_id) - 1 AS r FROM {O})
-      SELECT event_id, CASE WHEN r IS NULL THEN 'unknown' WHEN r <= 0 THEN '0' WHEN r = 1 THEN '1' WHEN r = 2 THEN '2' ELSE '3+' END AS bucket FROM a"""),
+      SELECT event_id, CASE WHEN r >= 3 THEN '3+' ELSE CAST(r AS VARCHAR) END AS bucket FROM a"""),
     Query("f11_bands", f11, """WITH a AS (SELECT p_partkey, (p_size + 60) // 2 * 2 AS h, (p_size * 4 + 150) // 20 * 20 AS w FROM part)
       SELECT p_partkey, h // 12 || '''' || h % 12 || '"-' || (h + 1) // 12 || '''' || (h + 1) % 12 || '"' AS height, w || '-' || (w + 19) AS weight FROM a"""),
-    Query("f12_alias", f12, """SELECT p_partkey, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' O''Neal-Smith, Jr.'), '[''.]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), ' (jr|sr|ii|iii|iv|v)$', '') AS alias FROM part"""),
+    Query("f12_alias", f12, """SELECT p_partkey, lower(p_name) || ' dangelo oneal dončić' AS alias FROM part"""),
+    Query("f12_generated_aliases", f12_names, """WITH c AS (SELECT c_custkey AS id, lower(c_mktsegment) AS f, 'van ' || lower(c_name) AS l FROM customer), n AS (SELECT n_nationkey AS id, lower(n_name) AS c, substr(lower(n_name), 1, 3) AS a FROM nation)
+      SELECT DISTINCT 'person' AS what, id, unnest([f || ' ' || replace(l, '#', '#') || ' jr', f || ' ' || l, l, f, substr(f, 1, 1) || ' ' || l, substr(f, 1, 1) || 'vc', CASE WHEN f = 'building' THEN 'bo ' || l ELSE f END]) AS alias FROM c
+      UNION SELECT DISTINCT 'team', id, unnest([c, 'old stars', c || ' old stars', a]) FROM n"""),
+    Query("f1_label_kind", f1, "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'play_in' WHEN 1 THEN 'nba_cup' END AS kind FROM orders"),
+    Query("f7_local_time", f7, "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '19 hours 30 minutes' END AS ts FROM orders"),
+    Query("f23_notes", f23, f"""WITH a AS (SELECT subject, count(*) AS n, count(DISTINCT level) AS k FROM {O} GROUP BY 1)
+      SELECT subject, concat_ws(',', CASE WHEN n = 0 THEN 'no_rows' WHEN n < 10 THEN 'small_sample' WHEN n < 25 THEN 'low_confidence' END, CASE WHEN n < 5 AND k >= 2 THEN 'stacked_filters' END) AS notes FROM a"""),
+    Query("f24_game_context", f24, """WITH a AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+      SELECT k AS o_orderkey, CASE WHEN k % 6 = 0 THEN 0.0 WHEN k % 5 <> 0 THEN CAST(k % 4 AS DOUBLE) ELSE 1.0 END AS rest, CASE WHEN k % 6 = 0 THEN true WHEN k % 5 <> 0 THEN k % 4 = 0 ELSE false END AS back_to_back,
+       CASE WHEN k % 8 = 0 THEN 1.0 WHEN k % 4 = 0 THEN 0.0 WHEN k % 3 = 0 THEN CAST(c % 2 AS DOUBLE) END AS home FROM a"""),
     Query("f13_height_text", f13, "SELECT p_partkey, CAST(CASE p_size % 3 WHEN 0 THEN 72 + p_size % 12 WHEN 1 THEN 84 + p_size % 12 ELSE p_size + 40 END AS DOUBLE) AS inches FROM part"),
     Query("f14_game_clock", f14, """WITH a AS (SELECT l_linenumber AS p, CAST(l_quantity AS INTEGER) % 12 * 60 + l_partkey % 60 + 0.5 AS s FROM lineitem)
       SELECT p AS l_linenumber, round(avg(CASE WHEN p <= 4 THEN (p - 1) * 720 + 720 - least(s, 720) ELSE 2880 + (p - 5) * 300 + 300 - least(s, 300) END), 6) AS seconds FROM a GROUP BY p"""),

@@ -72,7 +72,7 @@ def w10(s, d):
 
 
 def w11(s, d):
-    h = order_history(s, d).where("subject % 50 = 0")
+    h = order_history(s, d)
     return w.longest_gap(h, "subject", "d", 3, 400, F.lit(True)).select("subject", "before", "after", F.col("gap").cast("long").alias("gap"))
 
 
@@ -179,7 +179,7 @@ QUERIES = [
       SELECT level, d, round(avg(own) OVER (PARTITION BY level ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS mean_7,
        round(coalesce(sum(own) OVER (PARTITION BY level, season ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS season_sum FROM t"""),
     Query("w10_last_n_period", w10, f"SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY subject, season ORDER BY ts DESC, event_id DESC) <= 5 THEN 'after' ELSE 'before' END AS period FROM {O} WHERE position <> 'P'"),
-    Query("w11_longest_gap", w11, f"""WITH a AS (SELECT DISTINCT subject, d FROM {O} WHERE subject % 50 = 0), b AS (SELECT *, lag(d) OVER (PARTITION BY subject ORDER BY d) AS before FROM a),
+    Query("w11_longest_gap", w11, f"""WITH a AS (SELECT DISTINCT subject, d FROM {O}), b AS (SELECT *, lag(d) OVER (PARTITION BY subject ORDER BY d) AS before FROM a),
       c AS (SELECT *, d - before AS gap, row_number() OVER (PARTITION BY subject ORDER BY d - before DESC, d) AS r FROM b WHERE d - before BETWEEN 3 AND 400)
       SELECT subject, before, d AS after, gap FROM c WHERE r = 1"""),
     Query("w12_midseason_split", w12, f"""WITH a AS (SELECT season, d, row_number() OVER (PARTITION BY season ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY season) AS n FROM {O}), m AS (SELECT season, d AS middle FROM a WHERE r = n // 2)
