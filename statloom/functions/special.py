@@ -67,6 +67,20 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
     return np.array([inv(x) if 0 < x < 1 else (math.inf if x >= 1 else -math.inf) for x in np.asarray(p, float)])
 
 
+#: Coefficients of a Chebyshev fit of ln(erfc(z) / t) + z * z in t = 1 / (1 + z / 2), with a relative error under 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_two_sided(z: Column) -> Column:
+    """P(|Z| > |z|) for a standard normal Z, on the JVM, to a relative 1.2e-7."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    poly = F.lit(0.0)
+    for c in reversed(ERFC):
+        poly = poly * t + c
+    return t * F.exp(poly - x * x)
+
+
 def _masked(fn, *cols: pd.Series) -> pd.Series:
     ok = np.logical_and.reduce([c.notna().to_numpy() for c in cols])
     out = np.full(len(cols[0]), np.nan)

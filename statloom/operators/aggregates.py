@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,20 +35,21 @@ def split_stats(df: DataFrame, by: Sequence[str], mask: Column, value: str, expo
 def level_splits(df: DataFrame, subject: str, level: str, value: str) -> DataFrame:
     """A row a subject and level: the level's n, mean and variance, and those of all the subject's other rows.
 
-    The rest comes from the subject's sums less the level's, so rows are read once.
+    The rest comes from the subject's centred moments less the level's, so rows are read once.
     """
     v = F.col(value)
-    own = df.groupBy(subject, level).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-    total = own.groupBy(subject).agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
-    j = own.join(total, subject)
-    rn, rs, rq = F.col("tn") - F.col("n"), F.col("ts") - F.col("s"), F.col("tq") - F.col("q")
-
-    def var(n: Column, s: Column, q: Column) -> Column:
-        return F.when(n > 1, F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1)))
-
-    return j.select(
-        subject, level, "n", F.try_divide("s", "n").alias("mean"), var(F.col("n"), F.col("s"), F.col("q")).alias("var"),
-        rn.alias("rest_n"), F.try_divide(rs, rn).alias("rest_mean"), var(rn, rs, rq).alias("rest_var"),
+    own = df.groupBy(subject, level).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+    # centred moments: what the others' have in common with the level's is taken out without large numbers
+    w = Window.partitionBy(subject)
+    c = F.coalesce(F.col("mean"), F.lit(0.0))
+    own = own.withColumn("tn", F.sum("n").over(w)).withColumn("tm", F.try_divide(F.sum(F.col("n") * c).over(w), F.col("tn")))
+    apart = F.col("n") * (c - F.col("tm")) * (c - F.col("tm"))
+    own = own.withColumn("apart", apart).withColumn("tq", F.sum("m2").over(w) + F.sum("apart").over(w)).withColumn("rn", F.col("tn") - F.col("n"))
+    own = own.withColumn("rm", F.try_divide(F.col("tn") * F.col("tm") - F.col("n") * c, F.col("rn")))
+    rest = F.col("tq") - F.coalesce("m2", F.lit(0.0)) - F.col("apart") - F.col("rn") * (F.col("rm") - F.col("tm")) * (F.col("rm") - F.col("tm"))
+    return own.select(
+        subject, level, "n", "mean", F.when(F.col("n") > 1, F.col("m2") / (F.col("n") - 1)).alias("var"),
+        F.col("rn").alias("rest_n"), F.col("rm").alias("rest_mean"), F.when(F.col("rn") > 1, F.greatest(F.lit(0.0), rest) / (F.col("rn") - 1)).alias("rest_var"),
     )
 
 

@@ -41,6 +41,27 @@ def quantile(pmf: Column, q: float) -> Column:
     return F.aggregate(pmf, state, step, lambda s: F.when(s["found"] < 0, s["k"] - 1).otherwise(s["found"]))
 
 
+def pmf_of_quantiles(values: Column, levels: list[float], top: int) -> Column:
+    """Probabilities of 0..top from an array of predicted quantiles at `levels`.
+
+    The distribution function is linear between the sorted quantiles, 0 at -0.5, and 1 beyond the highest by twice its
+    distance from the middle one (at least 1) and 1; k gets what lies between k - 0.5 and k + 0.5.
+    """
+    n = len(levels)
+    held = F.transform(F.array(F.array_sort(values)), lambda v: F.struct(v.alias("v"), F.greatest(F.element_at(v, n) - F.element_at(v, n // 2 + 1), F.lit(1.0)).alias("span")))
+    xs = F.transform(held, lambda s: F.concat(F.array(F.lit(-0.5)), F.transform(s["v"], lambda x: F.greatest(x, F.lit(-0.5))), F.array(F.element_at(s["v"], n) + 2 * s["span"] + 1)))
+    ps = F.array(*[F.lit(float(p)) for p in (0.0, *levels, 1.0)])
+
+    def below(x: Column, edge: Column) -> Column:
+        i = F.size(F.filter(x, lambda a: a <= edge))
+        lo, hi = F.element_at(x, i), F.try_element_at(x, i + 1)
+        return F.when(hi.isNull(), 1.0).otherwise(F.element_at(ps, i) + (F.element_at(ps, i + 1) - F.element_at(ps, i)) * (edge - lo) / (hi - lo))
+
+    steps = F.sequence(F.lit(0), F.lit(top))
+    at = F.element_at(F.transform(xs, lambda x: F.transform(steps, lambda k: below(x, k + 0.5))), 1)
+    return normalised(F.transform(F.arrays_zip(at.alias("b"), F.concat(F.array(F.lit(0.0)), F.slice(at, 1, top)).alias("a")), lambda z: F.greatest(z["b"] - z["a"], F.lit(0.0))))
+
+
 def interval(pmf: Column, level: float) -> tuple[Column, Column]:
     tail = (1 - level) / 2
     return quantile(pmf, tail), quantile(pmf, 1 - tail)

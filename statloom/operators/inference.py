@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import t_two_sided
+from ..functions.special import t_pvalue_column, t_two_sided
 
 
 def difference(split: Column, base: Column) -> tuple[Column, Column]:
@@ -29,6 +30,13 @@ def welch(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n2: Column
     return F.when(ok, (m1 - m2) / F.sqrt(a + b)), F.when(ok, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)))
 
 
+def welch_p(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n2: Column) -> Column:
+    """Two-sided p of Welch's test; of two constant sides 1 if they are equal, else 0; null below two rows a side."""
+    t, df = welch(m1, s1, n1, m2, s2, n2)
+    still = (n1 >= 2) & (n2 >= 2) & (s1 == 0) & (s2 == 0)
+    return F.when(still, F.when(m1 == m2, 1.0).otherwise(0.0)).otherwise(t_pvalue_column(t, df))
+
+
 def prior_variance(groups: DataFrame, by: Sequence[str], mean: str, n: str, within: str) -> DataFrame:
     """(by, tau2): variance between group means beyond what their sizes explain; null below three groups, at least 0."""
     have = F.col(mean).isNotNull() & (F.col(n) > 0)
@@ -54,6 +62,13 @@ def verdict(p: Column, low: Column, high: Column) -> Column:
     return F.when(p.isNull(), "unknown").when(sure, "significant").otherwise("not significant")
 
 
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) from 64-bit numbers, by a bijection that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).astype(float) / 2.0**64
+
+
 def bootstrap_ci(df: DataFrame, by: str, mask: Column, value: str, reps: int = 2000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """(by, low, high) of split mean less baseline mean, by the Poisson bootstrap.
 
@@ -63,15 +78,21 @@ def bootstrap_ci(df: DataFrame, by: str, mask: Column, value: str, reps: int = 2
     cols = ["__m", "__v", "__h"]
     rows = df.where(F.col(value).isNotNull()).select(by, F.coalesce(mask, F.lit(False)).alias(cols[0]), F.col(value).cast("double").alias(cols[1]), F.xxhash64(F.lit(seed), *df.columns).alias(cols[2]))
     block = 50
+    # a Poisson(1) weight is the number of these that a uniform number exceeds
+    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
 
     def partial(batches):
         for frame in batches:
+            frame = frame.sort_values(by, kind="stable")
+            keys = frame[by].to_numpy()
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+            m, v = frame["__m"].to_numpy(float), frame["__v"].to_numpy(float)
+            h = frame["__h"].to_numpy(np.int64).view(np.uint64)
             out = []
-            for key, own in frame.groupby(by, sort=False):
-                m, v = own["__m"].to_numpy(bool), own["__v"].to_numpy(float)
-                for a in range(0, reps, block):
-                    w = np.stack([np.random.default_rng([int(h) & 0xFFFFFFFFFFFFFFFF, a]).poisson(1.0, block) for h in own["__h"]])
-                    out.append((key, a, *[x.tolist() for x in (w[m].sum(0) * 1.0, (w[m] * v[m, None]).sum(0), w.sum(0) * 1.0, (w * v[:, None]).sum(0))]))
+            for a in range(0, reps if len(first) else 0, block):
+                w = np.searchsorted(steps, _uniform(h[:, None] + np.arange(a, min(reps, a + block), dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))).astype(float)
+                sums = [np.add.reduceat(x, first, axis=0) for x in (w * m[:, None], w * (m * v)[:, None], w, w * v[:, None])]
+                out += [(keys[k], a, *[x[i].tolist() for x in sums]) for i, k in enumerate(first)]
             yield pd.DataFrame(out, columns=[by, "block", "sn", "sv", "n", "v"])
 
     kind = df.schema[by].dataType.simpleString()
@@ -143,14 +164,21 @@ def effective_n(n: Column, halflife: float) -> Column:
 def paired_bootstrap(df: DataFrame, cluster: str, a: str, b: str, reps: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """One row (diff, low, high): mean of a - b, with whole clusters resampled by Poisson weights."""
     sums = df.groupBy(cluster).agg(F.sum(F.col(a) - F.col(b)).alias("s"), F.count("*").alias("n"))
-    rows = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = (F.xxhash64(F.lit(seed), F.col(cluster), F.col("rep")).cast("double") / 2.0**64) + 0.5
-    # a Poisson(1) weight from a uniform number, by its distribution function
-    steps = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) if k else np.exp(-1.0) for k in range(8)])
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + F.when(u > float(s), 1).otherwise(0)
-    rep = rows.withColumn("w", weight).groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("d"))
+    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
+    step = np.arange(reps, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def partial(batches):
+        """The replicates' sums over a task's clusters, in arrays: two numbers a replicate leave a task."""
+        total = np.zeros((2, reps))
+        for frame in batches:
+            h, own = frame["h"].to_numpy(np.int64).view(np.uint64), frame[["s", "n"]].to_numpy(float)
+            for k in range(0, len(h), 1024):
+                w = np.searchsorted(steps, _uniform(h[k : k + 1024, None] + step[None, :]))
+                total += own[k : k + 1024].T @ w
+        yield pd.DataFrame({"rep": np.arange(reps), "s": total[0], "n": total[1]})
+
+    hashed = sums.select(F.xxhash64(F.lit(seed), F.col(cluster)).alias("h"), F.col("s").cast("double"), F.col("n").cast("double"))
+    rep = hashed.mapInPandas(partial, "rep int, s double, n double").groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))
     tail = (1 - level) / 2
     whole = sums.agg((F.sum("s") / F.sum("n")).alias("diff"))
     return whole.crossJoin(F.broadcast(rep.agg(F.percentile("d", tail).alias("low"), F.percentile("d", 1 - tail).alias("high"))))

@@ -144,6 +144,25 @@ def benjamini_hochberg(p: str, family: str | Sequence[str], tie: str) -> list[tu
     ]
 
 
+def wide_q_values(df: DataFrame, p: str, tie: str, buckets: int = 4096) -> DataFrame:
+    """df with `q_value`, Benjamini and Hochberg's, of all rows as one family: ranked inside ranges of p, so no task has them all.
+
+    What passes between the ranges are a count and a least value of each.
+    """
+    d = df.withColumn("__b", F.when(F.col(p).isNotNull(), F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1))).cast("int"))
+    size = d.where("__b IS NOT NULL").groupBy("__b").agg(F.count("*").alias("__n"))
+    below, whole = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    size = size.select("__b", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__m"))  # a row a range
+    own = Window.partitionBy("__b").orderBy(F.col(p), tie)
+    d = d.join(F.broadcast(size), "__b", "left").withColumn("__q", F.col(p) * F.col("__m") / (F.col("__before") + F.row_number().over(own)))
+    d = d.withColumn("__low", F.min("__q").over(own.rowsBetween(0, Window.unboundedFollowing)))
+    later = d.where("__b IS NOT NULL").groupBy("__b").agg(F.min("__q").alias("__least"))
+    later = later.select("__b", F.min("__least").over(Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)).alias("__later"))
+    d = d.join(F.broadcast(later), "__b", "left")
+    q = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("__low"), F.coalesce("__later", F.lit(1.0))))
+    return d.withColumn("q_value", q).drop("__b", "__before", "__m", "__q", "__low", "__later")
+
+
 def add_steps(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     for name, col in steps:
         df = df.withColumn(name, col)
@@ -175,6 +194,34 @@ def recent_rank(by: str | Sequence[str], order: Sequence[str] = ORDER) -> Column
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])).cast("int")
 
 
+def standings_flags(games: DataFrame, seats: int, least_left: int = 0) -> DataFrame:
+    """(season, team, status, date, games_left): the first date on which a team is eliminated, or has clinched a seat.
+
+    games: (season, league, team, date, win), a row a team and game. Out is who can't reach the wins of the league's last
+    seat any more with all games left; in is whom fewer than `seats` others can still reach. Leagues without more teams
+    than seats have no flags. A season's grid has a row a team and date.
+    """
+    day = games.groupBy("season", "league", "team", "date").agg(F.sum(F.col("win").cast("int")).alias("w"), F.count("*").alias("n"))
+    teams = day.groupBy("season", "league", "team").agg(F.sum("n").alias("total"))
+    grid = teams.join(games.select("season", "date").distinct(), "season").join(day, ["season", "league", "team", "date"], "left")
+    run = Window.partitionBy("season", "league", "team").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    g = grid.select("season", "league", "team", "date", F.coalesce(F.sum("w").over(run), F.lit(0)).alias("w"), (F.col("total") - F.coalesce(F.sum("n").over(run), F.lit(0))).alias("left"))
+    all_of = Window.partitionBy("season", "league", "date")
+    g = g.withColumn("seat", F.row_number().over(all_of.orderBy(F.desc("w"), "team"))).withColumn("teams", F.count("*").over(all_of))
+    wins_at = lambda k: F.max(F.when(F.col("seat") == k, F.col("w"))).over(all_of)
+    g = g.withColumn("bar", F.when(F.col("seat") <= seats, wins_at(seats + 1)).otherwise(wins_at(seats)))
+    # how many can still have so many wins: those that sort at or above it
+    reach = g.select("season", "league", "date", (F.col("w") + F.col("left")).alias("v"), F.lit(0).alias("ask"), F.lit(None).cast(g.schema["team"].dataType).alias("team"))
+    asks = g.select("season", "league", "date", F.col("w").alias("v"), F.lit(1).alias("ask"), "team")
+    above = Window.partitionBy("season", "league", "date").orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)
+    can = reach.unionByName(asks).withColumn("can", F.sum(1 - F.col("ask")).over(above)).where("ask = 1").select("season", "league", "date", "team", (F.col("can") - 1).alias("can"))
+    g = g.join(can, ["season", "league", "date", "team"]).where(F.col("teams") > seats)
+    states = F.array(F.when(F.col("w") + F.col("left") < F.col("bar"), "eliminated"), F.when(F.col("can") <= seats - 1, "clinched"))
+    flags = g.select("season", "team", "date", "left", F.explode(F.filter(states, lambda x: x.isNotNull())).alias("status"))
+    first = flags.groupBy("season", "team", "status").agg(F.min(F.struct("date", "left")).alias("x"))
+    return first.select("season", "team", "status", F.col("x.date").alias("date"), F.col("x.left").alias("games_left")).where(F.col("games_left") >= least_left)
+
+
 def synthetic_line(average: Column, fallback: Column, prior: Column, least: int = 5) -> tuple[Column, Column]:
     """(half-point line, whole line): below the average's next half; the whole one rounds half to even."""
     base = F.round(F.when(prior >= least, average).otherwise(fallback), 9)  # an average a hair below a whole number is that number

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.special import normal_pvalue_column, t_pvalue_column
+from ..functions.special import ERFC, normal_pvalue_column, normal_two_sided
 from ..operators import aggregates as a
 from ..operators import inference as i
 from ..operators import windows as w
@@ -29,7 +29,17 @@ def i1(s, d):
 
 
 def i2(s, d):
-    return _t(_split(s, d)).select("subject", t_pvalue_column(F.col("t"), F.col("df")).alias("p"))
+    c = F.col
+    return _split(s, d).select("subject", i.welch_p(c("split_mean"), c("split_std"), c("split_n"), c("rest_mean"), c("rest_std"), c("rest_n")).alias("p"))
+
+
+def i5(s, d):
+    """F20 and I5: difference, percent, z, and the estimate shrunk with a given variance between groups."""
+    x = _split(s, d)
+    raw, pct = i.difference(F.col("split_mean"), F.col("base_mean"))
+    z = i.z_score(F.col("split_mean"), F.col("base_mean"), F.col("base_std"), F.col("split_n"))
+    weight = i.shrink_weight(F.col("split_n"), F.col("base_std") * F.col("base_std"), F.when(F.col("subject") % 5 != 0, 25.0))
+    return rounded(x.select("subject", raw.alias("diff"), pct.alias("pct"), z.alias("z"), weight.alias("weight"), i.shrunk(F.col("split_mean"), F.col("base_mean"), weight).alias("shrunk")))
 
 
 def _tau(s, d):
@@ -56,7 +66,7 @@ def i6(s, d):
 
 
 def i3(s, d):
-    return i.bootstrap_ci(event_history(s, d).select("subject", "event_id", "level", "value"), "subject", F.col("level") == "purchase", "value", reps=200)
+    return i.bootstrap_ci(event_history(s, d).select("subject", "event_id", "level", "value"), "subject", F.col("level") == "purchase", "value")
 
 
 def _change(s, d):
@@ -75,9 +85,8 @@ def i7_p(s, d):
 
 
 def i8(s, d):
-    c = _change(s, d).withColumn("p", F.round(1 / (1 + F.abs(F.try_divide("diff", "se"))), 9)).withColumn("family", F.lit(1))
-    # the family is one: a row a subject with p, ranked by ranges of p
-    return rounded(w.add_steps(c, w.benjamini_hochberg("p", "family", "subject")).select("subject", "p", "q_value"))
+    c = _change(s, d).withColumn("p", F.round(normal_two_sided(F.try_divide("diff", "se")), 9))
+    return rounded(w.wide_q_values(c, "p", "subject").select("subject", "p", "q_value"))
 
 
 def i9(s, d):
@@ -125,7 +134,7 @@ def i16(s, d):
 
 def i18(s, d):
     h = event_history(s, d).withColumn("a", F.abs(F.col("value") - w.lagged_mean("value", "subject", 5))).withColumn("b", F.abs(F.col("value") - w.lagged_mean("value", "subject", 20))).where("a IS NOT NULL")
-    return i.paired_bootstrap(h, "subject", "a", "b", reps=200)
+    return i.paired_bootstrap(h, "subject", "a", "b")
 
 
 def i19(s, d):
@@ -150,9 +159,15 @@ _TAU = f"""(SELECT subject, CASE WHEN count(*) >= 3 THEN greatest(0, var_samp(m)
 _CH = f"""(SELECT *, a - b AS diff, sqrt(sb * sb + sa * sa) AS se FROM (SELECT subject, avg(value) FILTER (month(d) <= 6) AS b, avg(value) FILTER (month(d) > 6) AS a, stddev_samp(value) FILTER (month(d) <= 6) / sqrt(count(value) FILTER (month(d) <= 6)) AS sb,
  stddev_samp(value) FILTER (month(d) > 6) / sqrt(count(value) FILTER (month(d) > 6)) AS sa FROM {O} GROUP BY subject) WHERE a IS NOT NULL AND b IS NOT NULL)"""
 
+#: The exponent of the normal tail, as a sum of powers.
+_POLY = " + ".join(f"({c} * pow(t, {k}))" for k, c in enumerate(ERFC))
+
 QUERIES = [
     Query("i1_welch", i1, f"SELECT subject, round(t, 6) AS t, round(df, 6) AS df FROM {_WELCH}"),
     Query("i2_welch_p", i2),
+    Query("i5_shrunk_estimate", i5, f"""WITH a AS (SELECT subject, avg(value) FILTER (level = 'purchase') AS m, count(value) FILTER (level = 'purchase') AS n, avg(value) AS b, stddev_samp(value) AS s FROM {E} GROUP BY 1),
+      w AS (SELECT *, CASE WHEN n <= 0 THEN 0.0 WHEN s * s <= 0 THEN 1.0 WHEN subject % 5 = 0 THEN 0.0 ELSE 25.0 / (25.0 + s * s / n) END AS w FROM a)
+      SELECT subject, round(m - b, 6) AS diff, round(CASE WHEN b <> 0 THEN (m - b) / abs(b) * 100 END, 6) AS pct, round(CASE WHEN n >= 1 AND s > 0 THEN (m - b) / (s / sqrt(n)) END, 6) AS z, round(w, 6) AS weight, round(b + w * (m - b), 6) AS shrunk FROM w"""),
     Query("i3_bootstrap_ci", i3),
     Query("i4_prior_variance", i4, f"SELECT subject, round(tau2, 6) AS tau2 FROM {_TAU}"),
     Query("i6_split_vs_baseline", i6, f"""WITH x AS (SELECT *, CASE WHEN n1 <= 0 THEN 0.0 WHEN sd * sd <= 0 THEN 1.0 WHEN tau2 IS NULL OR tau2 <= 0 THEN 0.0 ELSE tau2 / (tau2 + sd * sd / n1) END AS w FROM {_WELCH} LEFT JOIN {_TAU} USING (subject))
@@ -160,7 +175,7 @@ QUERIES = [
        round(t, 6) AS t, round(df, 6) AS df, round(tau2, 6) AS tau2, round(w, 6) AS weight, round(m + w * (m1 - m), 6) AS shrunk, CASE WHEN n1 >= 25 THEN 'high' WHEN n1 >= 10 THEN 'medium' ELSE 'low' END AS confidence FROM x"""),
     Query("i7_change_interval", i7, f"SELECT subject, round(diff, 3) AS diff, round(se, 3) AS se, round(diff - 1.959963984540054 * se, 3) AS low, round(diff + 1.959963984540054 * se, 3) AS high, diff > 0 AS improved FROM {_CH}"),
     Query("i7_change_p", i7_p),
-    Query("i8_q_values", i8, f"""WITH x AS (SELECT subject, round(1 / (1 + abs(diff / nullif(se, 0))), 9) AS p FROM {_CH}), r AS (SELECT *, count(p) OVER () AS m, row_number() OVER (ORDER BY p NULLS LAST, subject) AS r FROM x)
+    Query("i8_q_values", i8, f"""WITH z AS (SELECT subject, abs(diff / nullif(se, 0)) / sqrt(2.0) AS z FROM {_CH}), t AS (SELECT subject, z, 1 / (1 + z / 2) AS t FROM z), x AS (SELECT subject, round(t * exp({_POLY} - z * z), 9) AS p FROM t), r AS (SELECT *, count(p) OVER () AS m, row_number() OVER (ORDER BY p NULLS LAST, subject) AS r FROM x)
       SELECT subject, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 6) AS q_value FROM r"""),
     Query("i9_shrunk_changes", i9, f"""WITH c AS (SELECT subject, diff, 1 / (se * se) AS n FROM {_CH} WHERE se > 0), g AS (SELECT CASE WHEN count(*) >= 3 THEN greatest(0, var_samp(diff) - avg(1 / n)) END AS tau2, avg(diff) AS league FROM c),
       x AS (SELECT *, CASE WHEN tau2 IS NULL OR tau2 <= 0 THEN 0.0 ELSE tau2 / (tau2 + 1 / n) END AS w FROM c CROSS JOIN g) SELECT subject, round(w, 4) AS weight, round(league + w * (diff - league), 4) AS shrunk FROM x"""),

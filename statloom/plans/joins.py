@@ -74,14 +74,15 @@ def j12(s, d):
 
 
 def _presence(s, d):
+    """When each of a game's ten users was there; a game is a day and ten users, so games grow in number and not in size."""
     h = event_history(s, d).select("subject", "event_id", F.col("ts"), "d", "level")
-    g = h.groupBy("d", "subject", F.col("level")).agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"))
+    g = h.groupBy(F.struct("d", F.floor(F.col("subject") / 10).alias("block")).alias("game"), "subject", F.col("level")).agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b"))
     return g.where("a < b")
 
 
 def j13(s, d):
-    t = j.shared_time(_presence(s, d), "d", "subject", "level", "a", "b")
-    return t.select(F.col("game").alias("d"), "who", "other", "shared")
+    t = j.shared_time(_presence(s, d), "game", "subject", "level", "a", "b")
+    return t.select(F.col("game.d").alias("d"), "who", "other", "shared")
 
 
 def j14(s, d):
@@ -171,7 +172,7 @@ QUERIES = [
     Query("j12_compare_totals", j12, """WITH a AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 4 <> 0)
       SELECT coalesce(a.k, b.k) AS k, round(a.v, 2) AS left_value, round(b.v, 2) AS right_value, round(coalesce(a.v, 0) - coalesce(b.v, 0), 2) AS error, abs(coalesce(a.v, 0) - coalesce(b.v, 0)) <= 10000 AS reliable FROM a FULL JOIN b ON a.k = b.k"""),
     Query("j13_shared_time", j13, f"""WITH p AS (SELECT d, subject, level, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM {E} GROUP BY ALL HAVING min(ts) < max(ts))
-      SELECT x.d, x.subject AS who, y.subject AS other, CAST(sum(least(x.b, y.b) - greatest(x.a, y.a)) AS BIGINT) AS shared FROM p x JOIN p y ON x.d = y.d AND x.level <> y.level AND x.a < y.b AND y.a < x.b GROUP BY ALL"""),
+      SELECT x.d, x.subject AS who, y.subject AS other, CAST(sum(least(x.b, y.b) - greatest(x.a, y.a)) AS BIGINT) AS shared FROM p x JOIN p y ON x.d = y.d AND x.subject // 10 = y.subject // 10 AND x.level <> y.level AND x.a < y.b AND y.a < x.b GROUP BY ALL"""),
     Query("j14_on_off", j14, f"""WITH o AS (SELECT subject, opponent, sum(exposure) AS om, sum(value) AS ov FROM {D} WHERE position = 'R' GROUP BY ALL), t AS (SELECT subject, opponent, sum(exposure) AS m, sum(value) AS v FROM {D} GROUP BY ALL)
       SELECT subject, opponent, round(om, 2) AS on_m, round(greatest(m - om, 0), 2) AS off_m, round(greatest(v - ov, 0), 2) AS off_v FROM o JOIN t USING (subject, opponent)"""),
     Query("j15_looked_up_size", j15, f"SELECT event_id, subject, round(CASE WHEN event_id % 2 = 0 THEN exposure ELSE avg(exposure) OVER (PARTITION BY opponent, position) END, 6) AS given FROM {D}"),

@@ -48,12 +48,12 @@ def m9(s, d):
 
 def m10(s, d):
     train, test = _split(s, d)
-    return m.boosted_rate(train, "y", FEATURES, "minutes", trees=8).transform(test).select("event_id", "y", (F.col("rate") * F.col("minutes")).alias("expected"))
+    return m.boosted_rate(train, "y", FEATURES, "minutes", trees=20).transform(test).select("event_id", "y", (F.col("rate") * F.col("minutes")).alias("expected"))
 
 
 def m12(s, d):
     train, test = _split(s, d)
-    return m.boosted_rate(train, "value", ["form", "recent", "rest"], trees=8).transform(test).select("event_id", F.col("value").alias("actual"), F.col("rate").alias("expected"))
+    return m.boosted_rate(train, "value", ["form", "recent", "rest"], trees=20).transform(test).select("event_id", F.col("value").alias("actual"), F.col("rate").alias("expected"))
 
 
 def m14(s, d):
@@ -68,7 +68,7 @@ def _probabilities(s, d):
 
 def m17(s, d):
     p = _probabilities(s, d)
-    kind, scores = m.choose_calibrator(p, "p", "outcome", "subject", folds=3)
+    kind, scores = m.choose_calibrator(p, "p", "outcome", "subject")
     return s.createDataFrame([(k, float(v), k == kind) for k, v in scores.items()], "kind string, brier double, chosen boolean")
 
 
@@ -79,9 +79,11 @@ def m17_isotonic(s, d):
 
 
 def m18(s, d):
-    h = _probabilities(s, d)
-    z = m.pit_scores(h.withColumn("below", F.lit(0.0)).withColumn("at", F.lit(1.0)), "below", "at", ["event_id"])
-    return m.shrunk_correlation(z.withColumn("z2", F.col("value")), "subject", "z", "z2")
+    """Normal scores of counts under their own predicted distributions, and how they go with the value's."""
+    h = frame(s, d).where("form IS NOT NULL").withColumn("run", dist.cdf(dist.count_pmf(F.greatest(F.col("form") / 10, F.lit(0.05)), F.lit(0.2), 20)))
+    k = F.col("y").cast("int")
+    h = h.withColumn("at", F.element_at("run", k + 1)).withColumn("below", F.coalesce(F.try_element_at("run", F.when(k > 0, k)), F.lit(0.0)))
+    return m.shrunk_correlation(m.pit_scores(h, "below", "at", ["event_id"]), "subject", "z", "value")
 
 
 def m18_corr(s, d):
@@ -90,7 +92,7 @@ def m18_corr(s, d):
 
 def m19(s, d):
     h = _probabilities(s, d).where("season = 2").withColumn("q", F.least(F.greatest(F.col("recent") / 100, F.lit(0.02)), F.lit(0.98))).withColumn("rho", F.lit(0.3))
-    return m.joint_over(h.select("event_id", "p", "q", "rho"), ["p", "q"], "rho", draws=500)
+    return m.joint_over(h.select("event_id", "p", "q", "rho"), ["p", "q"], "rho")
 
 
 def m20(s, d):
@@ -120,15 +122,77 @@ def m21(s, d):
     return rounded(m.shapley(h, groups, {x: value(x) for x in sets}).select("event_id", *[f"phi_{g}" for g in groups]), 5)
 
 
+def _rated(s, d):
+    """Frames with the level's rating before the day, relative to all levels'."""
+    f = frame(s, d)
+    day = f.groupBy("level", "d").agg(F.avg("y").alias("y")).withColumn("ts", F.col("d"))
+    own = day.select("level", "d", w.lagged_mean("y", "level", 10, ["ts"]).alias("rating"))
+    league = f.agg(F.avg("y").alias("league"))
+    return f.join(F.broadcast(own), ["level", "d"], "left").crossJoin(F.broadcast(league)).withColumn("rating", F.col("rating") / F.col("league")).withColumn("short_form", F.col("form") / 10)  # a row a level and day
+
+
+_BENCH = ("short_form", "rating", "home_n")
+_CANDIDATES = {
+    "benchmark": (lambda t: m.benchmark(t, "y", *_BENCH), lambda fitted, t: m.predict_benchmark(fitted, t, *_BENCH)),
+    "glm": (lambda t: m.poisson_rate(t, "y", FEATURES, "minutes"), lambda fitted, t: m.predict_rate(fitted, t, "minutes")),
+    "boosted": (lambda t: m.boosted_rate(t, "y", FEATURES, "minutes"), lambda fitted, t: fitted.transform(t).withColumn("expected", F.col("rate") * F.col("minutes"))),
+}
+
+
+def m15(s, d):
+    f = w.own_dispersion(_rated(s, d), "subject", "y", 0.3)
+    fitted = m.benchmark(f.where("season < 2"), "y", *_BENCH)
+    return m.predict_benchmark(fitted, f.where("season = 2"), *_BENCH).select("event_id", "y", "expected", "alpha")
+
+
+def m16(s, d):
+    f = _rated(s, d)
+    best, errors, _ = m.choose_model(_CANDIDATES, f.where("season = 0"), f.where("season = 1"), "y")
+    return s.createDataFrame([(k, e, k == best) for k, e in errors.items()], "candidate string, mae double, chosen boolean")
+
+
 def m22(s, d):
+    """Scores of every candidate and of the last rows' mean, fitted on earlier seasons."""
+    f = _rated(s, d)
+    train, test, out = f.where("season < 2"), f.where("season = 2"), None
+    made = {name: predict(fit(train), test) for name, (fit, predict) in _CANDIDATES.items()}
+    made["last_rows"] = test.withColumn("expected", F.col("recent") / 10)
+    for name, t in made.items():
+        p = 1 - F.exp(-F.greatest(F.col("expected"), F.lit(1e-6)))  # P(Y > 0) of a Poisson count
+        own = t.where("form IS NOT NULL AND recent IS NOT NULL").withColumn("p", p).withColumn("hit", (F.col("y") > 0).cast("double"))
+        own = own.groupBy("season").agg(F.lit(name).alias("model"), *a.point_scores("expected", "y"), *a.probability_scores("p", "hit"), F.count("*").alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def m23(s, d):
+    """What a group of features adds: errors of the model with and without it on the same rows."""
     train, test = _split(s, d)
-    model = m.poisson_rate(train, "y", FEATURES, "minutes")
-    t = m.predict_rate(model, test, "minutes").withColumn("last10", F.col("recent") / 10)
-    return t.groupBy("season").agg(*[c.alias(f"model_{n}") for c, n in zip(a.point_scores("expected", "y"), ("mae", "rmse"), strict=True)], *[c.alias(f"last10_{n}") for c, n in zip(a.point_scores("last10", "y"), ("mae", "rmse"), strict=True)], F.count("*").alias("n"))
+    out = None
+    for name, features in (("with", FEATURES), ("without", [c for c in FEATURES if c != "home_n"])):
+        own = m.predict_rate(m.poisson_rate(train, "y", features, "minutes"), test, "minutes").agg(F.lit(name).alias("proxy"), *a.point_scores("expected", "y"), F.count("*").alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def m8(s, d):
+    q = event_history(s, d).groupBy("subject").agg(F.percentile("exposure", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"))
+    pmf = dist.pmf_of_quantiles(F.col("q"), [0.1, 0.5, 0.9], 60)
+    return rounded(q.select("subject", F.posexplode(pmf).alias("k", "p")))
+
+
+_EDGES = "CASE WHEN e >= x4 THEN 1.0 WHEN e >= x3 THEN 0.9 + 0.1 * (e - x3) / (x4 - x3) WHEN e >= x2 THEN 0.5 + 0.4 * (e - x2) / (x3 - x2) WHEN e >= x1 THEN 0.1 + 0.4 * (e - x1) / (x2 - x1) ELSE 0.1 * (e + 0.5) / (x1 + 0.5) END"
 
 
 QUERIES = [
     Query("m6_dispersion", m6),
+    Query("m8_quantile_pmf", m8, f"""WITH q AS (SELECT subject, quantile_cont(exposure, 0.1) AS x1, quantile_cont(exposure, 0.5) AS x2, quantile_cont(exposure, 0.9) AS x3 FROM {E} GROUP BY 1),
+      g AS (SELECT *, x3 + 2 * greatest(x3 - x2, 1) + 1 AS x4, CAST(unnest(range(0, 61)) AS INTEGER) AS k FROM q), h AS (SELECT *, k + 0.5 AS e FROM g),
+      c AS (SELECT subject, k, {_EDGES} AS c FROM h), m AS (SELECT subject, k, greatest(0.0, c - coalesce(lag(c) OVER (PARTITION BY subject ORDER BY k), 0)) AS p FROM c)
+      SELECT subject, k, round(p / sum(p) OVER (PARTITION BY subject), 6) AS p FROM m"""),
+    Query("m15_benchmark", m15),
+    Query("m16_chosen_model", m16),
+    Query("m23_ablation", m23),
     Query("m9_poisson_glm", m9),
     Query("m10_boosted_rate", m10),
     Query("m12_minutes_model", m12),

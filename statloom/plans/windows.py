@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows as w
-from ..sources.roles import EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, event_history, order_history
+from ..sources.roles import EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, event_history, order_history, table
 from .base import Query, rounded
 
 E, O = EVENT_HISTORY_SQL, ORDER_HISTORY_SQL
@@ -95,13 +95,11 @@ def w13(s, d):
 
 
 def w14(s, d):
-    from pyspark.sql import Window
-
-    # first date from which a level's lead over the third can't be caught, over a date grid of wins
-    t = event_history(s, d).where("level = 'purchase'").groupBy("season", "subject").agg(F.count("*").alias("wins"), F.max("d").alias("last"))
-    order = Window.partitionBy("season").orderBy(F.desc("wins"), "subject")
-    r = t.withColumn("seed", F.row_number().over(order)).withColumn("cut", F.max(F.when(F.col("seed") == 10, F.col("wins"))).over(Window.partitionBy("season")))
-    return r.select("season", "subject", F.col("seed").cast("long").alias("seed"), (F.col("wins") < F.col("cut")).alias("eliminated"))
+    """Nations of a region as the teams of a league with two seats; a large order is a win."""
+    o, c, n = table(s, d, "orders"), table(s, d, "customer"), table(s, d, "nation")
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    games = j.select(F.year("o_orderdate").alias("season"), F.col("n_regionkey").alias("league"), F.col("n_nationkey").alias("team"), F.to_date("o_orderdate").alias("date"), (F.col("o_totalprice") > 150_000).alias("win"))
+    return w.standings_flags(games, 2, 2)
 
 
 def w15(s, d):
@@ -189,8 +187,16 @@ QUERIES = [
       x AS (SELECT season, d, row_number() OVER (PARTITION BY season ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY season) AS n FROM {O}), m AS (SELECT season, d AS middle FROM x WHERE r = n // 2),
       e AS (SELECT season, min(d) AS opener, max(d) AS last FROM {O} GROUP BY season)
       SELECT e.season, opener, last, coalesce(before, middle) AS split_date, CASE WHEN before IS NULL THEN 'middle' ELSE 'gap' END AS source FROM e LEFT JOIN c ON c.season = e.season AND c.r = 1 JOIN m ON m.season = e.season"""),
-    Query("w14_standings", w14, f"""WITH t AS (SELECT season, subject, count(*) AS wins FROM {E} WHERE level = 'purchase' GROUP BY season, subject), r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY wins DESC, subject) AS seed FROM t)
-      SELECT season, subject, seed, wins < max(CASE WHEN seed = 10 THEN wins END) OVER (PARTITION BY season) AS eliminated FROM r"""),
+    Query("w14_standings", w14, """WITH g AS (SELECT year(o_orderdate) AS season, n_regionkey AS league, n_nationkey AS team, CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice > 150000 AS INTEGER) AS win FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+      t AS (SELECT season, league, team, count(*) AS total FROM g GROUP BY ALL), ds AS (SELECT DISTINCT season, date FROM g), y AS (SELECT season, league, team, date, sum(win) AS w, count(*) AS n FROM g GROUP BY ALL),
+      r AS (SELECT t.season, t.league, t.team, ds.date, coalesce(sum(y.w) OVER p, 0) AS w, total - coalesce(sum(y.n) OVER p, 0) AS rest FROM t JOIN ds USING (season) LEFT JOIN y ON y.season = t.season AND y.league = t.league AND y.team = t.team AND y.date = ds.date
+        WINDOW p AS (PARTITION BY t.season, t.league, t.team ORDER BY ds.date ROWS UNBOUNDED PRECEDING)),
+      k AS (SELECT a.*, (SELECT count(*) FROM t WHERE t.season = a.season AND t.league = a.league) AS teams FROM r a),
+      b AS (SELECT a.season, a.team, a.date, any_value(a.w) AS w, any_value(a.rest) AS rest, any_value(a.teams) AS teams, list_sort(list(o.w), 'DESC')[2] AS bar, count(*) FILTER (o.w + o.rest >= a.w) AS can
+        FROM k a JOIN k o ON o.season = a.season AND o.league = a.league AND o.date = a.date AND o.team <> a.team GROUP BY a.season, a.team, a.date),
+      f AS (SELECT season, team, 'eliminated' AS status, date, rest FROM b WHERE teams > 2 AND w + rest < bar UNION ALL SELECT season, team, 'clinched', date, rest FROM b WHERE teams > 2 AND can <= 1),
+      x AS (SELECT *, row_number() OVER (PARTITION BY season, team, status ORDER BY date) AS i FROM f)
+      SELECT season, team, status, date, CAST(rest AS BIGINT) AS games_left FROM x WHERE i = 1 AND rest >= 2"""),
     Query("w15_climatology", w15, f"""WITH a AS (SELECT *, coalesce(avg(value) OVER ({S} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 50.0) AS line FROM {E})
       SELECT x.event_id, round(coalesce(avg(CASE WHEN y.value > x.line THEN 1.0 ELSE 0.0 END) FILTER (y.event_id IS NOT NULL), 0.5), 6) AS share_over
       FROM a x LEFT JOIN a y ON x.subject = y.subject AND x.level = y.level AND (y.ts < x.ts OR y.ts = x.ts AND y.event_id < x.event_id) GROUP BY x.event_id"""),
