@@ -33,13 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import U64, buffers, mix, words
+from .bytewords import U64, buffers, mix, release, words
 from .scratch import stage
 
 #: Kept (1) and ignored (0) positions of the fixed masks.
 MASKS = ("11011011", "1110111", "1110100111", "110101100101")
 #: Hits that are looked at together.
-HITS = 2_000_000
+HITS = 250_000
 NEED = 12
 SHORTEST = 5
 PENALTY = 2
@@ -110,7 +110,8 @@ class Index:
 
     def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (item, diagonal) pairs: the document's position minus the item's."""
-        out = np.zeros((2, 0), np.int64)
+        out = np.zeros(0, np.int64)  # item and diagonal in one number: a slice's diagonals have 40 bits
+        shift = 1 << 39
         for m, mask in enumerate(self.masks):
             s = _seeds(h, mask, m + 1)
             at, long = _runs(s)
@@ -128,9 +129,9 @@ class Index:
                 starts = np.repeat(at[a:b], k) - self.pos[row]
                 ends = starts + np.repeat(long[a:b], k) - self.run[row]
                 item = self.item[row]
-                out = np.unique(np.concatenate((out, np.stack([item, starts]), np.stack([item, ends])), axis=1), axis=1)
+                out = np.unique(np.concatenate((out, (item << 40) + starts + shift, (item << 40) + ends + shift)))
                 a = b
-        return out[0], out[1]
+        return out >> 40, (out & ((1 << 40) - 1)) - shift
 
 
 def best_run(equal: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
@@ -205,6 +206,7 @@ def _search(shared, need: int):
             cols = list(zip(*out, strict=True)) or [[]] * 8
             kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+        release()
 
     return search
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytewords import release
 from .scratch import stage
 
 CAPACITY = 4096
@@ -39,7 +40,7 @@ _PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-ſ‐-‧]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Bytes of a worker's memories of chunks and of parts, with what an entry costs beside its text and ids; each starts
 #: anew when full. A chunk or part longer than _LONG isn't remembered.
-_MOST_CHUNKS, _MOST_PARTS, _ENTRY, _LONG = 220 << 20, 220 << 20, 160, 1 << 10
+_MOST_CHUNKS, _MOST_PARTS, _ENTRY, _LONG = 90 << 20, 60 << 20, 160, 1 << 10
 
 
 class CachedTokenizer:
@@ -142,6 +143,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
                         rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
 

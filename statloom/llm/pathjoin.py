@@ -16,7 +16,7 @@ left is compared in blocks.
 Pairs found so are candidates. Their connected groups are then compared exactly, on
 the whole shingle sets, in blocks of bounded size; counts of links are added up and
 only as many links as connect a group leave a task, so a group of n near copies costs
-no n * n rows. Counting its links takes all its pairs of blocks, of up to 1,024 sets.
+no n * n rows. Counting its links takes all its pairs of blocks, of up to 768 sets.
 
 Result: a row a document with class_id (the smallest doc_id it is linked with, over
 any number of links), copy_id (the smallest doc_id with an equal set) and n_links (how
@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import U64, mix, shingles, words
+from .bytewords import U64, mix, release, shingles, words
 from .components import components
 from .scratch import stage
 
 BINS = 64
 #: Tasks that the rows of one large node are dealt to, rows of a table (of some numbers, or with sketches) that is broadcast,
 #: splits between two looks at the sketches, and sets of a block.
-SALTS, FEW, FEW_SKETCHES, LEVELS, BLOCK_SETS = 32, 100_000, 10_000, 3, 1024
+SALTS, FEW, FEW_SKETCHES, LEVELS, BLOCK_SETS = 32, 100_000, 10_000, 3, 768
 #: A node of so many buckets isn't split further: its pairs of blocks are compared, so a set is copied so many times at most.
 SPAN = 16
 _EDGES = np.arange(BINS + 1, dtype=U64) << U64(58)
@@ -89,6 +89,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     sk.append(sketch(x).tobytes() if len(x) else None)
                     size.append(len(x) or None)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(sk, pa.binary()), pa.array(size, pa.int64())], ["row", "doc_id", "fp", "sk", "size"])
+        release()
 
     return docs.mapInArrow(make, "row long, doc_id long, fp long, sk binary, size long")
 
@@ -222,6 +223,7 @@ def _compare(nodes: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
             rest = batch.slice(cut)
         if rest is not None:
             yield edges(rest)
+        release()
 
     return nodes.join(sets, "rep").select(*own).repartition("node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
 
@@ -334,6 +336,7 @@ def _exact(docs: DataFrame, members: DataFrame, width: int, threshold: float, bl
                 rows.append((part, rep, n, x))
             yield _links(out)
         yield _links(_linked(key, rows, threshold))
+        release()
 
     return pairs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(count, "rep long, links long, low long")
 
@@ -416,7 +419,7 @@ def _classes(docs: DataFrame, threshold: float, width: int, recall: float, depth
     return result.select("row", "doc_id", F.coalesce("least", "doc", "doc_id").alias("class_id"), F.coalesce("doc", "doc_id").alias("copy_id"), others.alias("n_links"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "fp")).alias("set"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depths: Sequence[int] = (3, 6, 9), bucket: int = 200, block_bytes: int = 8 << 20, at_least: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depths: Sequence[int] = (3, 6, 9), bucket: int = 200, block_bytes: int = 4 << 20, at_least: float | None = None) -> DataFrame:
     """(doc_id, class_id, copy_id, n_links) for every row (see the module's text).
 
     depths: splits of the first round and of each further one. at_least: the share of equal sketch values from which a pair
@@ -425,7 +428,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, rec
     return _classes(docs, threshold, width, recall, depths, bucket, block_bytes, at_least).select("doc_id", "class_id", "copy_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depths: Sequence[int] = (3, 6, 9), bucket: int = 200, block_bytes: int = 8 << 20, at_least: float | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depths: Sequence[int] = (3, 6, 9), bucket: int = 200, block_bytes: int = 4 << 20, at_least: float | None = None) -> DataFrame:
     """docs with one row of each class: that of the smallest doc_id, and of rows that share it that of the smallest hash.
 
     Rows without doc_id or without words belong to no class and stay. Rows are told apart by id and text, so different

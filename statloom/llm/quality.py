@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import U64, WHITE, buffers, hash_spans, mix, slices, split
+from .bytewords import U64, WHITE, buffers, hash_spans, mix, release, slices, split
 
 LABELLERS = ("symbols", "marked_words", "capitals", "exclaims", "repeats", "variety", "sentences", "word_length")
 SIZE = 1 << 13
@@ -248,6 +248,7 @@ def _scored(docs: DataFrame, weights: np.ndarray | None, size: int) -> DataFrame
                     own = 1 / (1 + np.exp(-np.clip(np.bincount(text, weight * w[hashed], len(s.n)) + w[-1], -60, 60)))
                 out[lo : lo + len(s.n)] = np.where(s.n > 0, own, 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "__quality"])
+        release()
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(score, f"{kinds}, `__quality` double")
