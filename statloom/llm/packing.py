@@ -40,7 +40,7 @@ _PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-ſ‐-‧]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Bytes of a worker's memories of chunks and of parts, with what an entry costs beside its text and ids; each starts
 #: anew when full. A chunk or part longer than _LONG isn't remembered.
-_MOST_CHUNKS, _MOST_PARTS, _ENTRY, _LONG = 90 << 20, 60 << 20, 160, 1 << 10
+_MOST_CHUNKS, _MOST_PARTS, _ENTRY, _LONG = 160 << 20, 110 << 20, 160, 1 << 10
 
 
 class CachedTokenizer:
