@@ -142,7 +142,26 @@ def fixed_effects(df: DataFrame, group: str, y: str, xs: Sequence[str], level: f
     with np.errstate(divide="ignore", invalid="ignore"):
         tt = beta / se
     p = np.where(se > 0, t_two_sided(np.nan_to_num(tt), df_t), np.nan)
-    return pd.DataFrame({"variable": list(xs), "coef": beta, "se": se, "t": tt, "p": p, "n": n, "groups": g})
+    out = pd.DataFrame({"variable": list(xs), "coef": beta, "se": se, "t": tt, "p": p, "n": n, "groups": g})
+    out.attrs["cov"] = cov.tolist()
+    return out
+
+
+def deviation_columns(col: str, levels: Sequence[str], omitted: str) -> list[Column]:
+    """Sum-to-zero coding: a column for each level but the omitted one, whose rows have -1 in all of them."""
+    code = lambda x: F.when(F.col(col) == x, 1.0).when(F.col(col) == omitted, -1.0).when(F.col(col).isNotNull(), 0.0)
+    return [code(x).alias(x) for x in levels if x != omitted]
+
+
+def with_omitted(table: pd.DataFrame, terms: Sequence[str], omitted: str) -> pd.DataFrame:
+    """A fixed_effects table with the omitted level's row: less the sum of the others', its error from their covariances."""
+    at = [list(table["variable"]).index(t) for t in terms]
+    cov = np.array(table.attrs["cov"], float)[np.ix_(at, at)]
+    coef, se, groups = -float(table["coef"].to_numpy()[at].sum()), float(np.sqrt(max(0.0, cov.sum()))), int(table["groups"].iloc[0])
+    t = coef / se if se > 0 else np.nan
+    p = t_two_sided(np.array([t]), np.array([float(max(1, groups - 1))]))[0] if se > 0 else np.nan
+    row = {"variable": omitted, "coef": coef, "se": se, "t": t, "p": p, "n": table["n"].iloc[0], "groups": groups}
+    return pd.concat([table, pd.DataFrame([row])], ignore_index=True)
 
 
 def trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

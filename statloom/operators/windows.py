@@ -169,12 +169,45 @@ def add_steps(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.drop(*[n for n, _ in steps if n.startswith("__")])
 
 
-def climatology(df: DataFrame, by: Sequence[str], value: str, line: str, order: Sequence[str] = ORDER) -> DataFrame:
-    """df with `share_over`: the share of the group's earlier values above this row's line, 0.5 without any."""
-    seen = F.collect_list(value).over(series(by, order).rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("__seen", seen)
-    over = F.size(F.filter("__seen", lambda x: x > F.col(line)))
-    return df.withColumn("share_over", F.when(F.size("__seen") > 0, over / F.size("__seen")).otherwise(0.5)).drop("__seen")
+def _with_far(d: DataFrame, by: Sequence[str], value: str, line: str) -> DataFrame:
+    """d with `__far`: how many values of the whole blocks `__b` before the row's own are above its line."""
+    # runs (level, index) that end before the row's own block, and the runs that a row's value is part of
+    last = F.max("__b").over(Window.partitionBy(*by))
+    d = d.withColumn("__last", last)
+    levels = F.when(F.col("__last") > 0, F.sequence(F.lit(0), F.floor(F.log2(F.col("__last"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+    run = lambda k: F.call_function("shiftright", F.col("__b"), k)
+    asks = F.transform(F.filter(levels, lambda k: run(k) % 2 == 1), lambda k: F.struct(k.alias("k"), (run(k) - 1).alias("r")))
+    gives = F.transform(F.filter(levels, lambda k: run(k) % 2 == 0), lambda k: F.struct(k.alias("k"), run(k).alias("r")))
+    far = d.where("__last > 0")
+    ask = far.where(F.col(line).isNotNull()).select(*by, "__i", F.col(line).alias("__v"), F.lit(0).alias("__is"), F.explode(asks).alias("__x"))
+    give = far.where(F.col(value).isNotNull()).select(*by, "__i", F.col(value).alias("__v"), F.lit(1).alias("__is"), F.explode(gives).alias("__x"))
+    above = Window.partitionBy(*by, "__x").orderBy(F.desc("__v"), "__is").rowsBetween(Window.unboundedPreceding, 0)  # an ask stands before its equals
+    both = ask.unionByName(give).withColumn("__over", F.sum("__is").over(above))
+    found = both.where("__is = 0").groupBy(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(by)], F.col("__i").alias("__j")).agg(F.sum("__over").alias("__far"))
+    same = F.col("__i") == F.col("__j")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{k}"))
+    d = d.join(found, same, "left")
+    return d
+
+
+def climatology(df: DataFrame, by: Sequence[str], value: str, line: str, order: Sequence[str] = ORDER, block: int = 64) -> DataFrame:
+    """df with `share_over`: the share of the group's earlier values above this row's line, 0.5 without any.
+
+    Rows of the same `block` compare with each other. Whole blocks before it are cut in runs of 2**k blocks, as in the
+    binary digits of their number, and each run is sorted once: n rows of a group make n log(n / block) rows, and a series
+    of one block makes none. `order` tells rows of a group apart.
+    """
+    d = df.withColumn("__i", F.row_number().over(series(by, order)) - 1).withColumn("__b", F.floor(F.col("__i") / block))
+    near = Window.partitionBy(*by, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__near", F.collect_list(value).over(near))
+    if df.groupBy(*by).count().where(F.col("count") > block).isEmpty():  # no series goes beyond its first block
+        d = d.withColumn("__far", F.lit(0))
+    else:
+        d = _with_far(d, by, value, line)
+    n = F.count(value).over(series(by, order).rowsBetween(Window.unboundedPreceding, -1))
+    over = F.size(F.filter("__near", lambda v: v > F.col(line))) + F.coalesce("__far", F.lit(0))
+    return d.withColumn("__n", n).withColumn("share_over", F.when(F.col("__n") > 0, over / F.col("__n")).otherwise(0.5)).select(*df.columns, "share_over")
 
 
 def own_dispersion(df: DataFrame, by: str | Sequence[str], value: str, league: float, n: int = 40, prior: float = 20.0, order: Sequence[str] = ORDER) -> DataFrame:

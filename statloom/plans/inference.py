@@ -123,6 +123,13 @@ def i13(s, d):
     return rounded(_design(s, d).agg(*[F.avg(c).alias(c) for c in ("home", "minutes", "purchase", "click")]))
 
 
+def i14(s, d):
+    levels = ["click", "error", "purchase", "signup", "view"]
+    h = event_history(s, d).where(F.col("level").isin(levels))
+    t = i.fixed_effects(h.select("subject", "value", *i.deviation_columns("level", levels, "view")), "subject", "value", levels[:-1])
+    return rounded(s.createDataFrame(i.with_omitted(t, levels[:-1], "view")))
+
+
 def i15(s, d):
     return s.createDataFrame(i.fixed_effects(_design(s, d), "subject", "value", ["home", "minutes", "purchase", "click"]))
 
@@ -185,6 +192,7 @@ QUERIES = [
     Query("i12_fixed_effects", i12, f"""WITH x AS (SELECT subject, value - avg(value) OVER p AS y, exposure - avg(exposure) OVER p AS x, count(*) OVER p AS k FROM {E} WINDOW p AS (PARTITION BY subject))
       SELECT 'minutes' AS variable, round(sum(x * y) / sum(x * x), 6) AS coef, count(*) AS n, count(DISTINCT subject) AS groups FROM x WHERE k > 1"""),
     Query("i13_design_columns", i13, f"SELECT round(avg(CASE WHEN home THEN 1.0 ELSE 0 END), 6) AS home, round(avg(exposure), 6) AS minutes, round(avg(CASE WHEN level = 'purchase' THEN 1.0 ELSE 0 END), 6) AS purchase, round(avg(CASE WHEN level = 'click' THEN 1.0 ELSE 0 END), 6) AS click FROM {E}"),
+    Query("i14_omitted_level", i14),
     Query("i15_variable_effects", i15),
     Query("i16_linear_trend", i16, f"""WITH h AS (SELECT subject, (d - DATE '1995-01-01') / 365.25 AS x, value AS y FROM {O})
       SELECT subject, count(*) AS n, round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 3) AS intercept, round(CASE WHEN count(*) > 2 THEN sqrt(greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) / (count(*) - 2)) END, 3) AS residual_std FROM h GROUP BY subject"""),

@@ -45,10 +45,10 @@ def s18(s, d):
 
 
 def _lineup(s, d):
-    """Ten-user games: a day's events of ten users in two teams; clicks come in, logouts leave, all else acts."""
+    """Ten-user games: a day's events of ten users in two teams; clicks come in, errors leave, all else acts."""
     h = event_history(s, d).withColumn("game_id", F.date_diff("d", F.lit("2024-01-01").cast("date")).cast("long") * 1_000_000_000 + F.floor(F.col("subject") / 10)).withColumn("team_id", F.col("subject") % 2)
     sec = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 30.0
-    kind = F.when(F.col("level") == "click", "in").when(F.col("level") == "logout", "out").otherwise("act")
+    kind = F.when(F.col("level") == "click", "in").when(F.col("level") == "error", "out").otherwise("act")
     e = h.select("game_id", (F.floor(sec / 720) + 1).cast("int").alias("period"), sec.alias("t"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("subject").alias("person_id"), "team_id", F.lit(None).cast("array<long>").alias("candidates"))
     r = h.groupBy("game_id", "team_id", F.col("subject").alias("person_id")).agg(F.sum("exposure").cast("double").alias("minutes"), (F.min("event_id") % 4 == 0).alias("starter"))
     return e, r

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,11 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(made)
         _SHIPPED.add(sc.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that `spark.checkpoint.dir` names, which all executors reach; a temporary one in local mode without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/statloom/{name}-{uuid.uuid4().hex}"

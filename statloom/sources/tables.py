@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import clock_seconds, normalized_alias
+from ..functions.scalars import clock_seconds, kind_of_id, normalized_alias, season_of_id
 from ..operators.joins import newest
 
 
@@ -66,21 +67,41 @@ def rosters(box: DataFrame, games: DataFrame, wanted: DataFrame | None = None) -
     return j.withColumn("team_id", F.coalesce("team_id", side)).drop("home_id", "away_id")
 
 
-MATCHUP_SCHEMA = """game_id string, home struct<team_id:long, players:array<struct<person_id:long, position:string, matchups:array<struct<person_id:long, statistics:struct<minutes:string, possessions:double, points:double>>>>>>,
-away struct<team_id:long, players:array<struct<person_id:long, position:string, matchups:array<struct<person_id:long, statistics:struct<minutes:string, possessions:double, points:double>>>>>>"""
+# A matchup's statistics under their names in the raw records.
+MATCHUP_STATS = """partialPossessions playerPoints teamPoints matchupAssists matchupPotentialAssists matchupTurnovers matchupBlocks
+matchupFieldGoalsMade matchupFieldGoalsAttempted matchupThreePointersMade matchupThreePointersAttempted matchupFreeThrowsMade
+matchupFreeThrowsAttempted helpBlocks helpFieldGoalsMade helpFieldGoalsAttempted shootingFouls switchesOn
+percentageDefenderTotalTime percentageOffensiveTotalTime percentageTotalTimeBothOn""".split()
+# End of fixed values.
+_STATS = ", ".join(f"{n}:double" for n in MATCHUP_STATS)
+_SIDE = f"struct<teamId:long, players:array<struct<personId:long, position:string, matchups:array<struct<personId:long, statistics:struct<matchupMinutes:string, {_STATS}>>>>>>"
+MATCHUP_SCHEMA = f"boxScoreMatchups struct<gameId:string, homeTeam:{_SIDE}, awayTeam:{_SIDE}>"
 
 
 def matchups(raw: DataFrame) -> DataFrame:
-    """Nested matchup records flattened: a row for an offensive player and each defender."""
-    sides = raw.select("game_id", F.explode(F.array("home", "away")).alias("side"))
-    players = sides.select("game_id", F.col("side.team_id").alias("team_id"), F.explode("side.players").alias("p"))
-    rows = players.select("game_id", "team_id", F.col("p.person_id").alias("off_person_id"), F.col("p.position").alias("off_position"), F.explode("p.matchups").alias("m"))
-    return rows.select("game_id", "team_id", "off_person_id", "off_position", F.col("m.person_id").alias("def_person_id"), clock_seconds(F.col("m.statistics.minutes")).alias("seconds"), F.col("m.statistics.possessions").alias("possessions"), F.col("m.statistics.points").alias("points"))
+    """Nested matchup records flattened: a row for an offensive player and each defender of the other side, with all statistics.
+
+    Statistics keep their names in snake case, without `matchup`.
+    """
+    box = raw.select(F.col("boxScoreMatchups.gameId").cast("long").alias("game_id"), F.col("boxScoreMatchups.homeTeam").alias("h"), F.col("boxScoreMatchups.awayTeam").alias("a"))
+    sides = box.select("game_id", F.explode(F.array(F.struct(F.col("h").alias("side"), F.col("a.teamId").alias("against")), F.struct(F.col("a").alias("side"), F.col("h.teamId").alias("against")))).alias("x"))
+    players = sides.select("game_id", F.col("x.side.teamId").alias("team_id"), F.col("x.against").alias("def_team_id"), F.explode("x.side.players").alias("p"))
+    rows = players.select("game_id", "team_id", F.col("p.personId").alias("off_person_id"), F.nullif(F.col("p.position"), F.lit("")).alias("off_position"), "def_team_id", F.explode("p.matchups").alias("m"))
+    stats = [F.col(f"m.statistics.{n}").alias(re.sub(r"(?<=[a-z])(?=[A-Z])", "_", n).lower().removeprefix("matchup_")) for n in MATCHUP_STATS]
+    return rows.select("game_id", "team_id", "off_person_id", "off_position", "def_team_id", F.col("m.personId").alias("def_person_id"), clock_seconds(F.col("m.statistics.matchupMinutes")).alias("seconds"), *stats)
+
+
+def all_matchups(raw: DataFrame, bio: DataFrame) -> DataFrame:
+    """matchups() with season and kind of game from its id, and the defender's columns of bio (person_id, ...), a row a person."""
+    known = bio.dropDuplicates(["person_id"])
+    known = known.select(*[F.col(c).alias(f"def_{c}") for c in known.columns])
+    m = matchups(raw).withColumn("season", season_of_id(F.col("game_id"))).withColumn("kind", kind_of_id(F.col("game_id")))
+    return m.join(known, "def_person_id", "left")
 
 
-def read_matchups(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files, also gzipped ones, of one matchup record each."""
-    return matchups(spark.read.schema(MATCHUP_SCHEMA).option("multiLine", True).json(path))
+def read_raw_matchups(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON files, also gzipped ones: one record (a game) a file, or a record a line."""
+    return spark.read.schema(MATCHUP_SCHEMA).option("multiLine", not lines).json(path)
 
 
 def aliases(spark: SparkSession, path: str, id_col: str, text_col: str) -> DataFrame:
@@ -139,11 +160,13 @@ def shrunk(df: DataFrame) -> DataFrame:
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> DataFrame:
-    """Write each table below folder as zstd Parquet with floats; (name, rows, columns) of what was written."""
+    """Write each table below folder as zstd Parquet with floats; (name, rows, columns, bytes) of what was written."""
     report = None
     for name, df in tables.items():
-        shrunk(df).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
-        own = df.sparkSession.read.parquet(f"{folder}/{name}.parquet").agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"))
+        path = f"{folder}/{name}.parquet"
+        shrunk(df).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        size = df.sparkSession.read.format("binaryFile").load(path).agg(F.sum("length").alias("bytes"))
+        own = df.sparkSession.read.parquet(path).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns")).crossJoin(size)  # a row each
         report = own if report is None else report.unionByName(own)
     return report
 

@@ -92,11 +92,32 @@ def test_schedules_stack_and_the_last_wins(spark):
 
 
 def test_matchup_json(spark, tmp_path):
-    side = lambda t, p, d: {"team_id": t, "players": [{"person_id": p, "position": "F", "matchups": [{"person_id": d, "statistics": {"minutes": "0:42", "possessions": 2.5, "points": 3}}]}]}
+    side = lambda t, p, d: {"teamId": t, "players": [{"personId": p, "position": "", "matchups": [{"personId": d, "statistics": {"matchupMinutes": "0:42", "partialPossessions": 2.5, "playerPoints": 3, "matchupFieldGoalsMade": 1}}]}]}
     with gzip.open(tmp_path / "g.json.gz", "wt") as f:
-        f.write(json.dumps({"game_id": "0022300001", "home": side(1, 10, 20), "away": side(2, 20, 10)}))
-    rows = {(r["off_person_id"], r["def_person_id"]): r for r in tables.read_matchups(spark, str(tmp_path)).collect()}
-    assert set(rows) == {(10, 20), (20, 10)} and rows[10, 20]["seconds"] == 42 and rows[10, 20]["possessions"] == 2.5
+        f.write(json.dumps({"boxScoreMatchups": {"gameId": "0022300001", "homeTeam": side(1, 10, 20), "awayTeam": side(2, 20, 10)}}))
+    raw = tables.read_raw_matchups(spark, str(tmp_path))
+    bio = spark.createDataFrame([(20, 80.0), (20, 80.0)], "person_id long, height double")
+    rows = {(r["off_person_id"], r["def_person_id"]): r for r in tables.all_matchups(raw, bio).collect()}
+    one = rows[10, 20]
+    assert set(rows) == {(10, 20), (20, 10)} and one["seconds"] == 42 and one["partial_possessions"] == 2.5 and one["field_goals_made"] == 1
+    assert (one["team_id"], one["def_team_id"], one["season"], one["off_position"], one["def_height"], rows[20, 10]["def_height"]) == (1, 2, 2023, None, 80.0, None)
+    assert len(tables.MATCHUP_STATS) == 21
+
+
+def test_alias_file_with_comments(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("# curated by hand\nid,alias\n7,St. John-Smith\n# a note,x\n8,\n7,st john smith\n")
+    assert [tuple(r) for r in tables.aliases(spark, str(tmp_path / "a.csv"), "id", "alias").collect()] == [(7, "st john smith")]
+
+
+def test_parameters_by_version(spark, tmp_path):
+    from statloom.sources import bundle
+
+    for version, v in (("v1", 1.0), ("v2", 2.0)):
+        bundle.save_parameters({"coef": spark.createDataFrame([(v,)], "v double")}, str(tmp_path), version)
+    assert bundle.load_parameters(spark, str(tmp_path))["coef"].first()["v"] == 2.0
+    assert bundle.load_parameters(spark, str(tmp_path), "v1")["coef"].first()["v"] == 1.0
+    with pytest.raises(ValueError):
+        bundle.load_parameters(spark, str(tmp_path), "v3")
 
 
 def test_slim_export(spark, tmp_path):

@@ -134,3 +134,27 @@ def test_queries_without_sql_run(spark, name):
         if "low" in d and d["low"] is not None:
             assert d["low"] <= d["high"]
         assert not any(isinstance(x, float) and math.isinf(x) for x in d.values())
+
+
+def test_the_omitted_level_does_not_depend_on_which_is_omitted(spark):
+    from statloom.operators import inference as i
+
+    rows = [(g, "abc"[(g * 7 + k * k) % 3], float((g * 31 + k * 17) % 23 + 5 * ((g * 7 + k * k) % 3))) for g in range(12) for k in range(8)]
+    df = spark.createDataFrame(rows, "g long, level string, y double")
+    found = []
+    for gone in "ca":
+        terms = [x for x in "abc" if x != gone]
+        t = i.fixed_effects(df.select("g", "y", *i.deviation_columns("level", list("abc"), gone)), "g", "y", terms)
+        found.append(i.with_omitted(t, terms, gone).set_index("variable").loc[list("abc")][["coef", "se", "p"]].to_numpy())
+    assert abs(found[0] - found[1]).max() < 1e-9 and abs(found[0][:, 0].sum()) < 1e-9
+
+
+def test_climatology_counts_the_whole_past(spark):
+    from statloom.operators import windows as w
+
+    rows = [(k % 2, k, None if k % 11 == 0 else float(k * 7919 % 101), float(k * 104729 % 97)) for k in range(700)]
+    df = spark.createDataFrame(rows, "who long, ts long, value double, line double")
+    got = {r["ts"]: r["share_over"] for r in w.climatology(df, ["who"], "value", "line", ["ts"], block=16).collect()}
+    for who, k, _, line in rows:
+        past = [v for g, j, v, _ in rows if g == who and j < k and v is not None]
+        assert abs(got[k] - (sum(v > line for v in past) / len(past) if past else 0.5)) < 1e-12
