@@ -45,6 +45,8 @@ from .scratch import stage
 
 #: Most sets of a part of a group; and bytes of sets that a task holds of it.
 PART_SETS, PART_BYTES = 768, 4 << 20
+#: Ids that are broadcast to leave out the texts of other documents before a shuffle; beyond it all texts are shuffled.
+FEW_IDS = 2_000_000
 U32 = np.uint32
 
 
@@ -213,6 +215,9 @@ def _confirm(docs: DataFrame, placed: DataFrame, width: int, percent: int) -> Da
         yield _edges(edges())
         release()
 
+    ids = placed.select(F.col("doc").alias("doc_id")).distinct()
+    if ids.count() <= FEW_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     texts = docs.join(placed, docs["doc_id"] == placed["doc"]).select(F.explode("at").alias("part"), "rep", "label", "text")
     sets = texts.mapInArrow(load, "part long, rep long, label long, x binary")
     return sets.repartition("part").sortWithinPartitions("part").mapInArrow(link, "a long, b long")
