@@ -47,6 +47,8 @@ from .scratch import stage
 PART_SETS, PART_BYTES = 768, 4 << 20
 #: Ids that are broadcast to leave out the texts of other documents before a shuffle; beyond it all texts are shuffled.
 FEW_IDS = 2_000_000
+#: Buckets whose keys are broadcast; beyond it the keys of all bands are shuffled a second time.
+FEW_NODES = 1_000_000
 U32 = np.uint32
 
 
@@ -111,9 +113,11 @@ def _candidates(reps: DataFrame, at_least: float, bucket: int) -> DataFrame:
     """Edges (a, b) that connect the sets that look similar in some bucket."""
     sets = reps.select("rep", "sk")
     keys = reps.select("rep", F.explode("keys").alias("node"))
-    shared = keys.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("n > 1")
-    shared = stage(shared.groupBy("n", "low", "same").agg(F.min("node").alias("node")), "buckets")
-    small = keys.join(shared.where(F.col("n") <= bucket).select("node"), "node").select("node", "rep")
+    shared = keys.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("same")).where("n > 1")
+    shared = stage(shared.groupBy("n", "low", "high", "same").agg(F.min("node").alias("node")), "buckets")
+    pairs = shared.where("n = 2").select("node", F.explode(F.array("low", "high")).alias("rep"))
+    several = shared.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("node")
+    small = keys.join(F.broadcast(several) if several.count() <= FEW_NODES else several, "node").select("node", "rep").unionByName(pairs)
     found = stage(_compare(small, sets, at_least).distinct(), "found")
     wide = shared.where(F.col("n") > bucket).select("node")
     if wide.isEmpty():
