@@ -1,7 +1,7 @@
 """Count distributions as array columns: element k + 1 is the probability of k.
 
-Poisson and negative binomial probabilities come from a recurrence in a higher-order
-function, so they stay on the JVM.
+Poisson and negative binomial probabilities are higher-order functions with ln Gamma from
+its series, so they stay on the JVM.
 """
 
 from __future__ import annotations
@@ -9,13 +9,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.special import lgamma
 
-def count_pmf(mean: Column, alpha: Column, top: int) -> Column:
+
+def count_pmf(mean: Column, alpha: Column, top: int | Column) -> Column:
     """Probabilities of 0..top, with variance mean + alpha * mean**2 (alpha 0: Poisson)."""
-    r = 1 / alpha
-    p0 = F.when(alpha > 0, F.pow(1 / (1 + alpha * mean), r)).otherwise(F.exp(-mean))
-    ratio = lambda k: F.when(alpha > 0, (k - 1 + r) / k * (alpha * mean / (1 + alpha * mean))).otherwise(mean / k)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), F.array(p0.cast("double")), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * ratio(k.cast("double")))))
+    return mixture_pmf(F.array(F.struct(F.lit(1.0).alias("weight"), mean.cast("double").alias("mean"))), alpha, top)
+
+
+def mixture_pmf(nodes: Column, alpha: Column, top: int | Column) -> Column:
+    """Probabilities of 0..top of a mixture of counts: nodes is an array of structs (weight, mean). A mean of 0 has all at 0."""
+    last = F.lit(top) if isinstance(top, int) else top.cast("int")
+    # what doesn't depend on k is worked out once a node
+    r = F.try_divide(F.lit(1.0), alpha)
+
+    def fixed(n: Column) -> Column:
+        m = F.greatest(n["mean"], F.lit(1e-300))
+        share = F.ln(1 + alpha * m)
+        head = F.when(alpha > 0, -lgamma(r) - r * share).otherwise(-m)
+        slope = F.when(alpha > 0, F.ln(alpha * m) - share).otherwise(F.ln(m))
+        return F.struct(n["weight"].alias("weight"), head.alias("head"), slope.alias("slope"))
+
+    def at(own: Column) -> Column:
+        def p(k: Column) -> Column:
+            k = k.cast("double")
+            level = F.when(alpha > 0, lgamma(k + r)).otherwise(0.0) - lgamma(k + 1)
+            return F.element_at(F.transform(F.array(level), lambda c: F.aggregate(own, F.lit(0.0), lambda t, n: t + n["weight"] * F.exp(n["head"] + k * n["slope"] + c))), 1)
+
+        return F.transform(F.sequence(F.lit(0), last), p)
+
+    return F.element_at(F.transform(F.array(F.transform(nodes, fixed)), at), 1)
+
+
+def support(mean: Column, alpha: Column, spread: float = 20.0) -> Column:
+    """A last count that so many deviations beyond the mean leave less than about 1e-8 above."""
+    return F.ceil(mean + spread * F.sqrt(mean + alpha * mean * mean) + 20).cast("int")
 
 
 def normalised(pmf: Column) -> Column:
@@ -29,6 +57,14 @@ def cdf(pmf: Column) -> Column:
     return F.slice(run, 2, F.size(pmf))
 
 
+def cdf_around(pmf: Column, y: Column) -> Column:
+    """(below, at): the distribution function just below a count, and at it; 1 beyond the support."""
+    upto = lambda p, n: F.aggregate(F.slice(p, F.lit(1), n), F.lit(0.0), lambda t, x: t + x)
+    k = F.greatest(y.cast("int"), F.lit(0))
+    both = F.transform(F.array(pmf), lambda p: F.struct(upto(p, k).alias("below"), upto(p, k + 1).alias("at")))
+    return F.element_at(both, 1)
+
+
 def quantile(pmf: Column, q: float) -> Column:
     """The smallest count whose distribution function reaches q."""
     state = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("k"), F.lit(-1).alias("found"))

@@ -172,7 +172,7 @@ QUERIES = [
       CAST(row_number() OVER w - 1 AS INTEGER) AS prior_games, round(avg(points) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS points_recent, CAST(team_prior_games AS INTEGER) AS team_prior_games, round(allowed_recent, 6) AS allowed_recent
       FROM pg JOIN supplier ON s_suppkey = person_id WINDOW w AS (PARTITION BY person_id ORDER BY ts, game_id)"""),
     Query("s17_kept_parameters", s17, f"""WITH x AS (SELECT subject, value AS y, date_diff('day', DATE '1995-01-01', d) / 365.25 AS x FROM {O}),
-      f AS (SELECT subject, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x GROUP BY 1 HAVING count(*) >= 2) SELECT subject, round(a + 2 * b, 2) AS at_two FROM f"""),
+      f AS (SELECT subject, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0) SELECT subject, round(a + 2 * b, 2) AS at_two FROM f"""),
     Query("x3_line_provider", x3, f"""WITH r AS (SELECT subject, value, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, event_id DESC) AS r FROM {O}), u AS (SELECT subject, floor(round(avg(value), 6)) + 0.5 AS usual FROM r WHERE r <= 10 GROUP BY 1)
       SELECT subject, coalesce(abs(c_acctbal), usual) AS line, CASE WHEN c_acctbal IS NOT NULL THEN 'given' ELSE 'recent' END AS decided_by FROM u LEFT JOIN customer ON c_custkey = subject AND c_custkey % 2 = 0"""),
 ]

@@ -11,7 +11,7 @@ from ..operators import filters as f
 from ..operators import inference as i
 from ..operators import windows as w
 from ..sources.roles import DUEL_HISTORY_SQL, EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, duel_history, event_history, order_history, table
-from .base import Query, rounded
+from .base import Query, rounded, t_tail_sql
 
 E, O, D = EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, DUEL_HISTORY_SQL
 
@@ -100,12 +100,12 @@ def f22(s, d):
 
 def i17(s, d):
     h = order_history(s, d).withColumn("x", F.date_diff("d", F.lit("1995-01-01").cast("date")) / 365.25)
-    g = i.trend(h, "subject", "x", "value").where("n > 2").join(h.groupBy("subject").agg(F.avg("x").alias("mx")), "subject")
+    g = i.trend(h, "subject", "x", "value").join(h.groupBy("subject").agg(F.avg("x").alias("mx")), "subject")
     g = g.withColumn("t", t_quantile_column(0.95, (F.col("n") - 2).cast("double"))).withColumn("at", F.explode(F.array(*[F.lit(float(k)) for k in (6.75, 7.0, 7.25)])))
     fit = F.col("intercept") + F.col("slope") * F.col("at")
-    lever = 1 / F.col("n") + F.try_divide((F.col("at") - F.col("mx")) * (F.col("at") - F.col("mx")), "sxx")
+    lever = 1 / F.col("n") + (F.col("at") - F.col("mx")) * (F.col("at") - F.col("mx")) / F.col("sxx")
     half, wide = F.col("t") * F.col("residual_std") * F.sqrt(lever), F.col("t") * F.col("residual_std") * F.sqrt(1 + lever)
-    return g.select("subject", "at", fit.alias("fit"), (fit - half).alias("low"), (fit + half).alias("high"), (fit - wide).alias("predict_low"), (fit + wide).alias("predict_high"))
+    return rounded(g.select("subject", F.col("at").cast("string").alias("at"), fit.alias("fit"), (fit - half).alias("low"), (fit + half).alias("high"), (fit - wide).alias("predict_low"), (fit + wide).alias("predict_high")), 1)
 
 
 def j10(s, d):
@@ -155,7 +155,11 @@ QUERIES = [
     Query("f21_labels", f21, f"""WITH g AS (SELECT subject, count(*) FILTER (level = 'purchase') AS n, avg(value) AS m FROM {E} GROUP BY 1), p AS (SELECT *, CASE WHEN subject % 4 <> 0 THEN abs(sin(m)) END AS p FROM g)
       SELECT subject, CASE WHEN n >= 25 THEN 'high' WHEN n >= 10 THEN 'medium' ELSE 'low' END AS label, CASE WHEN p IS NULL THEN 'unknown' WHEN p < 0.05 AND (m - 50 > 0 OR m + 50 < 0) THEN 'significant' ELSE 'not significant' END AS verdict FROM p"""),
     Query("f22_began_before_data", f22, f"SELECT DISTINCT subject, CASE WHEN subject % 3 <> 0 THEN 1980 + subject % 25 < 1995 ELSE subject % 40 >= 24 END AS began_before FROM {O}"),
-    Query("i17_trend_bands", i17),
+    Query("i17_trend_bands", i17, f"""WITH RECURSIVE h AS (SELECT subject, (d - DATE '1995-01-01') / 365.25 AS x, value AS y FROM {O}),
+      g AS (SELECT subject, count(*) AS n, avg(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, sqrt(greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) / (count(*) - 2)) AS r FROM h GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0),
+      q AS (SELECT DISTINCT n, CAST(0.0 AS DOUBLE) AS lo, CAST(16.0 AS DOUBLE) AS hi, 0 AS i FROM g UNION ALL SELECT n, CASE WHEN over THEN (lo + hi) / 2 ELSE lo END, CASE WHEN over THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, {t_tail_sql('(lo + hi) / 2', 'n - 2')} > 0.05 AS over FROM q WHERE i < 45)),
+      t AS (SELECT n, (lo + hi) / 2 AS t FROM q WHERE i = 45), f AS (SELECT *, a + b * at_x AS fit, 1.0 / n + (at_x - mx) * (at_x - mx) / sxx AS l FROM g JOIN t USING (n) CROSS JOIN (VALUES (6.75), (7.0), (7.25)) v(at_x))
+      SELECT subject, CAST(CAST(at_x AS DOUBLE) AS VARCHAR) AS at, round(fit, 1) AS fit, round(fit - t * r * sqrt(l), 1) AS low, round(fit + t * r * sqrt(l), 1) AS high, round(fit - t * r * sqrt(1 + l), 1) AS predict_low, round(fit + t * r * sqrt(1 + l), 1) AS predict_high FROM f"""),
     Query("j10_opponent_rows", j10, f"SELECT event_id, count(*) AS n FROM {D} WHERE subject % 10 <> 1 AND event_id IN (SELECT event_id FROM {D} WHERE subject % 10 = 1) GROUP BY event_id"),
     Query("j11_with_context", j11, f"""WITH t AS (SELECT level, d, sum(value) AS tv FROM {E} GROUP BY ALL HAVING sum(value) > 100), b AS (SELECT subject, max(exposure) AS h FROM {E} WHERE subject % 3 = 0 GROUP BY 1)
       SELECT event_id, round(tv, 2) AS team_value, h AS height FROM {E} e JOIN t ON e.level = t.level AND e.d = t.d LEFT JOIN b ON e.subject = b.subject"""),

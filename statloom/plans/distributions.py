@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import distributions as m
+from ..operators.projection import residual_table
 from ..sources.roles import EVENT_HISTORY_SQL, event_history
 from .base import Query, rounded
 
@@ -19,18 +20,18 @@ def _pmf(s, d, alpha: float):
 
 def m1(s, d):
     p = _pmf(s, d, 0.0)
-    return rounded(p.select("subject", "level", F.posexplode("pmf").alias("k", "p")).where("k <= 12"), 8)
+    return rounded(p.select("subject", "level", F.posexplode("pmf").alias("k", "p")), 8)
 
 
 def m1_nb(s, d):
     p = _pmf(s, d, 0.25)
-    return rounded(p.select("subject", "level", F.posexplode("pmf").alias("k", "p")).where("k <= 12"), 8)
+    return rounded(p.select("subject", "level", F.posexplode("pmf").alias("k", "p")), 8)
 
 
 def m2(s, d):
     p = _pmf(s, d, 0.0).select("subject", F.posexplode("pmf").alias("k", "p"))
     mix = p.groupBy("subject", "k").agg(F.avg("p").alias("p"))
-    return rounded(mix.where("k <= 12"), 8)
+    return rounded(mix, 8)
 
 
 def m3(s, d):
@@ -57,10 +58,8 @@ def m13(s, d):
     base = h.groupBy("level").agg(F.avg("value").alias("pred"))
     r = h.join(F.broadcast(base), "level").withColumn("bucket", F.least(F.floor(F.col("exposure") / 20), F.lit(4)).cast("long")).withColumn("resid", F.col("value") - F.col("pred"))
     levels = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = r.groupBy("bucket").agg(F.count("*").alias("n"), F.percentile("resid", F.array(*[F.lit(x) for x in levels])).alias("q"))
-    pooled = r.agg(F.percentile("resid", F.array(*[F.lit(x) for x in levels])).alias("all"))
-    use = q.crossJoin(F.broadcast(pooled)).withColumn("u", F.when(F.col("n") >= 200, F.col("q")).otherwise(F.col("all")))
-    return rounded(use.select("bucket", "n", *[F.element_at("u", i + 1).alias(f"q{int(x * 100)}") for i, x in enumerate(levels)]), 4)
+    use = residual_table(r, "bucket", "resid", levels, exact=True)
+    return rounded(use.select("bucket", "n", *[F.element_at("q", i + 1).alias(f"q{int(x * 100)}") for i, x in enumerate(levels)]), 4)
 
 
 _P = f"""(WITH g AS (SELECT subject, level, avg(exposure) / 10 AS mean, max(event_id) % 12 AS y FROM {E} GROUP BY ALL), k AS (SELECT unnest(range(0, {TOP + 1})) AS k),
@@ -70,9 +69,9 @@ _NB = f"""(WITH g AS (SELECT subject, level, avg(exposure) / 10 AS mean, max(eve
 _C = f"(SELECT *, sum(p) OVER (PARTITION BY subject, level ORDER BY k) AS c FROM {_P})"
 
 QUERIES = [
-    Query("m1_poisson_pmf", m1, f"SELECT subject, level, CAST(k AS INTEGER) AS k, round(p, 8) AS p FROM {_P} WHERE k <= 12"),
-    Query("m1_negative_binomial_pmf", m1_nb, f"SELECT subject, level, CAST(k AS INTEGER) AS k, round(p, 8) AS p FROM {_NB} WHERE k <= 12"),
-    Query("m2_mixture_pmf", m2, f"SELECT subject, CAST(k AS INTEGER) AS k, round(avg(p), 8) AS p FROM {_P} WHERE k <= 12 GROUP BY ALL"),
+    Query("m1_poisson_pmf", m1, f"SELECT subject, level, CAST(k AS INTEGER) AS k, round(p, 8) AS p FROM {_P}"),
+    Query("m1_negative_binomial_pmf", m1_nb, f"SELECT subject, level, CAST(k AS INTEGER) AS k, round(p, 8) AS p FROM {_NB}"),
+    Query("m2_mixture_pmf", m2, f"SELECT subject, CAST(k AS INTEGER) AS k, round(avg(p), 8) AS p FROM {_P} GROUP BY ALL"),
     Query("m3_quantiles", m3, f"SELECT subject, level, min(k) FILTER (c >= 0.5 - 1e-12) AS median, min(k) FILTER (c >= 0.05 - 1e-12) AS lo, min(k) FILTER (c >= 0.95 - 1e-12) AS hi FROM {_C} GROUP BY ALL"),
     Query("m4_over_under", m4, f"SELECT subject, level, round(sum(p) FILTER (k > 5), 6) AS over, round(sum(p) FILTER (k < 5), 6) AS under, round(sum(p) FILTER (k = 5), 6) AS push FROM {_NB} GROUP BY ALL"),
     Query("m5_moments_log_score", m5, f"SELECT subject, level, round(sum(k * p), 6) AS mean, round(ln(greatest(sum(p) FILTER (k = y), 1e-12)), 6) AS log_score FROM {_P} GROUP BY ALL"),

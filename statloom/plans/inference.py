@@ -9,7 +9,7 @@ from ..operators import aggregates as a
 from ..operators import inference as i
 from ..operators import windows as w
 from ..sources.roles import DUEL_HISTORY_SQL, EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, duel_history, event_history, order_history
-from .base import Query, rounded
+from .base import Query, normal_tail_sql, rounded, t_tail_sql
 
 E, O, D = EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, DUEL_HISTORY_SQL
 
@@ -30,7 +30,7 @@ def i1(s, d):
 
 def i2(s, d):
     c = F.col
-    return _split(s, d).select("subject", i.welch_p(c("split_mean"), c("split_std"), c("split_n"), c("rest_mean"), c("rest_std"), c("rest_n")).alias("p"))
+    return rounded(_split(s, d).select("subject", i.welch_p(c("split_mean"), c("split_std"), c("split_n"), c("rest_mean"), c("rest_std"), c("rest_n")).alias("p")))
 
 
 def i5(s, d):
@@ -81,7 +81,7 @@ def i7(s, d):
 
 
 def i7_p(s, d):
-    return _change(s, d).select("subject", normal_pvalue_column(F.try_divide("diff", "se")).alias("p"))
+    return rounded(_change(s, d).select("subject", normal_pvalue_column(F.try_divide("diff", "se")).alias("p")))
 
 
 def i8(s, d):
@@ -171,7 +171,7 @@ _POLY = " + ".join(f"({c} * pow(t, {k}))" for k, c in enumerate(ERFC))
 
 QUERIES = [
     Query("i1_welch", i1, f"SELECT subject, round(t, 6) AS t, round(df, 6) AS df FROM {_WELCH}"),
-    Query("i2_welch_p", i2),
+    Query("i2_welch_p", i2, f"""SELECT subject, round(CASE WHEN n1 >= 2 AND n2 >= 2 AND s1 = 0 AND s2 = 0 THEN CASE WHEN m1 = m2 THEN 1.0 ELSE 0.0 END WHEN t IS NOT NULL THEN {t_tail_sql("t", "df")} END, 6) AS p FROM {_WELCH}"""),
     Query("i5_shrunk_estimate", i5, f"""WITH a AS (SELECT subject, avg(value) FILTER (level = 'purchase') AS m, count(value) FILTER (level = 'purchase') AS n, avg(value) AS b, stddev_samp(value) AS s FROM {E} GROUP BY 1),
       w AS (SELECT *, CASE WHEN n <= 0 THEN 0.0 WHEN s * s <= 0 THEN 1.0 WHEN subject % 5 = 0 THEN 0.0 ELSE 25.0 / (25.0 + s * s / n) END AS w FROM a)
       SELECT subject, round(m - b, 6) AS diff, round(CASE WHEN b <> 0 THEN (m - b) / abs(b) * 100 END, 6) AS pct, round(CASE WHEN n >= 1 AND s > 0 THEN (m - b) / (s / sqrt(n)) END, 6) AS z, round(w, 6) AS weight, round(b + w * (m - b), 6) AS shrunk FROM w"""),
@@ -181,7 +181,7 @@ QUERIES = [
       SELECT subject, n1 AS n, round(m1, 6) AS mean, round(m, 6) AS baseline, n AS n_baseline, round(m1 - m, 6) AS diff, round(CASE WHEN m <> 0 THEN (m1 - m) / abs(m) * 100 END, 6) AS pct, round(CASE WHEN n1 >= 1 AND sd > 0 THEN (m1 - m) / (sd / sqrt(n1)) END, 6) AS z,
        round(t, 6) AS t, round(df, 6) AS df, round(tau2, 6) AS tau2, round(w, 6) AS weight, round(m + w * (m1 - m), 6) AS shrunk, CASE WHEN n1 >= 25 THEN 'high' WHEN n1 >= 10 THEN 'medium' ELSE 'low' END AS confidence FROM x"""),
     Query("i7_change_interval", i7, f"SELECT subject, round(diff, 3) AS diff, round(se, 3) AS se, round(diff - 1.959963984540054 * se, 3) AS low, round(diff + 1.959963984540054 * se, 3) AS high, diff > 0 AS improved FROM {_CH}"),
-    Query("i7_change_p", i7_p),
+    Query("i7_change_p", i7_p, f"SELECT subject, round(CASE WHEN z IS NOT NULL THEN {normal_tail_sql('z')} END, 6) AS p FROM (SELECT subject, diff / nullif(se, 0) AS z FROM {_CH})"),
     Query("i8_q_values", i8, f"""WITH z AS (SELECT subject, abs(diff / nullif(se, 0)) / sqrt(2.0) AS z FROM {_CH}), t AS (SELECT subject, z, 1 / (1 + z / 2) AS t FROM z), x AS (SELECT subject, round(t * exp({_POLY} - z * z), 9) AS p FROM t), r AS (SELECT *, count(p) OVER () AS m, row_number() OVER (ORDER BY p NULLS LAST, subject) AS r FROM x)
       SELECT subject, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 6) AS q_value FROM r"""),
     Query("i9_shrunk_changes", i9, f"""WITH c AS (SELECT subject, diff, 1 / (se * se) AS n FROM {_CH} WHERE se > 0), g AS (SELECT CASE WHEN count(*) >= 3 THEN greatest(0, var_samp(diff) - avg(1 / n)) END AS tau2, avg(diff) AS league FROM c),
@@ -195,7 +195,7 @@ QUERIES = [
     Query("i14_omitted_level", i14),
     Query("i15_variable_effects", i15),
     Query("i16_linear_trend", i16, f"""WITH h AS (SELECT subject, (d - DATE '1995-01-01') / 365.25 AS x, value AS y FROM {O})
-      SELECT subject, count(*) AS n, round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 3) AS intercept, round(CASE WHEN count(*) > 2 THEN sqrt(greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) / (count(*) - 2)) END, 3) AS residual_std FROM h GROUP BY subject"""),
+      SELECT subject, count(*) AS n, round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 3) AS intercept, round(sqrt(greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) / (count(*) - 2)), 3) AS residual_std FROM h GROUP BY subject HAVING count(*) >= 3 AND regr_sxx(y, x) > 0"""),
     Query("i18_paired_bootstrap", i18),
     Query("i19_pair_multipliers", i19, f"""WITH g AS (SELECT subject, position, count(*) AS k, sum(value) AS s, sum(exposure) AS m, sum(value * value) AS s2, sum(value * exposure) AS sm, sum(exposure * exposure) AS m2 FROM {D} GROUP BY ALL),
       t AS (SELECT subject, position, s / m AS r, 1 / nullif(greatest(0, s2 - 2 * (s / m) * sm + (s / m) * (s / m) * m2) / (m * m), 0) AS n FROM g), u AS (SELECT * FROM t WHERE n IS NOT NULL),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 from .base import Query
 
-MODULES = ("windows", "aggregates", "filters", "joins", "inference", "scalars", "distributions", "models", "sources", "bundles", "catalog")
+MODULES = ("windows", "aggregates", "filters", "joins", "inference", "scalars", "distributions", "models", "sources", "bundles", "catalog", "effects")
 
 
 def registered() -> list[Query]:
