@@ -97,7 +97,7 @@ def rest_columns(rest: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Terms:
-    """A variable's regressors: names, and for a categorical one its levels in the order of their codes, the omitted one last."""
+    """A variable's regressors: names, and for a categorical one its levels, the omitted one last."""
 
     of: Variable
     names: tuple[str, ...]
@@ -108,12 +108,13 @@ class Terms:
         return self.levels[-1] if self.levels else None
 
     def matrix(self, x: np.ndarray) -> np.ndarray:
-        """(rows, terms) of the column's values, which are codes for a categorical variable; NaN stays NaN."""
+        """(rows, terms) of the column's values, for a categorical variable the places of its levels in sorted order; NaN stays NaN."""
         if not self.levels:
             return x[:, None]
-        out = (x[:, None] == np.arange(len(self.names))[None, :]).astype(float)
+        place = {level: float(i) for i, level in enumerate(sorted(self.levels))}
+        out = (x[:, None] == np.array([place[level] for level in self.levels[:-1]])[None, :]).astype(float)
         if self.of.coding == "sum":
-            out[x == len(self.names)] = -1.0
+            out[x == place[self.levels[-1]]] = -1.0
         out[np.isnan(x)] = np.nan
         return out
 
@@ -302,7 +303,7 @@ def effects(df: DataFrame, group: str, stats: Sequence[str], variables: Sequence
     missing = d.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in controls]).first() if controls else {}
     controls = [c for c in controls if (missing[c] or 0) <= most_missing]
     terms = compile_terms(d, variables)
-    coded = {v.column: terms[v.name].levels for v in variables if v.kind == "categorical"}
+    coded = {v.column: sorted(terms[v.name].levels) for v in variables if v.kind == "categorical"}
 
     def number(c: str) -> Column:
         if c not in coded:

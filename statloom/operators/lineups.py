@@ -1,137 +1,183 @@
 """Who was on the floor when: stints from a game's event log, and what follows from them.
 
-A stint is (game, team, person, start, end). Events of a game are walked in order by one
-small function; everything after it (shared time, stats while an opponent was on, totals,
-reliability) is joins and sums over stints.
+A stint is (game, team, person, start, end). What can be told of an event beforehand is a column: who
+may be meant by a name, what a person's first event of the period is, whether the person's next one is coming in.
+One small function then moves five places a team through a game's changes; everything after it (shared time,
+stats while an opponent was on, totals, reliability) is joins and sums over stints.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from .joins import shared_time
 
 UNIT = 5
+#: Lengths of the periods of a game, and of those after its regular ones, in seconds.
+PERIODS, PERIOD, EXTRA = 4, 720.0, 300.0
 EVENTS = "game_id long, period int, t double, seq long, kind string, person_id long, team_id long, candidates array<long>"
 STINTS = "game_id long, period int, team_id long, person_id long, start double, end double, repaired int"
 
 _STINT_COLUMNS = [c.split()[0] for c in STINTS.split(", ")]
 
 
+def name_index(roster: DataFrame, plays: DataFrame | None = None) -> DataFrame:
+    """(game_id, team_id, person_id, key): the spellings by which a game's text may mean a person of its roster.
+
+    Last name, first and last name, and each player_name that the game's own plays give for the person's id.
+    """
+    full = F.array(x.play_name(F.col("last_name")), x.play_name(F.concat_ws(" ", "first_name", "last_name")))
+    keys = roster.select("game_id", "team_id", "person_id", F.explode(full).alias("key"))
+    if plays is not None:
+        said = plays.select("game_id", F.expr("try_cast(person_id AS bigint)").alias("person_id"), x.play_name(F.col("player_name")).alias("key"))
+        keys = keys.unionByName(said.join(roster.select("game_id", "team_id", "person_id"), ["game_id", "person_id"]).select("game_id", "team_id", "person_id", "key"))
+    return keys.where("key <> ''").distinct()
+
+
+def with_candidates(mentions: DataFrame, index: DataFrame, name: str = "name") -> DataFrame:
+    """mentions (game_id, team_id, name) with `candidates`: the sorted ids that the name may mean; null for none.
+
+    Those with that spelling, or, where nobody has it, those of a spelling with the same last word.
+    """
+    last = lambda c: F.substring_index(c, " ", -1)
+    people = F.sort_array(F.collect_set("person_id"))  # of one team of one game
+    exact = index.groupBy("game_id", "team_id", F.col("key").alias("__key")).agg(people.alias("__exact"))
+    near = index.groupBy("game_id", "team_id", last(F.col("key")).alias("__last")).agg(people.alias("__near"))
+    m = mentions.withColumn("__key", x.play_name(F.col(name))).withColumn("__last", F.nullif(last(F.col("__key")), F.lit("")))
+    m = m.join(exact, ["game_id", "team_id", "__key"], "left").join(near, ["game_id", "team_id", "__last"], "left")
+    return m.withColumn("candidates", F.coalesce("__exact", "__near")).drop("__key", "__last", "__exact", "__near")
+
+
 def events_of_plays(plays: DataFrame, roster: DataFrame) -> DataFrame:
     """Raw plays (game_id, period, clock, seq, action, sub_type, description, person_id, team_id, result, in_person_id) as events.
 
     A play gives up to three events from one scan: the acting person (an act, or an out for a substitution),
-    who came in, and who assisted. Names resolve within the game and team by a join; several matches stay
-    as candidates for the walk to settle. A technical foul says nothing about who is on the floor.
+    who came in, and who assisted. Names resolve within the game and team; several matches stay as candidates for
+    the walk to settle. A column player_name adds its spellings. A technical foul says nothing about who is on the floor.
     """
     action = F.lower(F.trim("action"))
     came, went = x.substitution(F.col("description"))
+    helped = x.assist_name(F.col("description"))
     is_sub = action.startswith("sub")
     technical = F.lower(F.coalesce("sub_type", F.lit(""))).contains("technical")
     t = x.game_seconds(F.col("period"), x.iso_clock_seconds(F.col("clock")))
-    p = plays.select("game_id", "period", t.alias("t"), "seq", "team_id", F.explode(F.array(
-        F.struct(F.lit(0).alias("i"), F.when(is_sub, "out").when(technical, None).otherwise("act").alias("kind"), F.col("person_id").cast("long").alias("person_id"), F.lit(None).cast("string").alias("name")),
-        F.struct(F.lit(1).alias("i"), F.when(is_sub, "in").alias("kind"), F.col("in_person_id").cast("long").alias("person_id"), came.alias("name")),
-        F.struct(F.lit(2).alias("i"), F.when(~is_sub & x.assist_name(F.col("description")).isNotNull(), "act").alias("kind"), F.lit(None).cast("long").alias("person_id"), x.assist_name(F.col("description")).alias("name")),
-    )).alias("e"))
-    p = p.select("game_id", "period", "t", (F.col("seq") * 3 + F.col("e.i")).alias("seq"), F.col("e.kind").alias("kind"), F.when(F.col("e.person_id") > 0, F.col("e.person_id")).alias("person_id"), "team_id", F.col("e.name").alias("name")).where("kind IS NOT NULL")
-    r = roster.withColumn("full", F.concat_ws(" ", "first_name", "last_name"))
-    names = r.select("game_id", "team_id", "person_id", F.explode(F.array_distinct(F.array(x.normalized_alias(F.col("last_name")), x.normalized_alias(F.col("full"))))).alias("key"))
-    known = names.groupBy("game_id", "team_id", "key").agg(F.sort_array(F.collect_set("person_id")).alias("candidates"))
-    j = p.withColumn("key", x.normalized_alias(F.col("name"))).join(known, ["game_id", "team_id", "key"], "left")
+    number = lambda c: F.expr(f"CASE WHEN try_cast({c} AS bigint) > 0 THEN try_cast({c} AS bigint) END")
+    part = lambda i, kind, person, name: F.struct(F.lit(i).alias("i"), kind.alias("kind"), person.alias("person_id"), name.alias("name"))
+    nobody = F.lit(None).cast("long")
+    parts = F.array(
+        part(0, F.when(is_sub, "out").when(technical, None).otherwise("act"), number("person_id"), F.when(is_sub, went)),
+        part(1, F.when(is_sub, "in"), number("in_person_id"), came),
+        part(2, F.when(~is_sub & helped.isNotNull(), "act"), nobody, helped),
+    )
+    p = plays.select("game_id", "period", t.alias("t"), "seq", "team_id", F.inline(parts)).where("kind IS NOT NULL").withColumn("seq", F.col("seq") * 3 + F.col("i"))
+    index = name_index(roster, plays if "player_name" in plays.columns else None)
+    j = with_candidates(p, index)
     sole = F.when(F.size("candidates") == 1, F.element_at("candidates", 1))
     return j.select("game_id", "period", "t", "seq", "kind", F.coalesce("person_id", sole).alias("person_id"), "team_id", F.when(F.col("person_id").isNull(), F.col("candidates")).alias("candidates"))
 
 
-def walk(events: list[dict], starters: set[int], minutes: dict[int, float], begin: float, end: float, last_unit: set[int] | None) -> tuple[list[tuple], set[int], int]:
-    """Stints (person, start, end) of one team in one period, the unit at its end, and the number of repairs.
+@dataclass
+class Place:
+    """One of a team's five: who has it (None: open), since when, when last seen, and if that person's next event is coming in."""
 
-    Starters of a later period are those whose first event isn't coming in, then silent members of the
-    last unit. Somebody who acts without having come in is added, from when a place fell open if one
-    did; of six, the one whose next event is coming in leaves, else the one not seen for longest.
+    who: int | None
+    since: float
+    seen: float
+    returns: bool = False
+
+
+def moved(places: list[Place], changes: list[tuple], end: float) -> tuple[list[tuple], int]:
+    """(stints, repairs) of one team in a period; places is left as it stands at the end.
+
+    changes: (time, kind, person or None, candidates, the person's next event is coming in). A newcomer takes the place that
+    has been open for longest; whoever acts without having come in had it since it fell open. Without an open place
+    the one whose next event is coming in must have left unseen, else the one not seen for longest. A name that
+    several could bear means the one of them on the bench for coming in, on the floor for anything else.
     """
-    first: dict[int, str] = {}
-    later: dict[int, list[int]] = {}
-    for i, e in enumerate(events):
-        if e["person_id"] is not None:
-            first.setdefault(e["person_id"], e["kind"])
-            later.setdefault(e["person_id"], []).append(i)
-    if last_unit is not None:
-        acted = [p for p, k in first.items() if k != "in"][:UNIT]
-        quiet = sorted((p for p in last_unit if p not in first), key=lambda p: (-minutes.get(p, 0.0), p))
-        starters = set(acted + quiet[: UNIT - len(acted)])
-    on = {p: begin for p in starters}
-    seen = {p: begin for p in starters}
-    open_since = [begin] * max(0, UNIT - len(on))
-    done: list[tuple] = []
+    stints: list[tuple] = []
     repairs = 0
 
-    def leave(p: int, t: float) -> None:
-        start = on.pop(p)
-        if t > start:
-            done.append((p, start, t))
-
-    for i, e in enumerate(events):
-        t, p = e["t"], e["person_id"]
-        if p is None and e["kind"] == "in":
-            bench = [c for c in e["candidates"] or () if c not in on]
-            p = bench[0] if len(bench) == 1 else None
-            if p is None:
-                repairs += 1
-        if p is None:
+    def clear(place: Place, t: float) -> None:
+        if t > place.since:
+            stints.append((place.who, place.since, t))
+        place.who, place.since = None, t
+
+    for t, kind, person, candidates, returns in changes:
+        held = {p.who: p for p in places if p.who is not None}
+        if person is None and candidates:
+            fit = [c for c in candidates if (c in held) != (kind == "in")]
+            person = fit[0] if len(fit) == 1 else None
+        if person is None:
+            repairs += kind == "in"
             continue
-        seen[p] = t
-        if e["kind"] == "out":
-            if p in on:
-                leave(p, t)
-                open_since.append(t)
+        place = held.get(person)
+        if place is not None:
+            place.seen, place.returns = t, returns
+            if kind == "out":
+                clear(place, t)
             continue
-        if p in on:
+        if kind == "out":
             continue
-        if e["kind"] == "act":
+        repairs += kind == "act"
+        free = min((p for p in places if p.who is None), key=lambda p: p.since, default=None)
+        if free is None:
+            free = min(places, key=lambda p: (not p.returns, p.seen, p.who))
+            clear(free, t)
+            free.since = t
             repairs += 1
-        since = open_since.pop(0) if open_since else None
-        on[p] = since if since is not None and e["kind"] == "act" else t
-        if len(on) > UNIT:
-            def rank(q: int) -> tuple:
-                ahead = next((k for k in later.get(q, ()) if k > i), None)
-                comes = ahead is not None and events[ahead]["kind"] == "in"
-                return (not comes, seen.get(q, begin), q)
+        free.since = free.since if kind == "act" else t
+        free.who, free.seen, free.returns = person, t, returns
+    for place in places:
+        if place.who is not None and end > place.since:
+            stints.append((place.who, place.since, end))
+    return stints, repairs
 
-            repairs += 1
-            leave(min((q for q in on if q != p), key=rank), t)
-    unit = set(on)
-    for p in list(on):
-        leave(p, end)
-    return done, unit, repairs
+
+def _opened(starters: list[int], begin: float, returning: set[int]) -> list[Place]:
+    """Places of a period's starters; fewer than five leave the rest open from its beginning."""
+    some = [Place(p, begin, begin, p in returning) for p in starters]
+    return some + [Place(None, begin, begin) for _ in range(UNIT - len(some))]
+
+
+def _starters(first: pd.DataFrame, unit: list[int], minutes: dict[int, float]) -> list[int]:
+    """Who starts a later period: those whose first event of it isn't coming in, in its order, then silent ones of the unit before, by minutes."""
+    acting = first.loc[first["kind"] != "in", "person_id"].astype(int).tolist()
+    silent = sorted(set(unit) - set(first["person_id"].astype(int)), key=lambda p: (-minutes.get(p, 0.0), p))
+    return (acting[:UNIT] + silent)[:UNIT]
 
 
 def _game(key: tuple, events: pd.DataFrame, roster: pd.DataFrame) -> pd.DataFrame:
     rows: list[tuple] = []
-    if not len(events) or not len(roster):
-        return pd.DataFrame(rows, columns=_STINT_COLUMNS)
     played = roster[roster["minutes"].fillna(0) > 0]
-    if played["team_id"].nunique() == 2:
+    if len(events) and played["team_id"].nunique() == 2:
+        events = events.sort_values("seq")
         for team, own in played.groupby("team_id"):
             minutes = dict(zip(own["person_id"].astype(int), own["minutes"], strict=True))
-            unit: set[int] | None = None
-            mine = events[(events["team_id"] == team)].sort_values("seq")
+            mine = events[(events["team_id"] == team) & (events["person_id"].isna() | events["person_id"].isin(minutes))]
+            unit = own.loc[own["starter"], "person_id"].astype(int).tolist()
             for period in range(1, int(events["period"].max()) + 1):
-                begin = 720.0 * (period - 1) if period <= 4 else 2880.0 + 300.0 * (period - 5)
-                some = [{"t": r.t, "kind": r.kind, "person_id": None if pd.isna(r.person_id) else int(r.person_id), "candidates": None if r.candidates is None else [int(c) for c in r.candidates]} for r in mine[mine["period"] == period].itertuples()]
-                some = [e for e in some if e["person_id"] is None or e["person_id"] in minutes]
-                done, unit, fixed = walk(some, set(own.loc[own["starter"], "person_id"].astype(int)), minutes, begin, begin + (720.0 if period <= 4 else 300.0), unit)
-                rows += [(int(key[0]), period, int(team), p, a, b, fixed) for p, a, b in done]
+                begin, length = (PERIOD * (period - 1), PERIOD) if period <= PERIODS else (PERIODS * PERIOD + EXTRA * (period - PERIODS - 1), EXTRA)
+                now = mine[mine["period"] == period]
+                first = now[now["opens"]]
+                start = unit if period == 1 else _starters(first, unit, minutes)
+                places = _opened(start, begin, set(first.loc[first["kind"] == "in", "person_id"].astype(int)))
+                changes = [(r.t, r.kind, None if pd.isna(r.person_id) else int(r.person_id), r.candidates if r.candidates is None else [int(c) for c in r.candidates if int(c) in minutes], bool(r.returns)) for r in now.itertuples()]
+                found, repairs = moved(places, changes, begin + length)
+                rows += [(int(key[0]), period, int(team), p, a, b, repairs) for p, a, b in found]
+                unit = [p.who for p in places if p.who is not None]
     return pd.DataFrame(rows, columns=_STINT_COLUMNS)
 
 
 def stints(events: DataFrame, roster: DataFrame) -> DataFrame:
-    """Stints of every game; a game is one group, and a game is small."""
-    e = events.select("game_id", "period", "t", "seq", "kind", "person_id", "team_id", "candidates")
+    """Stints of every game; a game is one group, and a game is small. Games are shuffled once, for the columns and the walk."""
+    e = events.select("game_id", "period", "t", "seq", "kind", "person_id", "team_id", "candidates").repartition("game_id")
+    own = Window.partitionBy("game_id", "team_id", "period", "person_id").orderBy("seq")
+    e = e.withColumn("opens", F.col("person_id").isNotNull() & (F.row_number().over(own) == 1)).withColumn("returns", F.coalesce(F.col("person_id").isNotNull() & (F.lead("kind").over(own) == "in"), F.lit(False)))
     # fresh columns: both sides may come from one table
     r = roster.select(*[F.col(c).alias(c) for c in ("game_id", "team_id", "person_id", "starter", "minutes")])
     return e.groupBy("game_id").cogroup(r.groupBy("game_id")).applyInPandas(_game, STINTS)
@@ -159,8 +205,6 @@ def full_share(st: DataFrame) -> DataFrame:
     marks = st.select("game_id", F.explode(F.array(F.struct(F.col("start").alias("t"), "team_id", F.lit(1).alias("n")), F.struct(F.col("end").alias("t"), "team_id", F.lit(-1).alias("n")))).alias("m")).select("game_id", "m.*")
     side = marks.groupBy("game_id").agg(F.min("team_id").alias("home"))
     one = marks.join(side, "game_id").groupBy("game_id", "t").agg(F.sum(F.when(F.col("team_id") == F.col("home"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("team_id") != F.col("home"), F.col("n")).otherwise(0)).alias("b"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("game_id").orderBy("t")
     run = one.select("game_id", F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b"), (F.lead("t").over(w) - F.col("t")).alias("d"))
     return run.groupBy("game_id").agg((F.sum(F.when((F.col("a") == UNIT) & (F.col("b") == UNIT), F.col("d")).otherwise(0.0)) / F.sum("d")).alias("share"))

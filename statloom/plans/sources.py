@@ -62,6 +62,19 @@ def g3_pairs(s, d):
     return rounded(lineups.pair_time(lineups.stints(*_lineup(s, d))))
 
 
+def g4(s, d):
+    """Whom a line's text may mean among the parts on its side of the order: by full name, by a brand that a play spells, or by the last word."""
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("game_id"), (F.col("l_linenumber") % 2).cast("long").alias("team_id"), F.col("l_partkey").alias("person_id"), "l_returnflag")
+    p = table(s, d, "part").select(F.col("p_partkey").alias("person_id"), "p_name", "p_brand")
+    j = lines.join(p, "person_id")
+    roster = j.select("game_id", "team_id", "person_id", F.substring_index("p_name", " ", 1).alias("first_name"), F.substring_index("p_name", " ", -1).alias("last_name")).distinct()
+    plays = j.where("l_returnflag = 'R'").select("game_id", "person_id", F.col("p_brand").alias("player_name"))
+    said = F.when(F.col("l_returnflag") == "A", F.upper("p_name")).when(F.col("l_returnflag") == "R", F.concat(F.lit(" "), F.col("p_brand"), F.lit("."))).otherwise(F.concat(F.lit("J.  "), F.substring_index("p_name", " ", -1)))
+    mentions = j.select("game_id", "team_id", said.alias("name")).distinct()
+    out = lineups.with_candidates(mentions, lineups.name_index(roster, plays))
+    return out.select("game_id", "team_id", "name", F.size("candidates").alias("n"), F.when(F.size("candidates") == 1, F.element_at("candidates", 1)).alias("person_id"), F.element_at("candidates", 1).alias("smallest"))
+
+
 def s16(s, d):
     e, r = _lineup(s, d)
     return lineups.on_court(lineups.stints(e, r), r)
@@ -76,6 +89,12 @@ QUERIES = [
       SELECT 'people' AS part, s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM b) UNION ALL SELECT 'box', l_orderkey FROM b"""),
     Query("s18_work_list", s18, """WITH g AS (SELECT (o_orderkey % 4 + 1) * 10000000 + o_orderkey AS game_id, o_orderdate AS ts, year(o_orderdate) AS season FROM orders)
       SELECT game_id, season FROM g WHERE game_id // 10000000 IN (2, 4) AND ts < TIMESTAMP '2000-01-01' AND season BETWEEN 1996 AND 1999 AND game_id % 5 <> 0"""),
+    Query("g4_name_index", g4, """WITH j AS (SELECT l_orderkey AS game_id, CAST(l_linenumber % 2 AS BIGINT) AS team_id, l_partkey AS person_id, l_returnflag AS f, p_name, p_brand, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', -1) AS z FROM lineitem JOIN part ON p_partkey = l_partkey),
+      i AS (SELECT DISTINCT game_id, team_id, person_id, unnest([z, a || ' ' || z]) AS key FROM j UNION SELECT j.game_id, j.team_id, j.person_id, lower(p_brand) FROM j WHERE (game_id, person_id) IN (SELECT game_id, person_id FROM j WHERE f = 'R')),
+      m AS (SELECT DISTINCT game_id, team_id, CASE f WHEN 'A' THEN upper(p_name) WHEN 'R' THEN ' ' || p_brand || '.' ELSE 'J.  ' || z END AS name FROM j), k AS (SELECT *, trim(regexp_replace(replace(lower(name), '.', ''), '\\s+', ' ', 'g')) AS key FROM m),
+      e AS (SELECT k.game_id, k.team_id, name, list(DISTINCT person_id) AS c FROM k JOIN i USING (game_id, team_id, key) GROUP BY ALL), n AS (SELECT k.game_id, k.team_id, name, list(DISTINCT person_id) AS c FROM k JOIN i ON k.game_id = i.game_id AND k.team_id = i.team_id AND split_part(k.key, ' ', -1) = split_part(i.key, ' ', -1) GROUP BY ALL),
+      u AS (SELECT game_id, team_id, name, coalesce(e.c, n.c) AS c FROM m LEFT JOIN e USING (game_id, team_id, name) LEFT JOIN n USING (game_id, team_id, name))
+      SELECT game_id, team_id, name, CAST(len(c) AS INTEGER) AS n, CASE WHEN len(c) = 1 THEN c[1] END AS person_id, list_min(c) AS smallest FROM u"""),
     Query("g3_lineups", g3),
     Query("g3_pair_time", g3_pairs),
     Query("s16_on_court", s16),

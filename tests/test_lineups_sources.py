@@ -72,6 +72,41 @@ def test_someone_who_acts_as_a_sixth_sends_the_longest_unseen_off(spark):
     assert s[5] == 360 and s[6] == 360 and s[1] == 720
 
 
+def test_namesakes_are_told_apart_by_who_is_on_the_floor(spark):
+    # Home1 and Home6 are both called Smith: the one on the bench comes in, the one on the floor assists
+    r = roster(spark).withColumn("last_name", F.when(F.col("person_id").isin(1, 6), "Smith").otherwise(F.col("last_name")))
+    plays = [
+        play(1, "PT11M00.00S", 1, "Made Shot", "Home2 Layup (2 PTS) (Smith 1 AST)", "2", HOME, result="Made"),
+        play(1, "PT06M00.00S", 2, "Substitution", "SUB: Smith FOR Home3", "3", HOME),
+        play(1, "PT05M00.00S", 3, "Substitution", "SUB: Home3 FOR Smith", "1", HOME),
+        play(1, "PT04M00.00S", 4, "Made Shot", "Home2 Layup (4 PTS) (R. Smith 1 AST)", "2", HOME, result="Made"),
+    ]
+    events = lineups.events_of_plays(spark.createDataFrame(plays, PLAYS), r)
+    named = {x["seq"]: (x["kind"], x["person_id"], x["candidates"]) for x in events.collect()}
+    assert named[5] == ("act", None, [1, 6]) and named[7] == ("in", None, [1, 6]) and named[14] == ("act", None, [1, 6])
+    st = lineups.stints(events, r)
+    s = seconds(st)
+    assert (s[1], s[3], s[6]) == (420, 660, 360) and max(x["repaired"] for x in st.collect()) == 0
+
+
+def test_spellings_of_the_games_own_plays(spark):
+    r = roster(spark)
+    plays = spark.createDataFrame([(*play(1, "PT11M00.00S", 1, "Rebound", "r", "6", HOME), "The Rocket"), (*play(1, "PT06M00.00S", 2, "Substitution", "SUB: the  rocket FOR Home1", "1", HOME), None), (*play(1, "PT05M00.00S", 3, "Substitution", "SUB: Big Home1 FOR Nobody", "0", HOME), None)], PLAYS + ", player_name string")
+    index = lineups.name_index(r, plays)
+    said = spark.createDataFrame([(GAME, HOME, n) for n in ("ROCKET", "the. rocket", "F. Home2", "Home2", "nobody", "", None)], "game_id long, team_id long, name string")
+    got = {x["name"]: x["candidates"] for x in lineups.with_candidates(said, index).collect()}
+    assert got == {"ROCKET": [6], "the. rocket": [6], "F. Home2": [2], "Home2": [2], "nobody": None, "": None, None: None}
+    events = {x["seq"]: x["person_id"] for x in lineups.events_of_plays(plays, r).collect()}
+    assert (events[7], events[10], events[9]) == (6, 1, None)
+
+
+def test_a_place_fallen_open_and_a_sixth(spark):
+    places = lineups._opened([1, 2, 3, 4], 0.0, set())
+    found, repairs = lineups.moved(places, [(5.0, "act", 1, None, False), (10.0, "act", 9, None, False), (20.0, "out", 2, None, True), (30.0, "act", 7, None, False), (40.0, "in", 8, None, False), (50.0, "act", 1, None, True), (60.0, "in", 6, None, False)], 100.0)
+    # 9 had the fifth place from the start, 7 that of 2 since it fell open; 3 was not seen for longest, then 1 must have left
+    assert sorted(found) == [(1, 0.0, 60.0), (2, 0.0, 20.0), (3, 0.0, 40.0), (4, 0.0, 100.0), (6, 60.0, 100.0), (7, 20.0, 100.0), (8, 40.0, 100.0), (9, 0.0, 100.0)] and repairs == 4
+
+
 def test_typed_csv(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text("id,minutes,when,extra,score\n1,22:29,2024-01-02 03:04:05+00:00,x,1.5\n2,bad,,y,NaN\n3.0,24.5,2024-13-01 00:00:00,z,oops\n")
