@@ -14,6 +14,7 @@ the rounds end `patience` rounds after its lowest value, which decides how many
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -84,6 +85,16 @@ class Boosted:
     def rounds(self) -> int:
         return len(self.trees)
 
+    def to_json(self) -> str:
+        trees = [[t.feature.tolist(), t.cut.tolist(), t.leaf.tolist()] for t in self.trees]
+        return json.dumps({"loss": self.loss, "features": self.features, "edges": [e.tolist() for e in self.edges], "levels": self.levels, "base": self.base.tolist(), "trees": trees, "deviance": self.deviance})
+
+    @classmethod
+    def from_json(cls, text: str) -> Boosted:
+        d = json.loads(text)
+        trees = [Tree(np.array(f, np.int64), np.array(c, np.int64), np.array(v, float)) for f, c, v in d["trees"]]
+        return cls(d["loss"], d["features"], [np.array(e, float) for e in d["edges"]], d["levels"], np.array(d["base"], float), trees, d["deviance"])
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """(rows, models) from (rows, features) with NaN for null: raw scores, log rates of Poisson, quantiles in rising order."""
         f = _raised(np.tile(self.base, (len(x), 1)), self.trees, _binned(x, self.edges))

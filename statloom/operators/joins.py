@@ -72,29 +72,65 @@ def normalized(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "['\u2019.]", ""), r"[^\p{L}\p{N}]+", " "))
 
 
-def resolve_names(asked: DataFrame, known: DataFrame, text: str, name: str, id_col: str, weight: str, least: float = 0.7, block: int = 3) -> DataFrame:
-    """(text, id, score, status) of each asked name: exact normalised match, else the best by edit distance.
+def _allowed(least: float, longest: Column) -> Column:
+    """Most edits between two names, the longer one of `longest` letters, at a score of at least `least`."""
+    return F.floor((1 - least) * longest + 1e-9).cast("int")
 
-    Fuzzy candidates share one of the asked name's two rarest word beginnings of `block` letters, so the join is on equal
-    keys and a frequent first word makes no cross join. Ties go to the larger weight, then the smaller id; status is
-    unique, clear or ambiguous.
+
+def _needed(least: float, n: Column, grams: int = 2) -> Column:
+    """Pairs of letters that a name of n letters shares at least with any other of that score, whatever the other's length."""
+    lengths = F.sequence(n, F.floor(n / least + 1e-9).cast("int"))
+    return F.array_min(F.transform(lengths, lambda x: x - 1 - grams * _allowed(least, x)))
+
+
+def similar_names(asked: DataFrame, known: DataFrame, least: float = 0.7) -> DataFrame:
+    """(n, m, score) of all pairs of normalised names, from asked (n) and known (m), with 1 - edits / longer length of at least `least`.
+
+    Exact: an edit touches two pairs of letters and moves others by one place, so similar names share pairs of letters at nearly
+    the same place. Each name offers its rarest ones, as many as the bound needs; candidates meet on equal (pair of letters, place,
+    length), where the asked name tries the places and lengths in reach, and edits are then counted. least is 0.7 or more; equal
+    names of under three letters are found by equality.
+    """
+    if not 0.7 <= least <= 1:
+        raise ValueError("least is between 0.7 and 1")
+    a, k = asked.select("n").where("n <> ''").distinct(), known.select("m").where("m <> ''").distinct()
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.struct(F.substring(c, i, F.lit(2)).alias("g"), i.alias("i")))
+    long = lambda d, c: d.where(F.length(c) >= 3).select(c, F.length(c).alias("l"), F.explode(grams(F.col(c))).alias("x")).select(c, "l", "x.g", "x.i")
+    often = long(k, "m").groupBy("g").agg(F.count("*").alias("f"))
+
+    def offered(d: DataFrame, c: str) -> DataFrame:
+        """The rarest pairs of letters of each name: all but as many as it must share, and one."""
+        rare = Window.partitionBy(c).orderBy(F.coalesce("f", F.lit(0)), "g", "i")
+        r = long(d, c).join(often, "g", "left").withColumn("r", F.row_number().over(rare))
+        return r.where(F.col("r") <= F.col("l") - 1 - _needed(least, F.col("l")) + 1).select(c, "l", "g", "i")
+
+    tries = offered(a, "n").withColumn("l", F.explode(F.sequence(F.ceil(F.col("l") * least - 1e-9).cast("int"), F.floor(F.col("l") / least + 1e-9).cast("int")))).withColumn("d", F.floor((1 - least) * F.greatest("l", F.length("n")) + 1e-9).cast("int"))
+    tries = tries.withColumn("i", F.explode(F.sequence(F.col("i") - F.col("d"), F.col("i") + F.col("d")))).select("n", "l", "g", "i")
+    pairs = tries.join(offered(k, "m"), ["l", "g", "i"]).select("n", "m").distinct().unionByName(a.join(k, F.col("n") == F.col("m"))).distinct()
+    score = F.when(F.col("n") == F.col("m"), F.lit(1.0)).otherwise(1 - F.levenshtein("n", "m") / F.greatest(F.length("n"), F.length("m")))
+    return pairs.select("n", "m", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+
+
+def resolve_names(asked: DataFrame, known: DataFrame, text: str, name: str, id_col: str, weight: str, least: float = 0.7, gap: float = 0.1, ratio: float = 1.8, span: Sequence[str] | None = None) -> DataFrame:
+    """(text, id, score, status) of each asked name: the best by edit distance, 1 where the normalised names are equal.
+
+    All candidates of at least `least` are found. With span (first, last; columns of both tables, null for open) those whose
+    span overlaps the asked one come alone if there are any. Ties go to the larger weight, then the smaller id. status is
+    unique, clear (the next score is `gap` lower, or the next weight `ratio` times smaller) or ambiguous.
     """
-    a = asked.select(F.col(text).alias("text")).distinct().withColumn("__n", normalized(F.col("text")))
-    k = known.select(F.col(id_col).alias("id"), F.col(weight).alias("weight"), normalized(F.col(name)).alias("__m"))
-    pieces = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda w: F.substring(w, 1, block))))
-    spread = k.withColumn("__p", pieces(F.col("__m")))
-    often = spread.groupBy("__p").agg(F.count("*").alias("__c"))
-    rare = a.withColumn("__p", pieces(F.col("__n"))).join(often, "__p")
-    rare = rare.withColumn("__k", F.row_number().over(Window.partitionBy("text").orderBy("__c", "__p"))).where("__k <= 2").drop("__k", "__c")
-    exact = a.join(k, F.col("__n") == F.col("__m"))
-    pairs = rare.join(spread, "__p").drop("__p").unionByName(exact).distinct()
-    longest = F.greatest(F.length("__n"), F.length("__m"))
-    score = F.when(F.col("__n") == F.col("__m"), F.lit(1.0)).otherwise(1 - F.levenshtein("__n", "__m") / longest)
-    hits = pairs.withColumn("score", F.round(score, 6)).where(F.col("score") >= least)
-    order = Window.partitionBy("text").orderBy(F.desc("score"), F.desc("weight"), "id")
-    hits = hits.withColumn("__r", F.row_number().over(order)).withColumn("__next", F.lead("score").over(order))
-    status = F.when(F.col("__next").isNull(), "unique").when(F.col("score") - F.col("__next") >= 0.1, "clear").otherwise("ambiguous")
-    return hits.where("__r = 1").select("text", "id", "score", status.alias("status"))
+    first, last = span or (None, None)
+    era = lambda d, c, other: F.coalesce(F.col(c), F.lit(other)) if c else F.lit(other)
+    a = asked.select(F.col(text).alias("text"), era(asked, first, -(1 << 30)).alias("__f"), era(asked, last, 1 << 30).alias("__l"), normalized(F.col(text)).alias("n")).distinct()
+    k = known.select(F.col(id_col).alias("id"), F.col(weight).alias("weight"), era(known, first, -(1 << 30)).alias("__kf"), era(known, last, 1 << 30).alias("__kl"), normalized(F.col(name)).alias("m"))
+    asks = Window.partitionBy("text", "__f", "__l")
+    hits = a.join(similar_names(a, k, least), "n").join(k, "m")
+    hits = hits.groupBy("text", "__f", "__l", "id", "weight", ((F.col("__kf") <= F.col("__l")) & (F.col("__f") <= F.col("__kl"))).alias("__in")).agg(F.max("score").alias("score"))
+    hits = hits.withColumn("__any", F.max("__in").over(asks)).where("__in OR NOT __any")
+    order = asks.orderBy(F.desc("score"), F.desc("weight"), "id")
+    hits = hits.withColumn("__r", F.row_number().over(order)).withColumn("__next", F.lead("score").over(order)).withColumn("__weight", F.lead("weight").over(order))
+    ahead = (F.col("score") - F.col("__next") >= gap - 1e-9) | (F.col("weight") >= ratio * F.greatest(F.col("__weight"), F.lit(1)))
+    status = F.when(F.col("__next").isNull(), "unique").when(ahead, "clear").otherwise("ambiguous")
+    return hits.where("__r = 1").select("text", *([F.col("__f").alias(first), F.col("__l").alias(last)] if span else []), "id", "score", status.alias("status"))
 
 
 def resolve_venues(asked: DataFrame, venues: DataFrame, teams: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,3 +219,39 @@ def on_court(st: DataFrame, box: DataFrame, tolerance: float = 2.0, least_share:
     p = pair_time(st).join(fine, ["game_id", "person_id"], "left").join(fine.select("game_id", F.col("person_id").alias("opponent_id"), F.col("fine").alias("fine2")), ["game_id", "opponent_id"], "left").join(full, "game_id", "left")
     ok = F.coalesce("fine", F.lit(False)) & F.coalesce("fine2", F.lit(False)) & F.coalesce("full", F.lit(False))
     return p.select("game_id", "person_id", "opponent_id", "seconds", ok.alias("reliable"))
+
+
+def season_marks(events: DataFrame, roster: DataFrame) -> DataFrame:
+    """(season, mark): a fingerprint of each season's events and roster, which a change, a missing or a doubled row alters."""
+    rows = lambda d, kind: d.select("season", F.xxhash64(F.lit(kind), *[F.col(c).cast("string") for c in sorted(set(d.columns) - {"season"})]).alias("h"))
+    both = rows(events, "event").unionByName(rows(roster, "roster"))
+    return both.groupBy("season").agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string")).alias("mark"))
+
+
+def build_on_court(events: DataFrame, roster: DataFrame, folder: str, tolerance: float = 2.0, least_share: float = 0.95) -> list[int]:
+    """Bring folder/on_court, a table by season, up to date with events and roster (both with season); the seasons built.
+
+    Only seasons whose fingerprint isn't the kept one are read, rebuilt and overwritten, each as a partition of its own. Fingerprints
+    are kept after the rows are written, so a build that breaks off is done again.
+    """
+    spark = events.sparkSession
+    marks = season_marks(events, roster).withColumn("at", F.current_timestamp())
+    try:
+        kept = spark.read.schema("season int, mark string, at timestamp").parquet(f"{folder}/marks")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = None
+    todo = marks
+    if kept is not None:
+        last = kept.groupBy("season").agg(F.max_by("mark", "at").alias("mark"))
+        todo = marks.join(last, ["season", "mark"], "left_anti")
+    todo = todo.collect()  # a row a season
+    seasons = sorted(r["season"] for r in todo)
+    if seasons:
+        own = lambda d: d.where(F.col("season").isin(seasons))
+        r = own(roster)
+        built = on_court(stints(own(events), r), r, tolerance, least_share).join(r.select("game_id", "season").distinct(), "game_id")
+        built.write.partitionBy("season").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/on_court")
+        spark.createDataFrame([tuple(r) for r in todo], "season int, mark string, at timestamp").coalesce(1).write.mode("append").parquet(f"{folder}/marks")
+    return seasons

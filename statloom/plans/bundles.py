@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import inference as i
+from ..operators import models as m
 from ..operators import windows as w
 from ..session import shared_folder
 from ..sources import bundle as b
+from ..sources import registry as reg
 from ..sources import tables as t
 from ..sources.roles import ORDER_HISTORY_SQL, order_history, table
 from .base import Query, rounded
@@ -129,9 +131,26 @@ def s17(s, d):
     h = order_history(s, d).withColumn("x", F.date_diff("d", F.lit("1995-01-01").cast("date")) / 365.25)
     folder = shared_folder(s, "parameters")
     fitted = i.trend(h, "subject", "x", "value")
-    b.save_parameters({"trend": fitted.withColumn("slope", F.lit(0.0))}, folder, "v1")
-    b.save_parameters({"trend": fitted}, folder, "v2")
-    return rounded(b.load_parameters(s, folder)["trend"].select("subject", (F.col("intercept") + 2 * F.col("slope")).alias("at_two")), 2)
+    reg.save(s, folder, "v1", {"trend": fitted.withColumn("slope", F.lit(0.0))})
+    reg.save(s, folder, "v2", {"trend": fitted})
+    return rounded(reg.load(s, folder).tables["trend"].select("subject", (F.col("intercept") + 2 * F.col("slope")).alias("at_two")), 2)
+
+
+def s17_models(s, d):
+    """A version with a pipeline, an archived boosted model and its data's fingerprint, found again by the fingerprint; its rates scored by both."""
+    h = order_history(s, d).withColumn("y", F.floor(F.col("value") / 50_000)).withColumn("prior", w.prior_count("subject").cast("double"))
+    folder = shared_folder(s, "registry")
+    facts = reg.fingerprint({"orders": h, "customer": table(s, d, "customer")})
+    glm = m.poisson_rate(h.withColumn("one", F.lit(1.0)), "y", ["prior"], "one")
+    boosted = m.boosted_rate(h, "y", ["prior"], rounds=2)
+    levels = h.groupBy("season").agg(F.avg("y").alias("mean"))
+    reg.save(s, folder, "2001", {"levels": levels.where("mean < 0")}, {"glm": glm}, facts={"orders": 0})
+    reg.save(s, folder, "2002", {"levels": levels}, {"glm": glm, "boosted": boosted}, archived=["boosted"], facts=facts)
+    reg.save(s, folder, "2003", {"levels": levels.where("mean < 0")}, {"glm": glm}, facts={"orders": 1})
+    v = reg.load(s, folder, facts=facts, archive=True)
+    same = m.predict_rate(v.models["glm"], h.withColumn("one", F.lit(1.0)), "one").withColumn("a", F.col("expected")).withColumn("b", m.rate_column(glm)).withColumn("c", v.models["boosted"].column()).withColumn("e", boosted.column())
+    fits = same.groupBy("season").agg((F.max(F.abs(F.col("a") - F.col("b"))) < 1e-9).alias("same_rates"), (F.max(F.abs(F.col("c") - F.col("e"))) < 1e-9).alias("same_trees"))
+    return rounded(v.tables["levels"].join(fits, "season").select(F.lit(v.name).alias("version"), F.lit(v.facts["orders"]).alias("orders"), F.lit(v.facts["customer"]).alias("customers"), "season", "mean", "same_rates", "same_trees"))
 
 
 def x3(s, d):
@@ -173,6 +192,8 @@ QUERIES = [
       FROM pg JOIN supplier ON s_suppkey = person_id WINDOW w AS (PARTITION BY person_id ORDER BY ts, game_id)"""),
     Query("s17_kept_parameters", s17, f"""WITH x AS (SELECT subject, value AS y, date_diff('day', DATE '1995-01-01', d) / 365.25 AS x FROM {O}),
       f AS (SELECT subject, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0) SELECT subject, round(a + 2 * b, 2) AS at_two FROM f"""),
+    Query("s17_model_registry", s17_models, f"""WITH n AS (SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers)
+      SELECT '2002' AS version, CAST(any_value(orders) AS INTEGER) AS orders, CAST(any_value(customers) AS INTEGER) AS customers, season, round(avg(floor(value / 50000)), 6) AS mean, true AS same_rates, true AS same_trees FROM {O} CROSS JOIN n GROUP BY season"""),
     Query("x3_line_provider", x3, f"""WITH r AS (SELECT subject, value, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, event_id DESC) AS r FROM {O}), u AS (SELECT subject, floor(round(avg(value), 6)) + 0.5 AS usual FROM r WHERE r <= 10 GROUP BY 1)
       SELECT subject, coalesce(abs(c_acctbal), usual) AS line, CASE WHEN c_acctbal IS NOT NULL THEN 'given' ELSE 'recent' END AS decided_by FROM u LEFT JOIN customer ON c_custkey = subject AND c_custkey % 2 = 0"""),
 ]

@@ -180,7 +180,9 @@ QUERIES = [
     Query("j17_index_union", j17, f"SELECT coalesce(c_custkey, s) AS id, coalesce(c_name, lo) AS name FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT subject AS s, min(level) AS lo FROM {O} GROUP BY 1) ON c_custkey = s"),
     Query("j18_reliability", j18, f"""WITH k AS (SELECT subject, avg(exposure) >= 48 AS f FROM {E} WHERE subject % 9 <> 0 GROUP BY 1), y AS (SELECT d, avg(exposure) >= 49 AS f FROM {E} GROUP BY 1)
       SELECT event_id, coalesce(k.f, false) AND coalesce(y.f, false) AS reliable FROM {E} h LEFT JOIN k ON h.subject = k.subject LEFT JOIN y ON h.d = y.d"""),
-    Query("j19_resolve_names", j19),
+    Query("j19_resolve_names", j19, """WITH k AS (SELECT p_partkey AS id, p_size AS weight, lower(p_name) AS m FROM part), a AS (SELECT DISTINCT upper(p_name) || ' x' AS text, lower(p_name) || ' x' AS n FROM part), s AS (SELECT text, m, round(1 - levenshtein(n, m) / greatest(length(n), length(m)), 6) AS score FROM a CROSS JOIN (SELECT DISTINCT m FROM k)),
+      h AS (SELECT text, id, weight, max(score) AS score FROM s JOIN k USING (m) WHERE score >= 0.7 GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS ns, lead(weight) OVER w AS nw FROM h WINDOW w AS (PARTITION BY text ORDER BY score DESC, weight DESC, id))
+      SELECT text, id, score, CASE WHEN ns IS NULL THEN 'unique' WHEN score - ns >= 0.1 - 1e-9 OR weight >= 1.8 * greatest(nw, 1) THEN 'clear' ELSE 'ambiguous' END AS status FROM r WHERE r = 1"""),
     Query("g1_components", g1, """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey AND c_nationkey % 4 = s_nationkey % 4),
       u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, x) AS (SELECT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.x = u.a) SELECT id, min(x) AS root FROM r GROUP BY id HAVING min(x) < id"""),
 ]

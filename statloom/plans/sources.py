@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lineups
+from ..session import shared_folder
 from ..sources import tables as t
 from ..sources.roles import EVENT_HISTORY_SQL, event_history, table
 from .base import Query, rounded
@@ -80,6 +81,19 @@ def s16(s, d):
     return lineups.on_court(lineups.stints(e, r), r)
 
 
+def s16_incremental(s, d):
+    """Three builds into one folder: all seasons, then none, then the last one after its events have changed; rows as they stand at the end."""
+    e, r = _lineup(s, d)
+    season = F.floor(F.col("game_id") / 10_000_000_000).cast("int")  # ten days
+    e, r, folder = e.withColumn("season", season), r.withColumn("season", season), shared_folder(s, "on-court")
+    last = e.agg(F.max("season")).first()[0]
+    later = e.withColumn("t", F.when(F.col("season") == last, F.col("t") + 0.5).otherwise(F.col("t")))
+    runs = [(k, n) for k, events in enumerate((e, e, later), 1) for n in lineups.build_on_court(events, r, folder)]
+    built = s.createDataFrame(runs, "run int, season int")
+    rows = s.read.parquet(f"{folder}/on_court").groupBy("season").agg((F.count("*") > 0).alias("has_rows"))
+    return built.join(rows, "season").select("run", "season", "has_rows")
+
+
 QUERIES = [
     Query("s3_stacked_schedules", s3, "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_mktsegment END AS arena, CAST(NULL AS VARCHAR) AS city FROM customer"),
     Query("s4_prefix_scan", s4, "SELECT p_partkey, p_type FROM part WHERE p_type LIKE 'STANDARD%' OR p_type LIKE 'PROMO%'"),
@@ -98,4 +112,5 @@ QUERIES = [
     Query("g3_lineups", g3),
     Query("g3_pair_time", g3_pairs),
     Query("s16_on_court", s16),
+    Query("s16_incremental", s16_incremental, f"""WITH g AS (SELECT DISTINCT CAST((d - DATE '2024-01-01') // 10 AS INTEGER) AS season FROM {E}) SELECT 1 AS run, season, true AS has_rows FROM g UNION ALL SELECT 3, max(season), true FROM g"""),
 ]

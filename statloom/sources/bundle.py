@@ -120,24 +120,3 @@ def assemble(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 def load_bundle(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     """The processed tables below folder, lazily."""
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
-
-
-def save_parameters(fitted: Mapping[str, DataFrame], folder: str, version: str) -> None:
-    """Write fitted tables (coefficients, dispersions, ...) as a version of their own, then enter it in the manifest.
-
-    Readers go by the manifest, so a version that was written in part is never taken for the latest.
-    """
-    spark = next(iter(fitted.values())).sparkSession
-    for name, df in fitted.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
-    entry = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.array(*[F.lit(n) for n in fitted]).alias("tables"))
-    entry.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
-
-
-def load_parameters(spark: SparkSession, folder: str, version: str | None = None) -> dict[str, DataFrame]:
-    """The fitted tables of a version, the latest entered by default; an error where there is none."""
-    m = spark.read.parquet(f"{folder}/manifest")
-    row = (m.where(F.col("version") == version) if version else m).orderBy(F.desc("at"), F.desc("version")).first()
-    if row is None:
-        raise ValueError(f"{folder}: no version {version}")
-    return {n: spark.read.parquet(f"{folder}/{row['version']}/{n}") for n in row["tables"]}

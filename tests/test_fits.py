@@ -272,3 +272,46 @@ def test_residual_table_pools_small_buckets(spark):
     interval = projection.mean_interval(F.lit(10.0), F.lit(0.1), F.lit(40), F.lit(30.0), F.lit(5.0))
     low, high = d.limit(1).select(*interval).first()
     assert low < 10 < high and high - 10 == pytest.approx(10 - low)
+
+
+# ---- names
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_all_similar_names_are_candidates(spark):
+    import random
+
+    from statloom.operators import joins
+
+    r = random.Random(4)
+    known = sorted({"".join(r.choice("abcde ") for _ in range(r.randrange(1, 16))).strip() or "a" for _ in range(150)})
+    asked = set()
+    for name in known:
+        for _ in range(2):  # errors anywhere, the first letters too
+            w = list(name)
+            for _ in range(r.randrange(0, 4)):
+                at = r.randrange(len(w) + 1)
+                w[at : at + r.randrange(2)] = r.choice(["", "x", "a"])
+            asked.add("".join(w))
+    got = joins.similar_names(spark.createDataFrame([(x,) for x in asked], "n string"), spark.createDataFrame([(x,) for x in known], "m string"))
+    want = {(a, k) for a in asked for k in known if a and 1 - edits(a, k) / max(len(a), len(k)) >= 0.7 - 1e-9}
+    assert {(x["n"], x["m"]) for x in got.collect()} == want and len(want) > 150
+    with pytest.raises(ValueError):
+        joins.similar_names(got.select("n"), got.select("m"), 0.5)
+
+
+def test_names_by_era_and_weight(spark):
+    from statloom.operators import joins
+
+    known = spark.createDataFrame([(1, "Gary Payton", 1990, 2006, 1300), (2, "Gary Payton", 2016, None, 500), (3, "Gary Paytan", 1985, 1987, 3), (4, "Steph Curry", 2009, None, 900)], "id long, name string, first int, last int, games int")
+    asked = spark.createDataFrame([("gary payton", None, None), ("gary payton", 2018, 2018), ("gary payton", 1950, 1951), ("xteph curry", None, None), ("nobody here", None, None)], "q string, first int, last int")
+    out = {(x["text"], x["first"]): (x["id"], x["status"]) for x in joins.resolve_names(asked, known, "q", "name", "id", "games", span=("first", "last")).collect()}
+    assert out == {("gary payton", -(1 << 30)): (1, "clear"), ("gary payton", 2018): (2, "unique"), ("gary payton", 1950): (1, "clear"), ("xteph curry", -(1 << 30)): (4, "unique")}

@@ -145,14 +145,52 @@ def test_alias_file_with_comments(spark, tmp_path):
 
 
 def test_parameters_by_version(spark, tmp_path):
-    from statloom.sources import bundle
+    from pyspark.ml import PipelineModel
 
+    from statloom.operators import boosting, models
+    from statloom.sources import registry
+
+    d = spark.createDataFrame([(float(i % 7), float(i % 3), 1.0) for i in range(60)], "x double, y double, e double")
+    glm, tree = models.poisson_rate(d, "y", ["x"], "e"), boosting.fit(d, "y", ["x"], rounds=2, least=5)
     for version, v in (("v1", 1.0), ("v2", 2.0)):
-        bundle.save_parameters({"coef": spark.createDataFrame([(v,)], "v double")}, str(tmp_path), version)
-    assert bundle.load_parameters(spark, str(tmp_path))["coef"].first()["v"] == 2.0
-    assert bundle.load_parameters(spark, str(tmp_path), "v1")["coef"].first()["v"] == 1.0
-    with pytest.raises(ValueError):
-        bundle.load_parameters(spark, str(tmp_path), "v3")
+        registry.save(spark, str(tmp_path), version, {"coef": spark.createDataFrame([(v,)], "v double")}, {"glm": glm, "tree": tree}, archived=["tree"], facts={"d": int(v)})
+    new = registry.load(spark, str(tmp_path))
+    assert (new.name, new.tables["coef"].first()["v"], new.facts, list(new.models)) == ("v2", 2.0, {"d": 2}, ["glm"]) and isinstance(new.models["glm"], PipelineModel)
+    old = registry.load(spark, str(tmp_path), facts={"d": 1}, archive=True)
+    assert old.name == "v1" and registry.load(spark, str(tmp_path), "v1").tables["coef"].first()["v"] == 1.0
+    got = d.select(old.models["tree"].column().alias("a"), tree.column().alias("b")).collect()
+    assert old.models["tree"].rounds == 2 and all(r["a"] == r["b"] for r in got)
+    # a version whose writing broke off, before its entry or within it, is never read
+    spark.createDataFrame([(3.0,)], "v double").write.parquet(str(tmp_path / "versions" / "v3-half" / "tables" / "coef"))
+    (tmp_path / "manifest" / "_temporary" / "77").mkdir(parents=True)
+    (tmp_path / "manifest" / "_temporary" / "77" / "part-0.parquet").write_bytes(b"PAR1 half")
+    assert registry.load(spark, str(tmp_path)).name == "v2"
+    registry.save(spark, str(tmp_path), "v1", {"coef": spark.createDataFrame([(7.0,)], "v double")})
+    assert registry.load(spark, str(tmp_path), "v1").tables["coef"].first()["v"] == 7.0 and registry.load(spark, str(tmp_path)).name == "v1"
+    for bad in ({"version": "v3"}, {"facts": {"d": 9}}):
+        with pytest.raises(ValueError):
+            registry.load(spark, str(tmp_path), **bad)
+
+
+def test_only_changed_seasons_are_built_again(spark, tmp_path):
+    def shifted(season):
+        e = lineups.events_of_plays(spark.createDataFrame(legacy(), PLAYS), roster(spark))
+        return e.withColumn("game_id", F.col("game_id") + season * 100_000).withColumn("season", F.lit(2015 + season))
+
+    def at(season):
+        return roster(spark).withColumn("game_id", F.col("game_id") + season * 100_000).withColumn("season", F.lit(2015 + season))
+
+    events, people, folder = shifted(0).unionByName(shifted(1)), at(0).unionByName(at(1)), str(tmp_path / "court")
+    assert lineups.build_on_court(events, people, folder) == [2015, 2016]
+    first = {(r["game_id"], r["person_id"], r["opponent_id"]): r["seconds"] for r in spark.read.parquet(f"{folder}/on_court").collect()}
+    files = sorted((tmp_path / "court" / "on_court").glob("season=2015/*.parquet"))
+    assert len(first) == 120 and lineups.build_on_court(events, people, folder) == []
+    changed = events.where("NOT (season = 2016 AND kind = 'in')")
+    assert lineups.build_on_court(changed, people, folder) == [2016]
+    assert sorted((tmp_path / "court" / "on_court").glob("season=2015/*.parquet")) == files
+    assert {r["season"]: r["n"] for r in spark.read.parquet(f"{folder}/on_court").groupBy("season").agg(F.count("*").alias("n")).collect()} == {2015: 60, 2016: 60}
+    assert lineups.build_on_court(changed, people.withColumn("minutes", F.when(F.col("season") == 2015, 6.0).otherwise(F.col("minutes"))), folder) == [2015]
+    assert lineups.build_on_court(changed.limit(0), people.limit(0), str(tmp_path / "none")) == []
 
 
 def test_slim_export(spark, tmp_path):
