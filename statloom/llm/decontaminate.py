@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U64, buffers, mix, release, words
-from .scratch import stage
+from .scratch import stage, unused
 
 #: Kept (1) and ignored (0) positions of the fixed masks.
 MASKS = ("11011011", "1110111", "1110100111", "110101100101")
@@ -81,13 +81,9 @@ def _runs(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Seed hashes of some benchmark items, for lookup from documents."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...] = MASKS, shortest: int = SHORTEST) -> None:
-        same: dict[bytes, list] = {}
-        for i, h in items:
-            if len(h) >= max(1, shortest):
-                same.setdefault(h.tobytes(), []).append(i)
-        #: (smallest id, tokens, how many items these are)
-        self.items = [(min((i for i in ids if i is not None), default=None), np.frombuffer(h, U64), len(ids)) for h, ids in same.items()]
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], masks: tuple[str, ...] = MASKS, shortest: int = SHORTEST) -> None:
+        #: (smallest id, tokens, how many items these are), a row for the items of equal tokens
+        self.items = [x for x in items if len(x[1]) >= max(1, shortest)]
         least = min(map(len, masks))
         short = sorted({len(h) for _, h, _ in self.items if len(h) < least})
         #: Items shorter than any mask are sought whole.
@@ -143,28 +139,33 @@ def best_run(equal: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
     return start, end
 
 
-def _tokens(table: DataFrame, id_col: str) -> list[tuple[int, np.ndarray]]:
-    """Token hashes of a bounded table's rows."""
+def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
+    """(id, h, n): the items of equal tokens as one: smallest id, token hashes, and how many items these are."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = [w.hashes[w.where[i] : w.where[i + 1]].tobytes() for w in words(spaced(batch.column(1))) for i in range(w.hi - w.lo)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.binary())], ["id", "h"])
+            h = [w.hashes[w.where[i] : w.where[i + 1]].tobytes() for w in words(spaced(batch.column("text"))) for i in range(w.hi - w.lo)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(h, pa.binary()), batch.column("n")], ["id", "h", "n"])
 
-    rows = table.select(F.col(id_col).cast("long"), F.col("text").cast("string")).mapInArrow(make, "id long, h binary").collect()
-    return sorted(((r["id"], np.frombuffer(r["h"], U64)) for r in rows), key=lambda x: (x[0] is None, x[0] or 0))
+    # equal texts meet before they are hashed, equal tokens before they are sent out
+    texts = benchmark.groupBy(F.col("text").cast("string").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("id"), F.count("*").alias("n"))
+    own = texts.select("id", "text", "n").mapInArrow(make, "id long, h binary, n long")
+    return own.where(F.length("h") >= 8 * max(1, shortest)).groupBy("h").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
 
 
 def _overlaps(docs: DataFrame, benchmark: DataFrame, need: int, shortest: int, block_chars: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    key = F.pmod(F.xxhash64(F.lower("text")), F.lit(blocks))
+    items = stage(_items(benchmark, shortest), "items")
+    total = items.agg(F.sum(F.length("h"))).first()[0] or 0
+    blocks = max(1, -(-total // (block_chars * 3 // 2)))  # eight bytes a token of some six letters
+    key = F.pmod(F.xxhash64("h"), F.lit(blocks))
     found = []
     for b in range(blocks):
-        shared = spark.sparkContext.broadcast(Index(_tokens(benchmark.where(F.coalesce(key, F.lit(0)) == b), "item_id"), shortest=shortest))
+        rows = items.where(key == b).collect()  # a block's distinct items
+        own = sorted(((r["id"], np.frombuffer(r["h"], U64), r["n"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0))
+        shared = spark.sparkContext.broadcast(Index(own, shortest=shortest))
         own = texts.mapInArrow(_search(shared, need), RESULT)
         if blocks > 1:  # one block's hashes at a time
             own = stage(own, "overlaps")
@@ -212,7 +213,8 @@ def _search(shared, need: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, need: int = NEED, shortest: int = SHORTEST, block_chars: int = 4_000_000) -> DataFrame:
-    """docs without the contaminated rows; all columns stay."""
-    leaks = _overlaps(docs, benchmark, need, shortest, block_chars).select(F.col("row").alias("__row")).distinct()
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(leaks, "__row", "left_anti").select(*docs.columns)
+    """docs without the contaminated rows; all columns stay, whatever their names."""
+    row = unused(docs, "__row")
+    leaks = _overlaps(docs, benchmark, need, shortest, block_chars).select(F.col("row").alias(row)).distinct()
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(leaks, row, "left_anti").select(*docs.columns)

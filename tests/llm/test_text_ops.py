@@ -298,7 +298,7 @@ def test_decontamination_of_repeated_tokens_scripts_and_rows(spark):
     import time
 
     began = time.time()
-    index = decontaminate.Index([(1, np.full(500, 7, np.uint64))])
+    index = decontaminate.Index([(1, np.full(500, 7, np.uint64), 1)])
     assert len(index.hits(np.full(1_000_000, 7, np.uint64))[0]) <= 8 * len(index.masks) and time.time() - began < 20
     han = "一二三四五六七八九十百千万年月日"
     bench = spark.createDataFrame([(1, han), (2, "“one”—two…three, four «five» six seven"), (3, "a b"), (4, "A, b")], "item_id long, text string")
