@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import U64, mix, release, shingles, words
 from .components import components
-from .scratch import stage
+from .scratch import stage, unused
 
 BINS = 64
 #: Tasks that the rows of one large node are dealt to, rows of a table (of some numbers, or with sketches) that is broadcast,
@@ -413,10 +413,12 @@ def _classes(docs: DataFrame, threshold: float, width: int, recall: float, depth
     linked = linked.unionByName(linked.select(F.col("root").alias("id"), "root").distinct()).join(reps.select(F.col("fp").alias("id"), "doc"), "id")
     least = stage(linked.groupBy("root").agg(F.min("doc").alias("least")), "least")
     named_class = _beside(linked.select("id", "root"), least, "root", salt="id").select(F.col("id").alias("fp"), "root", "least")
+    # a set that no other row has and none is linked with tells nothing beyond its own row
     known = reps.select("fp", "doc", "n").join(links.withColumnRenamed("rep", "fp"), "fp", "left").join(named_class, "fp", "left")
-    result = own.select("row", "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(known, "fp", "left")
-    others = F.when(F.col("doc").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long")
-    return result.select("row", "doc_id", F.coalesce("least", "doc", "doc_id").alias("class_id"), F.coalesce("doc", "doc_id").alias("copy_id"), others.alias("n_links"), F.when(F.col("doc").isNotNull(), F.coalesce("root", "fp")).alias("set"))
+    known = stage(known.where("n > 1 OR links IS NOT NULL OR least IS NOT NULL"), "known")
+    result = _beside(own.select("row", "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")), known, "fp", "left", salt="row")
+    others = F.coalesce(F.col("n") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+    return result.select("row", "doc_id", F.coalesce("least", "doc", "doc_id").alias("class_id"), F.coalesce("doc", "doc_id").alias("copy_id"), others.cast("long").alias("n_links"), F.coalesce("root", "fp").alias("set"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, depths: Sequence[int] = (3, 6, 9), bucket: int = 200, block_bytes: int = 4 << 20, at_least: float | None = None) -> DataFrame:
@@ -435,8 +437,9 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall:
     texts under one id are different rows. All columns stay.
     """
     rows = _classes(docs, threshold, width, recall, depths, bucket, block_bytes, at_least).where("set IS NOT NULL")
+    row, keep = unused(docs, "__row"), unused(docs, "__keep")
     first = rows.groupBy("set").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    keep = first.select(F.col("first.row").alias("__row"), F.lit(True).alias("__keep"))
-    every = rows.select(F.col("row").alias("__row")).distinct().join(keep, "__row", "left").withColumn("__keep", F.coalesce("__keep", F.lit(False)))
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(every, "__row", "left")
-    return keyed.where("__keep").dropDuplicates(["__row"]).unionByName(keyed.where("__keep IS NULL")).select(*docs.columns)
+    chosen = first.select(F.col("first.row").alias(row), F.lit(True).alias(keep))
+    every = rows.select(F.col("row").alias(row)).distinct().join(chosen, row, "left").withColumn(keep, F.coalesce(keep, F.lit(False)))
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(every, row, "left")
+    return keyed.where(F.col(keep)).dropDuplicates([row]).unionByName(keyed.where(F.col(keep).isNull())).select(*docs.columns)
