@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U64, WHITE, buffers, hash_spans, mix, release, slices, split
+from .scratch import unused
 
 LABELLERS = ("symbols", "marked_words", "capitals", "exclaims", "repeats", "variety", "sentences", "word_length")
 SIZE = 1 << 13
@@ -232,8 +233,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SIZE) -> tuple[np.nda
     return train(rows, cols, vals, labels, size), accuracy
 
 
-def _scored(docs: DataFrame, weights: np.ndarray | None, size: int) -> DataFrame:
-    """docs' columns and the score, in one pass and without moving a row."""
+def _scored(docs: DataFrame, weights: np.ndarray | None, size: int, name: str = "__quality") -> DataFrame:
+    """docs' columns and the score under a new name, in one pass and without moving a row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +248,11 @@ def _scored(docs: DataFrame, weights: np.ndarray | None, size: int) -> DataFrame
                     text, hashed, weight = s.features(size)
                     own = 1 / (1 + np.exp(-np.clip(np.bincount(text, weight * w[hashed], len(s.n)) + w[-1], -60, 60)))
                 out[lo : lo + len(s.n)] = np.where(s.n > 0, own, 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "__quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
         release()
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{kinds}, `__quality` double")
+    return docs.mapInArrow(score, f"{kinds}, `{name}` double")
 
 
 def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, size: int = SIZE) -> DataFrame:
@@ -263,6 +264,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, size: int = SIZE) -> DataFrame:
-    """docs without the rejected documents; all columns stay."""
+    """docs without the rejected documents; all columns stay, whatever their names."""
     weights, _ = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample, size)
-    return _scored(docs, weights, size).where(F.col("__quality") >= threshold).select(*docs.columns)
+    name = unused(docs, "__quality")
+    return _scored(docs, weights, size, name).where(F.col(name) >= threshold).select(*docs.columns)

@@ -27,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from .scratch import stage, unused
 
 LEAST, SHORT = 16, 8
 SAMPLE = 20_000
@@ -247,14 +247,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, least: int = LEAST,
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, least: int = LEAST, short: int = SHORT, sample: int = SAMPLE, trees: int = 30, threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by `mark`, and n_chars, where there is one, made to fit; no row goes."""
+    """docs with every secret replaced by `mark`, and n_chars, where there is one, made to fit; no row goes, and all columns stay, whatever their names."""
     kept = _judged(docs, labelled, least, short, sample, trees, threshold)
+    row, hits = unused(docs, "__row"), unused(docs, "__found")
     # longest first, so that no secret leaves the rest of a longer one behind; a text bounds its own list
-    secrets = kept.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias("__found"))
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    clean = F.aggregate("__found", F.col("text"), lambda text, x: F.replace(text, x["secret"], F.lit(mark)))
-    out = keyed.join(secrets, "__row", "left")
-    new = {"text": F.when(F.col("__found").isNull(), F.col("text")).otherwise(clean)}
+    secrets = kept.groupBy(F.col("row").alias(row)).agg(F.sort_array(F.collect_set(F.struct(F.length("secret").alias("n"), "secret")), asc=False).alias(hits))
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    clean = F.aggregate(hits, F.col("text"), lambda text, x: F.replace(text, x["secret"], F.lit(mark)))
+    out = keyed.join(secrets, row, "left")
+    new = {"text": F.when(F.col(hits).isNull(), F.col("text")).otherwise(clean)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
+        new["n_chars"] = F.when(F.col(hits).isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
     return out.withColumns(new).select(*docs.columns)
