@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import t_pvalue_column, t_two_sided
+from ..session import staged
 
 
 def difference(split: Column, base: Column) -> tuple[Column, Column]:
@@ -38,10 +39,10 @@ def welch_p(m1: Column, s1: Column, n1: Column, m2: Column, s2: Column, n2: Colu
 
 
 def prior_variance(groups: DataFrame, by: Sequence[str], mean: str, n: str, within: str) -> DataFrame:
-    """(by, tau2): variance between group means beyond what their sizes explain; null below three groups, at least 0."""
+    """(by, tau2, league): variance between group means beyond what their sizes explain (null below three groups, at least 0), and their mean."""
     have = F.col(mean).isNotNull() & (F.col(n) > 0)
-    g = groups.where(have).groupBy(*by).agg(F.count("*").alias("__k"), F.var_samp(mean).alias("__v"), F.avg(F.col(within) / F.col(n)).alias("__w"))
-    return g.select(*by, F.when(F.col("__k") >= 3, F.greatest(F.lit(0.0), F.col("__v") - F.col("__w"))).alias("tau2"))
+    g = groups.where(have).groupBy(*by).agg(F.count("*").alias("__k"), F.var_samp(mean).alias("__v"), F.avg(F.col(within) / F.col(n)).alias("__w"), F.avg(mean).alias("league"))
+    return g.select(*by, F.when(F.col("__k") >= 3, F.greatest(F.lit(0.0), F.col("__v") - F.col("__w"))).alias("tau2"), "league")
 
 
 def shrink_weight(n: Column, within: Column, tau2: Column) -> Column:
@@ -113,28 +114,25 @@ def within(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix: str =
 def fixed_effects(df: DataFrame, group: str, y: str, xs: Sequence[str], level: float = 0.95) -> pd.DataFrame:
     """Least squares within groups, with errors clustered by group: a row a regressor.
 
-    Rows with a null and groups of one row go. The Gram matrix is one aggregate, the clusters' score
-    vectors' outer products a second one; only k * k numbers reach the driver. p values use the t
-    distribution with one degree of freedom fewer than groups.
+    Rows with a null and groups of one row go. The rows are read once: a group's co-moments (k * k numbers, written) give
+    the Gram matrix as one sum, and its score at the solution, whose outer products are a second one; only k * k numbers
+    reach the driver. p values use the t distribution with one degree of freedom fewer than groups.
     """
-    d = df.select(group, *[F.col(c).cast("double").alias(c) for c in (y, *xs)]).dropna()
-    w = Window.partitionBy(group)
-    d = d.withColumn("__n", F.count("*").over(w)).where("__n > 1")
-    d = within(d, [group], [y, *xs])
-    cols = [F.col(c + "_w") for c in xs]
-    t = F.col(y + "_w")
+    d = df.select(F.col(group).alias("__g"), *[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate((*xs, y))]).dropna()
     k = len(xs)
-    gram = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = d.agg(F.count("*").alias("n"), F.countDistinct(group).alias("g"), *gram, *[F.sum(cols[i] * t).alias(f"y{i}") for i in range(k)]).first()
-    n, g = int(row["n"]), int(row["g"])
-    a = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
-    beta = np.linalg.pinv(a) @ np.array([row[f"y{i}"] or 0.0 for i in range(k)], float)
-    fitted = sum((cols[i] * float(beta[i]) for i in range(1, k)), cols[0] * float(beta[0]))
-    u = t - fitted
-    score = d.groupBy(group).agg(*[F.sum(cols[i] * u).alias(f"s{i}") for i in range(k)])
-    meat = score.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    m = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
+    pairs = [(i, j) for i in range(k) for j in range(i, k + 1)]
+    n_rows = F.count("*")
+    own = d.groupBy("__g").agg(n_rows.alias("n"), *[(F.covar_pop(f"__{i}", f"__{j}") * n_rows).alias(f"c{i}_{j}") for i, j in pairs]).where("n > 1")
+    own = staged(own, "moments")
+    row = own.agg(F.sum("n").alias("n"), F.count("*").alias("g"), *[F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
+    n, g = int(row["n"] or 0), int(row["g"])
+    cell = lambda i, j: row[f"c{min(i, j)}_{max(i, j)}"] or 0.0
+    a = np.array([[cell(i, j) for j in range(k)] for i in range(k)], float)
     inv = np.linalg.pinv(a)
+    beta = inv @ np.array([cell(i, k) for i in range(k)], float)
+    score = [F.col(f"c{i}_{k}") - sum((F.col(f"c{min(i, j)}_{max(i, j)}") * float(beta[j]) for j in range(k)), F.lit(0.0)) for i in range(k)]
+    meat = own.agg(*[F.sum(score[i] * score[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    m = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
     factor = g / max(1, g - 1) * (n - 1) / max(1, n - k)
     cov = factor * inv @ m @ inv
     se = np.sqrt(np.maximum(np.diag(cov), 0))

@@ -38,6 +38,17 @@ def with_opponent(df: DataFrame, game: str, side: str, cols: Sequence[str], pref
     return df.join(other, (df[game] == other["__g"]) & (df[side] != other[prefix + side])).drop("__g")
 
 
+def opponent_sums(df: DataFrame, game: str, side: str, cols: Sequence[str], prefix: str = "opp_") -> DataFrame:
+    """(game, side, opponents, prefix + col): rows and sums of a game's other sides; sides without another one have no row.
+
+    One aggregate and a window over the game: its totals less the side's own, where a self-join would pair all sides.
+    """
+    own = df.groupBy(game, side).agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__{c}") for c in cols])
+    w = Window.partitionBy(game)
+    rest = own.select(game, side, (F.sum("__n").over(w) - F.col("__n")).alias("opponents"), *[(F.coalesce(F.sum(f"__{c}").over(w), F.lit(0)) - F.coalesce(f"__{c}", F.lit(0))).alias(prefix + c) for c in cols])
+    return rest.where("opponents > 0")
+
+
 def first_known(df: DataFrame, sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str], cols: Sequence[str], needs: str) -> DataFrame:
     """df with cols from the first source that has a row with `needs` for the keys, and the source's name as `decided_by`."""
     out, choice = df, []

@@ -26,30 +26,32 @@ def lagged_mean(col: str, by: str | Sequence[str], n: int, order: Sequence[str]
 def lagged_ewm(df: DataFrame, by: str | Sequence[str], cols: Sequence[str], halflife: float, order: Sequence[str] = ORDER, suffix: str = "_ewm", ticks: int = 400) -> DataFrame:
     """Exponentially weighted means of the rows before this one, weights halving every `halflife` non-null rows.
 
-    A row's weight is 2**(i / halflife) for its running number i; only ratios count. Series longer than
-    `ticks` half-lives are cut in blocks with their own origin, and each block passes its two sums on,
-    so the power never leaves the range of doubles.
+    A row's weight is 2**(i / halflife) for its running number i among the column's non-null rows; only ratios count. Series are
+    cut in blocks of `ticks` half-lives of rows with their own origin, and each block passes its two sums on, so the power
+    never leaves the range of doubles. All columns share the blocks, and so three sorts, however many they are.
     """
-    w = series(by, order)
+    keys, kept = [by] if isinstance(by, str) else list(by), df.columns
     span = int(ticks * halflife)
-    keys = [by] if isinstance(by, str) else list(by)
-    for c in cols:
-        df = df.withColumn("__i", F.count(c).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        df = df.withColumn("__b", F.floor(F.col("__i") / span)).withColumn("__p", F.pow(F.lit(2.0), (F.col("__i") - F.col("__b") * span) / halflife))
-        weight = F.when(F.col(c).isNotNull(), F.col("__p"))
-        own = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        df = df.withColumn("__n", F.sum(weight * F.col(c)).over(own)).withColumn("__d", F.sum(weight).over(own))
-        # of the block before, its full sums at this block's origin; older ones weigh under 2**-ticks
-        total = Window.partitionBy(*keys, "__b")
-        df = df.withColumn("__tn", F.sum(weight * F.col(c)).over(total)).withColumn("__td", F.sum(weight).over(total))
-        first = F.col("__b") > 0
-        edge = Window.partitionBy(*keys).orderBy("__b").rangeBetween(-1, -1)
-        carry = F.lit(2.0 ** -(span / halflife))
-        df = df.withColumn("__cn", F.when(first, F.first("__tn", ignorenulls=True).over(edge) * carry)).withColumn("__cd", F.when(first, F.first("__td", ignorenulls=True).over(edge) * carry))
-        num = F.coalesce("__n", F.lit(0.0)) + F.coalesce("__cn", F.lit(0.0))
-        den = F.coalesce("__d", F.lit(0.0)) + F.coalesce("__cd", F.lit(0.0))
-        df = df.withColumn(c + suffix, F.when(den > 0, num / den)).drop("__i", "__b", "__p", "__n", "__d", "__tn", "__td", "__cn", "__cd")
-    return df
+    far = Window.unboundedPreceding
+    run = series(by, order)
+    at = {c: f"__{k}" for k, c in enumerate(cols)}
+    df = df.select("*", F.floor((F.row_number().over(run) - 1) / span).alias("__b"), *[F.count(c).over(run.rowsBetween(far, 0)).alias(f"{x}i") for c, x in at.items()])
+    block = Window.partitionBy(*keys, "__b").orderBy(*order)
+    df = df.select("*", *[F.first(f"{x}i").over(block.rowsBetween(far, 0)).alias(f"{x}o") for x in at.values()])
+    weight = {c: F.when(F.col(c).isNotNull(), F.pow(F.lit(2.0), (F.col(f"{x}i") - F.col(f"{x}o")) / halflife)) for c, x in at.items()}
+    past, whole = block.rowsBetween(far, -1), block.rowsBetween(far, Window.unboundedFollowing)
+    sums = lambda c, x, w, k: [F.sum(weight[c] * F.col(c)).over(w).alias(f"{x}n{k}"), F.sum(weight[c]).over(w).alias(f"{x}d{k}")]
+    df = df.select("*", *[s for c, x in at.items() for s in (*sums(c, x, past, ""), *sums(c, x, whole, "t"))])
+    # of the block before, its full sums moved to this block's origin; older ones weigh under 2**-ticks
+    edge = Window.partitionBy(*keys).orderBy("__b").rangeBetween(-1, -1)
+    before = lambda name: F.first(name).over(edge)
+    df = df.select("*", *[before(f"{x}{k}").alias(f"{x}{k}p") for x in at.values() for k in ("nt", "dt", "o")])
+    out = []
+    for c, x in at.items():
+        carry = F.pow(F.lit(2.0), (F.col(f"{x}op") - F.col(f"{x}o")) / halflife)
+        part = lambda k: F.coalesce(F.col(f"{x}{k}"), F.lit(0.0)) + F.coalesce(F.col(f"{x}{k}tp") * carry, F.lit(0.0))  # noqa: E731, B023
+        out.append(F.when(part("d") > 0, part("n") / part("d")).alias(c + suffix))
+    return df.select(*kept, *out)
 
 
 def lagged_sum(col: str, by: str | Sequence[str], order: Sequence[str] = ORDER) -> Column:

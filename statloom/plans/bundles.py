@@ -91,7 +91,7 @@ def s6(s, d):
 
 
 def s7(s, d):
-    bio = table(s, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("person_id"), F.col("s_acctbal").alias("weight"))
+    bio = table(s, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("weight"))
     return t.all_matchups(_records(s, d), bio).select("game_id", "season", "kind", "off_person_id", "def_person_id", "def_weight", "seconds")
 
 
@@ -156,7 +156,7 @@ def s17_models(s, d):
 def x3(s, d):
     """Lines as given where there are any, else from the subject's newest ten values."""
     h = order_history(s, d)
-    given = table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("subject"), F.abs("c_acctbal").alias("given"))
+    given = table(s, d, "customer").select(F.col("c_custkey").alias("subject"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("given"))
     own = h.withColumn("r", w.recent_rank("subject")).where("r <= 10").groupBy("subject").agg((F.floor(F.round(F.avg("value"), 6)) + 0.5).alias("usual"))
     return own.join(given, "subject", "left").select("subject", F.coalesce("given", "usual").alias("line"), F.when(F.col("given").isNotNull(), "given").otherwise("recent").alias("decided_by"))
 
@@ -180,8 +180,8 @@ QUERIES = [
     Query("s5_rosters", s5, f"WITH {_LINES} SELECT game_id, person_id, team_id, CAST({_SEASON.format('game_id')} AS INTEGER) AS season, points FROM box WHERE game_id IN (SELECT game_id FROM g WHERE home_id = 3 OR away_id = 3)"),
     Query("s6_matchup_records", s6, f"WITH {_MATCHUPS} SELECT *, CAST(NULL AS DOUBLE) AS assists FROM m"),
     Query("s7_all_matchups", s7, f"""WITH {_MATCHUPS}, y AS (SELECT *, game_id // 100000 % 100 AS yy, game_id // 10000000 AS k FROM m)
-      SELECT game_id, CAST(CASE WHEN yy >= 46 THEN 1900 + yy ELSE 2000 + yy END AS INTEGER) AS season, CASE k WHEN 1 THEN 'preseason' WHEN 2 THEN 'regular' END AS kind, off_person_id, def_person_id, s_acctbal AS def_weight, seconds
-      FROM y LEFT JOIN supplier ON s_suppkey = def_person_id AND s_suppkey % 3 <> 0"""),
+      SELECT game_id, CAST(CASE WHEN yy >= 46 THEN 1900 + yy ELSE 2000 + yy END AS INTEGER) AS season, CASE k WHEN 1 THEN 'preseason' WHEN 2 THEN 'regular' END AS kind, off_person_id, def_person_id, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS def_weight, seconds
+      FROM y LEFT JOIN supplier ON s_suppkey = def_person_id"""),
     Query("s8_alias_csv", s8, "SELECT c_custkey AS id, 'st ' || lower(c_name) || ' jr' AS alias FROM customer"),
     Query("s10_processed_bundle", s10, f"""WITH {_LINES}, p AS (SELECT person_id, count(*) AS games, arg_max(team_id, (ts, game_id)) AS team_id FROM pg GROUP BY 1)
       SELECT person_id, s_name AS name, games, team_id, n_name AS team FROM p JOIN supplier ON s_suppkey = person_id JOIN nation ON n_nationkey = team_id"""),
@@ -195,5 +195,5 @@ QUERIES = [
     Query("s17_model_registry", s17_models, f"""WITH n AS (SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers)
       SELECT '2002' AS version, CAST(any_value(orders) AS INTEGER) AS orders, CAST(any_value(customers) AS INTEGER) AS customers, season, round(avg(floor(value / 50000)), 6) AS mean, true AS same_rates, true AS same_trees FROM {O} CROSS JOIN n GROUP BY season"""),
     Query("x3_line_provider", x3, f"""WITH r AS (SELECT subject, value, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, event_id DESC) AS r FROM {O}), u AS (SELECT subject, floor(round(avg(value), 6)) + 0.5 AS usual FROM r WHERE r <= 10 GROUP BY 1)
-      SELECT subject, coalesce(abs(c_acctbal), usual) AS line, CASE WHEN c_acctbal IS NOT NULL THEN 'given' ELSE 'recent' END AS decided_by FROM u LEFT JOIN customer ON c_custkey = subject AND c_custkey % 2 = 0"""),
+      SELECT subject, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, usual) AS line, CASE WHEN c_acctbal > 0 THEN 'given' ELSE 'recent' END AS decided_by FROM u LEFT JOIN customer ON c_custkey = subject"""),
 ]

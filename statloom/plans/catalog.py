@@ -117,7 +117,7 @@ def j10(s, d):
 def j11(s, d):
     h = event_history(s, d)
     team = h.groupBy("level", "d").agg(F.sum("value").alias("team_value")).where("team_value > 100")
-    bio = h.groupBy("subject").agg(F.max("exposure").alias("height")).where("subject % 3 = 0")
+    bio = h.groupBy("subject").agg(F.max(F.when(F.col("level") == "error", F.col("exposure"))).alias("height"))
     return rounded(h.join(team, ["level", "d"]).join(bio, "subject", "left").select("event_id", "team_value", "height"), 2)
 
 
@@ -161,6 +161,6 @@ QUERIES = [
       t AS (SELECT n, (lo + hi) / 2 AS t FROM q WHERE i = 45), f AS (SELECT *, a + b * at_x AS fit, 1.0 / n + (at_x - mx) * (at_x - mx) / sxx AS l FROM g JOIN t USING (n) CROSS JOIN (VALUES (6.75), (7.0), (7.25)) v(at_x))
       SELECT subject, CAST(CAST(at_x AS DOUBLE) AS VARCHAR) AS at, round(fit, 1) AS fit, round(fit - t * r * sqrt(l), 1) AS low, round(fit + t * r * sqrt(l), 1) AS high, round(fit - t * r * sqrt(1 + l), 1) AS predict_low, round(fit + t * r * sqrt(1 + l), 1) AS predict_high FROM f"""),
     Query("j10_opponent_rows", j10, f"SELECT event_id, count(*) AS n FROM {D} WHERE subject % 10 <> 1 AND event_id IN (SELECT event_id FROM {D} WHERE subject % 10 = 1) GROUP BY event_id"),
-    Query("j11_with_context", j11, f"""WITH t AS (SELECT level, d, sum(value) AS tv FROM {E} GROUP BY ALL HAVING sum(value) > 100), b AS (SELECT subject, max(exposure) AS h FROM {E} WHERE subject % 3 = 0 GROUP BY 1)
+    Query("j11_with_context", j11, f"""WITH t AS (SELECT level, d, sum(value) AS tv FROM {E} GROUP BY ALL HAVING sum(value) > 100), b AS (SELECT subject, max(exposure) FILTER (level = 'error') AS h FROM {E} GROUP BY 1)
       SELECT event_id, round(tv, 2) AS team_value, h AS height FROM {E} e JOIN t ON e.level = t.level AND e.d = t.d LEFT JOIN b ON e.subject = b.subject"""),
 ]

@@ -46,7 +46,7 @@ def _tau(s, d):
     h = event_history(s, d)
     g = h.groupBy("subject", "level").agg(F.count("value").alias("n"), F.avg("value").alias("m"))
     within = h.groupBy("subject").agg(F.var_samp("value").alias("within"))
-    return i.prior_variance(g.join(within, "subject"), ["subject"], "m", "n", "within")
+    return i.prior_variance(g.join(within, "subject"), ["subject"], "m", "n", "within").drop("league")
 
 
 def i4(s, d):
@@ -91,9 +91,7 @@ def i8(s, d):
 
 def i9(s, d):
     c = _change(s, d).where("se > 0").withColumn("n", 1 / (F.col("se") * F.col("se"))).withColumn("one", F.lit(1.0)).withColumn("all", F.lit(1))
-    tau = i.prior_variance(c, ["all"], "diff", "n", "one")
-    mean = c.agg(F.avg("diff").alias("league"))
-    x = c.join(F.broadcast(tau), "all").crossJoin(F.broadcast(mean))
+    x = c.join(F.broadcast(i.prior_variance(c, ["all"], "diff", "n", "one")), "all")  # one row
     wt = i.shrink_weight(F.col("n"), F.lit(1.0), F.col("tau2"))
     return rounded(x.select("subject", wt.alias("weight"), i.shrunk(F.col("diff"), F.col("league"), wt).alias("shrunk")), 4)
 
@@ -147,9 +145,7 @@ def i18(s, d):
 def i19(s, d):
     t = a.pair_sums(duel_history(s, d), ["subject", "position"], "value", "exposure")
     t = t.select("subject", "position", F.try_divide("s", "m").alias("r"), (1 / F.nullif(a.ratio_variance(), F.lit(0.0))).alias("n")).withColumn("one", F.lit(1.0)).where("n IS NOT NULL")
-    tau = i.prior_variance(t, ["position"], "r", "n", "one")
-    mean = t.groupBy("position").agg(F.avg("r").alias("league"))
-    x = t.join(F.broadcast(tau), "position").join(F.broadcast(mean), "position")
+    x = t.join(F.broadcast(i.prior_variance(t, ["position"], "r", "n", "one")), "position")  # a row a position
     wt = i.shrink_weight(F.col("n"), F.lit(1.0), F.col("tau2"))
     return rounded(x.select("subject", "position", F.greatest(i.shrunk(F.col("r"), F.col("league"), wt) / F.col("league"), F.lit(0.05)).alias("multiplier")), 5)
 

@@ -40,8 +40,8 @@ def j4(s, d):
 
 
 def j5(s, d):
-    h = duel_history(s, d).select("event_id", "subject", "value", "exposure")
-    return rounded(j.with_opponent(h, "event_id", "subject", ["value"]).groupBy("event_id", "subject").agg(F.count("*").alias("opponents"), F.sum("opp_value").alias("opp_value")), 2)
+    h = duel_history(s, d).select("event_id", "subject", "value")
+    return rounded(j.opponent_sums(h, "event_id", "subject", ["value"]).select("event_id", "subject", "opponents", "opp_value"), 2)
 
 
 def j7(s, d):
@@ -68,8 +68,8 @@ def j9(s, d):
 
 
 def j12(s, d):
-    a = table(s, d, "lineitem").where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v"))
-    b = table(s, d, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    a = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_extendedprice").alias("v"))
+    b = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
     return rounded(j.compare_totals(a, b, ["k"], "v", 10_000.0), 2)
 
 
@@ -108,7 +108,7 @@ def j16(s, d):
 
 
 def j17(s, d):
-    c = table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), "c_name")
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("c_name"))
     o = order_history(s, d).groupBy(F.col("subject").alias("id")).agg(F.min("level").alias("seen_name"))
     return c.join(o, "id", "full_outer").select("id", F.coalesce("c_name", "seen_name").alias("name"))
 
@@ -117,7 +117,7 @@ def j18(s, d):
     h = event_history(s, d)
     ok = h.groupBy("subject").agg((F.avg("exposure") >= 48).alias("fine"))
     day = h.groupBy("d").agg((F.avg("exposure") >= 49).alias("day_fine"))
-    x = h.join(ok.where("subject % 9 <> 0"), "subject", "left").join(day, "d", "left")
+    x = h.join(ok, "subject", "left").join(day, "d", "left")
     return x.select("event_id", (F.coalesce("fine", F.lit(False)) & F.coalesce("day_fine", F.lit(False))).alias("reliable"))
 
 
@@ -169,7 +169,7 @@ QUERIES = [
     Query("j7_first_known", j7_sources, f"""WITH k AS (SELECT DISTINCT subject FROM {E}), a AS (SELECT subject, avg(value) AS s FROM {E} WHERE season = 2 AND level = 'purchase' GROUP BY 1), b AS (SELECT subject, avg(value) AS s FROM {E} WHERE season = 0 GROUP BY 1)
       SELECT k.subject, round(coalesce(a.s, b.s), 6) AS size, CASE WHEN a.s IS NOT NULL THEN 'late' WHEN b.s IS NOT NULL THEN 'early' END AS decided_by FROM k LEFT JOIN a USING (subject) LEFT JOIN b USING (subject)"""),
     Query("j9_same_game", j9, f"SELECT subject, count(*) AS n FROM {E} h WHERE (d, level) IN (SELECT d, level FROM {E} WHERE subject % 10 = 3) GROUP BY subject"),
-    Query("j12_compare_totals", j12, """WITH a AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 4 <> 0)
+    Query("j12_compare_totals", j12, """WITH a AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders)
       SELECT coalesce(a.k, b.k) AS k, round(a.v, 2) AS left_value, round(b.v, 2) AS right_value, round(coalesce(a.v, 0) - coalesce(b.v, 0), 2) AS error, abs(coalesce(a.v, 0) - coalesce(b.v, 0)) <= 10000 AS reliable FROM a FULL JOIN b ON a.k = b.k"""),
     Query("j13_shared_time", j13, f"""WITH p AS (SELECT d, subject, level, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM {E} GROUP BY ALL HAVING min(ts) < max(ts))
       SELECT x.d, x.subject AS who, y.subject AS other, CAST(sum(least(x.b, y.b) - greatest(x.a, y.a)) AS BIGINT) AS shared FROM p x JOIN p y ON x.d = y.d AND x.subject // 10 = y.subject // 10 AND x.level <> y.level AND x.a < y.b AND y.a < x.b GROUP BY ALL"""),
@@ -177,8 +177,8 @@ QUERIES = [
       SELECT subject, opponent, round(om, 2) AS on_m, round(greatest(m - om, 0), 2) AS off_m, round(greatest(v - ov, 0), 2) AS off_v FROM o JOIN t USING (subject, opponent)"""),
     Query("j15_looked_up_size", j15, f"SELECT event_id, subject, round(CASE WHEN event_id % 2 = 0 THEN exposure ELSE avg(exposure) OVER (PARTITION BY opponent, position) END, 6) AS given FROM {D}"),
     Query("j16_relative_rating", j16, f"SELECT event_id, round(avg(value) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) / avg(value) OVER (PARTITION BY season), 6) AS relative FROM {O}"),
-    Query("j17_index_union", j17, f"SELECT coalesce(c_custkey, s) AS id, coalesce(c_name, lo) AS name FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT subject AS s, min(level) AS lo FROM {O} GROUP BY 1) ON c_custkey = s"),
-    Query("j18_reliability", j18, f"""WITH k AS (SELECT subject, avg(exposure) >= 48 AS f FROM {E} WHERE subject % 9 <> 0 GROUP BY 1), y AS (SELECT d, avg(exposure) >= 49 AS f FROM {E} GROUP BY 1)
+    Query("j17_index_union", j17, f"SELECT coalesce(c_custkey, s) AS id, coalesce(CASE WHEN c_acctbal > 0 THEN c_name END, lo) AS name FROM customer FULL JOIN (SELECT subject AS s, min(level) AS lo FROM {O} GROUP BY 1) ON c_custkey = s"),
+    Query("j18_reliability", j18, f"""WITH k AS (SELECT subject, avg(exposure) >= 48 AS f FROM {E} GROUP BY 1), y AS (SELECT d, avg(exposure) >= 49 AS f FROM {E} GROUP BY 1)
       SELECT event_id, coalesce(k.f, false) AND coalesce(y.f, false) AS reliable FROM {E} h LEFT JOIN k ON h.subject = k.subject LEFT JOIN y ON h.d = y.d"""),
     Query("j19_resolve_names", j19, """WITH k AS (SELECT p_partkey AS id, p_size AS weight, lower(p_name) AS m FROM part), a AS (SELECT DISTINCT upper(p_name) || ' x' AS text, lower(p_name) || ' x' AS n FROM part), s AS (SELECT text, m, round(1 - levenshtein(n, m) / greatest(length(n), length(m)), 6) AS score FROM a CROSS JOIN (SELECT DISTINCT m FROM k)),
       h AS (SELECT text, id, weight, max(score) AS score FROM s JOIN k USING (m) WHERE score >= 0.7 GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS ns, lead(weight) OVER w AS nw FROM h WINDOW w AS (PARTITION BY text ORDER BY score DESC, weight DESC, id))
