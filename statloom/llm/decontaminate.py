@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import U64, buffers, mix, release, words
+from .bytewords import U64, buffers, mix, release, slices, words
 from .scratch import stage, unused
 
 #: Kept (1) and ignored (0) positions of the fixed masks.
@@ -72,6 +72,14 @@ def spaced(texts: pa.Array) -> pa.Array:
     return pc.replace_with_mask(texts, pa.array(mask), pc.replace_substring_regex(some, _SINGLE, r" \1 "))
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches with about `most` bytes of text each, at least a row."""
+    for batch in batches:
+        _, borders = buffers(batch.column("text"))
+        for lo, hi in slices(borders, most):
+            yield batch.slice(lo, hi - lo)
+
+
 def _runs(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of one seed after the other."""
     start = np.flatnonzero(np.concatenate((np.ones(min(1, len(seed)), bool), seed[1:] != seed[:-1])))
@@ -143,7 +151,7 @@ def _items(benchmark: DataFrame, shortest: int) -> DataFrame:
     """(id, h, n): the items of equal tokens as one: smallest id, token hashes, and how many items these are."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches):
             h = [w.hashes[w.where[i] : w.where[i + 1]].tobytes() for w in words(spaced(batch.column("text"))) for i in range(w.hi - w.lo)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(h, pa.binary()), batch.column("n")], ["id", "h", "n"])
 
@@ -185,7 +193,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, need: int = NEED, shortest:
 def _search(shared, need: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in _bounded(batches):
             keys, ids, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for w in words(spaced(batch.column(2))) if len(index.seed) else ():
                 item, diagonal = index.hits(w.hashes)
