@@ -186,7 +186,8 @@ QUERIES = [
     Query("s10_processed_bundle", s10, f"""WITH {_LINES}, p AS (SELECT person_id, count(*) AS games, arg_max(team_id, (ts, game_id)) AS team_id FROM pg GROUP BY 1)
       SELECT person_id, s_name AS name, games, team_id, n_name AS team FROM p JOIN supplier ON s_suppkey = person_id JOIN nation ON n_nationkey = team_id"""),
     Query("s11_shrunk_sink", s11, "SELECT p_partkey, p_brand, 'float' AS kept_as, CAST(round(CAST(p_retailprice AS FLOAT), 0) AS DOUBLE) AS price FROM part"),
-    Query("s14_build_report", s14),
+    Query("s14_build_report", s14, f"""WITH {_LINES} SELECT 'games' AS name, count(*) AS rows, 9 AS columns, true AS has_bytes FROM g UNION ALL SELECT 'team_games', count(*), 19, true FROM tg UNION ALL SELECT 'player_games', count(*), 23, true FROM pg
+      UNION ALL SELECT 'players', count(DISTINCT person_id), 6, true FROM pg UNION ALL SELECT 'teams', count(DISTINCT team_id), 5, true FROM tg UNION ALL SELECT 'season_calendar', count(DISTINCT season), 5, true FROM tg"""),
     Query("s15_assembled", s15, f"""WITH {_LINES} SELECT game_id, person_id, team_id, CAST(season AS INTEGER) AS season, 'regular' AS kind, points, CAST(minutes AS DOUBLE) AS minutes, s_acctbal AS weight_lbs,
       CAST(row_number() OVER w - 1 AS INTEGER) AS prior_games, round(avg(points) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS points_recent, CAST(team_prior_games AS INTEGER) AS team_prior_games, round(allowed_recent, 6) AS allowed_recent
       FROM pg JOIN supplier ON s_suppkey = person_id WINDOW w AS (PARTITION BY person_id ORDER BY ts, game_id)"""),

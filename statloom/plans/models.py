@@ -40,7 +40,7 @@ def _split(s, d):
 def m6(s, d):
     f = frame(s, d).where("form IS NOT NULL").withColumn("mean", F.greatest(F.col("form") / 10, F.lit(0.05)))
     alpha = m.dispersion(f, "y", "mean")
-    return s.createDataFrame([(alpha,)], "alpha double")
+    return rounded(s.createDataFrame([(alpha,)], "alpha double"))
 
 
 def m9(s, d):
@@ -293,8 +293,25 @@ _MIXTURE_SQL = f"""WITH a AS (SELECT *, count(exposure) OVER (PARTITION BY subje
   SELECT event_id, round(any_value(mean), 5) AS mean, min(k) FILTER (c >= 0.5 - 1e-12) AS median, min(k) FILTER (c >= 0.05 - 1e-12) AS lo, min(k) FILTER (c >= 0.95 - 1e-12) AS hi,
    round(coalesce(sum(o) FILTER (k > floor(mean) + 0.5), 0), 5) AS over, round(coalesce(sum(o) FILTER (k < floor(mean) + 0.5), 0), 5) AS under FROM c GROUP BY 1"""
 
+
+
+def _grid_sql(rounds: int = 3, points: int = 25, low: float = 1e-4, high: float = 4.0) -> str:
+    """The likelihood on a grid of logarithms, then on a finer one between the best point's neighbours."""
+    parts = [f"c AS MATERIALIZED (SELECT CAST(y AS DOUBLE) AS y, m, count(*) AS n FROM (SELECT exposure // 10 AS y, greatest(form / 10, 0.05) AS m FROM f WHERE form IS NOT NULL) GROUP BY 1, 2)", f"e0 AS (SELECT ln(CAST({low} AS DOUBLE)) AS lo, ln(CAST({high} AS DOUBLE)) AS hi)"]
+    for r in range(rounds):
+        parts += [
+            f"g{r} AS (SELECT i, exp(lo + (hi - lo) * i / {points - 1}) AS a FROM e{r} CROSS JOIN range(0, {points}) t(i))",
+            f"l{r} AS MATERIALIZED (SELECT i, a, sum(n * (y * ln(a) + lgamma(y + 1 / a) - lgamma(1 / a) + y * ln(m) - (y + 1 / a) * ln(1 + a * m))) AS l FROM g{r} CROSS JOIN c GROUP BY 1, 2)",
+            f"b{r} AS (SELECT arg_max(i, l) AS i FROM l{r})",
+            f"e{r + 1} AS (SELECT ln((SELECT a FROM l{r} WHERE i = greatest(b{r}.i - 1, 0))) AS lo, ln((SELECT a FROM l{r} WHERE i = least(b{r}.i + 1, {points - 1}))) AS hi FROM b{r})",
+        ]
+    frame = f"""a AS (SELECT *, count(exposure) OVER (PARTITION BY subject ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM {E}), f AS (SELECT exposure, sum(exposure * pow(2.0, i / 10.0)) OVER b / sum(pow(2.0, i / 10.0)) OVER b AS form FROM a
+      WINDOW b AS (PARTITION BY subject ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+    return f"WITH {frame}, {', '.join(parts)} SELECT round(arg_max(a, l), 6) AS alpha FROM l{rounds - 1}"
+
+
 QUERIES = [
-    Query("m6_dispersion", m6),
+    Query("m6_dispersion", m6, _grid_sql()),
     Query("m8_quantile_pmf", m8, f"""WITH q AS (SELECT subject, quantile_cont(exposure, 0.1) AS x1, quantile_cont(exposure, 0.5) AS x2, quantile_cont(exposure, 0.9) AS x3 FROM {E} GROUP BY 1),
       g AS (SELECT *, x3 + 2 * greatest(x3 - x2, 1) + 1 AS x4, CAST(unnest(range(0, 61)) AS INTEGER) AS k FROM q), h AS (SELECT *, k + 0.5 AS e FROM g),
       c AS (SELECT subject, k, {_EDGES} AS c FROM h), m AS (SELECT subject, k, greatest(0.0, c - coalesce(lag(c) OVER (PARTITION BY subject ORDER BY k), 0)) AS p FROM c)

@@ -315,3 +315,102 @@ def test_names_by_era_and_weight(spark):
     asked = spark.createDataFrame([("gary payton", None, None), ("gary payton", 2018, 2018), ("gary payton", 1950, 1951), ("xteph curry", None, None), ("nobody here", None, None)], "q string, first int, last int")
     out = {(x["text"], x["first"]): (x["id"], x["status"]) for x in joins.resolve_names(asked, known, "q", "name", "id", "games", span=("first", "last")).collect()}
     assert out == {("gary payton", -(1 << 30)): (1, "clear"), ("gary payton", 2018): (2, "unique"), ("gary payton", 1950): (1, "clear"), ("xteph curry", -(1 << 30)): (4, "unique")}
+
+
+# ---- benchmark, choice, calibration, sides, resampled clusters
+
+
+def test_benchmark_recovers_rating_and_home(spark):
+    r = np.random.default_rng(7)
+    rows = []
+    for p in range(40):
+        level = r.uniform(2, 12)
+        for _ in range(60):
+            rating, home = float(r.uniform(0.7, 1.3)), float(r.integers(0, 2))
+            rows.append((p, float(level), rating, home, float(r.poisson(level * rating**1.5 * math.exp(0.1 * home)))))
+    df = spark.createDataFrame([*rows, (99, None, 1.0, 1.0, 3.0)], "p int, form double, rating double, home double, y double")
+    model = models.benchmark(df, "y", "form", "rating", "home")
+    beta = model.stages[-1].coefficients.toArray()
+    assert beta[0] == pytest.approx(1.5, abs=0.1) and beta[1] == pytest.approx(0.1, abs=0.04)
+    out = models.predict_benchmark(model, df, "form", "rating", "home").where("p = 99").first()
+    assert out["expected"] is None
+    # the benchmark is the truth here, so it is chosen over the model without rating
+    plain = (lambda t: models.poisson_rate(t, "y", ["home"], "form"), lambda fitted, t: models.predict_rate(fitted, t, "form"))
+    full = (lambda t: models.benchmark(t, "y", "form", "rating", "home"), lambda fitted, t: models.predict_benchmark(fitted, t, "form", "rating", "home"))
+    best, errors, _ = models.choose_model({"plain": plain, "benchmark": full}, df.where("p < 30"), df.where("p BETWEEN 30 AND 98"), "y")
+    assert best == "benchmark" and errors["benchmark"] < errors["plain"]
+
+
+def test_dispersion_of_planted_counts(spark):
+    r = np.random.default_rng(3)
+    m = r.uniform(2, 20, 6000)
+    y = r.poisson(r.gamma(1 / 0.3, 0.3 * m))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, m, strict=True)], "y double, m double")
+    assert models.dispersion(df, "y", "m") == pytest.approx(0.3, abs=0.03)
+
+
+def test_calibrators_mend_planted_odds(spark):
+    r = np.random.default_rng(5)
+    p = r.uniform(0.02, 0.98, 4000)
+    truth = 1 / (1 + np.exp(-(0.5 * np.log(p / (1 - p)) - 0.6)))
+    df = spark.createDataFrame([(int(i % 80), float(a), float(r.random() < t)) for i, (a, t) in enumerate(zip(p, truth, strict=True))], "g int, p double, outcome double")
+    kind, scores = models.choose_calibrator(df, "p", "outcome", "g", folds=2)
+    assert kind == "platt" and scores["platt"] < scores["identity"] - 0.005 and scores["isotonic"] < scores["identity"]
+    out = models.fit_platt(df, "p", "outcome")(df).collect()
+    assert np.mean([abs(x["calibrated"] - t) for x, t in zip(sorted(out, key=lambda x: x["p"]), truth[np.argsort(p)], strict=True)]) < 0.03
+    rising = [x["calibrated"] for x in models.fit_isotonic(df, "p", "outcome")(df).orderBy("p").collect()]
+    assert rising == sorted(rising)
+
+
+def test_normal_scores_of_true_distributions_are_normal(spark):
+    r = np.random.default_rng(6)
+    y = r.poisson(4.0, 4000)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "id long, y double").withColumn("c", dist.cdf_around(dist.count_pmf(F.lit(4.0), F.lit(0.0), 60), F.col("y")))
+    z = np.array([x["z"] for x in models.pit_scores(df.withColumn("at", F.col("c.at")).withColumn("below", F.col("c.below")), "below", "at", ["id"]).collect()])
+    assert abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.05 and abs((z < -1.2815515).mean() - 0.1) < 0.02
+
+
+def greedy(teams, games, least, low, high, seed):
+    n = lambda a, b: games.get((a, b), 0)
+    own = {seed}
+    while True:
+        more = {t for t in teams if t not in own and any(n(t, o) >= least for o in own)}
+        if not more:
+            break
+        own |= more
+    if not low * len(teams) <= len(own) <= high * len(teams):
+        own = {seed}
+        while len(own) < len(teams) // 2:
+            own.add(max((t for t in teams if t not in own), key=lambda t: (sum(n(t, o) for o in own) / len(own), -t)))
+    return own
+
+
+def test_sides_of_a_league(spark):
+    import random
+
+    from statloom.operators import graph
+
+    r = random.Random(8)
+    rows, want = [], {}
+    for season in range(4):
+        games = {}
+        for a, b in itertools.combinations(range(8), 2):
+            # two halves that meet often within and once across; then leagues where all meet alike
+            k = (4 if (a < 4) == (b < 4) else 1) if season == 0 else r.randrange(0, 6)
+            games[a, b] = games[b, a] = k
+        rows += [(season, a, b) for (a, b), k in games.items() for _ in range(k)]
+        teams = sorted({a for (a, _), k in games.items() if k})
+        want |= {(season, t): t in greedy(teams, games, 3, 0.35, 0.65, 0) for t in teams}
+    got = {(x["season"], x["team"]): x["side"] == "seed" for x in graph.sides(spark.createDataFrame(rows, "season long, a long, b long"), 0, 3).collect()}
+    assert got == want and {t for (s, t), own in want.items() if s == 0 and own} == {0, 1, 2, 3}
+
+
+def test_resampled_clusters_cover_the_difference(spark):
+    from statloom.operators import inference
+
+    r = np.random.default_rng(9)
+    rows = [(c, float(3 + u + r.normal()), float(2.5 + u + r.normal())) for c, u in enumerate(r.normal(0, 2, 60)) for _ in range(8)]
+    out = inference.paired_bootstrap(spark.createDataFrame(rows, "c int, a double, b double"), "c", "a", "b", reps=600).first()
+    d = np.array([a - b for _, a, b in rows])
+    se = np.array([d[i * 8 : i * 8 + 8].mean() for i in range(60)]).std(ddof=1) / math.sqrt(60)
+    assert out["diff"] == pytest.approx(d.mean()) and (out["high"] - out["low"]) == pytest.approx(2 * 1.96 * se, rel=0.25)
