@@ -41,15 +41,84 @@ def shooting(made: str, tried: str, name: str) -> Stat:
 
 
 def player_stats() -> dict[str, Stat]:
-    """Statistics over box-score columns pts, ast, reb, stl, blk, tov, pf, fgm, fga, fg3m, fg3a, ftm, fta, minutes."""
+    """Statistics over box-score columns pts, ast, reb, oreb, dreb, stl, blk, tov, pf, fgm, fga, fg3m, fg3a, ftm, fta, minutes, plus_minus."""
     c = F.col
-    plain = {"points": "pts", "assists": "ast", "rebounds": "reb", "steals": "stl", "blocks": "blk", "threes": "fg3m", "fgm": "fgm", "fga": "fga", "ftm": "ftm", "fta": "fta"}
+    plain = {"points": "pts", "assists": "ast", "rebounds": "reb", "offensive_rebounds": "oreb", "defensive_rebounds": "dreb", "steals": "stl", "blocks": "blk", "threes": "fg3m", "threes_attempted": "fg3a", "fgm": "fgm", "fga": "fga", "ftm": "ftm", "fta": "fta", "plus_minus": "plus_minus"}
     out = {n: Stat(n, c(x)) for n, x in plain.items()}
     out |= {"turnovers": Stat("turnovers", c("tov"), direction=-1), "fouls": Stat("fouls", c("pf"), direction=-1), "minutes": Stat("minutes", c("minutes"), rate=False)}
     out |= {"stocks": Stat("stocks", c("stl") + c("blk")), "pra": Stat("pra", c("pts") + c("reb") + c("ast")), "pr": Stat("pr", c("pts") + c("reb")), "pa": Stat("pa", c("pts") + c("ast")), "ra": Stat("ra", c("reb") + c("ast"))}
-    out |= {"fg_pct": shooting("fgm", "fga", "fg_pct"), "three_pct": shooting("fg3m", "fg3a", "three_pct"), "ft_pct": shooting("ftm", "fta", "ft_pct")}
-    out |= {"efg_pct": Stat("efg_pct", c("fgm") + 0.5 * c("fg3m"), c("fga"), 100.0, rate=False), "ts_pct": Stat("ts_pct", c("pts"), 2 * (c("fga") + 0.44 * c("fta")), 100.0, rate=False)}
-    return out
+    return out | _shares("pts") | {"efg_pct": Stat("efg_pct", c("fgm") + 0.5 * c("fg3m"), c("fga"), 100.0, rate=False)}
+
+
+def _shares(points: str) -> dict[str, Stat]:
+    out = {"fg_pct": shooting("fgm", "fga", "fg_pct"), "three_pct": shooting("fg3m", "fg3a", "three_pct"), "ft_pct": shooting("ftm", "fta", "ft_pct")}
+    return out | {"ts_pct": Stat("ts_pct", F.col(points), 2 * (F.col("fga") + 0.44 * F.col("fta")), 100.0, rate=False)}
+
+
+def team_stats() -> dict[str, Stat]:
+    """Statistics of a team's game: the box-score columns, and score, allowed (the opponent's score), win (1 or 0), pace, possessions, ratings.
+
+    None is a rate by minutes. The mean rating or pace is that of its column over games.
+    """
+    c = F.col
+    own = lambda name, value, better=1, scale=1.0: Stat(name, value, None, scale, better, rate=False)
+    plain = {"team_score": "score", "assists": "ast", "rebounds": "reb", "threes": "fg3m", "threes_attempted": "fg3a", "steals": "stl", "blocks": "blk", "pace": "pace", "possessions": "possessions", "off_rating": "off_rating", "net_rating": "net_rating"}
+    worse = {"opponent_score": "allowed", "turnovers": "tov", "def_rating": "def_rating"}
+    out = {n: own(n, c(x)) for n, x in plain.items()} | {n: own(n, c(x), -1) for n, x in worse.items()}
+    out |= {"total_points": own("total_points", c("score") + c("allowed")), "margin": own("margin", c("score") - c("allowed")), "win_pct": own("win_pct", c("win"), 1, 100.0)}
+    return out | _shares("score")
+
+
+# Names of the statistics, and their everyday spellings, written without spaces and underscores.
+PLAYER_NAMES = "points assists rebounds offensive_rebounds defensive_rebounds threes threes_attempted steals blocks stocks turnovers fouls minutes fgm fga ftm fta plus_minus pra pr pa ra fg_pct three_pct ft_pct efg_pct ts_pct"
+TEAM_NAMES = "team_score opponent_score total_points margin assists rebounds threes threes_attempted steals blocks turnovers pace possessions off_rating def_rating net_rating win_pct fg_pct three_pct ft_pct ts_pct"
+SPELLINGS = """
+points: pts ppg point scoring
+assists: ast apg assist dimes
+rebounds: reb rpg rebound boards
+threes: 3pm 3s threepointersmade 3pointers three
+threes_attempted: 3pa
+steals: stl spg
+blocks: blk bpg
+turnovers: tov to
+minutes: min mpg mins
+pra: pts+reb+ast p+r+a pointsreboundsassists
+fg_pct: fg% fgpct fieldgoal%
+three_pct: 3p% 3pt%
+ft_pct: ft%
+ts_pct: ts% ts trueshooting
+efg_pct: efg%
+plus_minus: +/- plusminus
+team_score: teamscore teampoints
+opponent_score: opponentscore pointsallowed
+total_points: total
+off_rating: ortg
+def_rating: drtg
+win_pct: win% winpct winpercentage wins record
+net_rating: netrtg nrtg
+"""
+# End of fixed values.
+
+
+def spelled(kind: str = "player") -> dict[str, str]:
+    """Spelling to name, for the statistics of a kind of subject: player, or team, whose points are its score."""
+    names = (TEAM_NAMES if kind == "team" else PLAYER_NAMES).split()
+    known = {n.replace("_", ""): n for n in names}
+    for line in SPELLINGS.strip().splitlines():
+        name, words = line.split(": ")
+        name = "team_score" if kind == "team" and name == "points" else name
+        for word in [name.replace("_", ""), *words.split(), *(["points"] if name == "team_score" else [])]:
+            if name in names:
+                known.setdefault(word, name)
+    return known
+
+
+def canonical_stat(text: Column, kind: str = "player") -> Column:
+    """The statistic that a text means ("PRA", "FG%", "ppg"); null for none. A plural means the same."""
+    known = spelled(kind)
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    key = F.regexp_replace(F.lower(text), "[^a-z0-9%+/-]", "")
+    return F.coalesce(F.try_element_at(table, key), F.try_element_at(table, F.regexp_replace(key, "s+$", "")))
 
 
 def canonical(text: Column, spellings: Mapping[str, str]) -> Column:

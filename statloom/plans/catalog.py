@@ -9,6 +9,7 @@ from ..functions.special import t_quantile_column
 from ..operators import aggregates as a
 from ..operators import filters as f
 from ..operators import inference as i
+from ..operators import joins as j
 from ..operators import windows as w
 from ..sources.roles import DUEL_HISTORY_SQL, EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, duel_history, event_history, order_history, table
 from .base import Query, rounded, t_tail_sql
@@ -38,6 +39,25 @@ def f18(s, d):
     return table(s, d, "orders").select("o_orderkey", c.canonical(F.col("o_orderpriority"), known).alias("stat"))
 
 
+_TEXTS = sorted(c.spelled("team"))
+
+
+def f18_spellings(s, d):
+    """Every spelling of a team's statistics in turn, in capitals and with a plural, by the order's number."""
+    n = F.col("o_orderkey") % len(_TEXTS) + 1
+    text = F.concat(F.upper(F.element_at(F.array(*[F.lit(x) for x in _TEXTS]), n.cast("int"))), F.when(F.col("o_orderstatus") == "F", F.lit("s ")).when(F.col("o_orderstatus") == "P", F.lit(" nonsense")).otherwise(F.lit("")))
+    return table(s, d, "orders").select("o_orderkey", c.canonical_stat(text, "team").alias("stat"))
+
+
+def x1_teams(s, d):
+    """A side of an order as a team's game: its lines with odd or even numbers against the others."""
+    li = table(s, d, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 2).alias("side")).agg(F.sum("l_quantity").alias("score"), F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0)).alias("fgm"), F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0)).alias("fta"), F.max("l_suppkey").alias("subject"))
+    t = j.with_opponent(li, "l_orderkey", "side", ["score"]).withColumnRenamed("opp_score", "allowed").withColumn("fga", F.col("score")).withColumn("win", (F.col("score") > F.col("allowed")).cast("int"))
+    st = c.team_stats()
+    names = ("team_score", "opponent_score", "total_points", "margin", "win_pct", "fg_pct", "ts_pct")
+    return rounded(t.groupBy("subject").agg(F.count("*").alias("n"), *[st[x].pooled().alias(x) for x in names]))
+
+
 def p4(s, d):
     h = event_history(s, d).select("event_id", "subject", "d", "level", "exposure")
     o = event_history(s, d)
@@ -140,6 +160,11 @@ QUERIES = [
       round(sum(ast + 0.5 * stl) / sum(pts) * 100, 6) AS efg_pct, round(sum(pts) / sum(2 * (pts + 0.44 * reb)) * 100, 6) AS ts_pct FROM {_BOX} GROUP BY subject"""),
     Query("x1_per_row_stats", x1_rows, f"SELECT subject, round(avg(pts + reb + ast), 6) AS pra, round(avg(CASE WHEN reb > 0 THEN reb / reb * 100 END), 6) AS ft_pct, round(avg(pts / (2 * (pts + 0.44 * reb)) * 100), 6) AS ts_pct FROM {_BOX} GROUP BY subject"),
     Query("f18_canonical_name", f18, "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' END AS stat FROM orders"),
+    Query("f18_stat_spellings", f18_spellings, f"""WITH t AS (SELECT o_orderkey, o_orderstatus AS f, {_TEXTS!r}[o_orderkey % {len(_TEXTS)} + 1] AS w FROM orders), m AS (SELECT unnest({_TEXTS!r}) AS w, unnest({[c.spelled("team")[x] for x in _TEXTS]!r}) AS stat),
+      k AS (SELECT o_orderkey, w || CASE f WHEN 'F' THEN 's' WHEN 'P' THEN 'nonsense' ELSE '' END AS w FROM t) SELECT o_orderkey, coalesce(a.stat, b.stat) AS stat FROM k LEFT JOIN m a ON a.w = k.w LEFT JOIN m b ON b.w = regexp_replace(k.w, 's+$', '')"""),
+    Query("x1_team_stats", x1_teams, """WITH t AS (SELECT l_orderkey, l_linenumber % 2 AS side, sum(l_quantity) AS score, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS fgm, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS fta, max(l_suppkey) AS subject FROM lineitem GROUP BY 1, 2),
+      g AS (SELECT a.*, b.score AS allowed FROM t a JOIN t b ON a.l_orderkey = b.l_orderkey AND a.side <> b.side) SELECT subject, count(*) AS n, round(avg(score), 6) AS team_score, round(avg(allowed), 6) AS opponent_score, round(avg(score + allowed), 6) AS total_points, round(avg(score - allowed), 6) AS margin,
+      round(100 * avg(CASE WHEN score > allowed THEN 1.0 ELSE 0 END), 6) AS win_pct, round(100 * sum(fgm) / sum(score), 6) AS fg_pct, round(100 * sum(score) / sum(2 * (score + 0.44 * fta)), 6) AS ts_pct FROM g GROUP BY subject"""),
     Query("p4_named_opponent", p4, f"""WITH m AS (SELECT d, level, max(exposure) FILTER (subject % 5 = 0) AS m FROM {E} WHERE exposure >= 60 AND level = 'purchase' GROUP BY ALL), k AS (SELECT d, max(value) FILTER (subject % 5 = 0) AS k FROM {E} WHERE season = 1 GROUP BY d), g AS (SELECT DISTINCT d FROM {E} WHERE subject % 5 = 0)
       SELECT event_id, CASE WHEN m.d IS NOT NULL THEN coalesce(m.m, 0) >= 90 WHEN k.d IS NOT NULL THEN coalesce(k.k, 0) >= 95 ELSE g.d IS NOT NULL END AS faced, CASE WHEN m.d IS NOT NULL THEN 'matchups' WHEN k.d IS NOT NULL THEN 'on_court' ELSE 'same_game' END AS decided_by
       FROM {E} h LEFT JOIN m ON h.d = m.d AND h.level = m.level LEFT JOIN k ON h.d = k.d LEFT JOIN g ON h.d = g.d"""),

@@ -414,3 +414,21 @@ def test_resampled_clusters_cover_the_difference(spark):
     d = np.array([a - b for _, a, b in rows])
     se = np.array([d[i * 8 : i * 8 + 8].mean() for i in range(60)]).std(ddof=1) / math.sqrt(60)
     assert out["diff"] == pytest.approx(d.mean()) and (out["high"] - out["low"]) == pytest.approx(2 * 1.96 * se, rel=0.25)
+
+
+# ---- catalogues
+
+
+def test_spellings_and_statistics(spark):
+    from statloom.functions import catalog
+
+    assert set(catalog.player_stats()) == set(catalog.PLAYER_NAMES.split()) and set(catalog.team_stats()) == set(catalog.TEAM_NAMES.split())
+    asked = {"PRA": ("pra", None), "FG%": ("fg_pct", "fg_pct"), "ppg": ("points", "team_score"), "Dimes": ("assists", "assists"), "+/-": ("plus_minus", None), "Points Allowed": (None, "opponent_score"), "3-pointers": (None, None), "threes_attempted": ("threes_attempted", "threes_attempted"), "record": (None, "win_pct"), "": (None, None), "Points": ("points", "team_score"), "boards": ("rebounds", "rebounds")}
+    got = {r["t"]: (r["p"], r["m"]) for r in spark.createDataFrame([(t,) for t in asked], "t string").select("t", catalog.canonical_stat(F.col("t")).alias("p"), catalog.canonical_stat(F.col("t"), "team").alias("m")).collect()}
+    assert got == asked
+    box = spark.createDataFrame([(30.0, 10.0, 20.0, 10.0, 4.0, 6.0), (10.0, 0.0, 0.0, 0.0, 2.0, 6.0)], "pts double, fgm double, fga double, fta double, ast double, reb double").withColumn("fg3m", F.lit(2.0))
+    st = catalog.player_stats()
+    rows = box.select(*[st[n].per_row().alias(n) for n in ("pra", "fg_pct", "ts_pct")]).orderBy(F.desc("pra")).collect()
+    assert [r["pra"] for r in rows] == [40, 18] and [r["fg_pct"] for r in rows] == [50, None] and rows[0]["ts_pct"] == pytest.approx(30 / 48.8 * 100)
+    pooled = box.agg(*[st[n].pooled().alias(n) for n in ("fg_pct", "ts_pct", "efg_pct")]).first()
+    assert (pooled["fg_pct"], pooled["ts_pct"]) == (50, pytest.approx(40 / 48.8 * 100))
