@@ -277,3 +277,24 @@ def middle_date(dates: DataFrame, by: str, date: str) -> DataFrame:
     w = Window.partitionBy(by)
     d = dates.withColumn("__r", F.row_number().over(w.orderBy(date)) - 1).withColumn("__n", F.count("*").over(w))
     return d.where(F.col("__r") == F.floor(F.col("__n") / 2)).select(by, F.col(date).alias("middle"))
+
+
+def season_calendar(dates: DataFrame, season: str = "season", date: str = "d", low: int = 3, high: int = 8, months: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """(season, opener, last, split_date, source) of every season: split at its longest gap of `low` to `high` days in some months, else in the middle of its games."""
+    gap = longest_gap(dates, season, date, low, high, F.month(date).isin(list(months)))
+    ends = dates.groupBy(season).agg(F.min(date).alias("opener"), F.max(date).alias("last"))
+    both = ends.join(gap, season, "left").join(middle_date(dates, season, date), season)
+    return both.select(season, "opener", "last", F.coalesce("before", "middle").alias("split_date"), F.when(F.col("before").isNull(), "middle").otherwise("gap").alias("source"))
+
+
+def before_or_last_season(df: DataFrame, by: str, season: str, values: Sequence[str], weight: str, prefix: str = "pre_", order: Sequence[str] = ORDER) -> DataFrame:
+    """df with each value's weighted mean over the season's rows before this one, else over the whole season before, and `<prefix>games`.
+
+    One sort a (by, season), and a join of season totals: a row a team and season.
+    """
+    w = series([by, season], order).rowsBetween(Window.unboundedPreceding, -1)
+    both = lambda v, over: F.try_divide(F.sum(F.col(v) * F.col(weight)).over(over), F.sum(F.when(F.col(v).isNotNull(), F.col(weight))).over(over)) if over is not None else F.try_divide(F.sum(F.col(v) * F.col(weight)), F.sum(F.when(F.col(v).isNotNull(), F.col(weight))))
+    last = df.groupBy(by, (F.col(season) + 1).alias(season)).agg(*[both(v, None).alias(f"__last_{v}") for v in values])
+    now = df.select("*", F.count("*").over(w).alias(f"{prefix}games"), *[both(v, w).alias(f"__{v}") for v in values])
+    out = now.join(last, [by, season], "left")
+    return out.select(*df.columns, f"{prefix}games", *[F.coalesce(f"__{v}", f"__last_{v}").alias(prefix + v) for v in values])

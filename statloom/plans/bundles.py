@@ -45,7 +45,7 @@ def _raw(s, d):
     side = F.when(F.col("home") == 1, F.col("home_id")).otherwise(F.col("away_id"))
     team = li.groupBy("game_id", "home", side.alias("team_id")).agg(F.sum("quantity").alias("team_score"), F.count("*").cast("double").alias("num_minutes"), F.min("date").alias("game_date_time_est"))
     _csv(team, "team_stats", folder)
-    _csv(team.select("game_id", "team_id", F.col("num_minutes").alias("possessions")), "team_advanced", folder)
+    _csv(team.select("game_id", "team_id", F.col("num_minutes").alias("possessions"), (F.col("team_score") / F.col("num_minutes") * 100).alias("offensive_rating")), "team_advanced", folder)
     _csv(li.select("game_id", F.col("home_id").alias("hometeam_id"), F.col("away_id").alias("awayteam_id"), F.col("date").alias("game_date_time_est")).distinct(), "games", folder)
     _csv(table(s, d, "supplier").select(F.col("s_suppkey").alias("person_id"), F.col("s_name").alias("last_name"), F.col("s_acctbal").alias("body_weight_lbs")), "players", folder)
     _csv(table(s, d, "nation").select(F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name"), F.lit(1946).alias("season_founded"), F.lit(2100).alias("season_active_till")), "team_histories", folder)
@@ -124,7 +124,17 @@ def s14(s, d):
 
 def s15(s, d):
     p = b.assemble(_raw(s, d))["player_games"]
-    return rounded(p.select("game_id", "person_id", "team_id", "season", "kind", "points", "minutes", "weight_lbs", "prior_games", "points_recent", "team_prior_games", "allowed_recent"))
+    cols = ["points_last5", "points_last20", "assists_last10", "minutes_last5", "team_pre_offensive_rating", "opp_pre_offensive_rating"]
+    return rounded(p.select("game_id", "person_id", "team_id", "season", "kind", "points", "minutes", "weight_lbs", "starter", "prior_games", F.col("days_since_last").cast("long").alias("days_since_last"), F.col("team_pre_games").cast("long").alias("team_pre_games"), *cols))
+
+
+def s15_teams(s, d):
+    t = b.assemble(_raw(s, d))["team_games"]
+    return rounded(t.select("game_id", "team_id", "opp_team_id", "season", "team_score", F.col("pre_games").cast("long").alias("pre_games"), "pre_offensive_rating", "team_score_last10", "opp_team_score_last5"))
+
+
+def s15_calendar(s, d):
+    return b.assemble(_raw(s, d))["season_calendar"].select("season", "opener", "last", "games")
 
 
 def s17(s, d):
@@ -164,18 +174,20 @@ def x3(s, d):
 _SEASON = "(CASE WHEN {0} // 100000 % 100 >= 46 THEN 1900 ELSE 2000 END + {0} // 100000 % 100)"
 _LINES = f"""l AS (SELECT 20000000 + year(o_orderdate) % 100 * 100000 + dayofyear(o_orderdate) * 25 + c_nationkey AS game_id, c_nationkey AS home_id, (c_nationkey + 1 + dayofyear(o_orderdate) % 24) % 25 AS away_id,
  o_orderdate AS ts, l_suppkey AS person_id, l_suppkey % 2 AS home, l_quantity AS quantity, l_linenumber AS number FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey),
- box AS (SELECT game_id, person_id, CASE WHEN home = 1 THEN home_id ELSE away_id END AS team_id, sum(quantity) AS points, sum(number) AS minutes, min(ts) AS ts FROM l GROUP BY ALL),
+ box AS (SELECT game_id, person_id, CASE WHEN home = 1 THEN home_id ELSE away_id END AS team_id, sum(quantity) AS points, CAST(count(*) AS DOUBLE) AS assists, sum(number) AS minutes, min(ts) AS ts FROM l GROUP BY ALL),
  g AS (SELECT DISTINCT game_id, home_id, away_id FROM l),
- team AS (SELECT game_id, CASE WHEN home = 1 THEN home_id ELSE away_id END AS team_id, sum(quantity) AS score, min(ts) AS ts FROM l GROUP BY ALL),
- duel AS (SELECT a.*, o.score AS allowed, {_SEASON.format('a.game_id')} AS season FROM team a JOIN team o ON a.game_id = o.game_id AND a.team_id <> o.team_id),
- tg AS (SELECT *, row_number() OVER w - 1 AS team_prior_games, avg(allowed) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS allowed_recent FROM duel WINDOW w AS (PARTITION BY team_id, season ORDER BY ts, game_id)),
- pg AS (SELECT box.*, season, team_prior_games, allowed_recent FROM box JOIN tg USING (game_id, team_id) WHERE minutes > 0)"""
+ team AS (SELECT game_id, CASE WHEN home = 1 THEN home_id ELSE away_id END AS team_id, sum(quantity) AS score, count(*) AS poss, min(ts) AS ts FROM l GROUP BY ALL),
+ duel AS (SELECT a.*, o.team_id AS opp_id, o.score AS allowed, {_SEASON.format('a.game_id')} AS season FROM team a JOIN team o ON a.game_id = o.game_id AND a.team_id <> o.team_id),
+ whole AS (SELECT team_id, season + 1 AS season, 100 * sum(score) / sum(poss) AS r FROM duel GROUP BY ALL),
+ tg AS (SELECT duel.*, row_number() OVER w - 1 AS pre_games, coalesce(100 * sum(score) OVER b / sum(poss) OVER b, whole.r) AS pre_rating, avg(score) OVER (p ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS score_10, avg(allowed) OVER (p ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS allowed_5
+  FROM duel LEFT JOIN whole USING (team_id, season) WINDOW w AS (PARTITION BY team_id, season ORDER BY ts, game_id), b AS (PARTITION BY team_id, season ORDER BY ts, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p AS (PARTITION BY team_id ORDER BY ts, game_id)),
+ pg AS (SELECT box.*, tg.season, tg.pre_games, tg.pre_rating, o.pre_rating AS opp_rating FROM box JOIN tg USING (game_id, team_id) JOIN tg o ON o.game_id = tg.game_id AND o.team_id = tg.opp_id WHERE minutes > 0)"""
 _MATCHUPS = """m AS (SELECT a.l_orderkey AS game_id, a.l_linenumber % 2 AS team_id, a.l_suppkey AS off_person_id, b.l_linenumber % 2 AS def_team_id, b.l_suppkey AS def_person_id,
  CAST(a.l_linenumber * 60 + CAST(floor(b.l_quantity) AS INTEGER) % 60 AS DOUBLE) AS seconds, a.l_quantity AS partial_possessions, b.l_quantity AS player_points FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 <> b.l_linenumber % 2)"""
 
 QUERIES = [
     Query("s1_typed_csv", s1, "SELECT c_custkey, c_name, c_acctbal, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM customer"),
-    Query("s2_raw_bundle", s2, f"""WITH {_LINES} SELECT 'player_stats' AS name, count(*) AS n, 32 AS width FROM box UNION ALL SELECT 'team_stats', count(*), 24 FROM team UNION ALL SELECT 'team_advanced', count(*), 7 FROM team
+    Query("s2_raw_bundle", s2, f"""WITH {_LINES} SELECT 'player_stats' AS name, count(*) AS n, 32 AS width FROM box UNION ALL SELECT 'team_stats', count(*), 24 FROM team UNION ALL SELECT 'team_advanced', count(*), 16 FROM team
       UNION ALL SELECT 'games', count(*), 13 FROM g UNION ALL SELECT 'players', count(*), 12 FROM supplier UNION ALL SELECT 'team_histories', count(*), 7 FROM nation UNION ALL SELECT 'schedules', count(*), 3 FROM g"""),
     Query("s5_rosters", s5, f"WITH {_LINES} SELECT game_id, person_id, team_id, CAST({_SEASON.format('game_id')} AS INTEGER) AS season, points FROM box WHERE game_id IN (SELECT game_id FROM g WHERE home_id = 3 OR away_id = 3)"),
     Query("s6_matchup_records", s6, f"WITH {_MATCHUPS} SELECT *, CAST(NULL AS DOUBLE) AS assists FROM m"),
@@ -186,11 +198,16 @@ QUERIES = [
     Query("s10_processed_bundle", s10, f"""WITH {_LINES}, p AS (SELECT person_id, count(*) AS games, arg_max(team_id, (ts, game_id)) AS team_id FROM pg GROUP BY 1)
       SELECT person_id, s_name AS name, games, team_id, n_name AS team FROM p JOIN supplier ON s_suppkey = person_id JOIN nation ON n_nationkey = team_id"""),
     Query("s11_shrunk_sink", s11, "SELECT p_partkey, p_brand, 'float' AS kept_as, CAST(round(CAST(p_retailprice AS FLOAT), 0) AS DOUBLE) AS price FROM part"),
-    Query("s14_build_report", s14, f"""WITH {_LINES} SELECT 'games' AS name, count(*) AS rows, 9 AS columns, true AS has_bytes FROM g UNION ALL SELECT 'team_games', count(*), 19, true FROM tg UNION ALL SELECT 'player_games', count(*), 23, true FROM pg
-      UNION ALL SELECT 'players', count(DISTINCT person_id), 6, true FROM pg UNION ALL SELECT 'teams', count(DISTINCT team_id), 5, true FROM tg UNION ALL SELECT 'season_calendar', count(DISTINCT season), 5, true FROM tg"""),
-    Query("s15_assembled", s15, f"""WITH {_LINES} SELECT game_id, person_id, team_id, CAST(season AS INTEGER) AS season, 'regular' AS kind, points, CAST(minutes AS DOUBLE) AS minutes, s_acctbal AS weight_lbs,
-      CAST(row_number() OVER w - 1 AS INTEGER) AS prior_games, round(avg(points) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS points_recent, CAST(team_prior_games AS INTEGER) AS team_prior_games, round(allowed_recent, 6) AS allowed_recent
-      FROM pg JOIN supplier ON s_suppkey = person_id WINDOW w AS (PARTITION BY person_id ORDER BY ts, game_id)"""),
+    Query("s14_build_report", s14, f"""WITH {_LINES} SELECT 'games' AS name, count(*) AS rows, 9 AS columns, true AS has_bytes FROM g UNION ALL SELECT 'team_games', count(*), 63, true FROM tg UNION ALL SELECT 'player_games', count(*), 66, true FROM pg
+      UNION ALL SELECT 'players', count(DISTINCT person_id), 6, true FROM pg UNION ALL SELECT 'teams', count(DISTINCT team_id), 5, true FROM tg UNION ALL SELECT 'season_calendar', count(DISTINCT season), 6, true FROM tg"""),
+    Query("s15_assembled", s15, f"""WITH {_LINES} SELECT game_id, person_id, team_id, CAST(season AS INTEGER) AS season, 'regular' AS kind, points, CAST(minutes AS DOUBLE) AS minutes, s_acctbal AS weight_lbs, false AS starter,
+      CAST(row_number() OVER w - 1 AS INTEGER) AS prior_games, CAST(CAST(ts AS DATE) - lag(CAST(ts AS DATE)) OVER w AS BIGINT) AS days_since_last, CAST(pre_games AS BIGINT) AS team_pre_games, round(avg(points) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS points_last5,
+      round(avg(points) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS points_last20, round(avg(assists) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS assists_last10, round(avg(minutes) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS minutes_last5,
+      round(pre_rating, 6) AS team_pre_offensive_rating, round(opp_rating, 6) AS opp_pre_offensive_rating FROM pg JOIN supplier ON s_suppkey = person_id WINDOW w AS (PARTITION BY person_id ORDER BY ts, game_id)"""),
+    Query("s15_team_games", s15_teams, f"""WITH {_LINES} SELECT game_id, team_id, opp_id AS opp_team_id, CAST(season AS INTEGER) AS season, score AS team_score, CAST(pre_games AS BIGINT) AS pre_games, round(pre_rating, 6) AS pre_offensive_rating,
+      round(score_10, 6) AS team_score_last10, round(allowed_5, 6) AS opp_team_score_last5 FROM tg"""),
+    Query("s15_calendar", s15_calendar, f"""WITH {_LINES}, u AS (SELECT DISTINCT game_id, CAST(min(ts) OVER (PARTITION BY game_id) AS DATE) AS d FROM l), y AS (SELECT *, {_SEASON.format('game_id')} AS season FROM u), a AS (SELECT DISTINCT season, d FROM y), q AS (SELECT *, lag(d) OVER (PARTITION BY season ORDER BY d) AS before FROM a),
+      k AS (SELECT season, min(d) AS opener, max(d) AS last FROM a GROUP BY 1) SELECT CAST(season AS INTEGER) AS season, opener, last, (SELECT count(*) FROM y WHERE y.season = k.season) AS games FROM k"""),
     Query("s17_kept_parameters", s17, f"""WITH x AS (SELECT subject, value AS y, date_diff('day', DATE '1995-01-01', d) / 365.25 AS x FROM {O}),
       f AS (SELECT subject, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x GROUP BY 1 HAVING count(*) >= 3 AND regr_sxx(y, x) > 0) SELECT subject, round(a + 2 * b, 2) AS at_two FROM f"""),
     Query("s17_model_registry", s17_models, f"""WITH n AS (SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers)

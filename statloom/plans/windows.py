@@ -86,12 +86,7 @@ def w12(s, d):
 
 
 def w13(s, d):
-    h = order_history(s, d)
-    dates = h.select("season", "d")
-    gap = w.longest_gap(dates, "season", "d", 3, 8, F.month("d").between(1, 3))
-    mid = w.middle_date(dates, "season", "d")
-    ends = h.groupBy("season").agg(F.min("d").alias("opener"), F.max("d").alias("last"))
-    return ends.join(gap, "season", "left").join(mid, "season").select("season", "opener", "last", F.coalesce("before", "middle").alias("split_date"), F.when(F.col("before").isNull(), "middle").otherwise("gap").alias("source"))
+    return w.season_calendar(order_history(s, d).select("season", "d"))
 
 
 def w14(s, d):
