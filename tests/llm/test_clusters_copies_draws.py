@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from statloom.llm import centroids, minmax, resample
 from statloom.llm.bytewords import buffers
@@ -270,3 +271,67 @@ def test_a_repeated_benchmark_item_is_one(spark):
     bench = spark.createDataFrame([(i, prose(9, 30)) for i in range(3, 40)] + [(None, prose(9, 30).upper())], "item_id long, text string")
     out = decontaminate.overlaps(docs(spark, [(1, prose(1, 50) + " " + prose(9, 30))]), bench, block_chars=1).collect()
     assert [(r["doc_id"], r["item_id"], r["items"], r["matched_tokens"]) for r in out] == [(1, 3, 38, 30)]
+
+
+# ---- language profiles and the language model's filter
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_languages_equal_brute_force(spark):
+    import unicodedata
+    from collections import Counter
+
+    from statloom.llm import languageid
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(9001, "  ...Ünïcödé — two  words!", None), (9002, "12 34 !!", "en"), (9003, None, "de"), (9004, "a", None), (None, "no id here", "en")]
+    table = spark.createDataFrame([(d, t, x, 1) for d, t, x in rows], "doc_id long, text string, lang string, rank int")
+
+    def grams(text):
+        signs = []
+        for ch in (text or "").lower():
+            if unicodedata.category(ch)[0] == "L":
+                signs.append(ord(ch))
+            elif not signs or signs[-1] != 1 or len(signs) == 0:
+                signs.append(1)
+        if not any(s != 1 for s in signs):
+            return Counter()
+        out = Counter()
+        for i, s in enumerate(signs):
+            before, after = signs[i - 1] if i else 1, signs[i + 1] if i + 1 < len(signs) else 1
+            if s != 1:
+                out[s] += 1
+                out[before << 42 | s << 21 | after] += 1
+            if s != 1 or before != 1:
+                out[before << 21 | s] += 1
+        return out
+
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: languageid.PROFILE]]
+    total = {}
+    for d, t, lang in rows:
+        if d is not None and d % 5 != 0 and lang is not None and t is not None:
+            total.setdefault(lang, Counter()).update(grams(t))
+    known = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in total.items() if c}
+    want = []
+    for d, t, _ in rows:
+        own = top(grams(t))
+        far = {lang: sum(min(abs(p[g] - i), languageid.PROFILE) if g in p else languageid.PROFILE for i, g in enumerate(own)) for lang, p in known.items()}
+        best = min(sorted(far), key=far.get)
+        want.append((d, best, round(1 - far[best] / (languageid.PROFILE * len(own)), 9)) if own else (d, "und", 0.0))
+    made = languageid.profiles(table, F.col("doc_id") % 5 != 0)
+    got = [(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in languageid.identify(table, made).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
+def test_the_shipped_filter_errs_little(spark):
+    from statloom.llm import lmscore
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    held = F.col("doc_id") % 5 == 1
+    exact = {r["doc_id"]: r for r in lmscore.score(table, held, bits=4000, spare=40).collect()}  # so many bits that errors don't count
+    off = [(r["held_out"], (r["score"] - exact[r["doc_id"]]["score"]) / r["n_tokens"]) for r in lmscore.score(table, held).collect()]
+    for held_out, mean, worst in ((True, 0.03, 0.3), (False, 0.01, 0.1)):
+        own = [abs(x) for h, x in off if h == held_out]
+        print(held_out, np.mean(own), max(own))
+        assert np.mean(own) < mean and max(own) < worst
