@@ -335,3 +335,14 @@ def test_the_shipped_filter_errs_little(spark):
         own = [abs(x) for h, x in off if h == held_out]
         print(held_out, np.mean(own), max(own))
         assert np.mean(own) < mean and max(own) < worst
+
+
+def test_the_template_decides_where_no_name_tells():
+    from statloom.llm import htmltext
+
+    page = lambda i: f"<html><body><div class=x1><p>Home News Contact and all about us</p></div><div class=x2><p>Story {i} {prose(i, 7)}</p><p>More {prose(50 + i, 4)}</p></div><div class=x3><p>Imprint and all rights of this house reserved</p></div></body></html>"
+    pages = [page(i) for i in range(9)]
+    want = [f"Story {i} {prose(i, 7)} More {prose(50 + i, 4)}" for i in range(9)]
+    assert htmltext.extract(pages) == want
+    alone = [" ".join(htmltext.main_blocks(htmltext.parse(p), set(), set())) for p in pages]
+    assert all(a != w for a, w in zip(alone, want, strict=True))
