@@ -13,7 +13,15 @@ from ..functions.special import lgamma
 
 
 def count_pmf(mean: Column, alpha: Column, top: int | Column) -> Column:
-    """Probabilities of 0..top, with variance mean + alpha * mean**2 (alpha 0: Poisson)."""
+    """Probabilities of 0..top, with variance mean + alpha * mean**2 (alpha 0: Poisson).
+
+    Up to a fixed top each follows from the one before: copying short arrays takes half the time of ln Gamma for every count.
+    """
+    if isinstance(top, int) and top <= 100:
+        r = F.try_divide(F.lit(1.0), alpha)
+        p0 = F.when(alpha > 0, F.pow(1 / (1 + alpha * mean), r)).otherwise(F.exp(-mean))
+        ratio = lambda k: F.when(alpha > 0, (k - 1 + r) / k * (alpha * mean / (1 + alpha * mean))).otherwise(mean / k)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(top)), F.array(p0.cast("double")), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) * ratio(k.cast("double")))))
     return mixture_pmf(F.array(F.struct(F.lit(1.0).alias("weight"), mean.cast("double").alias("mean"))), alpha, top)
 
 
