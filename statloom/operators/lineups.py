@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
+from ..session import staged
 from .joins import shared_time
 
 UNIT = 5
@@ -145,33 +146,42 @@ def _opened(starters: list[int], begin: float, returning: set[int]) -> list[Plac
     return some + [Place(None, begin, begin) for _ in range(UNIT - len(some))]
 
 
-def _starters(first: pd.DataFrame, unit: list[int], minutes: dict[int, float]) -> list[int]:
+def _starters(first: list[tuple[str, int]], unit: list[int], minutes: dict[int, float]) -> list[int]:
     """Who starts a later period: those whose first event of it isn't coming in, in its order, then silent ones of the unit before, by minutes."""
-    acting = first.loc[first["kind"] != "in", "person_id"].astype(int).tolist()
-    silent = sorted(set(unit) - set(first["person_id"].astype(int)), key=lambda p: (-minutes.get(p, 0.0), p))
+    acting = [p for kind, p in first if kind != "in"]
+    silent = sorted(set(unit) - {p for _, p in first}, key=lambda p: (-minutes.get(p, 0.0), p))
     return (acting[:UNIT] + silent)[:UNIT]
 
 
-def _game(key: tuple, events: pd.DataFrame, roster: pd.DataFrame) -> pd.DataFrame:
+def _game(key: tuple, events: pa.Table, roster: pa.Table) -> pa.Table:
     rows: list[tuple] = []
-    played = roster[roster["minutes"].fillna(0) > 0]
-    if len(events) and played["team_id"].nunique() == 2:
-        events = events.sort_values("seq")
-        for team, own in played.groupby("team_id"):
-            minutes = dict(zip(own["person_id"].astype(int), own["minutes"], strict=True))
-            mine = events[(events["team_id"] == team) & (events["person_id"].isna() | events["person_id"].isin(minutes))]
-            unit = own.loc[own["starter"], "person_id"].astype(int).tolist()
-            for period in range(1, int(events["period"].max()) + 1):
+    teams: dict[int, dict[int, tuple]] = {}
+    for team, person, starter, minutes in zip(*(roster.column(c).to_pylist() for c in ("team_id", "person_id", "starter", "minutes")), strict=True):
+        if team is not None and (minutes or 0) > 0:
+            teams.setdefault(team, {})[person] = (starter, minutes)
+    if events.num_rows and len(teams) == 2:
+        columns = ("seq", "team_id", "period", "t", "kind", "person_id", "candidates", "opens", "returns")
+        log = sorted(zip(*(events.column(c).to_pylist() for c in columns), strict=True), key=lambda e: e[0])
+        periods = max(e[2] for e in log)
+        for team, own in sorted(teams.items()):
+            minutes = {p: m for p, (_, m) in own.items()}
+            parts: list[list[tuple]] = [[] for _ in range(periods + 1)]
+            for e in log:
+                if e[1] == team and (e[5] is None or e[5] in own):
+                    parts[e[2]].append(e[3:])
+            unit = [p for p, (starter, _) in own.items() if starter]
+            for period in range(1, periods + 1):
                 begin, length = (PERIOD * (period - 1), PERIOD) if period <= PERIODS else (PERIODS * PERIOD + EXTRA * (period - PERIODS - 1), EXTRA)
-                now = mine[mine["period"] == period]
-                first = now[now["opens"]]
+                first = [(kind, p) for _, kind, p, _, opens, _ in parts[period] if opens]
                 start = unit if period == 1 else _starters(first, unit, minutes)
-                places = _opened(start, begin, set(first.loc[first["kind"] == "in", "person_id"].astype(int)))
-                changes = [(r.t, r.kind, None if pd.isna(r.person_id) else int(r.person_id), r.candidates if r.candidates is None else [int(c) for c in r.candidates if int(c) in minutes], bool(r.returns)) for r in now.itertuples()]
+                places = _opened(start, begin, {p for kind, p in first if kind == "in"})
+                changes = [(t, kind, p, None if some is None else [c for c in some if c in own], returns) for t, kind, p, some, _, returns in parts[period]]
                 found, repairs = moved(places, changes, begin + length)
-                rows += [(int(key[0]), period, int(team), p, a, b, repairs) for p, a, b in found]
+                rows += [(key[0].as_py(), period, team, p, a, b, repairs) for p, a, b in found]
                 unit = [p.who for p in places if p.who is not None]
-    return pd.DataFrame(rows, columns=_STINT_COLUMNS)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_STINT_COLUMNS)
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=_STINT_COLUMNS)
 
 
 def stints(events: DataFrame, roster: DataFrame) -> DataFrame:
@@ -181,7 +191,7 @@ def stints(events: DataFrame, roster: DataFrame) -> DataFrame:
     e = e.withColumn("opens", F.col("person_id").isNotNull() & (F.row_number().over(own) == 1)).withColumn("returns", F.coalesce(F.col("person_id").isNotNull() & (F.lead("kind").over(own) == "in"), F.lit(False)))
     # fresh columns: both sides may come from one table
     r = roster.select(*[F.col(c).alias(c) for c in ("game_id", "team_id", "person_id", "starter", "minutes")])
-    return e.groupBy("game_id").cogroup(r.groupBy("game_id")).applyInPandas(_game, STINTS)
+    return e.groupBy("game_id").cogroup(r.groupBy("game_id")).applyInArrow(_game, STINTS)
 
 
 def pair_time(st: DataFrame) -> DataFrame:
@@ -213,6 +223,7 @@ def full_share(st: DataFrame) -> DataFrame:
 
 def on_court(st: DataFrame, box: DataFrame, tolerance: float = 2.0, least_share: float = 0.95) -> DataFrame:
     """pair_time with `reliable`: both persons' rebuilt minutes fit the box score and the game was full enough."""
+    st = staged(st, "stints")  # read three times
     t = person_totals(st).join(box.select("game_id", "person_id", "minutes"), ["game_id", "person_id"], "full_outer")
     fine = t.select("game_id", "person_id", (F.abs(F.coalesce(F.col("seconds") / 60, F.lit(0.0)) - F.coalesce("minutes", F.lit(0.0))) <= tolerance).alias("fine"))
     full = full_share(st).select("game_id", (F.col("share") >= least_share).alias("full"))
