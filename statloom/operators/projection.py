@@ -54,11 +54,9 @@ def project(df: DataFrame, nodes: str, alpha: Column, line: Column | None = None
 
     The support reaches as far as the row's own largest mean needs it, and the distribution's sum is one.
     """
-    top = dist.support(F.array_max(F.transform(nodes, lambda n: n["mean"])), alpha)
-    d = df.withColumn("mean", mixture_mean(F.col(nodes))).withColumn("__pmf", dist.normalised(dist.mixture_pmf(F.col(nodes), alpha, top)))
-    lo, hi = dist.interval(F.col("__pmf"), level)
-    over, under, push = dist.over_under_push(F.col("__pmf"), F.floor("mean") + 0.5 if line is None else line)
-    return d.select(*df.columns, "mean", dist.quantile(F.col("__pmf"), 0.5).alias("median"), lo.alias("lo"), hi.alias("hi"), over.alias("over"), under.alias("under"), push.alias("push"))
+    d = df.withColumn("mean", mixture_mean(F.col(nodes)))
+    d = d.withColumn("__of", dist.mixture_summary(F.col(nodes), alpha, F.floor("mean") + 0.5 if line is None else line, level))
+    return d.select(*df.columns, "mean", *[F.col(f"__of.{c}").alias(c) for c in ("median", "lo", "hi", "over", "under", "push")])
 
 
 def mean_interval(mean: Column, alpha: Column, games: Column, exposure: Column, exposure_sd: Column, halflife: float = 20.0, level: float = 0.95) -> tuple[Column, Column]:

@@ -245,6 +245,30 @@ def test_pmf_equals_its_formula(spark):
         assert r["c"]["at"] == pytest.approx(want[:5].sum()) and r["c"]["below"] == pytest.approx(want[:4].sum())
 
 
+def test_numbers_of_distributions_equal_those_of_whole_ones(spark):
+    rows = [(1, [(0.5, 4.0), (0.5, 0.0)], 0.2, 3.5, 2.0), (2, [(1.0, 1500.0)], 0.0, 1500.0, 1490.0), (3, [(0.2, 2.0), (0.3, 60.0), (0.5, 9.0)], 1.5, None, 4000.0), (4, None, 0.2, 1.5, -1.0), (5, [], 0.2, 1.5, 1.0), (6, [(1.0, 3.0)], None, 1.5, None), (7, [(0.5, None), (0.5, 1.0)], 0.1, 0.5, 1.9), (8, [(1.0, 7.0)], 1e-4, 7.0, 0.0)]
+    d = spark.createDataFrame(rows, "id int, nodes array<struct<weight double, mean double>>, a double, line double, y double").repartition(2).withColumn("m", F.try_element_at("nodes", F.lit(1))["mean"])
+    pmf = dist.normalised(dist.mixture_pmf(F.col("nodes"), F.col("a"), dist.support(F.array_max(F.transform("nodes", lambda n: n["mean"])), F.col("a"))))
+    lo, hi = dist.interval(F.col("p"), 0.9)
+    over, under, push = dist.over_under_push(F.col("p"), F.col("line"))
+    cdf = dist.cdf_around(dist.count_pmf(F.col("m"), F.col("a"), dist.support(F.col("m"), F.col("a"))), F.col("y"))
+    want = d.where("id IN (1, 2, 3, 8)").withColumn("p", pmf).select("id", dist.quantile(F.col("p"), 0.5).alias("median"), lo.alias("lo"), hi.alias("hi"), over.alias("over"), under.alias("under"), push.alias("push"), cdf["below"].alias("below"), cdf["at"].alias("at"))
+    s, c = dist.mixture_summary(F.col("nodes"), F.col("a"), F.col("line")), dist.count_cdf(F.col("m"), F.col("a"), F.col("y"))
+    got = {r["id"]: r for r in d.select("id", "m", "a", "y", s.alias("s"), c.alias("c")).collect()}
+    assert len(got) == len(rows)
+    for r in want.collect():
+        own = got[r["id"]]["s"].asDict() | got[r["id"]]["c"].asDict()
+        assert all(own[k] == pytest.approx(r[k], abs=1e-9) for k in own) and isinstance(own["median"], int)
+    assert all(got[i]["s"] is None for i in (4, 5, 6, 7)) and all(got[i]["c"] is None for i in (4, 5, 6, 7))
+
+
+def test_projections_make_no_array_of_a_whole_distribution(spark):
+    d = spark.createDataFrame([(1, True, 5.0, 4.0)], "id int, home boolean, h double, a double")
+    nodes = projection.scenario_nodes(F.col("home"), F.col("h"), F.col("a"), F.array(F.lit(0.5), F.lit(1.5)))
+    plan = projection.project(d.withColumn("nodes", nodes), "nodes", F.lit(0.1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan.lower()
+
+
 def test_contributions_add_up_and_know_an_additive_model(spark):
     d = spark.createDataFrame([(1.0, 2.0, 1.0), (5.0, -1.0, 0.0)], "a double, b double, home double")
     groups = {"a": {"a": F.lit(0.5)}, "b": {"b": F.lit(0.0)}}
