@@ -106,7 +106,7 @@ def m17_isotonic(s, d):
 def m18(s, d):
     """Normal scores of counts under their own predicted distributions, and how they go with the value's."""
     mean = F.greatest(F.col("form") / 10, F.lit(0.05))
-    h = frame(s, d).where("form IS NOT NULL").withColumn("c", dist.cdf_around(dist.count_pmf(mean, F.lit(0.2), dist.support(mean, F.lit(0.2))), F.col("y")))
+    h = frame(s, d).where("form IS NOT NULL").withColumn("c", dist.count_cdf(mean, F.lit(0.2), F.col("y")))
     h = h.withColumn("at", F.col("c.at")).withColumn("below", F.col("c.below"))
     return m.shrunk_correlation(m.pit_scores(h, "below", "at", ["event_id"]), "subject", "z", "value")
 
@@ -126,7 +126,7 @@ def _scores(h):
     """Normal scores z1, z2, z3 of the three counts under their own expected distributions."""
     for i, (y, key) in enumerate((("y", 11), ("y2", 12), ("y3", 13)), 1):
         mean = F.col(f"m{i}")
-        h = h.withColumn("c", dist.cdf_around(dist.count_pmf(mean, F.lit(0.2), dist.support(mean, F.lit(0.2))), F.col(y)))
+        h = h.withColumn("c", dist.count_cdf(mean, F.lit(0.2), F.col(y)))
         h = m.pit_scores(h.withColumn("at", F.col("c.at")).withColumn("below", F.col("c.below")), "below", "at", ["event_id"], seed=key).withColumnRenamed("z", f"z{i}").drop("c", "at", "below")
     return staged(h.select("subject", "z1", "z2", "z3"), "scores")
 
