@@ -70,39 +70,58 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).astype(float) / 2.0**64
 
 
+#: Rows that a task adds up of a group at once; a group of more rows is dealt out in pieces.
+PIECE = 200_000
+
+
 def bootstrap_ci(df: DataFrame, by: str, mask: Column, value: str, reps: int = 2000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """(by, low, high) of split mean less baseline mean, by the Poisson bootstrap.
 
-    Every row gets a Poisson(1) weight for each replicate, from a hash of the row, so replicates are sums:
-    tasks add up what they hold of a group and only sums move, whatever the group's size.
+    Every row gets a Poisson(1) weight for each replicate, from a hash of the row, so replicates are sums. A group's rows
+    meet in one task, which makes its interval, and nothing of its replicates moves. A group of more than PIECE rows is
+    dealt out in pieces by its rows' hashes, and the sums of a piece are added to those of the others.
     """
-    cols = ["__m", "__v", "__h"]
-    rows = df.where(F.col(value).isNotNull()).select(by, F.coalesce(mask, F.lit(False)).alias(cols[0]), F.col(value).cast("double").alias(cols[1]), F.xxhash64(F.lit(seed), *df.columns).alias(cols[2]))
-    block = 50
+    rows = df.where(F.col(value).isNotNull()).select(by, F.coalesce(mask, F.lit(False)).alias("__m"), F.col(value).cast("double").alias("__v"), F.xxhash64(F.lit(seed), *df.columns).alias("__h"))
     # a Poisson(1) weight is the number of these that a uniform number exceeds
     steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
-
-    def partial(batches):
-        for frame in batches:
-            frame = frame.sort_values(by, kind="stable")
-            keys = frame[by].to_numpy()
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-            m, v = frame["__m"].to_numpy(float), frame["__v"].to_numpy(float)
-            h = frame["__h"].to_numpy(np.int64).view(np.uint64)
-            out = []
-            for a in range(0, reps if len(first) else 0, block):
-                w = np.searchsorted(steps, _uniform(h[:, None] + np.arange(a, min(reps, a + block), dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))).astype(float)
-                sums = [np.add.reduceat(x, first, axis=0) for x in (w * m[:, None], w * (m * v)[:, None], w, w * v[:, None])]
-                out += [(keys[k], a, *[x[i].tolist() for x in sums]) for i, k in enumerate(first)]
-            yield pd.DataFrame(out, columns=[by, "block", "sn", "sv", "n", "v"])
+    step = np.arange(reps, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    tail = (1 - level) / 2
+    block = 256
+
+    def sums(frame: pd.DataFrame) -> np.ndarray:
+        """(4, reps): weighted number and sum of the split's rows, and of all rows."""
+        m, v = frame["__m"].to_numpy(float), frame["__v"].to_numpy(float)
+        h = frame["__h"].to_numpy(np.int64).view(np.uint64)
+        x, total = np.stack((m, m * v, np.ones(len(v)), v)), np.zeros((4, reps))
+        for a in range(0, len(v), block):
+            for r in range(0, reps, block):
+                w = np.searchsorted(steps, _uniform(h[a : a + block, None] + step[None, r : r + block]))
+                total[:, r : r + block] += x[:, a : a + block] @ w.astype(float)
+        return total
+
+    def interval(frame: pd.DataFrame) -> pd.DataFrame:
+        sn, sv, n, v = sums(frame)
+        have = (sn > 0) & (n > 0)
+        ends = np.quantile(sv[have] / sn[have] - v[have] / n[have], [tail, 1 - tail]) if have.any() else (None, None)
+        return pd.DataFrame({by: frame[by].iloc[:1], "low": [ends[0]], "high": [ends[1]]})
+
+    def partial(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({by: frame[by].iloc[:1], **{c: [x.tolist()] for c, x in zip(("sn", "sv", "n", "v"), sums(frame), strict=True)}})
 
     kind = df.schema[by].dataType.simpleString()
-    packs = rows.mapInPandas(partial, f"`{by}` {kind}, block int, sn array<double>, sv array<double>, n array<double>, v array<double>")
-    one = packs.select(by, "block", F.posexplode(F.arrays_zip("sn", "sv", "n", "v")).alias("i", "x"))
-    rep = one.groupBy(by, "block", "i").agg(*[F.sum(f"x.{c}").alias(c) for c in ("sn", "sv", "n", "v")])
+    large = rows.groupBy(by).agg(F.count("*").alias("__k")).where(F.col("__k") > PIECE)
+    large = staged(large.select(F.col(by).alias("__g"), F.ceil(F.col("__k") / PIECE).alias("__k")), "large")  # one row for PIECE rows of the table at most
+    ends = f"`{by}` {kind}, low double, high double"
+    if large.isEmpty():
+        return rows.groupBy(by).applyInPandas(interval, ends)
+    dealt = rows.join(F.broadcast(large), rows[by].eqNullSafe(large["__g"]), "left")
+    whole = dealt.where("__k IS NULL").select(*rows.columns).groupBy(by).applyInPandas(interval, ends)
+    pieces = dealt.where("__k IS NOT NULL").withColumn("__k", F.pmod(F.xxhash64("__h"), F.col("__k"))).select(*rows.columns, "__k")
+    packs = pieces.groupBy(by, "__k").applyInPandas(partial, f"`{by}` {kind}, sn array<double>, sv array<double>, n array<double>, v array<double>")
+    one = packs.select(by, F.posexplode(F.arrays_zip("sn", "sv", "n", "v")).alias("i", "x"))
+    rep = one.groupBy(by, "i").agg(*[F.sum(f"x.{c}").alias(c) for c in ("sn", "sv", "n", "v")])
     diff = F.try_divide("sv", "sn") - F.try_divide("v", "n")
-    tail = (1 - level) / 2
-    return rep.groupBy(by).agg(F.percentile(diff, tail).alias("low"), F.percentile(diff, 1 - tail).alias("high"))
+    return whole.unionByName(rep.groupBy(by).agg(F.percentile(diff, tail).alias("low"), F.percentile(diff, 1 - tail).alias("high")))
 
 
 def within(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix: str = "_w") -> DataFrame:

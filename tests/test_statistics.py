@@ -115,6 +115,32 @@ def test_bootstrap_interval_holds_the_difference(spark):
     assert out["low"] < v[m].mean() - v.mean() < out["high"] and 0.2 < out["high"] - out["low"] < 1.5
 
 
+def test_bootstrap_of_pieces_and_odd_groups(spark, monkeypatch):
+    rows = [(k % 7 or None, k, k % 3 == 0, float(k * 7919 % 101)) for k in range(700)] + [(50, 1, True, 2.0), (51, 2, False, 3.0), (52, 3, True, None), (53, 4, None, 1.0)]
+    df = spark.createDataFrame(rows, "s int, i int, m boolean, v double").repartition(5)
+    steps = np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(12)])
+    frame = df.where("v IS NOT NULL").select("*", F.xxhash64(F.lit(7), "s", "i", "m", "v").alias("h")).toPandas()
+    want = {}
+    for s, own in frame.groupby(frame["s"].fillna(-1)):
+        h = own["h"].to_numpy(np.int64).view(np.uint64)
+        w = np.searchsorted(steps, inference._uniform(h[:, None] + np.arange(300, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)))
+        m, v = (own["m"] == True).to_numpy(bool), own["v"].to_numpy()  # noqa: E712  null is no
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = (w[m] * v[m, None]).sum(0) / w[m].sum(0) - (w * v[:, None]).sum(0) / w.sum(0)
+        want[s] = np.quantile(d[np.isfinite(d)], [0.025, 0.975]) if np.isfinite(d).any() else [None, None]
+    for size in (200_000, 30):
+        monkeypatch.setattr(inference, "PIECE", size)
+        got = {-1 if r["s"] is None else r["s"]: [r["low"], r["high"]] for r in inference.bootstrap_ci(df, "s", F.col("m"), "v", reps=300).collect()}
+        assert set(got) == set(want)
+        assert all(a == b or a == pytest.approx(b, abs=1e-9) for s in want for a, b in zip(got[s], want[s], strict=True))
+
+
+def test_bootstrap_moves_no_replicates(spark):
+    df = spark.createDataFrame([(k % 5, k, float(k)) for k in range(50)], "s int, i int, v double")
+    plan = inference.bootstrap_ci(df, "s", F.col("i") % 2 == 0, "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_pmf_sums(spark):
     df = spark.createDataFrame([(5.0,)], "m double").select(distributions.count_pmf(F.col("m"), F.lit(0.1), 60).alias("p"))
     p = np.array(df.first()["p"])
