@@ -1,6 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Each round points every node at the smallest node it can see; rounds are written to
+First the edges are thinned where they lie: a task replaces those of a chunk by a star of each of the chunk's own
+components, which connects the same nodes with fewer edges than nodes; and twice again as it reads what several tasks
+have left. Where that ends in stars, as on small tables, nothing more is to be done. Each round points every node at the smallest node it can see; rounds are written to
 the shared folder and number about the logarithm of the longest path. A node's
 minimum is aggregated before its edges move, so a node with very many edges is no
 hot spot beyond the join, which adaptive execution splits.
@@ -8,15 +10,71 @@ hot spot beyond the join, which adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stage
 
+#: Edges that a task thins at a time.
+CHUNK = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node of its component) for every node but the smallest ones, of the graph with edges (a, b)."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        before = root.copy()
+        p, q = root[x], root[y]
+        np.minimum.at(root, p, np.minimum(p, q))  # the root of the one is hung below the other's, if that is smaller
+        np.minimum.at(root, q, np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[other], ids[root[other]]
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with a > b that connect what those of `edges` connect; a task holds CHUNK of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        kept = 0  # edges in held that are thinned already
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            if sum(len(x) for x, _ in held) - kept >= CHUNK:
+                own = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, kept = [own], len(own[0])
+                if kept >= CHUNK:
+                    yield _batch(*own)
+                    held, kept = [], 0
+        if held:
+            yield _batch(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of edges (a, b) but the roots themselves; root is the smallest id of its component."""
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stage(thinned(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")), "edges")
+    for _ in range(2):  # a task reads several of the files that tasks wrote before
+        now = stage(thinned(now), "edges")
+    now = stage(now.distinct(), "edges")
+    # done, if every node has one edge and no smallest node has one
+    ends = now.select("a").unionAll(now.select(F.col("b").alias("a")).distinct())
+    if ends.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

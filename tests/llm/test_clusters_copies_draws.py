@@ -159,6 +159,37 @@ def test_threshold_is_exact(spark):
     assert [c for _, _, c, _ in want][:2] == [1, 1]
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 40])
+def test_components_of_thinned_edges(spark, monkeypatch, chunk):
+    from statloom.llm import components as c
+
+    monkeypatch.setattr(c, "CHUNK", chunk)
+    r = random.Random(5)
+    rows = [(r.randrange(900) * 7919 % 2003 - 1000, r.randrange(900) * 7919 % 2003 - 1000) for _ in range(500)] + [(5000 + k, 5001 + k) for k in range(60)] + [(9000, 9000 + k) for k in range(1, 80)] * 2 + [(1, 1), (9999, 9999), (None, 4), (4, None)]
+    root = {x: x for e in rows for x in e if x is not None}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in rows:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    assert {x["id"]: x["root"] for x in c.components(edges).collect()} == {k: v for k, v in root.items() if k != v}
+    assert c.components(edges.where("a = b")).isEmpty()
+
+
+def test_dense_groups_are_thinned_where_they_lie(spark):
+    from statloom.llm.components import forest, thinned
+
+    n = 120
+    edges = spark.range(n).selectExpr("id AS a").crossJoin(spark.range(n).selectExpr("id AS b")).where("a > b").repartition(3)
+    kept = thinned(edges)
+    assert kept.count() <= 3 * (n - 1) < edges.count() / 10 and kept.where("a <= b").isEmpty()
+    a, b = forest(np.array([3, 5, 9]), np.array([9, 3, 7]))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(5, 3), (7, 3), (9, 3)]
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert minmax.near_duplicates(docs(spark, [])).count() == 0
     same(minmax.near_duplicates(docs(spark, [(1, None), (2, "")])), [(1, 0, 1, True), (2, 0, 2, True)])
