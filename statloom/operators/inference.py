@@ -182,11 +182,16 @@ def with_omitted(table: pd.DataFrame, terms: Sequence[str], omitted: str) -> pd.
 
 
 def trend(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """(by, n, slope, intercept, sxx, residual_std) of a straight line for every group with three rows at two places or more."""
+    """(by, n, slope, intercept, sxx, residual_std) of a straight line for every group with a row.
+
+    Slope and intercept are null where all rows stand at one place; residual_std is null below three rows too.
+    """
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     g = d.groupBy(by).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"))
+    line = F.col("sxx") > 0
+    g = g.withColumn("slope", F.when(line, F.col("slope"))).withColumn("intercept", F.when(line, F.col("intercept")))
     rest = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx")) / (F.col("n") - 2))
-    return g.where("n >= 3 AND sxx > 0").withColumn("residual_std", rest).drop("syy")
+    return g.withColumn("residual_std", F.when(line & (F.col("n") >= 3), rest)).drop("syy")
 
 
 def effective_n(n: Column, halflife: float) -> Column:

@@ -120,7 +120,7 @@ def f22(s, d):
 
 def i17(s, d):
     h = order_history(s, d).withColumn("x", F.date_diff("d", F.lit("1995-01-01").cast("date")) / 365.25)
-    g = i.trend(h, "subject", "x", "value").join(h.groupBy("subject").agg(F.avg("x").alias("mx")), "subject")
+    g = i.trend(h, "subject", "x", "value").where("n >= 3 AND sxx > 0").join(h.groupBy("subject").agg(F.avg("x").alias("mx")), "subject")
     g = g.withColumn("t", t_quantile_column(0.95, (F.col("n") - 2).cast("double"))).withColumn("at", F.explode(F.array(*[F.lit(float(k)) for k in (6.75, 7.0, 7.25)])))
     fit = F.col("intercept") + F.col("slope") * F.col("at")
     lever = 1 / F.col("n") + (F.col("at") - F.col("mx")) * (F.col("at") - F.col("mx")) / F.col("sxx")

@@ -191,7 +191,8 @@ QUERIES = [
     Query("i14_omitted_level", i14),
     Query("i15_variable_effects", i15),
     Query("i16_linear_trend", i16, f"""WITH h AS (SELECT subject, (d - DATE '1995-01-01') / 365.25 AS x, value AS y FROM {O})
-      SELECT subject, count(*) AS n, round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 3) AS intercept, round(sqrt(greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) / (count(*) - 2)), 3) AS residual_std FROM h GROUP BY subject HAVING count(*) >= 3 AND regr_sxx(y, x) > 0"""),
+      SELECT subject, count(*) AS n, round(CASE WHEN regr_sxx(y, x) > 0 THEN regr_slope(y, x) END, 3) AS slope, round(CASE WHEN regr_sxx(y, x) > 0 THEN regr_intercept(y, x) END, 3) AS intercept,
+       round(CASE WHEN count(*) >= 3 AND regr_sxx(y, x) > 0 THEN sqrt(greatest(0, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x)) / (count(*) - 2)) END, 3) AS residual_std FROM h GROUP BY subject"""),
     Query("i18_paired_bootstrap", i18),
     Query("i19_pair_multipliers", i19, f"""WITH g AS (SELECT subject, position, count(*) AS k, sum(value) AS s, sum(exposure) AS m, sum(value * value) AS s2, sum(value * exposure) AS sm, sum(exposure * exposure) AS m2 FROM {D} GROUP BY ALL),
       t AS (SELECT subject, position, s / m AS r, 1 / nullif(greatest(0, s2 - 2 * (s / m) * sm + (s / m) * (s / m) * m2) / (m * m), 0) AS n FROM g), u AS (SELECT * FROM t WHERE n IS NOT NULL),
