@@ -141,6 +141,27 @@ def test_bootstrap_moves_no_replicates(spark):
     assert "Generate" not in plan
 
 
+def test_a_birth_date_may_be_the_mark_of_an_unknown_one(spark, tmp_path):
+    day = dt.date(1900, 1, 1) + dt.timedelta(days=35_010)
+    rows = [(1, 3501, day), (2, 3510, day), (3, 11, day)]
+    spark.createDataFrame([(k, c, d, 1.0, "O", "1-URGENT") for k, c, d in rows], "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["event_id"]: r["age"] for r in registry.queries()["f6_age"](spark, str(tmp_path)).collect()}
+    assert got == {1: pytest.approx(35_010 / 365.25, abs=1e-6), 2: None, 3: pytest.approx(110 / 365.25, abs=1e-6)}
+
+
+@pytest.mark.parametrize("name", ["i16_linear_trend", "s17_kept_parameters"])
+def test_every_subject_has_a_trend_row(spark, tmp_path, name):
+    days = {1: [1], 2: [1, 31], 3: [1, 1, 1], 4: [1, 31, 61], 5: [5, 5]}
+    rows = [(10 * c + k, c, dt.date(1995, 1, 1) + dt.timedelta(days=x), 100.0 * (k + 1), "O", "1-URGENT") for c, xs in days.items() for k, x in enumerate(xs)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["subject"]: r for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert set(got) == set(days)
+    if name == "s17_kept_parameters":
+        assert [got[c]["at_two"] is not None for c in days] == [False, True, False, True, False]
+    else:
+        assert [(got[c]["n"], got[c]["slope"] is not None, got[c]["residual_std"] is not None) for c in days] == [(1, False, False), (2, True, False), (3, False, False), (3, True, True), (2, False, False)]
+
+
 def test_pmf_sums(spark):
     df = spark.createDataFrame([(5.0,)], "m double").select(distributions.count_pmf(F.col("m"), F.lit(0.1), 60).alias("p"))
     p = np.array(df.first()["p"])
