@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 First the edges are thinned where they lie: a task replaces those of a chunk by a star of each of the chunk's own
-components, which connects the same nodes with fewer edges than nodes; and twice again as it reads what several tasks
-have left. Where that ends in stars, as on small tables, nothing more is to be done. Each round points every node at the smallest node it can see; rounds are written to
+components, which connects the same nodes with fewer edges than nodes; and again as it reads what several tasks have
+left, a chunk a task, as long as that halves them. Where a chunk holds all, nothing more is to be done. Each round points every node at the smallest node it can see; rounds are written to
 the shared folder and number about the logarithm of the longest path. A node's
 minimum is aggregated before its edges move, so a node with very many edges is no
 hot spot beyond the join, which adaptive execution splits.
@@ -10,6 +10,7 @@ hot spot beyond the join, which adaptive execution splits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,13 +69,16 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every node of edges (a, b) but the roots themselves; root is the smallest id of its component."""
     now = stage(thinned(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")), "edges")
-    for _ in range(2):  # a task reads several of the files that tasks wrote before
-        now = stage(thinned(now), "edges")
+    n = now.count()
+    while True:
+        tasks, before = max(1, math.ceil(n / CHUNK)), n
+        now = stage(thinned(now.coalesce(tasks)), "edges")
+        if tasks == 1:  # a chunk held all that was left
+            return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        n = now.count()
+        if n > before / 2:
+            break
     now = stage(now.distinct(), "edges")
-    # done, if every node has one edge and no smallest node has one
-    ends = now.select("a").unionAll(now.select(F.col("b").alias("a")).distinct())
-    if ends.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return now.select(F.col("a").alias("id"), F.col("b").alias("root"))
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

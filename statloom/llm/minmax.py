@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U64, WHITE, mix, release, shingles, words
-from .components import components
+from .components import components, thinned
 from .pathjoin import BINS, _beside, _blocks, _compare, _stars, fingerprint
 from .scratch import stage
 
@@ -118,12 +118,12 @@ def _candidates(reps: DataFrame, at_least: float, bucket: int) -> DataFrame:
     pairs = shared.where("n = 2").select("node", F.explode(F.array("low", "high")).alias("rep"))
     several = shared.where((F.col("n") > 2) & (F.col("n") <= bucket)).select("node")
     small = keys.join(F.broadcast(several) if several.count() <= FEW_NODES else several, "node").select("node", "rep").unionByName(pairs)
-    found = stage(_compare(small, sets, at_least).distinct(), "found")
+    found = stage(thinned(_compare(small, sets, at_least)), "found")
     wide = shared.where(F.col("n") > bucket).select("node")
     if wide.isEmpty():
         return found
     large = stage(_beside(keys, wide, "node").select("node", "rep"), "large")
-    found = stage(found.unionByName(_stars(large, sets, at_least)).distinct(), "found")
+    found = stage(thinned(found.unionByName(_stars(large, sets, at_least))), "found")
     rows = stage(large.join(components(found).withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
     by_root = rows.groupBy("node", "root").agg(F.count("*").alias("k"))
     mixed = by_root.groupBy("node").agg(F.max_by("root", "k").alias("most"), F.max("k").alias("in_most"), F.sum("k").alias("n"))
