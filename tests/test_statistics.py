@@ -141,6 +141,21 @@ def test_bootstrap_moves_no_replicates(spark):
     assert "Generate" not in plan
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_q_values_by_running_least_ones(spark, wide):
+    ps = [None if k % 17 == 0 else (k * 7919 % 401) / 401 for k in range(900)]  # with ties
+    d = spark.createDataFrame([("a", k, p) for k, p in enumerate(ps)], "f string, k long, p double").repartition(3)
+    out = windows.wide_q_values(d, "p", "k", buckets=16) if wide else windows.add_steps(d, windows.benjamini_hochberg("p", "f", "k"))
+    got = {r["k"]: r["q_value"] for r in out.collect()}
+    order = sorted((p, k) for k, p in enumerate(ps) if p is not None)
+    least, want = 1.0, {}
+    for r in range(len(order), 0, -1):
+        least = want[order[r - 1][1]] = min(least, order[r - 1][0] * len(order) / r)
+    assert len(got) == len(ps) and all(got[k] is None if p is None else got[k] == pytest.approx(want[k], abs=1e-12) for k, p in enumerate(ps))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("min(__q" in x and "unboundedfollowing" in x for x in plan.lower().splitlines())
+
+
 def test_a_birth_date_may_be_the_mark_of_an_unknown_one(spark, tmp_path):
     day = dt.date(1900, 1, 1) + dt.timedelta(days=35_010)
     rows = [(1, 3501, day), (2, 3510, day), (3, 11, day)]
