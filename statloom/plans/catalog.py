@@ -11,6 +11,7 @@ from ..operators import filters as f
 from ..operators import inference as i
 from ..operators import joins as j
 from ..operators import windows as w
+from ..session import staged
 from ..sources.roles import DUEL_HISTORY_SQL, EVENT_HISTORY_SQL, ORDER_HISTORY_SQL, duel_history, event_history, order_history, table
 from .base import Query, rounded, t_tail_sql
 
@@ -121,7 +122,10 @@ def f22(s, d):
 def i17(s, d):
     h = order_history(s, d).withColumn("x", F.date_diff("d", F.lit("1995-01-01").cast("date")) / 365.25)
     g = i.trend(h, "subject", "x", "value").where("n >= 3 AND sxx > 0").join(h.groupBy("subject").agg(F.avg("x").alias("mx")), "subject")
-    g = g.withColumn("t", t_quantile_column(0.95, (F.col("n") - 2).cast("double"))).withColumn("at", F.explode(F.array(*[F.lit(float(k)) for k in (6.75, 7.0, 7.25)])))
+    g = staged(g, "trends")
+    # t depends on the number of rows alone: one a number, of which a table of N rows has fewer than sqrt(2 N)
+    t = g.select("n").distinct().withColumn("t", t_quantile_column(0.95, (F.col("n") - 2).cast("double")))
+    g = g.join(F.broadcast(t), "n").withColumn("at", F.explode(F.array(*[F.lit(float(k)) for k in (6.75, 7.0, 7.25)])))
     fit = F.col("intercept") + F.col("slope") * F.col("at")
     lever = 1 / F.col("n") + (F.col("at") - F.col("mx")) * (F.col("at") - F.col("mx")) / F.col("sxx")
     half, wide = F.col("t") * F.col("residual_std") * F.sqrt(lever), F.col("t") * F.col("residual_std") * F.sqrt(1 + lever)

@@ -177,6 +177,14 @@ def test_every_subject_has_a_trend_row(spark, tmp_path, name):
         assert [(got[c]["n"], got[c]["slope"] is not None, got[c]["residual_std"] is not None) for c in days] == [(1, False, False), (2, True, False), (3, False, False), (3, True, True), (2, False, False)]
 
 
+def test_trend_bands_find_t_once_for_a_number_of_rows(spark, tmp_path):
+    orders = [(i, i % 3, dt.datetime(1995, 1 + i % 12, 1 + i % 5), "1-URGENT", 10.0 + i % 7, "F") for i in range(60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string, o_totalprice double, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.queries()["i17_trend_bands"](spark, str(tmp_path))
+    assert got.count() == 9
+    assert "BroadcastHashJoin [n" in got._jdf.queryExecution().executedPlan().toString()  # t is joined by n, not worked out a subject
+
+
 def test_pmf_sums(spark):
     df = spark.createDataFrame([(5.0,)], "m double").select(distributions.count_pmf(F.col("m"), F.lit(0.1), 60).alias("p"))
     p = np.array(df.first()["p"])
