@@ -373,6 +373,29 @@ def test_dispersion_of_planted_counts(spark):
     assert models.dispersion(df, "y", "m") == pytest.approx(0.3, abs=0.03)
 
 
+def counted(spark, df):
+    """(df, a counter of the rows that are made of it)."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    return df.mapInPandas(count, df.schema), made
+
+
+def test_fits_make_their_rows_once(spark):
+    rows = [(i % 7, 0.1 + 0.1 * (i % 8), float(i % 3 == 0), float(i % 5), 1.0 + i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, p double, outcome double, y double, e double")
+    once, made = counted(spark, df)
+    models.choose_calibrator(once, "p", "outcome", "g", folds=2)
+    assert made.value == 400
+    once, made = counted(spark, df)
+    models.poisson_rate(once, "y", ["p"], "e")
+    assert made.value == 400
+
+
 def test_calibrators_mend_planted_odds(spark):
     r = np.random.default_rng(5)
     p = r.uniform(0.02, 0.98, 4000)
