@@ -1,7 +1,7 @@
 """Gradient boosting on histograms: Poisson counts with an offset, means, and several quantiles at once.
 
 Features are put into at most `bins` bins by approximate quantiles (null is a bin of its own), and the
-binned rows are written once. Each level of a tree is one aggregate: tasks add up gradients and curvatures by
+binned rows are written once, a batch of them as the bytes of its arrays, which cost no conversion a row when read. Each level of a tree is one aggregate: tasks add up gradients and curvatures by
 (model, node, feature, bin) over their rows, Spark adds up the tasks' cells, and the driver, which gets
 models * nodes * features * bins cells whatever the input's size, picks the splits. All quantile levels grow their trees in
 the same aggregates. Leaves of the smooth losses are Newton steps from the same sums; those of the
@@ -29,7 +29,8 @@ from ..session import staged
 
 #: Rounds between two updates of the scores in the rows.
 REFRESH = 8
-_ROW = "bins binary, y double, o double, v boolean, f array<double>"
+_ROW = "bins binary, y binary, o binary, v binary, f binary"
+_KIND = {"bins": np.uint8, "y": float, "o": float, "v": bool, "f": float}
 _CELL = "model int, node int, feature int, bin int, g double, h double, n long"
 
 
@@ -121,19 +122,24 @@ def _binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, ...]:
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, features)
-    y, o, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "o", "v"))
-    return bins, y, o, v.astype(bool), batch.column("f").flatten().to_numpy().reshape(len(bins), -1)
+def _arrays(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bins, y, o, v, f) of each batch of rows that was written."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bins, y, o, v, f = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _KIND.items())
+            yield bins.reshape(-1, features), y, o, v, f.reshape(len(y), -1)
+
+
+def _packed(*arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a.astype(kind, copy=False).tobytes()], pa.binary()) for a, kind in zip(arrays, _KIND.values(), strict=True)], list(_KIND))
 
 
 def _prepare(d: DataFrame, features: Sequence[str], edges: list[np.ndarray], base: np.ndarray) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features], axis=1)
-            packed = pa.array([r.tobytes() for r in _binned(x, edges)], pa.binary())
-            f = pa.array([base.tolist()] * b.num_rows, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([packed, *(b.column(c) for c in ("__y", "__o", "__v")), f], ["bins", "y", "o", "v", "f"])
+            if b.num_rows:
+                yield _packed(_binned(x, edges), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("__y", "__o", "__v")), np.tile(base, (b.num_rows, 1)))
 
     return d.mapInArrow(make, _ROW)
 
@@ -145,10 +151,7 @@ def _cells(table: DataFrame, loss: str, levels: np.ndarray, trees: list[Tree], t
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, models, count, nodes * width))
         dev = np.zeros((2, models, 2))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, y, o, held, f = _arrays(batch, count)
+        for bins, y, o, held, f in _arrays(batches, count):
             g, h, loss_of = _slopes(loss, y, o, _raised(f, trees, bins), levels)
             for kind in (0, 1):
                 own = loss_of[held == bool(kind)]
@@ -203,13 +206,11 @@ def _leaf_quantiles(table: DataFrame, levels: list[float], trees: list[Tree], tr
     models = len(levels)
 
     def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bins, y, _, held, f = _arrays(batch, count)
-                rest = (y[:, None] - _raised(f, trees, bins))[~held]
-                bins = bins[~held]
-                for m in range(models):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), m), pa.int32()), pa.array(tree.node(m, bins, depth), pa.int32()), pa.array(rest[:, m])], ["model", "leaf", "r"])
+        for bins, y, _, held, f in _arrays(batches, count):
+            rest = (y[:, None] - _raised(f, trees, bins))[~held]
+            bins = bins[~held]
+            for m in range(models):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bins), m), pa.int32()), pa.array(tree.node(m, bins, depth), pa.int32()), pa.array(rest[:, m])], ["model", "leaf", "r"])
 
     own = table.mapInArrow(residuals, "model int, leaf int, r double").groupBy("model", "leaf").agg(F.percentile_approx("r", [float(x) for x in levels], 2000).alias("q"))
     out = np.zeros((models, 2**depth))
@@ -277,10 +278,7 @@ def _updated(table: DataFrame, trees: list[Tree], count: int) -> DataFrame:
     trees = list(trees)
 
     def raise_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                bins, _, _, _, f = _arrays(batch, count)
-                new = pa.array(list(_raised(f, trees, bins)), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bins", "y", "o", "v")), new], ["bins", "y", "o", "v", "f"])
+        for bins, y, o, v, f in _arrays(batches, count):
+            yield _packed(bins, y, o, v, _raised(f, trees, bins))
 
     return table.mapInArrow(raise_, _ROW)

@@ -33,7 +33,7 @@ def m24(s, d):
 
 
 def _split(s, d):
-    f = frame(s, d)
+    f = staged(frame(s, d), "frame")  # fits and predictions read it several times
     return f.where("season < 2"), f.where("season = 2")
 
 
@@ -219,7 +219,7 @@ def m21(s, d):
 
 def _rated(s, d):
     """Frames with the level's rating before the day, relative to all levels'."""
-    f = frame(s, d)
+    f = staged(frame(s, d), "frame")
     day = f.groupBy("level", "d").agg(F.avg("y").alias("y")).withColumn("ts", F.col("d"))
     own = day.select("level", "d", w.lagged_mean("y", "level", 10, ["ts"]).alias("rating"))
     league = f.agg(F.avg("y").alias("league"))
