@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import special
-from statloom.operators import distributions, inference, windows
+from statloom.operators import distributions, inference, joins, windows
 from statloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -185,6 +185,14 @@ def test_trend_bands_find_t_once_for_a_number_of_rows(spark, tmp_path):
     assert "BroadcastHashJoin [n" in got._jdf.queryExecution().executedPlan().toString()  # t is joined by n, not worked out a subject
 
 
+def test_opponent_sums_share_one_sort(spark):
+    df = spark.createDataFrame([(1, 7, 1.0), (1, 7, 2.0), (1, 8, 4.0), (1, None, 8.0), (2, 7, 5.0), (3, 5, None), (3, 6, 1.0)], "g long, s long, x double").repartition(3)
+    out = joins.opponent_sums(df, "g", "s", ["x"])
+    assert {(r["g"], r["s"]): (r["opponents"], r["opp_x"]) for r in out.collect()} == {(1, 7): (2, 12.0), (1, 8): (3, 11.0), (1, None): (3, 7.0), (3, 5): (1, 1.0), (3, 6): (1, 0.0)}
+    plan = joins.opponent_sums(joins.side_sums(df, "g", "s", ["x"]), "g", "s", ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Sort [") == 1
+
+
 def test_pmf_sums(spark):
     df = spark.createDataFrame([(5.0,)], "m double").select(distributions.count_pmf(F.col("m"), F.lit(0.1), 60).alias("p"))
     p = np.array(df.first()["p"])
