@@ -134,26 +134,22 @@ def joint_probability(df: DataFrame, weights: str, means: str, alphas: str, rho:
 def _hits(w: np.ndarray, mean: np.ndarray, alpha: np.ndarray, r: np.ndarray, conditions: Sequence[Condition], line: dict, pick: np.ndarray, normal: np.ndarray, table: tuple) -> np.ndarray:
     n, m, k = mean.shape
     edges = np.cumsum(w / w.sum(axis=1, keepdims=True), axis=1)
-    node = np.minimum((pick[None, :, None] > edges[:, None, :]).sum(axis=2), m - 1)
+    kinds, kind = np.unique(edges, axis=0, return_inverse=True)
+    node = np.stack([np.minimum(np.searchsorted(e, pick), m - 1) for e in kinds])[kind.ravel()]
     z = normal @ np.swapaxes(factors(r), 1, 2)  # (rows, draws, counts)
     most = float(mean.max(initial=0))
     widest = float(alpha.max(initial=0))
     top = int(math.ceil(most + 20 * math.sqrt(most + widest * most * most) + 20))
     cut = _quantile(_cdfs(mean, np.broadcast_to(alpha[:, None, :], mean.shape), top), table)  # (rows, nodes, counts, values)
     held = np.ones(z.shape[:2], bool)
-    rows = np.arange(n)[:, None]
-    counts: dict[int, np.ndarray] = {}
 
-    def count(s: int) -> np.ndarray:
+    def count(s: int, row: np.ndarray, draw: np.ndarray) -> np.ndarray:
         """The draws' counts: how many cuts of the draw's row and node lie below it, by one search in all of them."""
-        if s not in counts:
-            segment = (rows * m + node) * 32.0
-            flat = (cut[:, :, s, :] + (np.arange(n * m) * 32.0).reshape(n, m, 1)).ravel()
-            found = np.searchsorted(flat, (z[:, :, s] + segment).ravel()).reshape(z.shape[:2])
-            counts[s] = np.minimum(found - (rows * m + node) * (top + 1), top)
-        return counts[s]
-
-    for c in conditions:
+        segment = row * m + node[row, draw]
+        flat = (cut[:, :, s, :] + (np.arange(n * m) * 32.0).reshape(n, m, 1)).ravel()
+        return np.minimum(np.searchsorted(flat, z[row, draw, s] + segment * 32.0) - segment * (top + 1), top)
+
+    for c in sorted(conditions, key=lambda c: len(c.of)):  # those on one count are cheap; draws that fail them need no counting
         at = line[c.line]
         if len(c.of) == 1:  # a single count is compared where the draw is, without counting
             last = np.floor(at).astype(int) if c.over else np.ceil(at).astype(int) - 1
@@ -161,6 +157,7 @@ def _hits(w: np.ndarray, mean: np.ndarray, alpha: np.ndarray, r: np.ndarray, con
             above = z[:, :, c.of[0]] > np.take_along_axis(own, node, axis=1)
             held &= above if c.over else ~above
         else:
-            total = sum(count(s) for s in c.of)
-            held &= total > at[:, None] if c.over else total < at[:, None]
+            row, draw = np.nonzero(held)
+            total = sum(count(s, row, draw) for s in c.of)
+            held[row, draw] = total > at[row] if c.over else total < at[row]
     return held.mean(axis=1)
