@@ -8,6 +8,7 @@ and `count_cdf` work batches of rows out as arrays, each probability from the on
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,21 +93,33 @@ def pmf_of_quantiles(values: Column, levels: list[float], top: int) -> Column:
     """Probabilities of 0..top from an array of predicted quantiles at `levels`.
 
     The distribution function is linear between the sorted quantiles, 0 at -0.5, and 1 beyond the highest by twice its
-    distance from the middle one (at least 1) and 1; k gets what lies between k - 0.5 and k + 0.5.
+    distance from the middle one (at least 1) and 1; k gets what lies between k - 0.5 and k + 0.5. All rows of an Arrow batch
+    are worked out as one array. Null where values is null or holds one.
     """
     n = len(levels)
-    held = F.transform(F.array(F.array_sort(values)), lambda v: F.struct(v.alias("v"), F.greatest(F.element_at(v, n) - F.element_at(v, n // 2 + 1), F.lit(1.0)).alias("span")))
-    xs = F.transform(held, lambda s: F.concat(F.array(F.lit(-0.5)), F.transform(s["v"], lambda x: F.greatest(x, F.lit(-0.5))), F.array(F.element_at(s["v"], n) + 2 * s["span"] + 1)))
-    ps = F.array(*[F.lit(float(p)) for p in (0.0, *levels, 1.0)])
-
-    def below(x: Column, edge: Column) -> Column:
-        i = F.size(F.filter(x, lambda a: a <= edge))
-        lo, hi = F.element_at(x, i), F.try_element_at(x, i + 1)
-        return F.when(hi.isNull(), 1.0).otherwise(F.element_at(ps, i) + (F.element_at(ps, i + 1) - F.element_at(ps, i)) * (edge - lo) / (hi - lo))
-
-    steps = F.sequence(F.lit(0), F.lit(top))
-    at = F.element_at(F.transform(xs, lambda x: F.transform(steps, lambda k: below(x, k + 0.5))), 1)
-    return normalised(F.transform(F.arrays_zip(at.alias("b"), F.concat(F.array(F.lit(0.0)), F.slice(at, 1, top)).alias("a")), lambda z: F.greatest(z["b"] - z["a"], F.lit(0.0))))
+    ps = np.array([0.0, *levels, 1.0])
+    edges = np.arange(top + 1) + 0.5
+
+    def run(batch: pd.Series) -> pd.Series:
+        known = [i for i, v in enumerate(batch) if v is not None and not np.isnan(np.asarray(v, float)).any()]
+        out = pd.Series([None] * len(batch), dtype=object)
+        if known:
+            v = np.sort(np.stack([np.asarray(batch.iloc[i], float) for i in known]), axis=1)
+            span = np.maximum(v[:, -1] - v[:, n // 2], 1.0)
+            x = np.column_stack([np.full(len(v), -0.5), np.maximum(v, -0.5), v[:, -1] + 2 * span + 1])
+            i = sum((x[:, k, None] <= edges[None, :]).astype(np.int64) for k in range(n + 2))  # points up to each edge
+            beyond, i = i > n + 1, np.minimum(i, n + 1)
+            lo, hi = np.take_along_axis(x, i - 1, axis=1), np.take_along_axis(x, i, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = np.where(beyond, 1.0, ps[i - 1] + (ps[i] - ps[i - 1]) * (edges - lo) / (hi - lo))
+            mass = np.maximum(np.diff(at, axis=1, prepend=0.0), 0.0)
+            total = mass.sum(axis=1, keepdims=True)
+            mass = np.divide(mass, total, out=mass, where=total > 0)
+            for row, k in enumerate(known):
+                out[k] = mass[row]
+        return out
+
+    return F.pandas_udf(run, "array<double>")(values)
 
 
 def interval(pmf: Column, level: float) -> tuple[Column, Column]:

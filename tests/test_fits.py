@@ -146,6 +146,13 @@ def test_effects_equal_the_dense_regression(spark, hot):
     assert len(venue) == 4 and venue["coef"].sum() == pytest.approx(0, abs=1e-9) and (venue["se"] > 0).all()
 
 
+def test_effects_make_their_rows_once(spark):
+    rows = [tuple(None if x != x else x for x in r) for r in planted().itertuples(index=False)]
+    once, made = counted(spark, spark.createDataFrame(rows, KINDS).repartition(3))
+    assert len(effects.effects(once, "p", ["y"], ASKED, ("minutes", "is_home"))) > 0
+    assert made.value == len(rows)
+
+
 def test_effects_of_odd_tables(spark):
     none = effects.effects(spark.createDataFrame([], KINDS), "p", ["y"], ASKED[:2], ("minutes",))
     assert len(none) == 0
@@ -206,6 +213,18 @@ def test_sums_of_counts_are_convolutions(spark):
     assert got == pytest.approx(total[7:12].sum(), abs=0.005)
 
 
+def test_only_draws_that_pass_single_conditions_are_counted(monkeypatch):
+    looked = []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *k, **o: (looked.append(np.size(v)), search(a, v, *k, **o))[1])
+    table = copula._normal_table()
+    u = copula.lattice(4096, 3)
+    line = {"one": np.array([9.5]), "all": np.array([12.5])}
+    asked = [copula.Condition((0, 1), "all"), copula.Condition((0,), "one")]
+    both = copula._hits(np.array([[0.5, 0.5]]), np.array([[[4.0, 5.0], [6.0, 5.0]]]), np.zeros((1, 2)), np.eye(2)[None], asked, line, u[:, 0], copula._quantile(u[:, 1:], table), table)
+    assert 0 < both[0] < 0.1 and sum(looked) < 2 * 4096
+
+
 def test_correlations_are_shrunk_and_repaired(spark):
     r = np.random.default_rng(2)
     z = r.normal(size=(400, 3)) @ np.array([[1, 0.5, 0.2], [0, 0.8, 0.1], [0, 0, 0.9]])
@@ -269,6 +288,15 @@ def test_projections_make_no_array_of_a_whole_distribution(spark):
     assert "sequence" not in plan.lower()
 
 
+def test_quantile_pmf_is_worked_out_in_batches(spark):
+    df = spark.createDataFrame([([5.0, 2.0, 9.5],), ([0.0, 0.0, 0.0],), ([-3.0, -2.0, -1.0],), (None,)], "q array<double>").select(dist.pmf_of_quantiles(F.col("q"), [0.1, 0.5, 0.9], 30).alias("p"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()  # no loop of JVM lambdas a row
+    a, b, c, none = (r["p"] for r in df.collect())
+    cdf = np.interp(np.arange(31) + 0.5, [-0.5, 2.0, 5.0, 9.5, 9.5 + 2 * 4.5 + 1], [0, 0.1, 0.5, 0.9, 1.0])
+    assert a == pytest.approx(np.diff(cdf, prepend=0.0), abs=1e-12)
+    assert sum(b) == pytest.approx(1) and sum(c) == pytest.approx(1) and none is None
+
+
 def test_contributions_add_up_and_know_an_additive_model(spark):
     d = spark.createDataFrame([(1.0, 2.0, 1.0), (5.0, -1.0, 0.0)], "a double, b double, home double")
     groups = {"a": {"a": F.lit(0.5)}, "b": {"b": F.lit(0.0)}}
