@@ -4,8 +4,8 @@ A variable is a specification: which column, numeric, binary or categorical, aga
 or summing to zero, which controls it replaces. A pair of variable and statistic is a block: its own
 regressors, its own complete rows. One pass adds up every block's cross products within subjects, a second one
 the outer products of the subjects' score vectors at the found coefficients, so that errors are clustered by
-subject. Both passes hold a subject's rows together, many subjects to an array operation; a subject with very
-many rows is cut into parts whose moments are added up first. What reaches the driver is one matrix a block.
+subject. Rows are dealt by subject once and written as compressed arrays of whole subjects, which both passes read; a
+subject with very many rows is cut into parts whose moments are added up first. What reaches the driver is one matrix a block.
 """
 
 from __future__ import annotations
@@ -197,6 +197,28 @@ def _segments(batches: Iterator[pa.RecordBatch], width: int, keys: int) -> Itera
         yield give(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
 
+def _packs(rows: DataFrame, width: int) -> DataFrame:
+    """(z, first): arrays of whole subjects, column by column as such bytes shrink well, and the first row of each subject."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for z, first, _ in _segments(batches, width, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([pa.compress(np.ascontiguousarray(z.T).tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([first.tolist()], pa.list_(pa.int64()))], ["z", "first"])
+
+    return staged(rows.repartition("g").sortWithinPartitions("g").mapInArrow(pack, "z binary, first array<long>"), "packs")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, subject of each, numbered from 0) of every written array."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            first = batch.column("first")[i].values.to_numpy()
+            packed = pa.CompressedInputStream(pa.BufferReader(batch.column("z")[i].as_buffer()), "zstd")
+            z = np.frombuffer(packed.read(), float).reshape(width, -1).T
+            owner = np.zeros(len(z), np.int64)
+            owner[first[1:]] = 1
+            yield z, np.cumsum(owner)
+
+
 def _within(d: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows less their subject's mean, first rows, rows kept) of the subjects with two rows or more; owner is sorted."""
     first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -218,7 +240,7 @@ def _added(parts: DataFrame, *keys: str) -> DataFrame:
     return cell.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
 
 
-def _sums(rows: DataFrame, hot: DataFrame | None, blocks: list[_Block], width: int, betas: list[np.ndarray] | None) -> list[np.ndarray]:
+def _sums(packs: DataFrame, hot: DataFrame | None, blocks: list[_Block], width: int, betas: list[np.ndarray] | None) -> list[np.ndarray]:
     """Each block's total over subjects. Without betas: within cross products, then rows, subjects and sum of y; with: outer products of scores."""
 
     def shape(b: _Block) -> int:
@@ -236,10 +258,7 @@ def _sums(rows: DataFrame, hot: DataFrame | None, blocks: list[_Block], width: i
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [zero(b) for b in blocks]
-        for z, first, _ in _segments(batches, width, 1):
-            owner = np.zeros(len(z), np.int64)
-            owner[first[1:]] = 1
-            owner = np.cumsum(owner)
+        for z, owner in _unpacked(batches, width):
             for k, b in enumerate(blocks):
                 full, d = b.design(z)
                 if not len(d):
@@ -254,7 +273,7 @@ def _sums(rows: DataFrame, hot: DataFrame | None, blocks: list[_Block], width: i
                     total[k] += (s.T @ s).ravel()
         yield _packed(list(enumerate(total)))
 
-    parts = rows.repartition("g").sortWithinPartitions("g").mapInArrow(fold, "block int, m array<double>")
+    parts = packs.mapInArrow(fold, "block int, m array<double>")
     if hot is not None:
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +317,8 @@ def effects(df: DataFrame, group: str, stats: Sequence[str], variables: Sequence
     numbers, a subject if it has two such rows. Terms that never vary within a subject give no row. With sum coding the
     omitted level's row is added. Intervals and p values are normal. Rows without group are left out.
     """
-    d = df.where(F.col(group).isNotNull())
     base = list(dict.fromkeys([*controls, *[v.column for v in variables]]))
+    d = staged(df.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), *dict.fromkeys([*base, *stats])), "effects")
     missing = d.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in controls]).first() if controls else {}
     controls = [c for c in controls if (missing[c] or 0) <= most_missing]
     terms = compile_terms(d, variables)
@@ -312,7 +331,7 @@ def effects(df: DataFrame, group: str, stats: Sequence[str], variables: Sequence
 
     cols = [*[number(c) for c in base], *[F.col(s).cast("double") for s in stats]]
     z = F.transform(F.array(*cols), lambda x: F.coalesce(x, F.lit(float("nan"))))
-    rows = staged(d.select(F.col(group).alias("g"), z.alias("z")), "effects")
+    rows = d.select(F.col("__g").alias("g"), z.alias("z"))
     at = {c: i for i, c in enumerate(base)}
     width = len(cols)
     blocks, names = [], []
@@ -327,9 +346,10 @@ def effects(df: DataFrame, group: str, stats: Sequence[str], variables: Sequence
         salted = rows.join(F.broadcast(large) if large.count() <= 100_000 else large, "g").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")).select("g", "part", "z")
         cut = staged(_moments(salted, blocks, width), "moments")
         rows = rows.join(large, "g", "left_anti")
-    gram = _sums(rows, cut, blocks, width, None)
+    packs = _packs(rows, width)
+    gram = _sums(packs, cut, blocks, width, None)
     solved = [_solve(b, m) for b, m in zip(blocks, gram, strict=True)]
-    meat = _sums(rows, cut, blocks, width, [s[0] for s in solved])
+    meat = _sums(packs, cut, blocks, width, [s[0] for s in solved])
     wide = NormalDist().inv_cdf(0.5 + level / 2)
     out = []
     for b, (v, stat, term), (beta, inverse, varies, n, g, r2, mean), m in zip(blocks, names, solved, meat, strict=True):

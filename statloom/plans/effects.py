@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import effects as e
 from ..operators import windows as w
+from ..session import staged
 from ..sources.roles import DUEL_HISTORY_SQL, duel_history, table
 from .base import Query, rounded
 
@@ -17,28 +18,31 @@ ORDER = ("ts", "event_id", "subject")
 
 def effect_rows(s, d):
     """Suppliers' orders with every column of the catalogue; the customer is the opponent, and a named one where its balance is positive."""
-    h = duel_history(s, d).withColumn("rate", F.try_divide("part", "value"))
+    h = duel_history(s, d)
     nation = table(s, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("venue"))
     c = table(s, d, "customer").select(F.col("c_custkey").alias("opponent"), "c_acctbal", "c_mktsegment", "c_nationkey")
+    known = table(s, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("opponent")).join(c, "opponent").drop("opponent")
     size = c.groupBy("c_nationkey").agg((F.avg("c_acctbal") / 1000).alias("opponent_height"))
     own = table(s, d, "supplier").select(F.col("s_suppkey").alias("subject"), "s_nationkey")
-    h = h.join(c, "opponent").join(own, "subject").join(F.broadcast(size), "c_nationkey")  # a row a nation
+    h = h.join(known, "event_id")  # lines lie by order already; what follows from other columns is added where it needn't move
+    h = h.select("*", w.lagged_mean("value", "c_nationkey", 10, ORDER).alias("opponent_rating"), w.lagged_mean("exposure", "c_nationkey", 10, ORDER).alias("opponent_pace"))
+    h = h.join(own, "subject").withColumn("d", F.to_date("ts"))
     home = F.col("event_id") % 2 == 0
-    h = h.withColumn("place", F.when(home, F.col("s_nationkey")).otherwise(F.col("c_nationkey"))).join(F.broadcast(nation), "place")
+    h = h.withColumn("place", F.when(home, F.col("s_nationkey")).otherwise(F.col("c_nationkey"))).join(F.broadcast(nation), "place").join(F.broadcast(size), "c_nationkey")  # a row a nation each
     named = lambda x: F.when(F.col("c_acctbal") > 0, x)
     rest = e.rest_columns(w.days_since_previous("subject"))
     return h.select(
-        "subject", *STATS, home.cast("double").alias("is_home"), *[x.alias(n) for n, x in rest.items()], F.date_format("d", "EEEE").alias("day_name"), F.date_format("d", "MM").alias("month"),
+        "subject", "value", "part", F.try_divide("part", "value").alias("rate"), home.cast("double").alias("is_home"), *[x.alias(n) for n, x in rest.items()], F.date_format("d", "EEEE").alias("day_name"), F.date_format("d", "MM").alias("month"),
         (F.floor((F.dayofyear("d") - 1) / 7) + 1).cast("double").alias("week"), (F.month("d") == 12).cast("double").alias("is_playoff"),
         named(F.col("c_acctbal") / 1000).alias("defender_height"), named((F.col("opponent") % 97) / 10).alias("defender_weight"), named(F.col("c_mktsegment")).alias("defender_position"), "opponent_height",
-        w.lagged_mean("value", "c_nationkey", 10, ORDER).alias("opponent_rating"), w.lagged_mean("exposure", "c_nationkey", 10, ORDER).alias("opponent_pace"), F.col("exposure").cast("double").alias("minutes"),
+        "opponent_rating", "opponent_pace", F.col("exposure").cast("double").alias("minutes"),
         (F.col("exposure") >= 30).cast("double").alias("is_starter"), (F.date_diff("d", F.lit("1960-01-01").cast("date")) / 365.25 - F.col("subject") % 15).alias("age"), "venue", (F.col("place") * 0.2).alias("altitude"), (F.col("venue") == "PERU").cast("double").alias("is_highest"),
     )
 
 
 def x2(s, d):
     """The compiled design: rows, mean and mean square of every variable's every term over all rows."""
-    h = effect_rows(s, d)
+    h = staged(effect_rows(s, d), "effect-rows")  # for the levels, and for the terms
     terms = e.compile_terms(h, list(e.CATALOGUE.values()))
     cols = [(t.of.name, name, c) for t in terms.values() for name, c in zip(t.names, t.columns(), strict=True)]
     row = h.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.avg(c * c).alias("square")).alias(f"c{i}") for i, (_, _, c) in enumerate(cols)])
