@@ -1,7 +1,10 @@
 """Gradient boosting on histograms: Poisson counts with an offset, means, and several quantiles at once.
 
 Features are put into at most `bins` bins by approximate quantiles (null is a bin of its own), and the
-binned rows are written once, a batch of them as the bytes of its arrays, which cost no conversion a row when read. Each level of a tree is one aggregate: tasks add up gradients and curvatures by
+binned rows are written once, a batch of them as the bytes of its arrays, which cost no conversion a row when read. Rows in
+the same bins always share a score, and the sums of the smooth losses over them follow from a few sums of their own (rows, y,
+exposure, what of the deviance no score changes), so these losses write a row for all rows in the same bins: what a round costs
+goes by the bins in use, not by the input's rows. Each level of a tree is one aggregate: tasks add up gradients and curvatures by
 (model, node, feature, bin) over their rows, Spark adds up the tasks' cells, and the driver, which gets
 models * nodes * features * bins cells whatever the input's size, picks the splits. All quantile levels grow their trees in
 the same aggregates. Leaves of the smooth losses are Newton steps from the same sums; those of the
@@ -29,21 +32,22 @@ from ..session import staged
 
 #: Rounds between two updates of the scores in the rows.
 REFRESH = 8
-_ROW = "bins binary, y binary, o binary, v binary, f binary"
+#: Arrays of the binned rows. Those of the smooth losses stand for n rows: y is their sum, o the log of their summed exposure, c their deviance's constant part.
 _KIND = {"bins": np.uint8, "y": float, "o": float, "v": bool, "f": float}
+_MERGED = _KIND | {"n": float, "c": float}
 _CELL = "model int, node int, feature int, bin int, g double, h double, n long"
 
 
-def _slopes(loss: str, y: np.ndarray, o: np.ndarray, f: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gradient, curvature, deviance) of each row and model."""
-    y, o = y[:, None], o[:, None]
+def _slopes(loss: str, y: np.ndarray, o: np.ndarray, f: np.ndarray, levels: np.ndarray, n: np.ndarray | None = None, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gradient, curvature, deviance) of each row and model; of the smooth losses, summed over the n rows that a row stands for."""
+    y = y[:, None]
     if loss == "poisson":
-        mu = np.exp(np.minimum(f + o, 50))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            part = np.where(y > 0, y * (np.log(np.maximum(y, 1e-300)) - f - o), 0.0)
-        return mu - y, mu, 2 * (part - (y - mu))
+        o, n, c = o[:, None], n[:, None], c[:, None]
+        mu = n * np.exp(np.minimum(f + o - np.log(n), 50))  # the bound is on a row's count, at the mean exposure
+        return mu - y, mu, 2 * (np.where(y > 0, c - y * f, 0.0) - (y - mu))
     if loss == "squared":
-        return f - y, np.ones_like(f), (y - f) ** 2
+        n, c = n[:, None], c[:, None]
+        return n * f - y, n + np.zeros_like(f), c + n * (y / n - f) ** 2
     return np.where(y < f, 1 - levels, -levels), np.ones_like(f), np.maximum(levels * (y - f), (levels - 1) * (y - f))
 
 
@@ -122,16 +126,21 @@ def _binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _row(kinds: Mapping[str, type]) -> str:
+    return ", ".join(f"{c} binary" for c in kinds)
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(bins, y, o, v, f) of each batch of rows that was written."""
+    """(bins, y, o, v, f), and n and c of merged rows, of each batch of rows that was written."""
     for batch in batches:
         for i in range(batch.num_rows):
-            bins, y, o, v, f = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in _KIND.items())
-            yield bins.reshape(-1, features), y, o, v, f.reshape(len(y), -1)
+            bins, y, o, v, f, *sums = (np.frombuffer(batch.column(c)[i].as_buffer(), _MERGED[c]) for c in batch.schema.names)
+            yield bins.reshape(-1, features), y, o, v, f.reshape(len(y), -1), *sums
 
 
 def _packed(*arrays: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a.astype(kind, copy=False).tobytes()], pa.binary()) for a, kind in zip(arrays, _KIND.values(), strict=True)], list(_KIND))
+    names = list(_MERGED)[: len(arrays)]
+    return pa.RecordBatch.from_arrays([pa.array([a.astype(_MERGED[c], copy=False).tobytes()], pa.binary()) for a, c in zip(arrays, names, strict=True)], names)
 
 
 def _prepare(d: DataFrame, features: Sequence[str], edges: list[np.ndarray], base: np.ndarray) -> DataFrame:
@@ -141,7 +150,35 @@ def _prepare(d: DataFrame, features: Sequence[str], edges: list[np.ndarray], bas
             if b.num_rows:
                 yield _packed(_binned(x, edges), *(b.column(c).to_numpy(zero_copy_only=False) for c in ("__y", "__o", "__v")), np.tile(base, (b.num_rows, 1)))
 
-    return d.mapInArrow(make, _ROW)
+    return d.mapInArrow(make, _row(_KIND))
+
+
+def _merge(d: DataFrame, features: Sequence[str], edges: list[np.ndarray], base: np.ndarray, loss: str) -> DataFrame:
+    """The binned rows of a smooth loss, those in the same bins as one. Bins travel as longs, eight features each."""
+    count = len(features)
+    keys = [f"__k{i}" for i in range(-(-count // 8))]
+
+    def bin_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in features], axis=1)
+            wide = np.zeros((len(x), 8 * len(keys)), np.uint8)
+            wide[:, :count] = _binned(x, edges)
+            yield pa.RecordBatch.from_arrays([*[pa.array(k) for k in wide.view("<i8").T.copy()], *[b.column(c) for c in ("__y", "__o", "__v")]], [*keys, "__y", "__o", "__v"])
+
+    rows = d.mapInArrow(bin_, ", ".join([*[f"{k} long" for k in keys], "__y double, __o double, __v boolean"]))
+    y, o, n = F.col("__y"), F.col("__o"), F.count("*").cast("double")
+    own = F.sum(F.when(y > 0, y * (F.ln(y) - o)).otherwise(0.0)) if loss == "poisson" else F.var_pop(y) * n
+    # counts below 0 stay apart: their deviance has no logarithm
+    sums = rows.groupBy(*keys, "__v", (y < 0).alias("__low")).agg(F.sum(y).alias("__y"), F.ln(F.sum(F.exp(o))).alias("__o"), n.alias("__n"), own.alias("__c"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                y, o, v, n, c = (b.column(x).to_numpy(zero_copy_only=False) for x in ("__y", "__o", "__v", "__n", "__c"))
+                wide = np.stack([b.column(k).to_numpy() for k in keys], axis=1).astype("<i8").view(np.uint8)
+                yield _packed(wide[:, :count], y, o, v, np.tile(base, (b.num_rows, 1)), n, c)
+
+    return sums.mapInArrow(pack, _row(_MERGED))
 
 
 def _cells(table: DataFrame, loss: str, levels: np.ndarray, trees: list[Tree], tree: Tree, depth: int, width: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,19 +188,20 @@ def _cells(table: DataFrame, loss: str, levels: np.ndarray, trees: list[Tree], t
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, models, count, nodes * width))
         dev = np.zeros((2, models, 2))
-        for bins, y, o, held, f in _arrays(batches, count):
-            g, h, loss_of = _slopes(loss, y, o, _raised(f, trees, bins), levels)
+        for bins, y, o, held, f, *merged in _arrays(batches, count):
+            g, h, loss_of = _slopes(loss, y, o, _raised(f, trees, bins), levels, *merged)
+            n = merged[0] if merged else np.ones(len(y))
             for kind in (0, 1):
-                own = loss_of[held == bool(kind)]
-                dev[kind, :, 0] += own.sum(axis=0)
-                dev[kind, :, 1] += len(own)
+                own = held == bool(kind)
+                dev[kind, :, 0] += loss_of[own].sum(axis=0)
+                dev[kind, :, 1] += n[own].sum()
             use = ~held
-            bins, g, h = bins[use], g[use], h[use]
+            bins, g, h, n = bins[use], g[use], h[use], n[use]
             for m in range(models):
                 at = tree.node(m, bins, depth) * width
                 for k in range(count):
                     cell = at + bins[:, k]
-                    for i, w in enumerate((g[:, m], h[:, m], None)):
+                    for i, w in enumerate((g[:, m], h[:, m], n)):
                         total[i, m, k] += np.bincount(cell, w, nodes * width)
         m, k, cell = np.nonzero(total[2])
         cols = [m, cell // width, k, cell % width, *total[:, m, k, cell]]
@@ -243,7 +281,8 @@ def fit(train: DataFrame, y: str, features: Sequence[str], loss: str = "squared"
     base = np.atleast_1d(np.array(facts["__b"] if facts["__b"] is not None else -20.0, float))
     model = Boosted(loss, features, edges, levels, base)
     many, tau = len(base), np.array(levels or [0.5])
-    table, pending, width = staged(_prepare(d, features, edges, base), "boosting"), [], max(len(e) for e in edges) + 2
+    binned = _prepare(d, features, edges, base) if loss == "quantile" else _merge(d, features, edges, base, loss)
+    table, pending, width = staged(binned, "boosting"), [], max(len(e) for e in edges) + 2
     best, stop = 0, False
     for done in range(rounds + 1):
         tree = Tree(np.zeros((many, 2**depth - 1), np.int64), np.full((many, 2**depth - 1), 255, np.int64), np.zeros((many, 2**depth)))
@@ -278,7 +317,7 @@ def _updated(table: DataFrame, trees: list[Tree], count: int) -> DataFrame:
     trees = list(trees)
 
     def raise_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, y, o, v, f in _arrays(batches, count):
-            yield _packed(bins, y, o, v, _raised(f, trees, bins))
+        for bins, y, o, v, f, *merged in _arrays(batches, count):
+            yield _packed(bins, y, o, v, _raised(f, trees, bins), *merged)
 
-    return table.mapInArrow(raise_, _ROW)
+    return table.mapInArrow(raise_, table.schema)

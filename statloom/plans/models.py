@@ -22,10 +22,10 @@ FEATURES = ["form", "recent", "home_n", "rest"]
 
 def frame(s, d):
     """M24: events with lagged features only."""
-    h = event_history(s, d)
+    # what needs the same order as the first step of the weighted means comes before it, and shares its sort
+    h = event_history(s, d).withColumn("recent", w.lagged_mean("exposure", "subject", 5)).withColumn("rest", w.days_since_previous("subject").cast("double"))
     h = w.lagged_ewm(h, "subject", ["exposure"], 10, suffix="_form").withColumnRenamed("exposure_form", "form")
-    h = h.withColumn("recent", w.lagged_mean("exposure", "subject", 5)).withColumn("rest", w.days_since_previous("subject").cast("double")).withColumn("home_n", (F.col("value") > 50).cast("double"))
-    return h.withColumn("y", (F.col("exposure") / 10).cast("int").cast("double")).withColumn("minutes", F.greatest(F.col("value"), F.lit(1.0)))
+    return h.withColumn("home_n", (F.col("value") > 50).cast("double")).withColumn("y", (F.col("exposure") / 10).cast("int").cast("double")).withColumn("minutes", F.greatest(F.col("value"), F.lit(1.0)))
 
 
 def m24(s, d):
@@ -217,13 +217,17 @@ def m21(s, d):
     return rounded(m.shapley(h, groups, {x: value(x) for x in sets}).select("event_id", *[f"phi_{g}" for g in groups]), 5)
 
 
-def _rated(s, d):
-    """Frames with the level's rating before the day, relative to all levels'."""
-    f = staged(frame(s, d), "frame")
-    day = f.groupBy("level", "d").agg(F.avg("y").alias("y")).withColumn("ts", F.col("d"))
-    own = day.select("level", "d", w.lagged_mean("y", "level", 10, ["ts"]).alias("rating"))
-    league = f.agg(F.avg("y").alias("league"))
-    return f.join(F.broadcast(own), ["level", "d"], "left").crossJoin(F.broadcast(league)).withColumn("rating", F.col("rating") / F.col("league")).withColumn("short_form", F.col("form") / 10)  # a row a level and day
+def _rated(s, d, *more):
+    """Frames with the level's rating before the day, relative to all levels'; `more` columns than the models need.
+
+    Fits and predictions read it often, so the frame is written once, and so are the ratings, a row a level and day.
+    """
+    f = staged(frame(s, d).select("event_id", "level", "d", "season", *FEATURES, "y", "minutes", *more), "frame")
+    day = f.groupBy("level", "d").agg(F.avg("y").alias("y"), F.sum("y").alias("total"), F.count("y").alias("n")).withColumn("ts", F.col("d"))
+    league = day.agg(F.try_divide(F.sum("total"), F.sum("n")).alias("league"))
+    own = day.select("level", "d", w.lagged_mean("y", "level", 10, ["ts"]).alias("rating")).crossJoin(F.broadcast(league))
+    own = staged(own.select("level", "d", (F.col("rating") / F.col("league")).alias("rating")), "ratings")
+    return f.join(F.broadcast(own), ["level", "d"], "left").withColumn("short_form", F.col("form") / 10)
 
 
 _BENCH = ("short_form", "rating", "home_n")
@@ -235,7 +239,7 @@ _CANDIDATES = {
 
 
 def m15(s, d):
-    f = w.own_dispersion(_rated(s, d), "subject", "y", 0.3)
+    f = w.own_dispersion(_rated(s, d, "subject", "ts"), "subject", "y", 0.3)
     fitted = m.benchmark(f.where("season < 2"), "y", *_BENCH)
     return m.predict_benchmark(fitted, f.where("season = 2"), *_BENCH).select("event_id", "y", "expected", "alpha")
 
@@ -247,17 +251,17 @@ def m16(s, d):
 
 
 def m22(s, d):
-    """Scores of every candidate and of the last rows' mean, fitted on earlier seasons."""
+    """Scores of every candidate and of the last rows' mean, fitted on earlier seasons; one read of the last season scores them all."""
     f = _rated(s, d)
-    train, test, out = f.where("season < 2"), f.where("season = 2"), None
-    made = {name: predict(fit(train), test) for name, (fit, predict) in _CANDIDATES.items()}
-    made["last_rows"] = test.withColumn("expected", F.col("recent") / 10)
-    for name, t in made.items():
-        p = 1 - F.exp(-F.greatest(F.col("expected"), F.lit(1e-6)))  # P(Y > 0) of a Poisson count
-        own = t.where("form IS NOT NULL AND recent IS NOT NULL").withColumn("p", p).withColumn("hit", (F.col("y") > 0).cast("double"))
-        own = own.groupBy("season").agg(F.lit(name).alias("model"), *a.point_scores("expected", "y"), *a.probability_scores("p", "hit"), F.count("*").alias("n"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    train, t = f.where("season < 2"), f.where("season = 2 AND form IS NOT NULL AND recent IS NOT NULL")
+    for name, (fit, predict) in _CANDIDATES.items():
+        t = predict(fit(train), t).withColumnRenamed("expected", name)
+    t = t.withColumn("last_rows", F.col("recent") / 10).withColumn("hit", (F.col("y") > 0).cast("double"))
+    models = [*_CANDIDATES, "last_rows"]
+    for name in models:
+        t = t.withColumn(f"p_{name}", 1 - F.exp(-F.greatest(F.col(name), F.lit(1e-6))))  # P(Y > 0) of a Poisson count
+    scores = [F.struct(F.lit(name).alias("model"), *a.point_scores(name, "y"), *a.probability_scores(f"p_{name}", "hit"), F.count("*").alias("n")) for name in models]
+    return t.groupBy("season").agg(F.array(*scores).alias("scores")).select("season", F.inline("scores"))
 
 
 def m23(s, d):

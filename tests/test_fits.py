@@ -91,6 +91,52 @@ def test_boosting_without_signal_or_rows(spark):
         boosting.fit(d, "y", ["x"], loss="quantile")
 
 
+@pytest.mark.parametrize("loss", ["poisson", "squared"])
+def test_rows_in_the_same_bins_are_boosted_as_one(spark, monkeypatch, loss):
+    """The rounds read a row for the bins in use, and their sums are those of the single rows."""
+    r = np.random.default_rng(4)
+    n = 3000
+    rows = pd.DataFrame({"x": r.integers(0, 6, n).astype(float), "k": r.integers(0, 2, n).astype(float), "e": r.uniform(1, 9, n), "held": r.random(n) < 0.2})
+    rows["y"] = r.poisson(rows["e"] * (0.2 + 0.3 * (rows["x"] > 2) * rows["k"])).astype(float)
+    tables, read = [], boosting.staged
+    monkeypatch.setattr(boosting, "staged", lambda df, name: tables.append(read(df, name)) or tables[-1])
+    fit = lambda df, **more: boosting.fit(df, "y", ["x", "k"], loss, exposure="e" if loss == "poisson" else None, valid=F.col("held"), rounds=3, rate=0.3, **more)
+    model = fit(spark.createDataFrame(rows).repartition(3))
+    assert sum(len(b["y"]) // 8 for t in tables for b in t.collect()) <= 6 * 2 * 2
+    x, y, o = rows[["x", "k"]].to_numpy(), rows["y"].to_numpy(), np.log(rows["e"].to_numpy())
+    train, held = ~rows["held"].to_numpy(), rows["held"].to_numpy()
+
+    def deviance(f):
+        if loss == "squared":
+            return np.mean((y - f)[held] ** 2)
+        mu = np.exp(f + o)
+        return np.mean(2 * (np.where(y > 0, y * np.log(np.where(y > 0, y, 1) / mu), 0) - (y - mu))[held])
+
+    trees, f = model.trees, np.full(n, model.base[0])
+    assert model.rounds == 3 and model.base[0] == pytest.approx(np.log(y[train].sum() / np.exp(o[train]).sum()) if loss == "poisson" else y[train].mean())
+    bins = boosting._binned(x, model.edges)
+    for i, tree in enumerate(trees):
+        assert model.deviance[i] == pytest.approx(deviance(f), rel=1e-9)
+        g, h = (np.exp(f + o) - y, np.exp(f + o)) if loss == "poisson" else (f - y, np.ones(n))
+        leaf = tree.node(0, bins, 3)
+        for at in np.unique(leaf[train]):
+            own = train & (leaf == at)
+            assert tree.leaf[0, at] == pytest.approx(-0.3 * g[own].sum() / (h[own].sum() + 1.0), rel=1e-9)
+        f = f + tree.leaf[0][leaf]
+    assert model.deviance[3] == pytest.approx(deviance(f), rel=1e-9)
+
+
+def test_boosted_counts_on_more_features_than_a_long_holds(spark):
+    """Ten features, one of which matters; counts below zero and nulls don't upset the sums."""
+    rows = [(*[float((i * (k + 3)) % 7) if (i + k) % 11 else None for k in range(9)], float(i % 2), float(3 * (i % 2) + 1 - 3 * (i % 50 == 0))) for i in range(800)]
+    names = [f"x{k}" for k in range(10)]
+    d = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*names, "y"])).withColumn("e", F.lit(1.0))
+    model = boosting.fit(d, "y", names, "poisson", exposure="e", rounds=6, rate=0.5)
+    assert {int(t.feature[0, 0]) for t in model.trees[:1]} == {9}
+    own = d.groupBy("x9").agg(F.avg("y").alias("y"), F.avg(model.column()).alias("p")).collect()
+    assert len(own) == 2 and all(r["p"] == pytest.approx(r["y"], abs=0.3) for r in own)
+
+
 # ---- effects
 
 
@@ -424,6 +470,28 @@ def test_fits_make_their_rows_once(spark):
     assert made.value == 400
 
 
+def test_a_benchmark_is_fitted_on_merged_rows(spark, monkeypatch):
+    """Rows of like features are one row of the fit, whose coefficients are those of the single rows; all rows are made once."""
+    r = np.random.default_rng(11)
+    rows = [(float(r.uniform(2, 12)), [None, 0.8, 1.0, 1.25][i % 4], [None, 0.0, 1.0][i % 3]) for i in range(1200)]
+    rows = [(f, o, h, float(r.poisson(f * (o or 1.0) * 1.2 ** (0.5 if h is None else h)))) for f, o, h in rows]
+    df = spark.createDataFrame(rows, "form double, rating double, home double, y double")
+    single = models.poisson_rate(models._benchmark_frame(df, "form", "rating", "home"), "y", ["__opp", "__home"], "form").stages[-1]
+    once, made = counted(spark, df)
+    tables, read = [], models.staged
+    monkeypatch.setattr(models, "staged", lambda df, name: tables.append(read(df, name)) or tables[-1])
+    fitted = models.benchmark(once, "y", "form", "rating", "home")
+    assert made.value == 1200 and [t.count() for t in tables] == [9]
+    assert fitted.stages[-1].coefficients.toArray() == pytest.approx(single.coefficients.toArray(), rel=1e-6)
+    assert fitted.stages[-1].intercept == pytest.approx(single.intercept, rel=1e-5, abs=1e-8)
+    # an unknown feature takes the median of the rows
+    some = spark.createDataFrame([(1.0 + i % 2, 1.0 if i < 3 else 2.0 if i < 9 else None, float(1 + i % 3)) for i in range(12)], "e double, x double, y double")
+    model = models.poisson_rate(some, "y", ["x"], "e", few=True)
+    assert model.stages[0].surrogateDF.first()["x"] == 2.0
+    with pytest.raises(Exception, match="non-?negative|negative"):
+        models.poisson_rate(spark.createDataFrame([(1.0, 1.0, 5.0), (1.0, 1.0, -1.0)], "e double, x double, y double"), "y", ["x"], "e", few=True)
+
+
 def test_calibrators_mend_planted_odds(spark):
     r = np.random.default_rng(5)
     p = r.uniform(0.02, 0.98, 4000)

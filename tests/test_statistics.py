@@ -214,6 +214,35 @@ def test_queries_without_sql_run(spark, name):
         assert not any(isinstance(x, float) and math.isinf(x) for x in d.values())
 
 
+def test_backtest_scores_are_those_of_each_candidate_alone(spark):
+    from statloom.plans import models as plans
+
+    f = plans._rated(spark, DATA)
+    test, alone = f.where("season = 2"), {}
+    for name, (fit, predict) in plans._CANDIDATES.items():
+        alone[name] = predict(fit(f.where("season < 2")), test)
+    alone["last_rows"] = test.withColumn("expected", F.col("recent") / 10)
+    got = plans.m22(spark, DATA)
+    assert got.columns == ["season", "model", "mae", "rmse", "brier", "log_loss", "n"]
+    got = {r["model"]: r for r in got.collect()}
+    assert set(got) == set(alone) and all(r["season"] == 2 for r in got.values())
+    for name, t in alone.items():
+        rows = t.where("form IS NOT NULL AND recent IS NOT NULL").toPandas()
+        known = rows[rows["expected"].notna()]
+        e, p, hit = known["expected"] - known["y"], 1 - np.exp(-np.maximum(known["expected"], 1e-6)), (known["y"] > 0).astype(float)
+        r = got[name]
+        assert r["n"] == len(rows) and r["mae"] == pytest.approx(e.abs().mean(), rel=1e-6) and r["rmse"] == pytest.approx(np.sqrt((e * e).mean()), rel=1e-6)
+        assert r["brier"] == pytest.approx(((p - hit) ** 2).mean(), rel=1e-6)
+
+
+def test_backtest_reads_the_last_season_once(spark):
+    """The plan that scores the candidates has one scan of the frame, however many models there are."""
+    from statloom.plans import models as plans
+
+    plan = plans.m22(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("minutes#") and sum("Relation" in x and "minutes#" in x for x in plan.splitlines()) == 1
+
+
 def test_the_omitted_level_does_not_depend_on_which_is_omitted(spark):
     from statloom.operators import inference as i
 
