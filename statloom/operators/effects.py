@@ -4,8 +4,9 @@ A variable is a specification: which column, numeric, binary or categorical, aga
 or summing to zero, which controls it replaces. A pair of variable and statistic is a block: its own
 regressors, its own complete rows. One pass adds up every block's cross products within subjects, a second one
 the outer products of the subjects' score vectors at the found coefficients, so that errors are clustered by
-subject. Rows are dealt by subject once and written as compressed arrays of whole subjects, which both passes read; a
-subject with very many rows is cut into parts whose moments are added up first. What reaches the driver is one matrix a block.
+subject. Rows are dealt by subject once, not at all where a window by subject has done so, and written as compressed arrays of whole
+subjects, which all that follows reads; a subject with very many rows is cut into parts whose moments are added up first. What reaches
+the driver is one matrix a block.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_cdf
@@ -135,6 +136,11 @@ def compile_terms(df: DataFrame, variables: Sequence[Variable]) -> dict[str, Ter
         pairs = F.explode(F.array(*[F.struct(F.lit(v.name).alias("v"), F.col(v.column).cast("string").alias("x")) for v in names]))
         for r in df.select(pairs.alias("p")).where("p.x IS NOT NULL").groupBy("p.v", "p.x").count().limit(MOST_LEVELS * len(names) + 1).collect():
             found[r["v"]].append((r["x"], r["count"]))
+    return _compiled(variables, found)
+
+
+def _compiled(variables: Sequence[Variable], found: Mapping[str, list[tuple[str, int]]]) -> dict[str, Terms]:
+    """The regressors of each variable; found: a categorical one's levels and how often each occurs."""
     out = {}
     for v in variables:
         if v.kind != "categorical":
@@ -152,71 +158,109 @@ def compile_terms(df: DataFrame, variables: Sequence[Variable]) -> dict[str, Ter
 
 @dataclass(frozen=True)
 class _Block:
-    """Which of a row's numbers a pair of variable and statistic takes: the variable's, the controls', the statistic's."""
+    """Which of a row's numbers a variable takes: its own, the controls', the statistics'."""
 
     terms: Terms
     at: int
     controls: tuple[int, ...]
-    y: int
-
-    def design(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(complete rows, their regressors and last the statistic)."""
-        full = ~np.isnan(z[:, [self.at, *self.controls, self.y]]).any(axis=1)
-        own = z[full]
-        return full, np.concatenate([self.terms.matrix(own[:, self.at]), own[:, [*self.controls, self.y]]], axis=1)
-
+    ys: tuple[int, ...]
 
-def _segments(batches: Iterator[pa.RecordBatch], width: int, keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """(rows, first row of each key, its keys): whole keys, at least BLOCK rows at a time, from batches sorted by the first columns."""
+    @property
+    def wide(self) -> int:
+        return len(self.terms.names) + len(self.controls)
+
+    def designs(self, z: np.ndarray, nan: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(statistics with the same complete rows, these rows, their regressors and last the statistics); z is column by column."""
+        known, same = ~nan[[self.at, *self.controls]].any(axis=0), {}
+        for j, y in enumerate(self.ys):
+            same.setdefault((known & ~nan[y]).tobytes(), []).append(j)
+        for key, js in same.items():
+            full = np.frombuffer(key, bool)
+            if full.any():
+                yield js, full, np.concatenate([self.terms.matrix(z[self.at][full]), z[[*self.controls, *[self.ys[j] for j in js]]][:, full].T], axis=1)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[tuple[pa.Table, str | None]]:
+    """(rows of whole subjects, None), at least BLOCK at a time, or (some rows of a subject with more than `hot`, its key), from batches in order of g."""
     held: list[pa.RecordBatch] = []
     size = 0
 
-    def give(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
-        z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        cols = [batch.column(i).to_pandas().to_numpy() for i in range(keys)]
-        new = np.ones(len(z), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-        first = np.flatnonzero(new)
-        return z, first, [c[first] for c in cols]
+    def cut(whole: pa.Table, end: bool) -> Iterator[tuple[pa.Table, str | None]]:
+        g = whole.column("g").to_pandas().to_numpy()
+        heads = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        large = whole.column("n").to_numpy()[heads] > hot
+        done = 0
+        for k in np.flatnonzero(large):
+            head, tail = int(heads[k]), int(heads[k + 1]) if k + 1 < len(heads) else len(g)
+            if head > done:
+                yield whole.slice(done, head - done), None
+            yield whole.slice(head, tail - head), str(g[head])
+            done = tail
+        last = len(g) if end else max(done, int(heads[-1]))
+        if last > done:
+            yield whole.slice(done, last - done), None
+        held[:] = whole.slice(last).to_batches()
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size < BLOCK:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        cols = [whole.column(i).to_pandas().to_numpy() for i in range(keys)]
-        last = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in cols]))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield give(whole.slice(0, cut))
-        held, size = [whole.slice(cut)], whole.num_rows - cut
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= BLOCK:
+            yield from cut(pa.Table.from_batches(held).combine_chunks(), False)
+            size = sum(b.num_rows for b in held)
     if size:
-        yield give(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        yield from cut(pa.Table.from_batches(held).combine_chunks(), True)
+
 
+_PACKS = "z binary, rows long, first array<long>, g string, nulls array<long>, levels array<struct<at: int, x: string, n: long>>"
 
-def _packs(rows: DataFrame, width: int) -> DataFrame:
-    """(z, first): arrays of whole subjects, column by column as such bytes shrink well, and the first row of each subject."""
+
+def _packs(df: DataFrame, group: Column, cols: Sequence[Column], hot: int) -> DataFrame:
+    """Arrays of whole subjects, column by column as such bytes shrink well, and the first row of each; of a subject with more than `hot` rows
+    parts with its key. Strings are numbered within an array, whose levels go with it; so do its columns' numbers of nulls."""
+    rows = df.select(group.alias("g"), *[c.alias(f"c{i}") for i, c in enumerate(cols)])
+    width = len(cols)
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("g")))  # deals rows by subject, unless they lie so already
+
+    def number(x: pa.Array) -> tuple[np.ndarray, list, list]:
+        if not pa.types.is_string(x.type) and not pa.types.is_large_string(x.type):
+            return x.to_numpy(zero_copy_only=False).astype(float), [], []
+        x = x.dictionary_encode()
+        codes = x.indices.to_numpy(zero_copy_only=False).astype(float)
+        return codes, x.dictionary.to_pylist(), np.bincount(codes[~np.isnan(codes)].astype(int), minlength=len(x.dictionary)).tolist()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for z, first, _ in _segments(batches, width, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([pa.compress(np.ascontiguousarray(z.T).tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([first.tolist()], pa.list_(pa.int64()))], ["z", "first"])
+        schema = pa.schema([("z", pa.binary()), ("rows", pa.int64()), ("first", pa.list_(pa.int64())), ("g", pa.string()), ("nulls", pa.list_(pa.int64())), ("levels", pa.list_(pa.struct([("at", pa.int32()), ("x", pa.string()), ("n", pa.int64())])))])
+        for t, key in _runs(batches, hot):
+            g = t.column("g").to_pandas().to_numpy()
+            own = [t.column(f"c{i}").combine_chunks() for i in range(width)]
+            own = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own]
+            made = [number(x) for x in own]
+            z = pa.compress(np.stack([x for x, _, _ in made]).tobytes(), "zstd", asbytes=True)
+            levels = [{"at": i, "x": x, "n": n} for i, (_, names, counts) in enumerate(made) for x, n in zip(names, counts, strict=True)]
+            yield pa.RecordBatch.from_pylist([{"z": z, "rows": len(g), "first": np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))).tolist(), "g": key, "nulls": [x.null_count for x in own], "levels": levels}], schema)
+
+    return staged(rows.mapInArrow(pack, _PACKS), "packs")
 
-    return staged(rows.repartition("g").sortWithinPartitions("g").mapInArrow(pack, "z binary, first array<long>"), "packs")
 
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int, places: Mapping[int, Mapping[str, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, str | None]]:
+    """(columns of rows, subject of each row, numbered from 0, key of the subject that this is a part of) of every written array.
 
-def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, subject of each, numbered from 0) of every written array."""
+    places: for a column of levels where each stands among all of them.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             first = batch.column("first")[i].values.to_numpy()
             packed = pa.CompressedInputStream(pa.BufferReader(batch.column("z")[i].as_buffer()), "zstd")
-            z = np.frombuffer(packed.read(), float).reshape(width, -1).T
-            owner = np.zeros(len(z), np.int64)
+            z = np.frombuffer(packed.read(), float).reshape(width, -1).copy()
+            local: dict[int, list[float]] = {at: [] for at in places}
+            for level in batch.column("levels")[i].as_py():
+                local[level["at"]].append(float(places[level["at"]][level["x"]]))
+            for at, to in local.items():
+                z[at] = np.array([*to, np.nan])[np.where(np.isnan(z[at]), len(to), z[at]).astype(int)]
+            owner = np.zeros(z.shape[1], np.int64)
             owner[first[1:]] = 1
-            yield z, np.cumsum(owner)
+            yield z, np.cumsum(owner), batch.column("g")[i].as_py()
 
 
 def _within(d: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,74 +284,86 @@ def _added(parts: DataFrame, *keys: str) -> DataFrame:
     return cell.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
 
 
-def _sums(packs: DataFrame, hot: DataFrame | None, blocks: list[_Block], width: int, betas: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Each block's total over subjects. Without betas: within cross products, then rows, subjects and sum of y; with: outer products of scores."""
-
-    def shape(b: _Block) -> int:
-        return len(b.terms.names) + len(b.controls) + 1
+def _sums(packs: DataFrame, hot: DataFrame | None, blocks: list[_Block], width: int, places: Mapping[int, Mapping[str, int]], betas: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Each block's and statistic's total over subjects. Without betas: within cross products, then rows, subjects and sum of y; with: outer products of scores."""
+    stats = len(blocks[0].ys)
+    shapes = [b.wide + 1 for b in blocks for _ in range(stats)]
 
-    def closed(b: _Block, k: int, inner: np.ndarray, n: int, y: float) -> np.ndarray:
+    def closed(k: int, inner: np.ndarray, n: int, y: float) -> np.ndarray:
         """A subject's share from its within cross products."""
         if betas is None:
             return np.concatenate([inner.ravel(), [n, 1, y]])
         s = inner[:-1, -1] - inner[:-1, :-1] @ betas[k]
         return np.outer(s, s).ravel()
 
-    def zero(b: _Block) -> np.ndarray:
-        return np.zeros(shape(b) ** 2 + 3 if betas is None else (shape(b) - 1) ** 2)
+    def zeros() -> list[np.ndarray]:
+        return [np.zeros(p**2 + 3 if betas is None else (p - 1) ** 2) for p in shapes]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [zero(b) for b in blocks]
-        for z, owner in _unpacked(batches, width):
+        total = zeros()
+        for z, owner, _ in _unpacked(batches, width, places):
+            nan = np.isnan(z)
             for k, b in enumerate(blocks):
-                full, d = b.design(z)
-                if not len(d):
-                    continue
-                w, heads, kept = _within(d, owner[full])
-                if not len(w):
-                    continue
-                if betas is None:
-                    total[k] += np.concatenate([(w.T @ w).ravel(), [len(w), len(heads), kept[:, -1].sum()]])
-                else:
-                    s = np.add.reduceat(w[:, :-1] * (w[:, -1] - w[:, :-1] @ betas[k])[:, None], heads, axis=0)
-                    total[k] += (s.T @ s).ravel()
+                for js, full, d in b.designs(z, nan):
+                    w, heads, kept = _within(d, owner[full])
+                    if not len(w):
+                        continue
+                    x, gram = w[:, : b.wide], w.T @ w if betas is None else None
+                    for i, j in enumerate(js, b.wide):
+                        at = k * stats + j
+                        if betas is None:
+                            own = [*range(b.wide), i]
+                            total[at] += np.concatenate([gram[np.ix_(own, own)].ravel(), [len(w), len(heads), kept[:, i].sum()]])
+                        else:
+                            s = np.add.reduceat(x * (w[:, i] - x @ betas[at])[:, None], heads, axis=0)
+                            total[at] += (s.T @ s).ravel()
         yield _packed(list(enumerate(total)))
 
-    parts = packs.mapInArrow(fold, "block int, m array<double>")
+    parts = packs.where("g IS NULL").mapInArrow(fold, "block int, m array<double>")
     if hot is not None:
 
         def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = [zero(b) for b in blocks]
+            total = zeros()
             for batch in batches:
                 for k, m in zip(batch.column("block").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                    p = shape(blocks[k]) + 1
+                    p = shapes[k] + 1
                     m = np.array(m).reshape(p, p)
                     n = m[0, 0]
                     if n > 1:
-                        total[k] += closed(blocks[k], k, m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / n, int(n), m[0, -1])
+                        total[k] += closed(k, m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / n, int(n), m[0, -1])
             yield _packed(list(enumerate(total)))
 
         parts = parts.unionByName(hot.select("block", "m").mapInArrow(close, "block int, m array<double>"))
     found = {r["block"]: np.array(r["m"]) for r in _added(parts, "block").collect()}
-    return [found.get(k, zero(b)) for k, b in enumerate(blocks)]
+    return [found.get(k, x) for k, x in enumerate(zeros())]
 
 
-def _moments(rows: DataFrame, blocks: list[_Block], width: int) -> DataFrame:
+def _moments(packs: DataFrame, blocks: list[_Block], width: int, places: Mapping[int, Mapping[str, int]]) -> DataFrame:
     """(g, block, m): sums of 1, regressors and statistic, and of their products, of the subjects that are cut into parts."""
+    stats = len(blocks[0].ys)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for z, first, (g, _) in _segments(batches, width, 2):
-            ends = [*first[1:].tolist(), len(z)]
-            for i, (lo, hi) in enumerate(zip(first.tolist(), ends, strict=True)):
-                made = []
-                for k, b in enumerate(blocks):
-                    _, d = b.design(z[lo:hi])
+        def give() -> pa.RecordBatch:
+            made = _packed(list(total.items()))
+            return pa.RecordBatch.from_arrays([pa.array([of] * len(total), pa.string()), *made.columns], ["g", "block", "m"])
+
+        of, total = None, {}
+        for z, _, g in _unpacked(batches, width, places):
+            if total and g != of:  # the parts of a subject were written one after the other
+                yield give()
+                total = {}
+            of, nan = g, np.isnan(z)
+            for k, b in enumerate(blocks):
+                for js, _, d in b.designs(z, nan):
                     d = np.concatenate([np.ones((len(d), 1)), d], axis=1)
-                    made.append((k, d.T @ d))
-                batch = _packed(made)
-                yield pa.RecordBatch.from_arrays([pa.array([str(g[i])] * len(made)), *batch.columns], ["g", "block", "m"])
+                    gram = d.T @ d
+                    for i, j in enumerate(js, b.wide + 1):
+                        own = [*range(b.wide + 1), i]
+                        total[k * stats + j] = total.get(k * stats + j, 0) + gram[np.ix_(own, own)]
+        if total:
+            yield give()
 
-    return _added(rows.repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(part, "g string, block int, m array<double>"), "g", "block")
+    return _added(packs.where("g IS NOT NULL").mapInArrow(part, "g string, block int, m array<double>"), "g", "block")
 
 
 def effects(df: DataFrame, group: str, stats: Sequence[str], variables: Sequence[Variable] = tuple(CATALOGUE.values()), controls: Sequence[str] = PLAYER_CONTROLS, level: float = 0.95, most_missing: float = 0.2, hot: int = HOT) -> pd.DataFrame:
@@ -318,41 +374,31 @@ def effects(df: DataFrame, group: str, stats: Sequence[str], variables: Sequence
     omitted level's row is added. Intervals and p values are normal. Rows without group are left out.
     """
     base = list(dict.fromkeys([*controls, *[v.column for v in variables]]))
-    d = staged(df.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), *dict.fromkeys([*base, *stats])), "effects")
-    missing = d.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in controls]).first() if controls else {}
-    controls = [c for c in controls if (missing[c] or 0) <= most_missing]
-    terms = compile_terms(d, variables)
-    coded = {v.column: sorted(terms[v.name].levels) for v in variables if v.kind == "categorical"}
-
-    def number(c: str) -> Column:
-        if c not in coded:
-            return F.col(c).cast("double")
-        return F.nullif(F.array_position(F.array(*[F.lit(x) for x in coded[c]]), F.col(c).cast("string")), F.lit(0)).cast("double") - 1
-
-    cols = [*[number(c) for c in base], *[F.col(s).cast("double") for s in stats]]
-    z = F.transform(F.array(*cols), lambda x: F.coalesce(x, F.lit(float("nan"))))
-    rows = d.select(F.col("__g").alias("g"), z.alias("z"))
+    coded = {v.column for v in variables if v.kind == "categorical"}
+    cols = [*[F.col(c).cast("string" if c in coded else "double") for c in base], *[F.col(s).cast("double") for s in stats]]
     at = {c: i for i, c in enumerate(base)}
-    width = len(cols)
+    packs = _packs(df.where(F.col(group).isNotNull()), F.col(group), cols, hot)
+    missing = packs.agg(F.sum("rows").alias("all"), *[F.sum(F.col("nulls")[at[c]]).alias(f"c{at[c]}") for c in controls]).first()
+    controls = [c for c in controls if (missing[f"c{at[c]}"] or 0) <= most_missing * (missing["all"] or 0)]
+    levels: dict[int, list[tuple[str, int]]] = {at[c]: [] for c in coded}
+    for r in packs.select(F.inline("levels")).groupBy("at", "x").agg(F.sum("n").alias("n")).limit(MOST_LEVELS * len(coded) + 1).collect():
+        levels[r["at"]].append((r["x"], r["n"]))
+    terms = _compiled(variables, {v.name: levels[at[v.column]] for v in variables if v.column in coded})
+    places = {c: {x: i for i, (x, _) in enumerate(sorted(found))} for c, found in levels.items()}
     blocks, names = [], []
     for v in variables:
         own = [c for c in controls if c not in v.replaces and c != v.column]
-        for j, s in enumerate(stats):
-            blocks.append(_Block(terms[v.name], at[v.column], tuple(at[c] for c in own), len(base) + j))
-            names.append((v, s, [*terms[v.name].names, *own]))
-    large = staged(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("g", F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot")
+        blocks.append(_Block(terms[v.name], at[v.column], tuple(at[c] for c in own), tuple(range(len(base), len(cols)))))
+        names += [(blocks[-1], v, s, [*terms[v.name].names, *own]) for s in stats]
     cut = None
-    if not large.isEmpty():  # a subject in `hot` rows at most
-        salted = rows.join(F.broadcast(large) if large.count() <= 100_000 else large, "g").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("parts")).cast("int")).select("g", "part", "z")
-        cut = staged(_moments(salted, blocks, width), "moments")
-        rows = rows.join(large, "g", "left_anti")
-    packs = _packs(rows, width)
-    gram = _sums(packs, cut, blocks, width, None)
-    solved = [_solve(b, m) for b, m in zip(blocks, gram, strict=True)]
-    meat = _sums(packs, cut, blocks, width, [s[0] for s in solved])
+    if not packs.where("g IS NOT NULL").isEmpty():  # a subject in parts
+        cut = staged(_moments(packs, blocks, len(cols), places), "moments")
+    gram = _sums(packs, cut, blocks, len(cols), places, None)
+    solved = [_solve(b, m) for (b, *_), m in zip(names, gram, strict=True)]
+    meat = _sums(packs, cut, blocks, len(cols), places, [s[0] for s in solved])
     wide = NormalDist().inv_cdf(0.5 + level / 2)
     out = []
-    for b, (v, stat, term), (beta, inverse, varies, n, g, r2, mean), m in zip(blocks, names, solved, meat, strict=True):
+    for (b, v, stat, term), (beta, inverse, varies, n, g, r2, mean), m in zip(names, solved, meat, strict=True):
         k = int(varies.sum())
         factor = g / max(1, g - 1) * (n - 1) / max(1, n - k)
         cov = factor * inverse @ m.reshape(len(beta), len(beta)) @ inverse

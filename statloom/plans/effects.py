@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import effects as e
 from ..operators import windows as w
 from ..session import staged
-from ..sources.roles import DUEL_HISTORY_SQL, duel_history, table
+from ..sources.roles import DUEL_HISTORY_SQL, table
 from .base import Query, rounded
 
 D = DUEL_HISTORY_SQL
@@ -16,25 +17,38 @@ STATS = ("value", "part", "rate")
 ORDER = ("ts", "event_id", "subject")
 
 
+def _sides(s, d):
+    """Suppliers' shares of orders as in `duel_history`: a supplier's lines of an order are added up by windows over one sort by order and
+    supplier, which a join by order can use too, and not in a hash table of all sides."""
+    side = Window.partitionBy("event_id").orderBy("subject")
+    line = table(s, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("subject"), F.col("l_extendedprice").alias("value"), "l_discount", F.col("l_quantity").alias("exposure"))
+    line = line.where("event_id IS NOT NULL").repartition("event_id").withColumn("part", F.col("value") * F.col("l_discount"))  # discounts shrink better than products
+    sums = [F.sum(c).over(side.rangeBetween(Window.currentRow, Window.currentRow)).alias(c) for c in ("value", "part", "exposure")]
+    line = line.select("event_id", "subject", *sums, F.row_number().over(side).alias("i"), F.lag("subject").over(side).alias("last"))
+    return line.where((F.col("i") == 1) | ~F.col("last").eqNullSafe(F.col("subject"))).drop("i", "last")
+
+
 def effect_rows(s, d):
-    """Suppliers' orders with every column of the catalogue; the customer is the opponent, and a named one where its balance is positive."""
-    h = duel_history(s, d)
+    """Suppliers' orders with every column of the catalogue; the customer is the opponent, and a named one where its balance is positive.
+
+    Rows lie by supplier at the end, in order of time.
+    """
     nation = table(s, d, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("venue"))
     c = table(s, d, "customer").select(F.col("c_custkey").alias("opponent"), "c_acctbal", "c_mktsegment", "c_nationkey")
-    known = table(s, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("opponent")).join(c, "opponent").drop("opponent")
     size = c.groupBy("c_nationkey").agg((F.avg("c_acctbal") / 1000).alias("opponent_height"))
     own = table(s, d, "supplier").select(F.col("s_suppkey").alias("subject"), "s_nationkey")
-    h = h.join(known, "event_id")  # lines lie by order already; what follows from other columns is added where it needn't move
-    h = h.select("*", w.lagged_mean("value", "c_nationkey", 10, ORDER).alias("opponent_rating"), w.lagged_mean("exposure", "c_nationkey", 10, ORDER).alias("opponent_pace"))
-    h = h.join(own, "subject").withColumn("d", F.to_date("ts"))
+    named = lambda x: F.when(F.col("c_acctbal") > 0, x)
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_custkey").alias("opponent")).join(c, "opponent")
+    orders = orders.select("event_id", "ts", "c_nationkey", named(F.col("c_acctbal") / 1000).alias("defender_height"), named((F.col("opponent") % 97) / 10).alias("defender_weight"), named(F.col("c_mktsegment")).alias("defender_position"))
+    h = _sides(s, d).join(orders, "event_id")
+    h = h.select("*", w.lagged_mean("value", "c_nationkey", 10, ORDER).alias("opponent_rating"), w.lagged_mean("exposure", "c_nationkey", 10, ORDER).alias("opponent_pace")).withColumn("d", F.to_date("ts"))
+    h = h.withColumn("rest", w.days_since_previous("subject")).join(own, "subject")  # the window first, as it sorts by more than the join
     home = F.col("event_id") % 2 == 0
     h = h.withColumn("place", F.when(home, F.col("s_nationkey")).otherwise(F.col("c_nationkey"))).join(F.broadcast(nation), "place").join(F.broadcast(size), "c_nationkey")  # a row a nation each
-    named = lambda x: F.when(F.col("c_acctbal") > 0, x)
-    rest = e.rest_columns(w.days_since_previous("subject"))
+    rest = e.rest_columns(F.col("rest"))
     return h.select(
         "subject", "value", "part", F.try_divide("part", "value").alias("rate"), home.cast("double").alias("is_home"), *[x.alias(n) for n, x in rest.items()], F.date_format("d", "EEEE").alias("day_name"), F.date_format("d", "MM").alias("month"),
-        (F.floor((F.dayofyear("d") - 1) / 7) + 1).cast("double").alias("week"), (F.month("d") == 12).cast("double").alias("is_playoff"),
-        named(F.col("c_acctbal") / 1000).alias("defender_height"), named((F.col("opponent") % 97) / 10).alias("defender_weight"), named(F.col("c_mktsegment")).alias("defender_position"), "opponent_height",
+        (F.floor((F.dayofyear("d") - 1) / 7) + 1).cast("double").alias("week"), (F.month("d") == 12).cast("double").alias("is_playoff"), "defender_height", "defender_weight", "defender_position", "opponent_height",
         "opponent_rating", "opponent_pace", F.col("exposure").cast("double").alias("minutes"),
         (F.col("exposure") >= 30).cast("double").alias("is_starter"), (F.date_diff("d", F.lit("1960-01-01").cast("date")) / 365.25 - F.col("subject") % 15).alias("age"), "venue", (F.col("place") * 0.2).alias("altitude"), (F.col("venue") == "PERU").cast("double").alias("is_highest"),
     )

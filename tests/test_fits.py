@@ -7,6 +7,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statloom.functions import special
@@ -199,6 +200,30 @@ def test_effects_make_their_rows_once(spark):
     assert made.value == len(rows)
 
 
+def test_effects_deal_rows_by_subject_once(spark, monkeypatch):
+    """Rows that lie by subject after a window aren't moved or sorted again, and only their arrays are written."""
+    rows = [tuple(None if x != x else x for x in r) for r in planted().itertuples(index=False)]
+    before = Window.partitionBy("p").orderBy("minutes")
+    df = spark.createDataFrame(rows, KINDS).repartition(3).withColumn("rest_days", F.lag("rest_days").over(before))
+    written, read = [], effects.staged
+    monkeypatch.setattr(effects, "staged", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or read(df, name))
+    assert len(effects.effects(df, "p", ["y"], ASKED, ("minutes", "is_home"))) > 0
+    assert [name for name, _ in written] == ["packs"]
+    assert written[0][1].count("Exchange hashpartitioning") == 1 and written[0][1].count("Sort [") == 1
+
+
+def test_effects_of_subjects_in_parts_and_whole(spark):
+    """Subjects above `hot` beside ones below it, and levels that not every array has."""
+    frame = planted()
+    frame = frame[(frame.p % 3 > 0) | (frame.index % 50 < 12)]
+    frame.loc[frame.p == 1, "venue"] = None
+    df = spark.createDataFrame([tuple(None if x != x else x for x in r) for r in frame.itertuples(index=False)], KINDS)
+    one, parts = (effects.effects(df, "p", ["y", "y2"], ASKED, ("minutes", "is_home", "sparse"), hot=hot) for hot in (10_000, 20))
+    assert set(one["variable"]) == {v.name for v in ASKED} and set(one["n"]) == {len(frame), int(frame.venue.notna().sum())}
+    same = ["variable", "stat", "term", "own", "n", "groups"]
+    assert one[same].equals(parts[same]) and np.allclose(one[["coef", "se", "r2", "mean"]], parts[["coef", "se", "r2", "mean"]], rtol=1e-9)
+
+
 def test_effects_of_odd_tables(spark):
     none = effects.effects(spark.createDataFrame([], KINDS), "p", ["y"], ASKED[:2], ("minutes",))
     assert len(none) == 0
