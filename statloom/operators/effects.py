@@ -25,7 +25,7 @@ from ..functions.special import normal_cdf
 from ..session import staged
 
 #: Rows of one subject from which it is cut into parts, and rows of an array operation.
-HOT, BLOCK = 200_000, 1 << 15
+HOT, BLOCK = 200_000, 1 << 13
 #: Most levels of a categorical variable.
 MOST_LEVELS = 500
 
@@ -240,7 +240,7 @@ def _packs(df: DataFrame, group: Column, cols: Sequence[Column], hot: int) -> Da
             levels = [{"at": i, "x": x, "n": n} for i, (_, names, counts) in enumerate(made) for x, n in zip(names, counts, strict=True)]
             yield pa.RecordBatch.from_pylist([{"z": z, "rows": len(g), "first": np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))).tolist(), "g": key, "nulls": [x.null_count for x in own], "levels": levels}], schema)
 
-    return staged(rows.mapInArrow(pack, _PACKS), "packs")
+    return staged(rows.mapInArrow(pack, _PACKS), "packs", large=True)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], width: int, places: Mapping[int, Mapping[str, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, str | None]]:

@@ -206,7 +206,7 @@ def test_effects_deal_rows_by_subject_once(spark, monkeypatch):
     before = Window.partitionBy("p").orderBy("minutes")
     df = spark.createDataFrame(rows, KINDS).repartition(3).withColumn("rest_days", F.lag("rest_days").over(before))
     written, read = [], effects.staged
-    monkeypatch.setattr(effects, "staged", lambda df, name: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or read(df, name))
+    monkeypatch.setattr(effects, "staged", lambda df, name, **how: written.append((name, df._jdf.queryExecution().executedPlan().toString())) or read(df, name, **how))
     assert len(effects.effects(df, "p", ["y"], ASKED, ("minutes", "is_home"))) > 0
     assert [name for name, _ in written] == ["packs"]
     assert written[0][1].count("Exchange hashpartitioning") == 1 and written[0][1].count("Sort [") == 1
