@@ -6,10 +6,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from statloom import session
 from statloom.functions import special
 from statloom.operators import boosting, copula, effects, models, projection
 from statloom.operators import distributions as dist
@@ -212,6 +214,15 @@ def test_effects_deal_rows_by_subject_once(spark, monkeypatch):
     assert written[0][1].count("Exchange hashpartitioning") == 1 and written[0][1].count("Sort [") == 1
 
 
+def test_arrays_are_written_in_small_row_groups(spark, tmp_path, monkeypatch):
+    """A hundred rows of a megabyte aren't one page or row group, which writer and reader would hold whole."""
+    monkeypatch.setattr(session, "shared_folder", lambda spark, name: str(tmp_path / name))
+    rows = spark.range(40).coalesce(1).mapInPandas(lambda frames: (pd.DataFrame({"z": [np.random.default_rng(i).bytes(1 << 20) for i in f.id]}) for f in frames), "z binary")
+    assert session.staged(rows, "rows", large=True).count() == 40
+    (file,) = (tmp_path / "rows").glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups >= 4
+
+
 def test_effects_of_subjects_in_parts_and_whole(spark):
     """Subjects above `hot` beside ones below it, and levels that not every array has."""
     frame = planted()
